@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, token_count
+from . import decontaminate, lattice_lm, license_scan, mixing, token_count, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_lm_scores": lattice_lm.op4_lm_scores,
     "op5_mix": mixing.op5_mix,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_token_counts": token_count.op10_token_counts,
 }
 ORACLE_SQL = {"op5_mix": mixing.SQL}
