@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lattice_lm, license_scan, mixing, token_count, toxicity
+from . import decontaminate, jaccard_join, lattice_lm, license_scan, mixing, token_count, toxicity
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_token_counts": token_count.op10_token_counts,
 }
 ORACLE_SQL = {"op5_mix": mixing.SQL}
