@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, lattice_lm, license_scan, mixing, token_count, toxicity
+from . import decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_lm_scores": lattice_lm.op4_lm_scores,
     "op5_mix": mixing.op5_mix,
+    "op6_secret_scan": secrets_scan.op6_secret_scan,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
