@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity
+from . import ann, decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_nearest": ann.op3_nearest,
     "op4_lm_scores": lattice_lm.op4_lm_scores,
     "op5_mix": mixing.op5_mix,
     "op6_secret_scan": secrets_scan.op6_secret_scan,
