@@ -18,8 +18,8 @@ from .common import ALNUM, LOWER, documents, hashes_of, mix, slices, text_buffer
 #: 1: position looked at; equal weight, different gaps
 MASKS = ("11111111", "1101100110101", "101011001101011", "11100101100111")
 MISMATCH = 2.0  # a changed word costs as much as this many equal ones gain
-LEAST = 12.0  # least score of a stretch; items of fewer words need SHARE of their length
-SHARE = 0.8
+LEAST = 10.0  # least score of a stretch; items of fewer words need SHARE of their length
+SHARE = 0.65
 BLOCK_WORDS = 2_000_000  # words of test items in one broadcast, about 100 MB with their hashes
 _K = np.uint64(0x9E3779B97F4A7C15)
 
