@@ -5,13 +5,14 @@ one set are one class from the start. Sets link at a similarity of 0.8. Links ar
 found in two steps, each of which uses what sets already known say of others:
 
 1. Answers from similar sets. Classes that share a minimum hash are compared in blocks, all
-   pairs of a block at once, and only a spanning forest of the links leaves it. Later rounds take one class
-   for each component found so far: it answers for the others.
+   pairs of a block at once, and only a spanning forest of the links leaves it. After the first
+   of four hashes, one class answers for its component in small groups; in large ones,
+   all classes are compared, and two that were in one block need no other comparison.
 2. The rest, exactly. All classes' prefixes (the rarest fifth of a set in one common order) form
    index lists ordered by set size. Lists within one component are skipped whole; in
    others, each entry skips, by binary search over the sizes, to the block of entries
-   whose size can link, and of these takes those of other components. A pair stays only if the
-   prefix tokens it shares, counted over all lists, still allow a link. What stays is verified.
+   whose size can link, and of these takes those of other components that it has not met. A pair
+   stays only if the prefix tokens it shares, counted over all lists, still allow a link. What stays is verified.
 
 Two linked sets always share a prefix token, so no link between components is lost.
 Links inside a component change nothing and are not expanded.
@@ -30,11 +31,12 @@ from .common import LOWER, NOT_SPACE, documents, grams, hashes_of, mix, slices,
 
 WORDS = 5
 SHARE = Fraction(4, 5)
-SALTS = (0x0F, 0x2C7, 0x5A11)  # of the minimum hashes, one a round
-BLOCK = 96  # classes of a minimum hash that are compared at once
-BLOCK_HASHES = 2_000_000  # hashes of their sets in all
+SALTS = (0x0F, 0x2C7, 0x5A11, 0x91D3)  # of the minimum hashes
+BLOCK = 2048  # classes of a minimum hash that are compared at once
+BLOCK_HASHES = 2_000_000  # hashes of their sets in all, about
+LARGE = 16  # in groups of more classes all are compared, at every hash
 #: Tokens that a run of texts repeats often come last in the common order, by count. Any order is right; this keeps lists short.
-ORDERED, REPEATED, RUN_BYTES = 200_000, 4, 16 << 20
+ORDERED, REPEATED, RUN_BYTES = 500_000, 2, 40 << 20
 _U = np.uint64
 
 
@@ -163,9 +165,9 @@ def _forest(ids: list[int], sets: list[np.ndarray]):
     column, owner = column[order], owner[order]
     both = np.zeros((len(sets), len(sets)), np.float32)
     wide = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, wide, 8192):
-        a, b = np.searchsorted(column, [lo, lo + 8192])
-        x = np.zeros((len(sets), min(8192, wide - lo)), np.float32)
+    for lo in range(0, wide, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        x = np.zeros((len(sets), min(4096, wide - lo)), np.float32)
         x[owner[a:b], column[a:b] - lo] = 1
         both += x @ x.T
     # counts above 2**24 would not be exact in float32; sets of a block hold fewer hashes
@@ -182,11 +184,11 @@ def _forest(ids: list[int], sets: list[np.ndarray]):
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members (key, block, class) of each block, as a, b."""
-    joined = members.join(sets, "class").repartition("key", "block").sortWithinPartitions("key", "block")
+    """Links among the members (block, class) of each block, as a, b."""
+    joined = members.join(sets, "class").repartition("block").sortWithinPartitions("block")
 
     def scan(batches):
-        now, ids, own, size = None, [], [], 0
+        now, ids, own = None, [], []
 
         def links():
             pairs = list(_forest(ids, own)) if len(ids) > 1 else []
@@ -195,42 +197,55 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            keys = list(zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), strict=True))
-            for at, c, s in zip(keys, batch.column("class").to_pylist(), batch.column("set"), strict=True):
-                if at != now or size > BLOCK_HASHES:
+            for at, c, s in zip(batch.column("block").to_pylist(), batch.column("class").to_pylist(), batch.column("set"), strict=True):
+                if at != now:
                     yield from links()
-                    now, ids, own, size = at, [], [], 0
+                    now, ids, own = at, [], []
                 ids.append(c)
                 own.append(np.frombuffer(s.as_py(), _U))
-                size += len(own[-1])
         yield from links()
 
-    return joined.select("key", "block", "class", "set").mapInArrow(scan, "a long, b long")
+    return joined.select("block", "class", "set").mapInArrow(scan, "a long, b long")
 
 
-def _similar(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """First step: node, comp of the classes that rounds of shared minimum hashes link."""
-    found = None
-    links = None
-    for k in range(len(SALTS)):
-        pool = classes.select("class", "doc_id", F.col(f"m{k}").alias("key"))
-        if found is not None:
-            # one class answers for its component, at each minimum hash
-            pool = pool.join(found, pool["class"] == found["node"], "left").withColumn("comp", F.coalesce("comp", "class"))
-            pool = pool.groupBy("key", "comp").agg(F.min(F.struct("class", "doc_id")).alias("x")).select("x.class", "x.doc_id", "key")
-        shared = pool.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        members = pool.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("class", F.lit(k)), F.ceil(F.col("size") / BLOCK)))
-        members = written(members.select("key", "block", "class", "doc_id"), "members")
-        new = written(_in_blocks(members.drop("doc_id"), _texts(docs, members)), "links")
-        links = new if links is None else links.union(new)
-        found = components(links)
-    return found
+def _blocked(pool: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """block, k, class, doc_id, all (whether the whole group is compared) of the members (k, key, class, doc_id, n) of shared minimum hashes.
+
+    With components: in groups up to LARGE one class answers for its component.
+    """
+    groups = pool.groupBy("k", "key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes")).where("size > 1")
+    members = pool.join(groups, ["k", "key"])
+    if large is not None:
+        named = members.join(large, members["class"] == large["node"], "left").withColumn("comp", F.coalesce("comp", "class"))
+        one = named.where(F.col("size") <= LARGE).groupBy("k", "key", "comp").agg(F.min(F.struct("class", "doc_id", "size", "hashes")).alias("x")).select("k", "key", "x.*")
+        left = one.groupBy("k", "key").agg(F.count("*").alias("left")).where("left > 1").select("k", "key")
+        members = one.join(left, ["k", "key"]).unionByName(named.where(F.col("size") > LARGE).select("k", "key", "class", "doc_id", "size", "hashes"))
+    part = F.pmod(F.xxhash64("class", "k"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)))
+    block = F.xxhash64("k", "key", part)
+    return members.select(block.alias("block"), "k", "class", "doc_id", (F.col("size") > LARGE).alias("all"))
+
+
+def _similar(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First step: node, comp of the classes found linked; and class, b0.. of the blocks that classes of large groups were in."""
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("key")) for k in range(len(SALTS))))).alias("x")
+    pool = classes.select(keys, "class", "doc_id", "n").select("x.*", "class", "doc_id", "n")
+
+    def compared(members, name):
+        return written(_in_blocks(members.select("block", "class"), _texts(docs, members)), name)
+
+    first = written(_blocked(pool.where("k = 0")), "members")
+    links = compared(first, "links")
+    rest = written(_blocked(pool.where("k > 0"), components(links)), "members")
+    found = components(links.union(compared(rest, "links")))
+    met = first.unionByName(rest).where("all").groupBy("class").agg(*(F.max(F.when(F.col("k") == k, F.col("block"))).alias(f"b{k}") for k in range(len(SALTS))))
+    return found, met
 
 
 def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, class, comp, n, p: a row for each token in the prefix of each class; p is the prefix's length."""
+    """token, class, comp, n, p, b0..: a row for each token in the prefix of each class; p is the prefix's length."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    names = ["token", "class", "comp", "n", "p"]
+    met = [f"b{k}" for k in range(len(SALTS))]
+    names = ["token", "class", "comp", "n", "p", *met]
 
     def scan(batches):
         known, rank_of = shared.value
@@ -248,12 +263,13 @@ def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarra
                 keep = at[np.arange(len(g)) - off[row] < p[row]]
                 row, sig = row[keep], signature(g, off)
                 comp = np.where(part.column("comp").is_null().to_numpy(zero_copy_only=False), sig, part.column("comp").fill_null(0).to_numpy())
+                blocks = [part.column(c).fill_null(0).to_numpy() for c in met]
                 for lo in range(0, len(keep), 50_000):
                     r = row[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[keep[lo : lo + 50_000]].astype(np.int64)), *(pa.array(x[r]) for x in (sig, comp, n, p))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(g[keep[lo : lo + 50_000]].astype(np.int64)), *(pa.array(x[r]) for x in (sig, comp, n, p, *blocks))], names)
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(marks), "doc_id", "left")
-    return marked.where("coalesce(keep, true)").select("text", "comp").mapInArrow(scan, ", ".join(f"{x} long" for x in names))
+    return marked.where("coalesce(keep, true)").select("text", "comp", *met).mapInArrow(scan, ", ".join(f"{x} long" for x in names))
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
@@ -267,7 +283,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
 
         def pairs(x):
             """x: rows of whole lists, a column each."""
-            token, klass, comp, n, p = x
+            token, klass, comp, n, p, *met = x
             cut = np.flatnonzero(np.diff(token)) + 1
             lo, hi = np.append(0, cut), np.append(cut, len(token))
             mixed = np.minimum.reduceat(comp, lo) != np.maximum.reduceat(comp, lo)
@@ -277,11 +293,13 @@ def _candidates(lists: DataFrame) -> DataFrame:
                 for i in range(s, e - 1):
                     j = np.arange(i + 1, to[i - s])
                     j = j[comp[j] != comp[i]]
+                    for b in met:
+                        if b[i] and len(j):
+                            j = j[b[j] != b[i]]
                     if len(j):
                         yield np.full(len(j), i), j
 
         def out(x):
-            _, klass, comp, n, p = x
             some, size = [], 0
             for i, j in pairs(x):
                 some.append((i, j))
@@ -293,7 +311,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
                 yield some
 
         def told(x):
-            _, klass, comp, n, p = x
+            _, klass, _, n, p, *_ = x
             for some in out(x):
                 i, j = (np.concatenate(y) for y in zip(*some, strict=True))
                 swap = klass[i] > klass[j]
@@ -353,14 +371,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     usable = rows.where("doc_id is not null and n > 0")
     classes = written(usable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.max(f"m{k}").alias(f"m{k}") for k in range(len(SALTS)))), "classes")
-    first = _similar(docs, classes)
+    first, met = _similar(docs, classes)
 
-    # only the class's smallest doc_id enters the lists, with its component if it has one
+    # only the class's smallest doc_id enters the lists, with its component and blocks if it has any
     multi = rows.join(classes.where("copies > 1").select("class", F.col("doc_id").alias("rep")), "class")
-    others = multi.where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("comp"), F.lit(False).alias("keep"))
-    found = classes.join(first, classes["class"] == first["node"]).select("doc_id", "comp", F.lit(True).alias("keep"))
-    roots = first.select("comp").distinct().withColumnRenamed("comp", "class").join(classes, "class").select("doc_id", F.col("class").alias("comp"), F.lit(True).alias("keep"))
-    marks = others.unionByName(found).unionByName(roots).groupBy("doc_id").agg(F.max("comp").alias("comp"), F.max("keep").alias("keep"))
+    others = multi.where("doc_id <> rep").select("doc_id", F.lit(False).alias("keep"))
+    roots = first.select("comp").distinct().select(F.col("comp").alias("node"), "comp")
+    known = first.unionByName(roots).withColumnRenamed("node", "class").join(met, "class", "full_outer").join(classes.select("class", "doc_id"), "class").withColumn("keep", F.lit(True))
+    blocks = [F.max(f"b{k}").alias(f"b{k}") for k in range(len(SALTS))]
+    marks = known.drop("class").unionByName(others, allowMissingColumns=True).groupBy("doc_id").agg(F.max("comp").alias("comp"), F.max("keep").alias("keep"), *blocks)
     pairs = written(_candidates(_lists(docs.where("doc_id is not null"), written(marks, "marks"), order)), "pairs")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     sets = _texts(docs, ends.join(classes, "class"))
