@@ -258,7 +258,7 @@ RULES = [
       "message", r"(?i)(SeImpersonatePrivilege|SeAssignPrimaryTokenPrivilege|SeCreateTokenPrivilege|SeTcbPrivilege|ImpersonateNamedPipeClient|DuplicateTokenEx|CreateProcessWithTokenW|SetThreadToken|JuicyPotato|PrintSpoofer|RoguePotato|SweetPotato|RottenPotato|token\s+impersonat|privilege\s+escalat.*token)"),
     R("PRIV-002", 'UAC Bypass Technique', "CRITICAL", "privilege_escalation", 0.9, "TA0004/T1548.002", "hostname username message",
       "message", r"(?i)(fodhelper\.exe.*\\\S+\.exe|eventvwr\.exe.*\\\S+\.exe|sdclt\.exe.*\/kickoffelev|cmstp\.exe.*\/s|HKCU\\Software\\Classes\\ms-settings|HKCU\\Software\\Classes\\mscfile|HKCU.*Shell\\Open\\command.*cmd|UACMe|bypassuac|uacbypass|Bypass.*UAC.*registry|DiskCleanup.*elevation)"),
-    S("PRIV-003", 'Sudo Privilege Escalation (Linux)', "CRITICAL", "privilege_escalation", 0.85, "TA0004/T1548.003", "source_ip username hostname message", "source_ip", 120, [{'match_field': 'message'}, {'match_field': 'message'}]),
+    S("PRIV-003", 'Sudo Privilege Escalation (Linux)', "CRITICAL", "privilege_escalation", 0.85, "TA0004/T1548.003", "source_ip username hostname message", "source_ip", 120, [{'match_field': 'message', 'value_contains': 'sudo -l'}, {'match_field': 'message', 'value_contains': 'sudo'}]),
     R("PRIV-004", 'SUID / SGID Binary Abuse (GTFOBins)', "HIGH", "privilege_escalation", 0.82, "TA0004/T1548.001", "source_ip username hostname message",
       "message", r"""(?i)(find\s+.*-exec\s+\/bin\/(sh|bash)|\/usr\/bin\/find.*-exec\s+sh|python[23]?\s+-c\s+['"]import\s+os.*setuid|perl\s+-e\s+['"]exec\s*['"]\/bin\/sh|vim\s+.*-c\s+['"]!\/bin\/bash|nmap\s+--interactive|env\s+\/bin\/sh|env\s+\/bin\/bash|(bash|sh)\s+-p\s+-i|SUID.*escalat|\/bin\/bash\s+-p)"""),
     R("PRIV-005", 'Kernel Exploit Attempt', "CRITICAL", "privilege_escalation", 0.88, "TA0004/T1068", "hostname username message",

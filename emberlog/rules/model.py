@@ -86,8 +86,8 @@ def matches(rule: Rule) -> Column:
 
 def step_matches(step: dict) -> Column:
     value = F.col(step["match_field"]).cast("string")
-    if "contains" in step:
-        c = F.lower(value).contains(str(step["contains"]).lower())
+    if "value_contains" in step:
+        c = F.lower(value).contains(str(step["value_contains"]).lower())
     else:
         c = value == str(step["value"])
     if "match_field2" in step:
