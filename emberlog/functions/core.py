@@ -44,7 +44,7 @@ def iso_time(x) -> Column:
 
 def epoch_time(x) -> Column:
     """Seconds, milliseconds above 1e10, microseconds above 1e14."""
-    v = c(x).cast("double")
+    v = c(x).try_cast("double")
     return F.when(v > 1e14, F.timestamp_micros(v.cast("long"))).when(v > 1e10, F.timestamp_millis(v.cast("long"))).otherwise(F.timestamp_micros((v * 1e6).cast("long")))
 
 
@@ -56,7 +56,7 @@ def minute_of(x) -> Column:
 
 
 def safe_int(x) -> Column:
-    return F.trim(c(x)).try_cast("int") if hasattr(Column, "try_cast") else F.nullif(c(x), F.lit("-")).cast("int")
+    return F.trim(c(x)).try_cast("int")
 
 
 def dash_null(x) -> Column:
@@ -91,7 +91,7 @@ def is_ipv4(ip) -> Column:
 def ip_number(ip) -> Column:
     """An IPv4 address as a number; null for other text."""
     p = F.split(c(ip), r"\.")
-    n = sum((p[i].cast("long") * 256 ** (3 - i) for i in range(1, 4)), p[0].cast("long") * 256**3)
+    n = sum((p[i].try_cast("long") * 256 ** (3 - i) for i in range(1, 4)), p[0].try_cast("long") * 256**3)
     return F.when(is_ipv4(ip), n)
 
 

@@ -21,7 +21,7 @@ def apache(x) -> dict[str, Column]:
     status = g(7).cast("int")
     return {
         "source_ip": g(1), "username": g(2), "timestamp": core.apache_time(g(3)), "http_method": g(4), "http_uri": g(5), "http_uri_decoded": core.url_decoded(g(5)),
-        "http_version": g(6), "http_status": status, "http_bytes": g(8).cast("long"), "http_referrer": g(9), "http_user_agent": g(10), "severity": F.when(status.isNotNull(), core.http_severity(status)),
+        "http_version": g(6), "http_status": status, "http_bytes": g(8).try_cast("long"), "http_referrer": g(9), "http_user_agent": g(10), "severity": F.when(status.isNotNull(), core.http_severity(status)),
     }
 
 
@@ -145,6 +145,444 @@ def read_json_records(spark, path: str) -> DataFrame:
     return t.select("source_file", F.posexplode(parsed).alias("line_number", "raw_line")).withColumn("line_number", F.col("line_number") + 1)
 
 
+# --- more formats ------------------------------------------------------------------
+
+
+def _fields(x, pattern: str, names: str) -> dict[str, Column]:
+    """The groups of one pattern, by name; _ skips a group, - and the empty text are null."""
+    return {n: core.dash_null(part(x, pattern, i)) for i, n in enumerate(names.split(), 1) if n != "_"}
+
+
+def _ints(d: dict, *names: str) -> dict:
+    return d | {n: d[n].try_cast("long" if n in ("process_id", "parent_pid", "http_bytes", "file_size") else "int") for n in names if n in d}
+
+
+def _words(x, table: list[tuple[str, str]], default: str = "INFO") -> Column:
+    """The first severity whose words a line holds."""
+    return F.coalesce(*[F.when(core.c(x).rlike(f"(?i){w}"), s) for w, s in table], F.lit(default))
+
+
+LEVELS = [(r"\b(emerg|panic|alert|crit|critical|fatal)", "CRITICAL"), (r"\b(err|error|severe|fail(ed|ure)?)\b", "ERROR"), (r"\bwarn(ing)?\b", "WARNING")]
+
+
+def level_of(name) -> Column:
+    u = F.upper(core.c(name))
+    return F.when(u.isin("EMERG", "EMERGENCY", "ALERT", "CRIT", "CRITICAL", "FATAL", "PANIC"), "CRITICAL").when(u.isin("ERR", "ERROR", "SEVERE"), "ERROR").when(u.isin("WARN", "WARNING", "W"), "WARNING").otherwise("INFO")
+
+
+APACHE_ERROR = r"^\[([^\]]+)\] \[(?:[\w-]+:)?(\w+)\](?: \[pid (\d+)[^\]]*\])?(?: \[client ([^\]]+):(\d+)\])? ?(.*)$"
+
+
+def apache_error(x) -> dict[str, Column]:
+    d = _ints(_fields(x, APACHE_ERROR, "time level process_id source_ip source_port message"), "process_id", "source_port")
+    t = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(d.pop("time"), r"^\w{3} ", ""), r"\.\d+ ", " "), F.lit("MMM d HH:mm:ss yyyy"))
+    return d | {"timestamp": t, "severity": level_of(d.pop("level"))}
+
+
+NGINX_ERROR = r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] (\d+)#\d+: (.*)$"
+
+
+def nginx_error(x) -> dict[str, Column]:
+    d = _ints(_fields(x, NGINX_ERROR, "time level process_id message"), "process_id")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": level_of(d.pop("level")), "source_ip": part(x, r"client: ([\d.a-fA-F:]+)", 1)}
+
+
+SQUID = r"^(\d+\.\d+)\s+(\d+) (\S+) ([A-Z_]+)/(\d{3}) (\d+) (\S+) (\S+) (\S+)"
+
+
+def squid(x) -> dict[str, Column]:
+    d = _ints(_fields(x, SQUID, "time _ source_ip action http_status http_bytes http_method http_uri username"), "http_status", "http_bytes")
+    return d | {"timestamp": core.epoch_time(d.pop("time")), "http_uri_decoded": core.url_decoded(d["http_uri"]), "severity": core.http_severity(d["http_status"])}
+
+
+HAPROXY = r'haproxy\[(\d+)\]: ([\d.a-fA-F:]+):(\d+) \[([^\]]+)\] (\S+) (\S+) \S+ (\d{3}) (\d+).*"(\S+) (\S+)'
+
+
+def haproxy(x) -> dict[str, Column]:
+    d = _ints(_fields(x, HAPROXY, "process_id source_ip source_port time frontend backend http_status http_bytes http_method http_uri"), "process_id", "source_port", "http_status", "http_bytes")
+    t = F.try_to_timestamp(F.regexp_replace(d.pop("time"), r"\.\d+$", ""), F.lit("dd/MMM/yyyy:HH:mm:ss"))
+    extra = F.create_map(F.lit("frontend"), d.pop("frontend"), F.lit("backend"), d.pop("backend"))
+    return d | {"timestamp": t, "http_uri_decoded": core.url_decoded(d["http_uri"]), "severity": core.http_severity(d["http_status"]), "extra": extra}
+
+
+RFC5424 = r"^<(\d+)>\d+ (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[.*?\])+) ?(.*)$"
+
+
+def syslog_5424(x) -> dict[str, Column]:
+    d = _ints(_fields(x, RFC5424, "pri time hostname process_name process_id event_id data message"), "process_id")
+    rank = d.pop("pri").try_cast("int") % 8
+    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": F.when(rank <= 2, "CRITICAL").when(rank == 3, "ERROR").when(rank == 4, "WARNING").otherwise("INFO"), "extra": core.key_values(d.pop("data"))}
+
+
+def auditd(x) -> dict[str, Column]:
+    m = core.key_values(x)
+    get = lambda k: core.dash_null(F.element_at(m, k))
+    kind = get("type")
+    auth = kind.isin("USER_AUTH", "USER_LOGIN", "USER_ACCT")
+    good = core.c(x).rlike(r"res=(success|1|yes)|success=yes")
+    return {
+        "timestamp": core.epoch_time(part(x, r"audit\((\d+\.\d+):\d+\)", 1)), "event_id": kind, "username": F.coalesce(get("acct"), get("auid")), "process_name": F.coalesce(get("comm"), get("exe")), "process_id": get("pid").try_cast("long"),
+        "parent_pid": get("ppid").try_cast("long"), "source_ip": F.when(get("addr") != "?", get("addr")), "auth_result": F.when(auth & good, "success").when(auth, "failure"), "severity": F.when(good, "INFO").otherwise("WARNING"), "extra": m,
+    }
+
+
+def journald(x) -> dict[str, Column]:
+    get = lambda k: F.get_json_object(core.c(x), f"$['{k}']")
+    p = get("PRIORITY").try_cast("int")
+    return {
+        "timestamp": F.timestamp_micros(get("__REALTIME_TIMESTAMP").try_cast("long")), "hostname": get("_HOSTNAME"), "process_name": F.coalesce(get("SYSLOG_IDENTIFIER"), get("_COMM")), "process_id": get("_PID").try_cast("long"),
+        "message": get("MESSAGE"), "severity": F.when(p <= 2, "CRITICAL").when(p == 3, "ERROR").when(p == 4, "WARNING").otherwise("INFO"),
+    }
+
+
+KERNEL = r"^(?:([A-Z][a-z]{2}\s+\d{1,2} [\d:]{8}) (\S+) kernel: )?\[\s*(\d+\.\d+)\] (.*)$"
+
+
+def kernel(x, year: int = 2024) -> dict[str, Column]:
+    return {"timestamp": core.syslog_time(part(x, KERNEL, 1), year), "hostname": part(x, KERNEL, 2), "process_name": F.lit("kernel"), "message": part(x, KERNEL, 4), "severity": _words(x, LEVELS)}
+
+
+EVENT_XML = "System struct<EventID:string,Computer:string,TimeCreated:struct<_SystemTime:string>>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>"
+# Event numbers with their meaning
+LOGON_OK, LOGON_BAD, STARTED = "4624", ("4625", "4648", "4776"), "4688"
+
+
+def windows_event(x) -> dict[str, Column]:
+    e = F.from_xml(core.c(x), EVENT_XML, {"rowTag": "Event"})
+    data = F.map_from_entries(F.filter(F.transform(e["EventData"]["Data"], lambda d: F.struct(d["_Name"], d["_VALUE"])), lambda d: d["_Name"].isNotNull()))
+    get = lambda *ks: F.coalesce(*[core.dash_null(F.element_at(data, k)) for k in ks])
+    n = e["System"]["EventID"]
+    hashes = core.key_values(F.regexp_replace(get("Hashes"), ",", " "))
+    return {
+        "timestamp": core.iso_time(e["System"]["TimeCreated"]["_SystemTime"]), "event_id": n, "hostname": e["System"]["Computer"], "username": get("TargetUserName", "SubjectUserName", "User"), "source_ip": get("IpAddress", "SourceIp"),
+        "dest_ip": get("DestinationIp"), "dest_port": get("DestinationPort").try_cast("int"), "process_name": get("NewProcessName", "ProcessName", "Image"), "command_line": get("CommandLine", "ScriptBlockText"),
+        "auth_result": F.when(n == LOGON_OK, "success").when(n.isin(*LOGON_BAD), "failure"), "severity": F.when(n == "1102", "CRITICAL").when(n.isin(*LOGON_BAD), "WARNING").otherwise("INFO"),
+        "file_hash_md5": F.element_at(hashes, "MD5"), "file_hash_sha1": F.element_at(hashes, "SHA1"), "file_hash_sha256": F.element_at(hashes, "SHA256"), "extra": data,
+    }
+
+
+WIN_FIREWALL = "date time action protocol source_ip dest_ip source_port dest_port size".split()
+
+
+def windows_firewall(x) -> dict[str, Column]:
+    h = header_split(x, " ", WIN_FIREWALL)
+    t = core.iso_time(F.concat_ws(" ", h.pop("date"), h.pop("time")))
+    h.pop("size")
+    return _ints(h, "source_port", "dest_port") | {"timestamp": t, "action": F.lower(h["action"]), "severity": F.when(h["action"] == "DROP", "WARNING").otherwise("INFO")}
+
+
+def _zeek(x, names: str) -> dict[str, Column]:
+    return header_split(x, "\t", names.split())
+
+
+def zeek_dns(x) -> dict[str, Column]:
+    h = _zeek(x, "ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto trans_id rtt query qclass qclass_name qtype qtype_name rcode rcode_name AA TC RD RA Z answers")
+    odd = (h["rcode_name"] == "NXDOMAIN") | (h["qtype_name"].isin("TXT", "NULL", "ANY") & (F.length(h["query"]) > 50))
+    return {"timestamp": core.epoch_time(h["ts"]), "source_ip": h["id.orig_h"], "dest_ip": h["id.resp_h"], "protocol": h["proto"], "dns_query": h["query"], "dns_type": h["qtype_name"], "dns_rcode": h["rcode_name"], "dns_answer": h["answers"], "severity": F.when(odd, "WARNING").otherwise("INFO")}
+
+
+def zeek_http(x) -> dict[str, Column]:
+    h = _zeek(x, "ts uid id.orig_h id.orig_p id.resp_h id.resp_p trans_depth method host uri referrer version user_agent origin request_body_len response_body_len status_code")
+    status = h["status_code"].try_cast("int")
+    return {"timestamp": core.epoch_time(h["ts"]), "source_ip": h["id.orig_h"], "dest_ip": h["id.resp_h"], "http_method": h["method"], "hostname": h["host"], "http_uri": h["uri"], "http_uri_decoded": core.url_decoded(h["uri"]), "http_user_agent": h["user_agent"], "http_status": status, "severity": core.http_severity(status)}
+
+
+def zeek_ssl(x) -> dict[str, Column]:
+    h = _zeek(x, "ts uid id.orig_h id.orig_p id.resp_h id.resp_p version cipher curve server_name resumed last_alert")
+    return {"timestamp": core.epoch_time(h["ts"]), "source_ip": h["id.orig_h"], "dest_ip": h["id.resp_h"], "tls_version": h["version"], "tls_cipher": h["cipher"], "tls_server_name": h["server_name"], "severity": F.when(h["last_alert"].isNotNull(), "WARNING").otherwise("INFO")}
+
+
+def _json(x, **paths: str) -> dict[str, Column]:
+    """Columns by JSON path; several paths parted by | are tried in order."""
+    return {k: F.coalesce(*[F.get_json_object(core.c(x), p) for p in v.split("|")]) for k, v in paths.items()}
+
+
+def zeek_json(x) -> dict[str, Column]:
+    d = _json(x, ts="$.ts", source_ip="$['id.orig_h']", source_port="$['id.orig_p']", dest_ip="$['id.resp_h']", dest_port="$['id.resp_p']", protocol="$.proto", dns_query="$.query", http_method="$.method", http_uri="$.uri")
+    return _ints(d, "source_port", "dest_port") | {"timestamp": core.epoch_time(d.pop("ts")), "severity": F.lit("INFO")}
+
+
+def suricata(x) -> dict[str, Column]:
+    d = _json(x, time="$.timestamp", event_id="$.event_type", source_ip="$.src_ip", source_port="$.src_port", dest_ip="$.dest_ip", dest_port="$.dest_port", protocol="$.proto", rule_name="$.alert.signature", action="$.alert.action", level="$.alert.severity",
+              dns_query="$.dns.rrname", dns_type="$.dns.rrtype", http_method="$.http.http_method", http_uri="$.http.url", http_user_agent="$.http.http_user_agent", http_status="$.http.status", hostname="$.http.hostname", tls_server_name="$.tls.sni", tls_version="$.tls.version")
+    n = d.pop("level").try_cast("int")
+    return _ints(d, "source_port", "dest_port", "http_status") | {"timestamp": core.iso_time(d.pop("time")), "http_uri_decoded": core.url_decoded(d["http_uri"]), "message": d["rule_name"], "severity": F.when(n == 1, "HIGH").when(n == 2, "MEDIUM").when(n == 3, "LOW").otherwise("INFO")}
+
+
+SNORT = r"^(\d\d/\d\d-[\d:]{8})\.\d+\s+\[\*\*\] \[([\d:]+)\] (.*?) \[\*\*\].*?(?:\[Priority: (\d)\])?\s*\{(\w+)\} ([\d.]+):?(\d*) -> ([\d.]+):?(\d*)"
+
+
+def snort(x, year: int = 2024) -> dict[str, Column]:
+    d = _ints(_fields(x, SNORT, "time event_id rule_name level protocol source_ip source_port dest_ip dest_port"), "source_port", "dest_port")
+    n = d.pop("level").try_cast("int")
+    return d | {"timestamp": F.try_to_timestamp(F.concat(F.lit(f"{year}/"), d.pop("time")), F.lit("yyyy/MM/dd-HH:mm:ss")), "message": d["rule_name"], "severity": F.when(n == 1, "HIGH").when(n == 2, "MEDIUM").otherwise("LOW")}
+
+
+ASA = r"%ASA-(\d)-(\d+): (.*)$"
+
+
+def cisco_asa(x) -> dict[str, Column]:
+    n = part(x, ASA, 1).try_cast("int")
+    pair = r"(?:for|src|from) (?:\w+:)?([\d.]+)/(\d+).*? (?:to|dst) (?:\w+:)?([\d.]+)/(\d+)"
+    deny = core.c(x).rlike(r"(?i)\bden(y|ied)\b")
+    return _ints(_fields(x, pair, "source_ip source_port dest_ip dest_port"), "source_port", "dest_port") | {
+        "event_id": part(x, ASA, 2), "message": part(x, ASA, 3), "protocol": F.lower(part(x, r"(?i)\b(tcp|udp|icmp)\b", 1)), "action": F.when(deny, "deny").when(core.c(x).rlike(r"(?i)permit|built"), "allow"),
+        "severity": F.when(n <= 2, "CRITICAL").when(n == 3, "ERROR").when(n == 4, "WARNING").otherwise("INFO"),
+    }
+
+
+def cef(x) -> dict[str, Column]:
+    h = F.split(core.c(x), r"(?<!\\)\|")
+    m = core.key_values(F.get(h, F.lit(7)), r"(\w+)=((?:(?! \w+=).)*)")
+    get = lambda *ks: F.coalesce(*[core.dash_null(F.element_at(m, k)) for k in ks])
+    n = F.get(h, F.lit(6)).try_cast("int")
+    return {
+        "timestamp": core.epoch_time(get("rt").try_cast("double")), "event_id": F.get(h, F.lit(4)), "message": F.get(h, F.lit(5)), "source_ip": get("src"), "dest_ip": get("dst"), "source_port": get("spt").try_cast("int"), "dest_port": get("dpt").try_cast("int"),
+        "protocol": get("proto"), "username": get("suser", "duser"), "hostname": get("dhost", "shost"), "action": get("act"), "severity": F.when(n >= 9, "CRITICAL").when(n >= 7, "HIGH").when(n >= 4, "MEDIUM").otherwise("LOW"), "extra": m,
+    }
+
+
+def leef(x) -> dict[str, Column]:
+    h = F.split(core.c(x), r"\|")
+    m = core.key_values(F.get(h, F.lit(5)), "([^\\t=]+)=([^\\t]*)")
+    get = lambda *ks: F.coalesce(*[core.dash_null(F.element_at(m, k)) for k in ks])
+    n = get("sev").try_cast("int")
+    return {"timestamp": core.iso_time(get("devTime")), "event_id": F.get(h, F.lit(4)), "source_ip": get("src"), "dest_ip": get("dst"), "source_port": get("srcPort").try_cast("int"), "dest_port": get("dstPort").try_cast("int"), "protocol": get("proto"), "username": get("usrName"), "severity": F.when(n >= 8, "HIGH").when(n >= 5, "MEDIUM").otherwise("LOW"), "extra": m}
+
+
+VPC = "version account interface source_ip dest_ip source_port dest_port proto packets bytes start end action status".split()
+
+
+def vpc_flow(x) -> dict[str, Column]:
+    h = header_split(x, r"\s+", VPC)
+    return {
+        "timestamp": core.epoch_time(h["start"].try_cast("double")), "cloud_account": h["account"], "cloud_provider": F.lit("aws"), "source_ip": h["source_ip"], "dest_ip": h["dest_ip"], "source_port": h["source_port"].try_cast("int"), "dest_port": h["dest_port"].try_cast("int"),
+        "protocol": core.lookup({"6": "tcp", "17": "udp", "1": "icmp"}, h["proto"]), "action": F.lower(h["action"]), "severity": F.when(h["action"] == "REJECT", "WARNING").otherwise("INFO"),
+    }
+
+
+def azure(x) -> dict[str, Column]:
+    d = _json(x, time="$.time|$.eventTimestamp|$.createdDateTime", event_id="$.operationName|$.appDisplayName", username="$.caller|$.userPrincipalName|$.identity", source_ip="$.callerIpAddress|$.ipAddress", code="$.resultType|$.status.errorCode", cloud_resource="$.resourceId")
+    code = d.pop("code")
+    bad = code.isNotNull() & ~code.isin("0", "Success", "Succeeded", "Start")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "cloud_provider": F.lit("azure"), "auth_result": F.when(bad, "failure").otherwise("success"), "severity": F.when(bad, "WARNING").otherwise("INFO")}
+
+
+def gcp_audit(x) -> dict[str, Column]:
+    d = _json(x, time="$.timestamp", event_id="$.protoPayload.methodName", username="$.protoPayload.authenticationInfo.principalEmail", source_ip="$.protoPayload.requestMetadata.callerIp", http_user_agent="$.protoPayload.requestMetadata.callerSuppliedUserAgent", cloud_service="$.protoPayload.serviceName", cloud_resource="$.protoPayload.resourceName", granted="$.protoPayload.authorizationInfo[0].granted", code="$.protoPayload.status.code")
+    code, granted = d.pop("code").try_cast("int"), d.pop("granted")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "cloud_provider": F.lit("gcp"), "action": F.when(granted == "true", "allow").when(granted == "false", "deny"), "severity": F.when(F.coalesce(code, F.lit(0)) > 0, "WARNING").otherwise("INFO")}
+
+
+def mysql(x) -> dict[str, Column]:
+    bad = core.c(x).rlike("Access denied")
+    return {"timestamp": core.iso_time(part(x, r"^(\d{4}-\d\d-\d\d[T ][\d:]{8}(?:\.\d+)?Z?)", 1)), "username": part(x, r"'([^']*)'@'", 1), "hostname": part(x, r"'@'([^']*)'", 1), "message": core.c(x), "auth_result": F.when(bad, "failure"), "severity": F.when(bad, "WARNING").otherwise(_words(x, LEVELS))}
+
+
+PG = r"^(\d{4}-\d\d-\d\d [\d:]{8}(?:\.\d+)?)(?: [A-Z]+)? \[(\d+)\](?: (\S+)@(\S+))? (\w+):\s+(.*)$"
+
+
+def postgresql(x) -> dict[str, Column]:
+    d = _ints(_fields(x, PG, "time process_id username database level message"), "process_id")
+    d.pop("database")
+    bad = core.c(x).rlike("(?i)authentication failed")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "source_ip": part(x, r"host=([\d.]+)", 1), "auth_result": F.when(bad, "failure").when(core.c(x).rlike("connection authorized"), "success"), "severity": level_of(d.pop("level"))}
+
+
+def mongodb(x) -> dict[str, Column]:
+    d = _json(x, time="$.t['$date']", level="$.s", process_name="$.c", event_id="$.id", message="$.msg", remote="$.attr.remote")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "source_ip": part(d.pop("remote"), r"^([\d.]+)", 1), "severity": core.lookup({"F": "CRITICAL", "E": "ERROR", "W": "WARNING"}, d.pop("level"), "INFO")}
+
+
+def container(x) -> dict[str, Column]:
+    d = _json(x, time="$.time", message="$.log|$.message")
+    inner = F.coalesce(F.get_json_object(d["message"], "$.level"), F.get_json_object(d["message"], "$.severity"))
+    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": F.when(inner.isNotNull(), level_of(inner)).otherwise(_words(d["message"], LEVELS))}
+
+
+def kubernetes_audit(x) -> dict[str, Column]:
+    d = _json(x, time="$.requestReceivedTimestamp|$.stageTimestamp", event_id="$.verb", username="$.user.username", source_ip="$.sourceIPs[0]", http_uri="$.requestURI", http_status="$.responseStatus.code", http_user_agent="$.userAgent", cloud_resource="$.objectRef.resource")
+    d = _ints(d, "http_status")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "http_uri_decoded": core.url_decoded(d["http_uri"]), "action": F.when(d["http_status"] < 400, "allow").otherwise("deny"), "severity": core.http_severity(d["http_status"])}
+
+
+def falco(x) -> dict[str, Column]:
+    d = _json(x, time="$.time", rule_name="$.rule", message="$.output", level="$.priority", hostname="$.hostname", process_name="$.output_fields['proc.name']", username="$.output_fields['user.name']", command_line="$.output_fields['proc.cmdline']")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": level_of(d.pop("level"))}
+
+
+def postfix(x, year: int = 2024) -> dict[str, Column]:
+    status = part(x, r"status=(\w+)", 1)
+    bad = core.c(x).rlike("(?i)authentication failed|reject")
+    return {"timestamp": core.syslog_time(part(x, SYSLOG, 1), year), "hostname": part(x, SYSLOG, 2), "process_name": part(x, SYSLOG, 3), "process_id": part(x, SYSLOG, 4).try_cast("long"), "message": part(x, SYSLOG, 5), "source_ip": part(x, r"\[([\d.]+)\]", 1), "username": F.coalesce(part(x, r"from=<([^>]*)>", 1), part(x, r"sasl_username=(\S+)", 1)), "action": status, "auth_result": F.when(core.c(x).rlike("(?i)authentication failed"), "failure"), "severity": F.when(bad | status.isin("bounced", "deferred"), "WARNING").otherwise("INFO")}
+
+
+BIND = r"(\d{2}-[A-Z][a-z]{2}-\d{4} [\d:]{8})\.?\d*.*client (?:@\S+ )?([\d.a-fA-F:]+)#(\d+).*query: (\S+) IN (\S+)"
+
+
+def bind_query(x) -> dict[str, Column]:
+    d = _ints(_fields(x, BIND, "time source_ip source_port dns_query dns_type"), "source_port")
+    odd = (F.length(d["dns_query"]) > 50) | d["dns_query"].rlike("[a-zA-Z0-9]{20,}")
+    return d | {"timestamp": F.try_to_timestamp(d.pop("time"), F.lit("dd-MMM-yyyy HH:mm:ss")), "severity": F.when(odd, "WARNING").otherwise("INFO")}
+
+
+def gelf(x) -> dict[str, Column]:
+    d = _json(x, time="$.timestamp", hostname="$.host", message="$.short_message|$.full_message", level="$.level", source_ip="$._source_ip|$._client_ip", username="$._user|$._username")
+    n = d.pop("level").try_cast("int")
+    own = F.map_filter(F.from_json(core.c(x), "map<string,string>"), lambda k, v: k.startswith("_"))
+    return d | {"timestamp": core.epoch_time(d.pop("time").try_cast("double")), "severity": F.when(n <= 2, "CRITICAL").when(n == 3, "ERROR").when(n == 4, "WARNING").otherwise("INFO"), "extra": own}
+
+
+def unknown(x) -> dict[str, Column]:
+    """What can be seen in any line: addresses, a date, a port, a level, a method, a status, a user."""
+    ips = core.ipv4s_in(x)
+    return {
+        "timestamp": core.iso_time(part(x, r"(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)?)", 1)), "source_ip": F.get(ips, F.lit(0)), "dest_ip": F.get(ips, F.lit(1)), "source_port": part(x, r"(?i)\bport[ =:]+(\d{1,5})\b", 1).try_cast("int"),
+        "http_method": part(x, r"\b(GET|POST|PUT|DELETE|HEAD|PATCH|OPTIONS)\b", 1), "http_status": part(x, r"\b([1-5]\d\d)\b", 1).try_cast("int"), "username": part(x, r"(?i)\buser(?:name)?[ =:]+['\"]?([\w.@-]+)", 1),
+        "message": core.c(x), "severity": _words(x, LEVELS), "ai_confidence": F.lit(0.4),
+    }
+
+
+LOGCAT = r"^(\d\d-\d\d [\d:]{8})\.\d+\s+(\d+)\s+\d+ ([VDIWEF]) ([^:]+?)\s*: (.*)$"
+
+
+def logcat(x, year: int = 2024) -> dict[str, Column]:
+    d = _ints(_fields(x, LOGCAT, "time process_id level process_name message"), "process_id")
+    return d | {"timestamp": F.try_to_timestamp(F.concat(F.lit(f"{year}-"), d.pop("time")), F.lit("yyyy-MM-dd HH:mm:ss")), "severity": core.lookup({"F": "CRITICAL", "E": "ERROR", "W": "WARNING"}, d.pop("level"), "INFO")}
+
+
+JAVA = r"^\[?(\d{2,4}[-/]\d\d[-/]\d\d[ T][\d:]{8})(?:[,.]\d+)?\]?\s+(?:\[[^\]]*\]\s+)?(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\s+(?:\[[^\]]*\]\s*)*([\w.$-]*):?\s*(.*)$"
+
+
+def java_log(x) -> dict[str, Column]:
+    d = _fields(x, JAVA, "time level process_name message")
+    t = d.pop("time")
+    return d | {"timestamp": F.coalesce(core.iso_time(t), F.try_to_timestamp(t, F.lit("yy/MM/dd HH:mm:ss"))), "source_ip": F.get(core.ipv4s_in(x), F.lit(0)), "severity": level_of(d.pop("level"))}
+
+
+CBS = r"^(\d{4}-\d\d-\d\d [\d:]{8}), (\w+)\s+(\w+)\s+(.*)$"
+
+
+def windows_cbs(x) -> dict[str, Column]:
+    d = _fields(x, CBS, "time level process_name message")
+    bad = d["message"].rlike("(?i)fail|error|corrupt")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": F.when(level_of(d["level"]) != "INFO", level_of(d.pop("level"))).when(bad, "WARNING").otherwise("INFO")}
+
+
+OPENSTACK = r"(\d{4}-\d\d-\d\d [\d:]{8})(?:\.\d+)? (\d+) (\w+) ([\w.]+) (?:\[([^\]]*)\] )?(.*)$"
+
+
+def openstack(x) -> dict[str, Column]:
+    d = _ints(_fields(x, OPENSTACK, "time process_id level process_name request message"), "process_id")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "event_id": part(d.pop("request"), r"(req-[\w-]+)", 1), "source_ip": F.get(core.ipv4s_in(x), F.lit(0)), "cloud_provider": F.lit("openstack"), "severity": level_of(d.pop("level"))}
+
+
+def health_app(x) -> dict[str, Column]:
+    p = F.split(core.c(x), r"\|")
+    return {"timestamp": F.try_to_timestamp(F.regexp_replace(F.get(p, F.lit(0)), r":\d+$", ""), F.lit("yyyyMMdd-H:m:s")), "process_name": F.get(p, F.lit(1)), "process_id": F.get(p, F.lit(2)).try_cast("long"), "message": F.get(p, F.lit(3)), "severity": _words(F.get(p, F.lit(3)), LEVELS)}
+
+
+PYTHON_LOG = r"^(?:\[)?(\d{4}-\d\d-\d\d [\d:]{8})(?:[,.]\d+)?(?: [+-]\d{4})?\]?[ -]+(?:\[\d+\] )?(?:\[?([\w.]+)\]?[ -]+)?\[?(DEBUG|INFO|WARNING|ERROR|CRITICAL)\]?[ :-]+(.*)$"
+
+
+def python_log(x) -> dict[str, Column]:
+    d = _fields(x, PYTHON_LOG, "time process_name level message")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": level_of(d.pop("level"))}
+
+
+FAIL2BAN = r"^(\d{4}-\d\d-\d\d [\d:]{8}),\d+ fail2ban\.(\w+)\s+\[(\d+)\]: (\w+)\s+\[([^\]]+)\] (Ban|Unban|Found|Restore Ban) ([\d.a-fA-F:]+)"
+
+
+def fail2ban(x) -> dict[str, Column]:
+    d = _ints(_fields(x, FAIL2BAN, "time process_name process_id level rule_name action source_ip"), "process_id")
+    d.pop("level")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "auth_result": F.when(d["action"].isin("Ban", "Found"), "failure"), "severity": F.when(d["action"].endswith("Ban") & (d["action"] != "Unban"), "WARNING").otherwise("INFO"), "message": core.c(x)}
+
+
+def ossec(x) -> dict[str, Column]:
+    n = part(x, r"\(?level[ :]+(\d+)", 1).try_cast("int")
+    return {"event_id": part(x, r"Rule: (\d+)", 1), "rule_name": part(x, r"-> '([^']*)'", 1), "source_ip": part(x, r"(?i)src ?ip: ([\d.]+)", 1), "username": part(x, r"(?i)user: (\S+)", 1), "message": core.c(x), "severity": F.when(n >= 12, "CRITICAL").when(n >= 8, "ERROR").when(n >= 5, "WARNING").otherwise("INFO")}
+
+
+def openvpn(x) -> dict[str, Column]:
+    bad = core.c(x).rlike("(?i)AUTH_FAILED|TLS Error|auth failed")
+    t = F.try_to_timestamp(F.regexp_replace(part(x, r"^\w{3} (\w{3}\s+\d{1,2} [\d:]{8} \d{4})", 1), r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy"))
+    return {"timestamp": F.coalesce(t, core.iso_time(part(x, r"^(\d{4}-\d\d-\d\d [\d:]{8})", 1))), "source_ip": part(x, r"([\d.]+):\d+ ", 1), "username": part(x, r"(?:\[|CN=)([\w.-]+)", 1), "message": core.c(x), "auth_result": F.when(bad, "failure").when(core.c(x).rlike("Peer Connection Initiated"), "success"), "severity": F.when(bad, "WARNING").otherwise("INFO")}
+
+
+def crowdstrike(x) -> dict[str, Column]:
+    d = _json(x, time="$.timestamp|$.event_creation_time|$.metadata.eventCreationTime", event_id="$.event_simpleName|$.event.DetectName", hostname="$.ComputerName|$.event.ComputerName", username="$.UserName|$.event.UserName", source_ip="$.aip|$.LocalAddressIP4|$.event.LocalIP", process_name="$.FileName|$.event.FileName", command_line="$.CommandLine|$.event.CommandLine", file_hash_sha256="$.SHA256HashData|$.event.SHA256String", level="$.event.SeverityName")
+    t = d.pop("time")
+    return d | {"timestamp": F.coalesce(core.iso_time(t), core.epoch_time(t.try_cast("double"))), "severity": F.upper(F.coalesce(d.pop("level"), F.lit("INFO")))}
+
+
+ESX = r"^(\d{4}-\d\d-\d\dT[\d:]{8}(?:\.\d+)?Z?) (?:(\S+) )?(\w+)(?:\[(\w+)\])?: (.*)$"
+
+
+def vmware_esx(x) -> dict[str, Column]:
+    d = _fields(x, ESX, "time hostname process_name process message")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "process_id": d.pop("process").try_cast("long"), "username": part(x, r"(?i)user[ =]+'?([\w\\.@-]+)", 1), "severity": _words(x, LEVELS)}
+
+
+PALO_TRAFFIC = {"source_ip": 7, "dest_ip": 8, "rule_name": 11, "username": 12, "source_port": 24, "dest_port": 25, "protocol": 29, "action": 30}
+
+
+def paloalto(x) -> dict[str, Column]:
+    p = F.split(core.c(x), ",")
+    d = _ints({k: core.dash_null(F.get(p, F.lit(i))) for k, i in PALO_TRAFFIC.items()}, "source_port", "dest_port")
+    kind = F.get(p, F.lit(3))
+    return d | {"timestamp": F.try_to_timestamp(F.get(p, F.lit(1)), F.lit("yyyy/MM/dd HH:mm:ss")), "event_id": kind, "severity": F.when(kind == "THREAT", "HIGH").when(d["action"].isin("deny", "drop"), "WARNING").otherwise("INFO")}
+
+
+W3C = "date time s-ip cs-method cs-uri-stem cs-uri-query s-port cs-username c-ip cs(User-Agent) cs(Referer) sc-status".split()
+
+
+def iis(x) -> dict[str, Column]:
+    h = header_split(x, r"\s+", W3C)
+    uri = F.concat_ws("?", h["cs-uri-stem"], h["cs-uri-query"])
+    status = h["sc-status"].try_cast("int")
+    return {"timestamp": core.iso_time(F.concat_ws(" ", h["date"], h["time"])), "dest_ip": h["s-ip"], "http_method": h["cs-method"], "http_uri": uri, "http_uri_decoded": core.url_decoded(uri), "dest_port": h["s-port"].try_cast("int"), "username": h["cs-username"], "source_ip": h["c-ip"], "http_user_agent": F.regexp_replace(h["cs(User-Agent)"], r"\+", " "), "http_referrer": h["cs(Referer)"], "http_status": status, "severity": core.http_severity(status)}
+
+
+for _columns, _names in (
+    (apache, "aws_alb aws_s3_access iis_httpapi"), (apache_error, "apache_error"), (nginx_error, "nginx_error"), (iis, "iis_w3c"), (haproxy, "haproxy"), (squid, "squid"),
+    (syslog, "cisco_ios pfsense mssql redis sendmail windows_dns windows_dns_query ios_syslog juniper f5_big_ip"), (syslog_5424, "syslog_rfc5424"), (auditd, "auditd"), (journald, "journald"), (kernel, "kern_log dmesg wireguard"),
+    (windows_event, "windows_evtx windows_sysmon powershell_script"), (windows_firewall, "windows_firewall"), (zeek_dns, "zeek_dns"), (zeek_http, "zeek_http"), (zeek_ssl, "zeek_ssl"), (zeek_json, "zeek_json zeek_files"),
+    (suricata, "suricata_eve"), (snort, "snort_fast"), (cisco_asa, "cisco_asa"), (cef, "cef checkpoint"), (leef, "leef"), (paloalto, "paloalto"), (vpc_flow, "aws_vpc_flow"), (azure, "azure_activity azure_signin"), (gcp_audit, "gcp_audit"),
+    (mysql, "mysql_error mysql_general mysql_slow"), (postgresql, "postgresql"), (mongodb, "mongodb"), (container, "docker_json kubernetes_pod"), (kubernetes_audit, "kubernetes_audit"), (falco, "falco"), (postfix, "postfix"), (bind_query, "bind_query"),
+    (json_line, "json_generic caddy traefik macos_unified aws_waf azure_nsg_flow gcp_vpc_flow exchange nodejs carbonblack"), (gelf, "gelf"), (unknown, "unknown ai_parsed csv_generic xml_generic macos_asl"), (logcat, "android_logcat"),
+    (java_log, "log4j spark kafka zookeeper hadoop elasticsearch spring_boot"), (windows_cbs, "windows_cbs windows_setup windows_update"), (openstack, "openstack nova keystone neutron"), (health_app, "health_app"),
+    (python_log, "python_logging django rails macos_install macos_crashreporter"), (fail2ban, "fail2ban"), (ossec, "ossec"), (openvpn, "openvpn"), (crowdstrike, "crowdstrike"), (vmware_esx, "vmware_esx"),
+):
+    for _name in _names.split():
+        FORMATS.setdefault(_name, _columns)
+
+
+EVENT_TYPES = {
+    "timestamp": "timestamp", "source_port": "int", "dest_port": "int", "http_status": "int", "http_bytes": "long", "process_id": "long", "parent_pid": "long", "file_size": "long", "ai_confidence": "double", "extra": "map<string,string>",
+}
+EVENT_COLUMNS = """timestamp source_ip dest_ip hostname protocol source_port dest_port username auth_result http_method http_uri http_uri_decoded http_referrer http_user_agent http_version http_status http_bytes
+process_name event_id message command_line process_id parent_pid dns_query dns_type dns_answer dns_rcode tls_version tls_cipher tls_server_name tls_ja3 file_hash_md5 file_hash_sha1 file_hash_sha256 file_name file_path file_size
+action rule_name direction cloud_provider cloud_region cloud_account cloud_service cloud_resource severity extra ai_confidence""".split()
+
+
+def normalise(lines: DataFrame, log_format: str, raw: str = "raw_line") -> DataFrame:
+    """Lines of one format as full event rows: every event column, null where the format has none."""
+    made = FORMATS.get(log_format, unknown)(F.col(raw))
+    columns = [(made.get(c) if made.get(c) is not None else F.lit(None)).cast(EVENT_TYPES.get(c, "string")).alias(c) for c in EVENT_COLUMNS]
+    return lines.select(*[c for c in lines.columns if c not in EVENT_COLUMNS], *columns, *([] if "log_format" in lines.columns else [F.lit(log_format).alias("log_format")]))
+
+
+def normalise_mixed(lines: DataFrame, formats: list[str], raw: str = "raw_line") -> DataFrame:
+    """Lines with a log_format column: one branch for each format, and one for the rest, put together."""
+    out = None
+    for name in [*formats, None]:
+        own = lines.where(F.col("log_format") == name) if name else lines.where(~F.coalesce(F.col("log_format").isin(formats), F.lit(False)))
+        one = normalise(own, name or "unknown", raw)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- queries: events written as lines and parsed back -------------------------------
 
 
