@@ -69,7 +69,7 @@ def summary(found: DataFrame, top: int = 10) -> DataFrame:
     dims = [("severity", None), ("category", None), ("source_ip", top), ("hostname", top), ("rule_id", top)]
     out = None
     for c, k in dims:
-        one = found.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.round(F.avg("risk_score"), 4).alias("avg_risk"))
+        one = found.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"))
         one = one.orderBy(F.desc("n"), "value").limit(k) if k else one
         one = one.select(F.lit(c).alias("dimension"), "*")
         out = one if out is None else out.unionByName(one)

@@ -50,10 +50,10 @@ def cosine_top(vectors: DataFrame, query: list[float], k: int = 5, key: str = "v
 
 def hash_vector(text) -> Column:
     """256 numbers from the SHA-256 digest, centred and to unit length."""
-    d = F.sha2(core.c(text), 256)
-    v = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.conv(F.substring(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
+    digest = F.transform(F.array(F.sha2(core.c(text), 256)), lambda d: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(d, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 127.5))[0]
+    v = F.flatten(F.array_repeat(digest, 8))
+    both = F.transform(F.array(v), lambda v: F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return F.transform(both, lambda b: F.transform(b["v"], lambda x: x / b["n"]))[0]
 
 
 def document_id(*parts) -> Column:

@@ -131,7 +131,7 @@ SQL["source_chains"] = FINDINGS + ", per as (select source_ip, category, count(*
 SQL["hunt"] = FINDINGS + "select rule_id, line_number, risk_score from found where category = 'web_attack' and risk_score >= 4 and sev_rank >= 3 and list_has_any(mitre_ids, ['T1190']) and contains(lower(raw_line), 'login') order by risk_score desc, us desc, line_number, rule_id limit 100"
 SQL["findings_page"] = FINDINGS + "select rule_id, line_number, true as has_more from found order by risk_score desc, us desc, line_number, rule_id limit 50 offset 100"
 SQL["timeline"] = FINDINGS + "select rule_id, line_number, us from found where severity in ('HIGH', 'CRITICAL') order by us, line_number, rule_id limit 200"
-_DIM = "select '{c}' as dimension, {c} as value, count(*) as n, max(risk_score) as max_risk, round(avg(risk_score), 4) as avg_risk from found group by {c}"
+_DIM = "select '{c}' as dimension, {c} as value, count(*) as n, max(risk_score) as max_risk, round(avg(risk_score), 6) as avg_risk from found group by {c}"
 SQL["findings_summary"] = FINDINGS + " union all ".join(f"select * from ({_DIM.format(c=c)}{l})" for c, l in (("severity", ""), ("category", ""), ("source_ip", " order by n desc, value limit 10"), ("hostname", " order by n desc, value limit 10"), ("rule_id", " order by n desc, value limit 10")))
 SQL["threat_levels"] = FINDINGS + "select *, case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 0 then 'ELEVATED' when low > 0 then 'LOW' else 'QUIET' end as level from (select session_id, count(*) filter (severity = 'LOW') as low, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'CRITICAL') as critical, max(risk_score) as max_risk from found group by session_id)"
 SQL["triage"] = FINDINGS + "select rule_id, line_number, case when line_number % 7 = 0 then 'closed' when line_number % 3 = 0 then 'open' else 'new' end as state from found"
@@ -155,3 +155,26 @@ SQL["tf_idf"] = f"with tf as (select doc_id, term, count(*) as tf from ({_TERMS}
 SQL["keyword_search"] = f"with t as (select doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.-]{{2,}}')) as n from documents), s as (select count(*) as docs, avg(n) as a from t), h as (select doc_id, term, count(*) as tf from ({_TERMS}) where term in ('license', 'password', 'token') group by all), d as (select term, count(*) as df from h group by term) select doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))), 6) as score from h join d using (term) join t using (doc_id), s group by doc_id order by score desc, doc_id limit 10"
 SQL["cosine_top"] = "with q as (select embedding::double[] as e from embeddings where vec_id = 7) select vec_id, round(list_cosine_similarity(x.embedding::double[], q.e), 6) as score from embeddings x, q where label is not null order by score desc, vec_id limit 5"
 SQL["document_ids"] = "select doc_id, substr(sha256(concat_ws(':', source, lang, doc_id::varchar)), 1, 16) as id from documents"
+SQL["evidence_trust"] = (
+    "with s as (select source as session_id, case when doc_id % 50 = 3 then 'missing' when doc_id % 40 = 7 then 'changed' else 'verified' end as state from documents), "
+    "n as (select session_id, count(*) filter (state = 'verified') as verified, count(*) filter (state = 'changed') as changed, count(*) filter (state = 'missing') as missing from s group by session_id) "
+    "select *, case when changed > 0 then 'compromised' when missing > 0 then 'warning' when verified > 0 then 'trusted' else 'no_evidence' end as status from n"
+)
+SQL["playbook_steps"] = FINDINGS + (
+    ", steps(c, phase, step) as (values ('web_attack', 'contain', 'block the source'), ('web_attack', 'recover', 'patch'), ('auth_attack', 'contain', 'lock the account'), ('default', 'triage', 'look at it')) "
+    "select category, phase, step, count(*) as n from found join steps on c = case category when 'web_attack' then 'web_attack' when 'auth' then 'auth_attack' else 'default' end group by all"
+)
+SQL["decoy_hits"] = EV + "select concat('t', ip) as token_id, count(*) as n from (select distinct source_ip as ip from ev where dest_port = 1007) join ev on source_ip = ip group by ip"
+SQL["year_rollover"] = EV + "select (2020 + (line_number + 50) // 100)::bigint as year, count(*) as n from ev group by 1"
+SQL["observed"] = FINDINGS + "select source_ip, min(us) as first_us, max(us) as last_us, count(*) as n, count(*) filter (sev_rank >= 3) as high, array_to_string(list_sort(list(distinct rule_id))[1:10], ',') as rules, round(avg(confidence), 6) as mean_confidence from found group by source_ip"
+_SOME = ", ".join(f"array_to_string(list_sort(list(distinct {c}))[1:20], ',') as {c}" for c in ("source_ip", "hostname", "username"))
+SQL["case_numbers"] = FINDINGS + f"select session_id, count(*) as findings, {_SOME}, max(risk_score) as max_risk from found group by session_id"
+SQL["session_history"] = FINDINGS + "select session_id, count(*) as n, (['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[max(sev_rank) + 1] as top_severity, case when d = 0 then 'today' when d = 1 then 'yesterday' when d < 7 then 'this week' else 'earlier' end as label from (select *, date '2024-01-30' - session_id::date as d from found) group by session_id, d"
+SQL["stix_relationships"] = FINDINGS + (
+    ", h as (select distinct source_ip, unnest(mitre_ids) as t from found where sev_rank >= 3), "
+    "x as (select sha256(concat_ws(':', 'threat-actor', source_ip)) as a, sha256(concat_ws(':', 'attack-pattern', t)) as b from h) "
+    "select concat('threat-actor--', a[1:8], '-', a[9:12], '-', a[13:16], '-', a[17:20], '-', a[21:32]) as source, 'uses' as relation, concat('attack-pattern--', b[1:8], '-', b[9:12], '-', b[13:16], '-', b[17:20], '-', b[21:32]) as target from x"
+)
+SQL["export_zeek"] = f"select distinct lower(value) as indicator, case when type = 'ipv4' then 'Intel::ADDR' when type = 'domain' then 'Intel::DOMAIN' when type = 'url' then 'Intel::URL' when type = 'email' then 'Intel::EMAIL' else 'Intel::FILE_HASH' end as indicator_type, 'emberlog' as source from ({_IOC}) where {_OPEN} group by type, lower(value)"
+SQL["blocklist"] = f"select distinct lower(value) as value from ({_IOC}) where {_OPEN} and type = 'ipv4' and w >= 0.75"
+SQL["selection"] = EV + "select line_number from ev where (http_uri_decoded ilike '%login%' or http_uri_decoded ilike '%etc_passwd%') and http_user_agent ilike 'sql%'"

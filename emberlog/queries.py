@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import core
-from .operators import correlate, detect, ioc, search, text
+from .operators import cases, correlate, detect, ioc, search, text
 from .plans import oracle
 from .plans.adapter import events
 from .rules.model import Rule
@@ -94,7 +94,48 @@ def _docs(s, d):
     return s.read.parquet(f"{d}/documents.parquet")
 
 
+def _integrity(s, d):
+    """Documents as evidence: the text's hash as recorded, against that of a copy where some changed and some are gone."""
+    docs = _docs(s, d).select(F.col("doc_id").cast("string").alias("path"), "source", "text")
+    then = docs.select("path", F.col("source").alias("session_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    n = F.col("path").cast("long")
+    now = docs.where(n % 50 != 3).select("path", F.sha2(F.concat(F.coalesce("text", F.lit("")), F.when(n % 40 == 7, "x").otherwise("")), 256).alias("sha256"))
+    return cases.trust(cases.integrity(then, now))
+
+
+STEPS = [("web_attack", "contain", "block the source"), ("web_attack", "recover", "patch"), ("auth_attack", "contain", "lock the account"), ("default", "triage", "look at it")]
+
+
+def _playbook(s, d):
+    steps = s.createDataFrame(STEPS, "category string, phase string, step string")
+    return cases.playbook_steps(found(s, d), steps).groupBy("category", "phase", "step").agg(F.count("*").alias("n"))
+
+
+def _decoys(s, d):
+    e = events(s, d)
+    return cases.decoy_hits(e, e.where("dest_port = 1007").select(F.col("source_ip").alias("value")).distinct().withColumn("token_id", F.concat(F.lit("t"), "value"))).groupBy("token_id").agg(F.count("*").alias("n"))
+
+
+def _years(s, d):
+    return cases.with_years(events(s, d).select("source_file", "line_number", F.when(F.col("line_number") % 100 < 50, 12).otherwise(1).alias("month")), 2020).groupBy("year").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "evidence_trust": _integrity,
+    "playbook_steps": _playbook,
+    "decoy_hits": _decoys,
+    "year_rollover": _years,
+    "observed": lambda s, d: cases.observed(found(s, d)),
+    "case_numbers": lambda s, d: cases.case_numbers(found(s, d)),
+    "session_history": lambda s, d: cases.sessions(found(s, d), "2024-01-30"),
+    "context_block": lambda s, d: cases.context(found(s, d)),
+    "stix_objects": lambda s, d: cases.stix_objects(found(s, d)),
+    "stix_relationships": lambda s, d: cases.stix_relationships(found(s, d)),
+    "export_zeek": lambda s, d: cases.layout(ioc.merged(_iocs(s, d).withColumn("tags", F.array("type"))), "zeek").withColumnRenamed("meta.source", "source"),
+    "export_misp": lambda s, d: cases.layout(ioc.merged(_iocs(s, d).withColumn("tags", F.array("type"))), "misp"),
+    "blocklist": lambda s, d: ioc.blocklist(ioc.merged(_iocs(s, d)), "ipv4"),
+    "selection": lambda s, d: events(s, d).where(cases.selection({"http_uri_decoded|contains": ["login", "etc?passwd"], "Agent": "sql*"}, {"Agent": "http_user_agent"})).select("line_number"),
+    "hash_vectors": lambda s, d: _docs(s, d).select("doc_id", F.round(F.element_at(text.hash_vector(F.coalesce("text", F.lit(""))), 1), 6).alias("first")),
     "event_rows": lambda s, d: events(s, d).select("line_number", "username", "source_ip", "auth_result", "http_status", "http_uri_decoded", "http_bytes", "session_id"),
     "detect_patterns": lambda s, d: detect.regex_hits(events(s, d), oracle.PATTERN_RULES).select("rule_id", "line_number"),
     "detect_all_rules": lambda s, d: detect.detect(events(s, d)).select("rule_id", "line_number", "severity", "confidence", "risk_score"),
