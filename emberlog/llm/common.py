@@ -9,6 +9,7 @@ than the bound makes a slice of its own and is never cut.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -174,6 +175,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """Bounds the session's Arrow batches in bytes, so that neither JVM nor Python holds thousands of long texts at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)", str(conf.get(name)))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, documents, hashes_of, mix, slices, text_buffer, words_of
+from .common import ALNUM, LOWER, documents, hashes_of, in_batches, mix, slices, text_buffer, words_of
 
 #: 1: position looked at; equal weight, different gaps
 MASKS = ("11111111", "1101100110101", "101011001101011", "11100101100111")
@@ -132,7 +132,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS)
                             ["doc_id", "item_id", "start_word", "end_word", "n_equal", "score"],
                         )
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(scan, schema))
+        out = out.unionByName(in_batches(docs).select("doc_id", "text").mapInArrow(scan, schema))
     return out
 
 
@@ -148,7 +148,7 @@ def clean_of(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS)
                     mask[[x[0] for x in index.matches(*text_buffer(part.column("text")))]] = False
                     yield part.filter(pa.array(mask))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = in_batches(docs).mapInArrow(keep, docs.schema)
     return docs
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, documents, grams, hashes_of, mix, slices, small, text_buffer, words_of, written
+from .common import LOWER, NOT_SPACE, documents, grams, hashes_of, in_batches, mix, slices, small, text_buffer, words_of, written
 
 WORDS = 5
 SHARE = Fraction(4, 5)
@@ -36,7 +36,7 @@ BLOCK = 2048  # classes of a minimum hash that are compared at once
 BLOCK_HASHES = 2_000_000  # hashes of their sets in all, about
 LARGE = 16  # in groups of more classes all are compared, at every hash
 #: Tokens that a run of texts repeats often come last in the common order, by count. Any order is right; this keeps lists short.
-ORDERED, REPEATED, RUN_BYTES = 500_000, 2, 40 << 20
+ORDERED, REPEATED, RUN_BYTES = 400_000, 2, 20 << 20
 _U = np.uint64
 
 
@@ -113,7 +113,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                     runs, size = [], 0
         yield from repeated()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, ", ".join(f"{x} long" for x in names))
+    return in_batches(docs).select("doc_id", "text").mapInArrow(scan, ", ".join(f"{x} long" for x in names))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,7 +171,9 @@ def _forest(ids: list[int], sets: list[np.ndarray]):
         x[owner[a:b], column[a:b] - lo] = 1
         both += x @ x.T
     # counts above 2**24 would not be exact in float32; sets of a block hold fewer hashes
-    link = _linked(both.astype(np.int64), n[:, None], n[None, :])
+    link = np.zeros(both.shape, bool)
+    for lo in range(0, len(sets), 256):
+        link[lo : lo + 256] = _linked(both[lo : lo + 256].astype(np.int64), n[lo : lo + 256, None], n[None, :])
     left = set(range(len(sets)))
     while left:
         todo = [left.pop()]

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _P, LOWER, NOT_SPACE, documents, hashes_of, mix, slices, text_buffer, words_of, written
+from .common import _BYTE, _P, LOWER, NOT_SPACE, documents, hashes_of, in_batches, mix, slices, text_buffer, words_of, written
 
 RUN_BYTES = 4 << 20  # text of one run: its distinct words are segmented together
 DISTINCT = 400_000  # distinct words that a task counts before it passes sums on
@@ -326,7 +326,7 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
                 base += rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.select("doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, word long, n long, n_known long, base double, score double")
+    scanned = in_batches(docs).select("doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, word long, n long, n_known long, base double, score double")
     rare = words.join(F.broadcast(spark.createDataFrame(pa.table({"key": top.column("key")}))) if top.num_rows else words.limit(0), "key", "left_anti")
     joined = scanned.join(rare.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0.0))

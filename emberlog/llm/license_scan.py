@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, documents, grams, hashes_of, slices, text_buffer, word_counts, words_of
+from .common import ALNUM, LOWER, documents, grams, hashes_of, in_batches, slices, text_buffer, word_counts, words_of
 
 #: phrases: every place counts; label
 PHRASES = {
@@ -102,7 +102,7 @@ def license_hits(docs: DataFrame) -> DataFrame:
                 base += part.num_rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = docs.select("doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, n_words long, k int, gram long, pos long")
+    scanned = in_batches(docs).select("doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, n_words long, k int, gram long, pos long")
     templates = spark.createDataFrame(rows, TEMPLATE_SCHEMA)
     hits = scanned.join(F.broadcast(templates), ["k", "gram"], "left").repartition("row")
     keys = ["row", "doc_id", "n_words", "template", "label", "base", "n_grams", "n_template"]

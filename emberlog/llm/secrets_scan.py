@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, text_buffer, words_of
+from .common import documents, in_batches, slices, text_buffer, words_of
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -242,7 +242,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, _ARROW_SPAN)], ["doc_id", "secrets"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("secrets", T.ArrayType(SPAN))])
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(scan, schema)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -273,7 +273,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     new = {"text": texts} | ({"n_chars": sizes} if sizes is not None else {})
                     yield pa.RecordBatch.from_arrays([pa.array(new[c], part.schema.field(c).type) if c in new else part.column(c) for c in names], names)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return in_batches(docs).mapInArrow(scan, docs.schema)
 
 
 def op6_secret_scan(spark, sf_dir):

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_buffer
+from .common import documents, in_batches, slices, text_buffer
 
 FREQUENT = 200_000  # entries of the broadcast table, under 10 MB
 CACHE = 500_000  # entries of a worker's cache, the frequent ones among them
@@ -91,7 +91,7 @@ def _frequent(docs: DataFrame) -> list[str]:
                     yield from told()
         yield from told()
 
-    pieces = docs.select("text").mapInArrow(count, "piece string, n long")
+    pieces = in_batches(docs).select("text").mapInArrow(count, "piece string, n long")
     top = pieces.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(FREQUENT)
     return [r["piece"] for r in top.where(F.length("piece") <= 64).select("piece").collect()]
 
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n_bytes, n_tokens, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark, sf_dir):
