@@ -138,6 +138,14 @@ def is_not_routable(ip) -> Column:
     return ~is_ipv4(ip) | in_networks(ip, PRIVATE + LOOPBACK + DOCUMENTATION + LINK_LOCAL + RESERVED)
 
 
+# Networks of exit nodes
+TOR = ("185.220.100.0/22", "185.220.104.0/22", "199.249.224.0/21", "204.8.156.0/22", "176.10.99.0/24", "77.247.181.0/24")
+
+
+def is_tor_exit(ip) -> Column:
+    return in_networks(ip, TOR)
+
+
 def same_subnet(a, b, bits: int) -> Column:
     return F.shiftright(ip_number(a), 32 - bits) == F.shiftright(ip_number(b), 32 - bits)
 

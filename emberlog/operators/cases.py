@@ -144,6 +144,42 @@ def context(found: DataFrame, k: int = 10, width: int = 4000) -> DataFrame:
     return top.agg(F.substring(text, 1, width).alias("context"))
 
 
+def digest(found: DataFrame, width: int = 8000, lines: int = 200) -> DataFrame:
+    """One row: the gravest findings as lines, cut to width. Only as many findings are taken as can fill it."""
+    keys = [F.desc(core.severity_rank("severity")), F.desc("risk_score"), F.asc("line_number"), F.asc("rule_id")]
+    top = found.orderBy(*keys).limit(lines).withColumn("i", F.row_number().over(Window.orderBy(*keys)))
+    line = F.format_string("[%s] %s (%s) | IP:%s | Host:%s | Risk:%.1f | MITRE:%s | %s", "severity", "rule_id", "rule_name", F.coalesce("source_ip", F.lit("")), F.coalesce("hostname", F.lit("")), "risk_score", F.array_join("mitre_ids", ", "), F.substring("raw_line", 1, 200))
+    return top.agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda x: x["line"]), "\n"), 1, width).alias("digest"))
+
+
+def technique_rows(found: DataFrame, k: int = 5, top: int = 30) -> DataFrame:
+    """technique, n, max_risk, top_severity, and its k most frequent rules and sources."""
+    rows = found.select(F.explode("mitre_ids").alias("technique"), "risk_score", "severity", "rule_id", "source_ip")
+    out = rows.groupBy("technique").agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.element_at(F.array(*map(F.lit, core.SEVERITIES)), F.max(core.severity_rank("severity")) + 1).alias("top_severity"))
+    out = out.orderBy(F.desc("n"), "technique").limit(top)
+    for c in ("rule_id", "source_ip"):
+        n = rows.where(F.col(c).isNotNull()).groupBy("technique", c).agg(F.count("*").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("technique").orderBy(F.desc("n"), c))
+        best = n.select("technique", c, rank.alias("r")).where(F.col("r") <= k).groupBy("technique").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c]), ",").alias(f"top_{c}"))
+        out = out.join(best, "technique", "left")
+    return out
+
+
+def ledger_summary(entries: DataFrame) -> DataFrame:
+    """Totals of a ledger (sha256, size, analyst, session_id, added_us)."""
+    return entries.agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), F.countDistinct("analyst").alias("analysts"), F.countDistinct("session_id").alias("sessions"), F.min("added_us").alias("oldest"), F.max("added_us").alias("newest"))
+
+
+def hints(found: DataFrame) -> DataFrame:
+    """rule_id and what the first trigger line of each rule shows: addresses, request paths, quoted texts, event numbers, users, processes."""
+    every = lambda p, k=1: F.regexp_extract_all("raw_line", F.lit(p), k)
+    first = found.groupBy("rule_id", "category").agg(F.min_by("raw_line", "line_number").alias("raw_line"))
+    return first.select(
+        "rule_id", "category", core.ipv4s_in("raw_line").alias("addresses"), every(r"(?:GET|POST|PUT|DELETE|HEAD)\s+(\S+)").alias("paths"), every(r'"([^"]{3,80})"').alias("quoted"),
+        every(r"(?i)EventID[=:\s]+(\d+)").alias("event_ids"), every(r"(?i)(?:user|username|account)[=:\s]+(\S+)").alias("users"), every(r"(?i)(?:process|image|commandline)[=:\s]+([^\s,;]+)").alias("processes"),
+    )
+
+
 # --- time --------------------------------------------------------------------------
 
 

@@ -178,3 +178,8 @@ SQL["stix_relationships"] = FINDINGS + (
 SQL["export_zeek"] = f"select distinct lower(value) as indicator, case when type = 'ipv4' then 'Intel::ADDR' when type = 'domain' then 'Intel::DOMAIN' when type = 'url' then 'Intel::URL' when type = 'email' then 'Intel::EMAIL' else 'Intel::FILE_HASH' end as indicator_type, 'emberlog' as source from ({_IOC}) where {_OPEN} group by type, lower(value)"
 SQL["blocklist"] = f"select distinct lower(value) as value from ({_IOC}) where {_OPEN} and type = 'ipv4' and w >= 0.75"
 SQL["selection"] = EV + "select line_number from ev where (http_uri_decoded ilike '%login%' or http_uri_decoded ilike '%etc_passwd%') and http_user_agent ilike 'sql%'"
+_TOP = "select technique, array_to_string(list({c} order by n desc, {c})[1:5], ',') as top_{c} from (select technique, {c}, count(*) as n from x group by technique, {c}) group by technique"
+SQL["technique_rows"] = FINDINGS + (
+    ", x as (select unnest(mitre_ids) as technique, risk_score, sev_rank, rule_id, source_ip from found), t as (select technique, count(*) as n, max(risk_score) as max_risk, (['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[max(sev_rank) + 1] as top_severity from x group by technique order by n desc, technique limit 30) "
+    f"select * from t left join ({_TOP.format(c='rule_id')}) a using (technique) left join ({_TOP.format(c='source_ip')}) b using (technique)"
+)

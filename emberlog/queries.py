@@ -121,6 +121,9 @@ def _years(s, d):
 
 
 QUERIES = {
+    "digest": lambda s, d: cases.digest(found(s, d)),
+    "technique_rows": lambda s, d: cases.technique_rows(found(s, d)),
+    "rule_hints": lambda s, d: cases.hints(found(s, d)).select("rule_id", "category", F.array_join("addresses", ",").alias("addresses"), F.array_join("paths", ",").alias("paths")),
     "evidence_trust": _integrity,
     "playbook_steps": _playbook,
     "decoy_hits": _decoys,

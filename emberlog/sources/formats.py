@@ -136,6 +136,28 @@ def read_lines(spark, path: str, max_bytes: int = 1 << 20) -> DataFrame:
     return t.where(F.trim("raw_line") != "").withColumn("too_long", F.octet_length("raw_line") > max_bytes)
 
 
+def by_header(lines: DataFrame, mark: str, separator: str) -> DataFrame:
+    """source_file, line_number and fields, a map by name, of files whose header line (mark, then names) says the order of columns.
+
+    A file has one header; the last counts if there are several. Lines that begin with # are no rows.
+    """
+    named = lines.where(F.col("raw_line").startswith(mark)).groupBy("source_file").agg(F.max_by("raw_line", "line_number").alias("_h"))
+    rows = lines.where(~F.col("raw_line").startswith("#")).join(named, "source_file")
+    names, values = F.slice(F.split("_h", separator), 2, 1000), F.split("raw_line", separator)
+    pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["v"] != "-"))
+    return rows.select("source_file", "line_number", F.map_from_entries(pairs).alias("fields"))
+
+
+def read_any_encoding(spark, path: str) -> DataFrame:
+    """source_file, line_number, raw_line of small files in UTF-16 with a mark, UTF-8, or else Latin-1."""
+    f = spark.read.format("binaryFile").load(path)
+    utf16 = F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    utf8 = F.try_validate_utf8(F.col("content").cast("string"))
+    text = F.when(utf16, F.decode("content", "UTF-16")).otherwise(F.coalesce(utf8, F.decode("content", "ISO-8859-1")))
+    rows = f.select(F.col("path").alias("source_file"), F.posexplode(F.split(text, r"\r?\n")).alias("line_number", "raw_line"))
+    return rows.withColumn("line_number", F.col("line_number") + 1).where(F.trim("raw_line") != "")
+
+
 def read_json_records(spark, path: str) -> DataFrame:
     """source_file, line_number, raw_line of whole JSON files: the records in a known wrapper or array, or the one object."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
