@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES = 128
+LINES = 80
 COLLIDE = 0.45  # share of the lines that a candidate collides in
-VERIFY = 0.2  # share of a block that is verified at least
+VERIFY = 0.27  # share of a block that is verified at least
+LEAST = 50  # and at least so many times k of it, as a small block's k nearest are not far from the rest
 WIDEN = 1.25
 BLOCK, CHUNK = 8192, 512
 
@@ -49,8 +50,11 @@ class Index:
         if n <= 2 * k:
             found = np.arange(n)
         else:
-            found = self._candidates(query, int(min(n, k + 1 + np.ceil(VERIFY * n))))
+            found = self._candidates(query, int(min(n, max(LEAST * k, k + 1 + np.ceil(VERIFY * n)))))
         score = np.einsum("ij,j->i", self.vectors[found], query)
+        if len(found) > k + 1:  # ties of the last place stay
+            near = score >= np.partition(score, -(k + 1))[-(k + 1)]
+            found, score = found[near], score[near]
         order = np.lexsort((self.ids[found], -score))
         return [(int(self.ids[found[i]]), float(score[i])) for i in order[: k + 1] if self.ids[found[i]] != query_id][:k]
 
