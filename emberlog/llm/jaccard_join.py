@@ -1,21 +1,20 @@
-"""N-gram Jaccard self-join of all texts, and its components.
+"""N-gram Jaccard self-join of all texts: its links, each text's number of links, and its components.
 
 Every text is the set of its distinct five-word shingles, as 64-bit hashes; texts of
-one set are one class from the start. Sets link at a similarity of 0.8. Links are
-found in two steps, each of which uses what sets already known say of others:
+one set are one class from the start. Sets link at a similarity of 0.8. All links
+between classes are found, in two steps, each pair of classes in one of them:
 
-1. Answers from similar sets. Classes that share a minimum hash are compared in blocks, all
-   pairs of a block at once, and only a spanning forest of the links leaves it. After the first
-   of four hashes, one class answers for its component in small groups; in large ones,
-   all classes are compared, and two that were in one block need no other comparison.
+1. Answers from similar sets. All classes that share a minimum hash are compared. A class's
+   numbers of hashes shared with the others are derived from those of the closest class computed
+   before it: hashes that both hold need no look, only those in which the two differ are
+   looked up. Large groups are dealt in parts, and every two parts are compared by a task.
 2. The rest, exactly. All classes' prefixes (the rarest fifth of a set in one common order) form
-   index lists ordered by set size. Lists within one component are skipped whole; in
-   others, each entry skips, by binary search over the sizes, to the block of entries
-   whose size can link, and of these takes those of other components that it has not met. A pair
-   stays only if the prefix tokens it shares, counted over all lists, still allow a link. What stays is verified.
+   index lists ordered by set size; long lists are dealt in parts, as above. Each entry skips, by binary
+   search over the sizes, to the block of entries whose size can link, and of these takes
+   those that share no minimum hash with it. A pair stays only if the prefix tokens it
+   shares, counted over all lists, still allow a link. What stays is verified.
 
-Two linked sets always share a prefix token, so no link between components is lost.
-Links inside a component change nothing and are not expanded.
+Two linked sets always share a prefix token, so no link is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ SHARE = Fraction(4, 5)
 SALTS = (0x0F, 0x2C7, 0x5A11, 0x91D3)  # of the minimum hashes
 BLOCK = 2048  # classes of a minimum hash that are compared at once
 BLOCK_HASHES = 2_000_000  # hashes of their sets in all, about
-LARGE = 16  # in groups of more classes all are compared, at every hash
+LIST = 4096  # entries of a token's list that meet in one part, about
 #: Tokens that a run of texts repeats often come last in the common order, by count. Any order is right; this keeps lists short.
 ORDERED, REPEATED, RUN_BYTES = 400_000, 2, 20 << 20
 _U = np.uint64
@@ -104,7 +103,7 @@ def _describe(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 g, off = sets_of(part.column("text"))
-                mins = [_per_set(np.minimum, mix(g ^ _U(s)), off, 0).astype(np.int64) for s in SALTS]
+                mins = [(_per_set(np.minimum, mix(g ^ _U(s)), off, 0) | _U(1)).astype(np.int64) for s in SALTS]  # never 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(off)), pa.array(signature(g, off)), *map(pa.array, mins)], names)
                 runs.append(g)
                 size += len(g)
@@ -150,104 +149,146 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("text").mapInArrow(scan, "class long, set binary")
 
 
-def _forest(ids: list[int], sets: list[np.ndarray]):
-    """Links of a spanning forest among the sets of one block."""
-    ids, at = np.unique(np.array(ids), return_index=True)
-    sets = [sets[i] for i in at]
+def _shared(sets: list[np.ndarray], rows: int):
+    """For each of the first sets, the numbers of hashes that it shares with all sets.
+
+    The first is counted over the lists of its hashes; each other one takes the numbers of the closest
+    set before it and corrects them by the lists of the hashes in which the two differ.
+    """
     n = np.array([len(s) for s in sets])
-    every = np.concatenate(sets)
-    token, inv, count = np.unique(every, return_inverse=True, return_counts=True)
-    column = np.cumsum(count > 1) - 1
-    owner = np.repeat(np.arange(len(sets)), n)
+    _, inv, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     live = count[inv] > 1
-    column, owner = column[inv[live]], owner[live]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    wide = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, wide, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        x = np.zeros((len(sets), min(4096, wide - lo)), np.float32)
-        x[owner[a:b], column[a:b] - lo] = 1
-        both += x @ x.T
-    # counts above 2**24 would not be exact in float32; sets of a block hold fewer hashes
-    link = np.zeros(both.shape, bool)
-    for lo in range(0, len(sets), 256):
-        link[lo : lo + 256] = _linked(both[lo : lo + 256].astype(np.int64), n[lo : lo + 256, None], n[None, :])
-    left = set(range(len(sets)))
-    while left:
-        todo = [left.pop()]
-        while todo:
-            i = todo.pop()
-            for j in [j for j in np.flatnonzero(link[i]).tolist() if j in left]:
-                left.discard(j)
-                todo.append(j)
-                yield int(ids[i]), int(ids[j])
-
-
-def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members (block, class) of each block, as a, b."""
-    joined = members.join(sets, "class").repartition("block").sortWithinPartitions("block")
+    column = (np.cumsum(count > 1) - 1)[inv[live]]
+    owner = np.repeat(np.arange(len(sets)), n)[live]
+    start = np.searchsorted(owner, np.arange(len(sets) + 1))
+    held = owner[np.argsort(column, kind="stable")]
+    size = count[count > 1]
+    first = np.cumsum(size) - size
+
+    def counted(tokens):
+        own = size[tokens]
+        at = np.repeat(first[tokens] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        return np.bincount(held[at], minlength=len(sets)).astype(np.int32)
+
+    both = np.zeros((rows, len(sets)), np.int32)
+    closest, near = np.full(len(sets), -1), np.zeros(len(sets))
+    for i in range(rows):
+        own, r = column[start[i] : start[i + 1]], closest[i]
+        whole = r < 0
+        if not whole:
+            other = column[start[r] : start[r + 1]]
+            new, gone = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
+            whole = size[new].sum() + size[gone].sum() >= size[own].sum()
+        both[i] = counted(own) if whole else both[r] + counted(new) - counted(gone)
+        alike = both[i] / (n[i] + n - both[i])
+        better = alike > near
+        closest[better], near[better] = i, alike[better]
+    return both, n
+
+
+def _block_links(k: int, sets: list[np.ndarray], side: np.ndarray, keys: np.ndarray):
+    """(i, all j linked to it, those of them that extend the forest) of one block; pairs that share a minimum hash before k are another block's."""
+    cross = bool((side == 1).any())
+    rows = int((side < 2).sum())
+    both, n = _shared(sets, rows)
+    part = np.arange(len(sets))
+    for i in range(rows):
+        lo = rows if cross else i + 1
+        link = _linked(both[i, lo:].astype(np.int64), n[i], n[lo:])
+        for m in range(k):
+            link &= keys[lo:, m] != keys[i, m]
+        j = lo + np.flatnonzero(link)
+        if not len(j):
+            continue
+        of, at = np.unique(part[j], return_index=True)
+        fresh = of != part[i]
+        part[np.isin(part, of[fresh])] = part[i]
+        yield i, j, j[at[fresh]]
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """Links among the members (block, k, side, class, copies, m0..) of each block, as a, b.
+
+    Every: all of them. Otherwise those of a spanning forest, and rows without b that give the copies linked to a.
+    """
+    keys = [f"m{k}" for k in range(len(SALTS))]
+    joined = members.join(sets, "class").repartition("block").sortWithinPartitions("block", "side", "class")
 
     def scan(batches):
-        now, ids, own = None, [], []
+        now, rows, own = None, {}, []
 
         def links():
-            pairs = list(_forest(ids, own)) if len(ids) > 1 else []
-            if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if len(rows) < 2:
+                return
+            ids = np.array(list(rows), np.int64)
+            of = np.array(list(rows.values()), np.int64)
+            k, side, copies, met = int(of[0, 0]), of[:, 1], of[:, 2], of[:, 3:]
+            if side.max() > 0 and side.min() == side.max():
+                return
+            degree, some, size = np.zeros(len(ids), np.int64), [], 0
+            for i, j, tree in _block_links(k, own, side, met):
+                degree[i] += copies[j].sum()
+                degree[j] += copies[i]
+                j = j if every else tree
+                some.append((np.full(len(j), ids[i]), ids[j]))
+                size += len(j)
+                if size > 50_000:
+                    yield table(some)
+                    some, size = [], 0
+            if some:
+                yield table(some)
+            if not every and degree.any():
+                at = np.flatnonzero(degree)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(degree[at])], ["a", "b", "linked"])
+
+        def table(some):
+            a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "linked"])
 
         for batch in batches:
-            for at, c, s in zip(batch.column("block").to_pylist(), batch.column("class").to_pylist(), batch.column("set"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("block", "class", "k", "side", "copies", *keys)]
+            for s, at, c, *rest in zip(batch.column("set"), *columns, strict=True):
                 if at != now:
                     yield from links()
-                    now, ids, own = at, [], []
-                ids.append(c)
-                own.append(np.frombuffer(s.as_py(), _U))
+                    now, rows, own = at, {}, []
+                if c not in rows:
+                    rows[c] = rest
+                    own.append(np.frombuffer(s.as_py(), _U))
         yield from links()
 
-    return joined.select("block", "class", "set").mapInArrow(scan, "a long, b long")
+    return joined.select("block", "class", "k", "side", "copies", *keys, "set").mapInArrow(scan, "a long, b long, linked long")
 
 
-def _blocked(pool: DataFrame, large: DataFrame | None = None) -> DataFrame:
-    """block, k, class, doc_id, all (whether the whole group is compared) of the members (k, key, class, doc_id, n) of shared minimum hashes.
+def _blocked(classes: DataFrame) -> DataFrame:
+    """block, k, key, side, class, doc_id, copies, m0.. of the classes of shared minimum hashes.
 
-    With components: in groups up to LARGE one class answers for its component.
+    A block is a group (side 0) or two parts of a large one (sides 1 and 2). Groups whose
+    classes all share an earlier minimum hash are left out.
     """
-    groups = pool.groupBy("k", "key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes")).where("size > 1")
-    members = pool.join(groups, ["k", "key"])
-    if large is not None:
-        named = members.join(large, members["class"] == large["node"], "left").withColumn("comp", F.coalesce("comp", "class"))
-        one = named.where(F.col("size") <= LARGE).groupBy("k", "key", "comp").agg(F.min(F.struct("class", "doc_id", "size", "hashes")).alias("x")).select("k", "key", "x.*")
-        left = one.groupBy("k", "key").agg(F.count("*").alias("left")).where("left > 1").select("k", "key")
-        members = one.join(left, ["k", "key"]).unionByName(named.where(F.col("size") > LARGE).select("k", "key", "class", "doc_id", "size", "hashes"))
-    part = F.pmod(F.xxhash64("class", "k"), F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)))
-    block = F.xxhash64("k", "key", part)
-    return members.select(block.alias("block"), "k", "class", "doc_id", (F.col("size") > LARGE).alias("all"))
-
-
-def _similar(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First step: node, comp of the classes found linked; and class, b0.. of the blocks that classes of large groups were in."""
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("key")) for k in range(len(SALTS))))).alias("x")
-    pool = classes.select(keys, "class", "doc_id", "n").select("x.*", "class", "doc_id", "n")
-
-    def compared(members, name):
-        return written(_in_blocks(members.select("block", "class"), _texts(docs, members)), name)
-
-    first = written(_blocked(pool.where("k = 0")), "members")
-    links = compared(first, "links")
-    rest = written(_blocked(pool.where("k > 0"), components(links)), "members")
-    found = components(links.union(compared(rest, "links")))
-    met = first.unionByName(rest).where("all").groupBy("class").agg(*(F.max(F.when(F.col("k") == k, F.col("block"))).alias(f"b{k}") for k in range(len(SALTS))))
-    return found, met
+    names = [f"m{k}" for k in range(len(SALTS))]
+    keys = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.col(m).alias("key")) for k, m in enumerate(names)))).alias("x")
+    pool = classes.select(keys, "class", "doc_id", "n", "copies", *names).select("x.*", "class", "doc_id", "n", "copies", *names)
+    same = F.lit(False)
+    for k, m in enumerate(names[:-1]):
+        same = same | ((F.col("k") > k) & (F.min(m) == F.max(m)))
+    groups = pool.groupBy("k", "key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), same.alias("same")).where("size > 1 and not same")
+    most = F.greatest(F.col("size") / BLOCK, F.col("hashes") / BLOCK_HASHES)
+    parts = F.when(most <= 1, 1).otherwise(F.least(F.ceil(2 * most), F.col("size"))).cast("long")
+    members = pool.join(groups.select("k", "key", parts.alias("parts")), ["k", "key"])
+    members = members.withColumn("part", F.pmod(F.xxhash64("class", "k"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).cast("long")
+    block = F.xxhash64("k", "key", F.least("part", "other"), F.greatest("part", "other"))
+    return members.select(block.alias("block"), "k", "key", side.alias("side"), "class", "doc_id", "copies", *names)
 
 
 def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, class, comp, n, p, b0..: a row for each token in the prefix of each class; p is the prefix's length."""
+    """token, side, class, n, p, b0..: a row for each token in the prefix of each class; p is the prefix's length, b0.. the shared minimum hashes.
+
+    A long list is dealt in parts: every two parts (sides 1 and 2), and each part (side 0), are a list of their own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)
     met = [f"b{k}" for k in range(len(SALTS))]
-    names = ["token", "class", "comp", "n", "p", *met]
+    names = ["token", "side", "class", "n", "p", *met]
 
     def scan(batches):
         known, rank_of = shared.value
@@ -264,18 +305,28 @@ def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarra
                 p = n - -(-n * SHARE.numerator // SHARE.denominator) + 1
                 keep = at[np.arange(len(g)) - off[row] < p[row]]
                 row, sig = row[keep], signature(g, off)
-                comp = np.where(part.column("comp").is_null().to_numpy(zero_copy_only=False), sig, part.column("comp").fill_null(0).to_numpy())
                 blocks = [part.column(c).fill_null(0).to_numpy() for c in met]
+                token, parts = g[keep], 1 + rank[keep] // LIST
                 for lo in range(0, len(keep), 50_000):
-                    r = row[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[keep[lo : lo + 50_000]].astype(np.int64)), *(pa.array(x[r]) for x in (sig, comp, n, p, *blocks))], names)
+                    r, t, m = row[lo : lo + 50_000], token[lo : lo + 50_000], parts[lo : lo + 50_000]
+                    side = np.zeros(len(t), np.int64)
+                    if (m > 1).any():
+                        own = (mix(sig[r].view(_U) ^ t) % m.astype(_U)).astype(np.int64)
+                        other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                        r, t, own, m = (np.repeat(x, m) for x in (r, t, own, m))
+                        side = np.where(own == other, 0, np.where(own < other, 1, 2))
+                        of = mix(t + mix((np.minimum(own, other) * m + np.maximum(own, other) + 1).astype(_U)))
+                        t = np.where(m > 1, of, t)
+                    for a in range(0, len(t), 50_000):
+                        b = a + 50_000
+                        yield pa.RecordBatch.from_arrays([pa.array(t[a:b].astype(np.int64)), pa.array(side[a:b]), *(pa.array(x[r[a:b]]) for x in (sig, n, p, *blocks))], names)
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(marks), "doc_id", "left")
-    return marked.where("coalesce(keep, true)").select("text", "comp", *met).mapInArrow(scan, ", ".join(f"{x} long" for x in names))
+    return marked.where("coalesce(keep, true)").select("text", *met).mapInArrow(scan, ", ".join(f"{x} long" for x in names))
 
 
 def _candidates(lists: DataFrame) -> DataFrame:
-    """a, b, shared: pairs of classes of different components whose shared prefix tokens allow a link."""
+    """a, b: pairs of classes without a shared minimum hash whose shared prefix tokens allow a link."""
     ordered = lists.repartition("token").sortWithinPartitions("token", "n")
     names = ["a", "b", "na", "nb", "pa", "pb"]
     num, den = SHARE.numerator, SHARE.denominator
@@ -285,19 +336,24 @@ def _candidates(lists: DataFrame) -> DataFrame:
 
         def pairs(x):
             """x: rows of whole lists, a column each."""
-            token, klass, comp, n, p, *met = x
+            token, side, klass, n, p, *met = x
             cut = np.flatnonzero(np.diff(token)) + 1
             lo, hi = np.append(0, cut), np.append(cut, len(token))
-            mixed = np.minimum.reduceat(comp, lo) != np.maximum.reduceat(comp, lo)
+            mixed = hi - lo > 1
+            for b in met:
+                mixed &= (b[lo] == 0) | (np.minimum.reduceat(b, lo) != np.maximum.reduceat(b, lo))
             for s, e in zip(lo[mixed], hi[mixed], strict=True):
                 # skip to the block of sizes that can link
                 to = s + np.searchsorted(n[s:e], n[s:e] * den // num, "right")
                 for i in range(s, e - 1):
                     j = np.arange(i + 1, to[i - s])
-                    j = j[comp[j] != comp[i]]
+                    if side[i] and len(j):
+                        j = j[side[j] != side[i]]
                     for b in met:
                         if b[i] and len(j):
                             j = j[b[j] != b[i]]
+                    if len(j):
+                        j = j[klass[j] != klass[i]]
                     if len(j):
                         yield np.full(len(j), i), j
 
@@ -313,7 +369,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
                 yield some
 
         def told(x):
-            _, klass, _, n, p, *_ = x
+            _, _, klass, n, p, *_ = x
             for some in out(x):
                 i, j = (np.concatenate(y) for y in zip(*some, strict=True))
                 swap = klass[i] > klass[j]
@@ -355,44 +411,79 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id linked) of every row.
-
-    Null, empty or blank text: no shingles, a component of its own. Fewer than five
-    words: the whole sequence is the one shingle. A null doc_id takes no part: its
-    component is null and nobody links through it. Rows of one doc_id keep a row each.
-    Other columns play no part; no rows give no rows.
-    """
-    spark = docs.sparkSession
+def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """The rows, the classes (class, doc_id, copies, n, m0..), and the repeated tokens with their counts."""
     told = written(_describe(docs), "described")
     rows = told.where("n is not null")
     hot = told.where("n is null").groupBy("class").agg(F.sum("m0").alias("count")).orderBy(F.desc("count"), "class").limit(ORDERED).toArrow()
     token = hot.column("class").to_numpy().astype(np.int64).view(_U)
     at = np.argsort(token)
-    order = token[at], hot.column("count").to_numpy()[at]
-
     usable = rows.where("doc_id is not null and n > 0")
-    classes = written(usable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.max(f"m{k}").alias(f"m{k}") for k in range(len(SALTS)))), "classes")
-    first, met = _similar(docs, classes)
+    classes = usable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n").alias("n"), *(F.max(f"m{k}").alias(f"m{k}") for k in range(len(SALTS))))
+    return rows, written(classes, "classes"), (token[at], hot.column("count").to_numpy()[at])
 
-    # only the class's smallest doc_id enters the lists, with its component and blocks if it has any
+
+def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, order, every: bool) -> DataFrame:
+    """a, b, linked, as _in_blocks gives them, over all classes."""
+    members = written(_blocked(classes), "members")
+    first = written(_in_blocks(members, _texts(docs, members), every), "links")
+
+    # only the class's smallest doc_id enters the lists, with the minimum hashes that it shares; none where an id stands for more than one class
+    met = members.groupBy("class", "doc_id").agg(*(F.max(F.when(F.col("k") == k, F.col("key"))).alias(f"b{k}") for k in range(len(SALTS))))
     multi = rows.join(classes.where("copies > 1").select("class", F.col("doc_id").alias("rep")), "class")
-    others = multi.where("doc_id <> rep").select("doc_id", F.lit(False).alias("keep"))
-    roots = first.select("comp").distinct().select(F.col("comp").alias("node"), "comp")
-    known = first.unionByName(roots).withColumnRenamed("node", "class").join(met, "class", "full_outer").join(classes.select("class", "doc_id"), "class").withColumn("keep", F.lit(True))
-    blocks = [F.max(f"b{k}").alias(f"b{k}") for k in range(len(SALTS))]
-    marks = known.drop("class").unionByName(others, allowMissingColumns=True).groupBy("doc_id").agg(F.max("comp").alias("comp"), F.max("keep").alias("keep"), *blocks)
+    others = multi.where("doc_id <> rep").select("doc_id", F.lit(False).alias("keep")).join(classes.select("doc_id"), "doc_id", "left_anti")
+    known = met.drop("class").withColumn("keep", F.lit(True)).unionByName(others, allowMissingColumns=True)
+    twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("keep"), F.lit(True).alias("again"))
+    known = known.unionByName(twice.join(classes.select("doc_id"), "doc_id", "left_semi"), allowMissingColumns=True)
+    blocks = [F.when(F.max("again").isNull(), F.max(f"b{k}")).alias(f"b{k}") for k in range(len(SALTS))]
+    marks = known.groupBy("doc_id").agg(F.max("keep").alias("keep"), *blocks)
     pairs = written(_candidates(_lists(docs.where("doc_id is not null"), written(marks, "marks"), order)), "pairs")
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = _texts(docs, ends.join(classes, "class"))
-    new = _verified(pairs, sets)
-    comp = components(new.union(first.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    own = ends.join(classes, "class")
+    new = _verified(pairs, _texts(docs, own)).distinct()
+    left, right = (own.select(F.col("class").alias(x), F.col("copies").alias(f"c{x}"), *(F.col(f"m{k}").alias(f"{x}{k}") for k in range(len(SALTS)))) for x in "ab")
+    new = new.join(left, "a").join(right, "b").where(" and ".join(f"a{k} <> b{k}" for k in range(len(SALTS))))
+    new = written(new.select("a", "b", "ca", "cb"), "new")
+    out = first.unionByName(new.select("a", "b", F.lit(None).cast("long").alias("linked")))
+    if every:
+        return out
+    none = F.lit(None).cast("long").alias("b")
+    return out.unionByName(new.select("a", none, F.col("cb").alias("linked"))).unionByName(new.select(F.col("b").alias("a"), none, F.col("ca").alias("linked")))
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """Every link between two different sets, once: doc_id, other_id, n_copies and other_copies.
+
+    doc_id and other_id are the smallest of each set's class, the smaller one first where they differ; the copies are the
+    rows of the class, which all link to each other and to all rows of the other class. Rows that
+    take no part are those of jaccard_components.
+    """
+    rows, classes, order = _described(docs)
+    links = _links(docs, rows, classes, order, True)
+    left, right = (classes.select(F.col("class").alias(x), F.struct("doc_id", "copies").alias(f"{x}_")) for x in "ab")
+    both = links.join(left, "a").join(right, "b").select(F.least("a_", "b_").alias("x"), F.greatest("a_", "b_").alias("y"))
+    return both.select("x.doc_id", F.col("y.doc_id").alias("other_id"), F.col("x.copies").alias("n_copies"), F.col("y.copies").alias("other_copies"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id linked) and n_links (the other rows linked to it) of every row.
+
+    Null, empty or blank text: no shingles, no links, a component of its own. Fewer than five
+    words: the whole sequence is the one shingle. A null doc_id takes no part: its
+    component is null, it has no links and nobody links through it. Rows of one doc_id keep a row each
+    and count as rows. Other columns play no part; no rows give no rows.
+    """
+    rows, classes, order = _described(docs)
+    found = _links(docs, rows, classes, order, False)
+    comp = components(found.where("b is not null").select("a", "b"))
+    linked = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("linked").alias("linked"))
 
-    labelled = classes.select("class", "doc_id").join(comp, classes["class"] == comp["node"], "left").select("class", "doc_id", F.coalesce("comp", "class").alias("comp"))
+    labelled = classes.select("class", "doc_id", "copies").join(comp, classes["class"] == comp["node"], "left").select("class", "doc_id", "copies", F.coalesce("comp", "class").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(least, "comp").select("class", "component_id")
-    in_class = rows.where("n > 0 and doc_id is not null").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    n_links = (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    named = labelled.join(least, "comp").join(linked, "class", "left").select("class", "component_id", n_links)
+    in_class = rows.where("n > 0 and doc_id is not null").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return in_class.unionByName(alone)
 
 
