@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of sixteen or more characters of keys and codes with a digit in it. The network reads
-its characters and those around it; it is trained in numpy on labelled findings of
-common key formats and look-alikes (identifiers, checksums, times, numbers, paths), then
-calibrated on findings kept out, with the highest threshold that keeps the wanted recall.
+A candidate is a run of sixteen or more characters of keys and codes, or what the fixed patterns leave of
+one. The network reads all of it, in overlapping windows, with the characters around each; the highest
+score counts. It is trained in numpy on labelled findings of common key formats and look-alikes
+(identifiers, checksums, times, numbers, paths), then calibrated on findings kept out, with the
+highest threshold that keeps the wanted recall.
 """
 
 from __future__ import annotations
@@ -30,11 +31,12 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 RUN = 16
 CODE = np.zeros(256, bool)
 CODE[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[48:58] = True
+WORDLY = np.zeros(256, bool)
+WORDLY[[ord(c) for c in string.ascii_letters + string.digits]] = True
 
 LEFT, BODY, RIGHT = 32, 48, 16  # characters that the network sees
 WIDTH = LEFT + BODY + RIGHT
+STEP = BODY // 2  # between windows of a longer candidate
 DIM, FILTERS, SPANS = 8, 12, (3, 5)
 RECALL = 0.95
 FINDINGS, EPOCHS, BATCH, RATE = 6000, 8, 64, 5e-3
@@ -49,6 +51,15 @@ def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarr
     return np.where(ok, np.minimum(c, 127), 0).astype(np.int16)
 
 
+def pieces(starts: np.ndarray, ends: np.ndarray):
+    """Start, end and candidate of windows of BODY characters at most, STEP apart, that cover each candidate; the last one ends with it."""
+    count = 1 + -(-np.maximum(ends - starts - BODY, 0) // STEP)
+    of = np.repeat(np.arange(len(starts)), count)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.minimum(starts[of] + STEP * k, np.maximum(starts, ends - BODY)[of])
+    return at, np.minimum(at + BODY, ends[of]), of
+
+
 class Net:
     """Embedding of characters and of the three zones, filters, the strongest answer in each zone, logistic layer."""
 
@@ -133,7 +144,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5):
         lambda: ("", "AKIA" + chars(up + dig, 16)),
         lambda: (pick(["token ", "signature ", "session "]), chars("abcdef" + dig, 32, 64)),
         lambda: ("glpat-", chars(low + up + dig, 20)),
+        lambda: (pick(["", "key ", "token "]), chars(low + up, 20, 48)),
+        lambda: ("", url64(51)),
     ]
+    path = lambda: pick(["//", "/", ""]) + pick([word() + ".com/", ""]) + "".join(word() + "/" for _ in range(int(r.integers(1, 12))))
     others = [
         lambda: (pick(["", "id ", "uuid: "]), "-".join(chars("abcdef" + dig, k) for k in (8, 4, 4, 4, 12))),
         lambda: (pick(["at ", "on ", ""]), f"20{chars(dig, 2)}-0{pick(dig[1:])}-1{pick(dig)}T1{pick(dig)}-2{pick(dig)}-3{pick(dig)}.{chars(dig, 3, 6)}"),
@@ -149,41 +163,61 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5):
         lambda: ("", "=" * 8 + chars(dig, 1, 3) + "=" * int(r.integers(8, 20))),
         lambda: (pick(["isbn ", "order "]), "-".join(chars(dig, k) for k in (3, 1, 5, 4, 4))),
         lambda: ("", word().capitalize() + word().capitalize() + word().capitalize() + chars(dig, 1, 2)),
+        lambda: ("", pick("/_-.").join(word() for _ in range(int(r.integers(4, 14))))),
+        lambda: ("", path() + pick(["", word(), "index.html"]) + "/" * RUN),
+        lambda: ("", pick("=-_.") * int(r.integers(16, 80))),
+        lambda: ("", chars(low, 16, 30)),
+        lambda: ("", "".join(word().capitalize() for _ in range(int(r.integers(3, 6))))),
+        lambda: (pick(["//", ""]) + path(), word() + "-" + word() + "-" + word() + "-" + word()),
     ]
     out = []
     for i in range(n):
         before, c = pick((others, secrets)[i % 2])()
-        out.append((prose(6) + pick([" ", " ", "\n", ' "', " ("]) + before, c, pick([" ", ".", "\n", '"', ", ", ") "]) + prose(4), i % 2))
+        out.append((prose(6) + pick([" ", " ", "\n", ' "', " ("]) + (before or (path() if i % 2 and r.random() < 0.2 else "")), c, pick([" ", ".", "\n", '"', ", ", ") "]) + prose(4), i % 2))
     return out
 
 
+def _examples(before: str, candidate: str, after: str, secret: int):
+    """Windows of the run that the candidate stands in and of the candidate itself, and their labels; windows that hold a part of a secret too short to tell are left out."""
+    data = np.frombuffer((before + candidate + after).encode(), np.uint8)
+    s, e = len(before), len(before) + len(candidate)
+    starts, ends, _ = words_of(data, np.array([0, len(data)]), CODE)
+    own = (starts <= s) & (ends >= e)
+    starts, ends, _ = pieces(np.append(starts[own], s), np.append(ends[own], e))
+    at = np.unique(np.stack([starts, ends], 1), axis=0)
+    held = np.minimum(at[:, 1], e) - np.maximum(at[:, 0], s)
+    keep = (held >= RUN) | (held <= 0) if secret else np.ones(len(at), bool)
+    at, held, n = at[keep], held[keep], int(keep.sum())
+    return windows(data, at[:, 0], at[:, 1], np.zeros(n, np.int64), np.full(n, len(data))), (held > 0) * float(secret)
+
+
 @lru_cache(1)
 def trained() -> Net:
     """Fits on four fifths of the findings; scale, shift and threshold come from the rest."""
-    found = [x for x in labelled_findings() if len(x[1]) >= RUN]
-    x = np.concatenate([windows(np.frombuffer((b + c + a).encode(), np.uint8), *(np.array([v]) for v in (len(b), len(b) + len(c), 0, len(b + c + a)))) for b, c, a, _ in found])
-    y = np.array([f[3] for f in found], np.float32)
+    found = [_examples(*x) for x in labelled_findings() if len(x[1]) >= RUN]
+    n = len(found) * 4 // 5
+    x, y = (np.concatenate([f[k] for f in found[:n]]) for k in (0, 1))
+    y = y.astype(np.float32)
     net, r = Net(), np.random.default_rng(1)
-    n = len(y) * 4 // 5
     for _ in range(EPOCHS):
-        order = r.permutation(n)
-        for at in range(0, n, BATCH):
+        order = r.permutation(len(y))
+        for at in range(0, len(y), BATCH):
             net.step(x[order[at : at + BATCH]], y[order[at : at + BATCH]])
-    z, held = net.raw(x[n:]).astype(np.float64), y[n:]
+    z, held = net.raw(np.concatenate([f[0] for f in found[n:]])).astype(np.float64), np.concatenate([f[1] for f in found[n:]])
     for _ in range(200):  # Platt scaling by gradient steps
         q = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
         net.scale -= 0.05 * float(((q - held) * z).mean())
         net.shift -= 0.05 * float((q - held).mean())
-    s = np.sort(net.score(x[n:])[held == 1])
-    net.cut = max(0.5, float(s[int((1 - RECALL) * len(s))]))
+    s = np.sort([net.score(f[0]).max() for f in found[n:] if f[1].any()])
+    net.cut = float(s[int((1 - RECALL) * len(s))])
     return net
 
 
 def find(net: Net, data: np.ndarray, off: np.ndarray):
     """(row, kind, start, end, score) in code points of the row, by row, start and kind; and the row's text.
 
-    The first three kinds are the fixed patterns; of the network's candidates those that
-    reach its threshold and touch no fixed span. score: the network's, null where it wasn't asked.
+    The first three kinds are the fixed patterns; of the network's candidates, which are what the fixed spans
+    leave of the runs, those that reach its threshold. score: the network's, null where it wasn't asked.
     """
     found: dict[int, list] = {}
     starts, ends, owner = words_of(data, off, CODE)
@@ -203,17 +237,29 @@ def find(net: Net, data: np.ndarray, off: np.ndarray):
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= LEAST["assign"]:
                 found.setdefault(i, []).append((lo + m.start(), 0, lo + m.end(), None))
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
-    some = np.flatnonzero(digits[ends] > digits[starts])
-    if len(some):
-        s, e, i = starts[some], ends[some].copy(), owner[some]
-        dot = data[e - 1] == 46  # a full stop after it
-        e[dot] -= 1
-        score = net.score(windows(data, s, e, off[i], off[i + 1]))
-        for a, b, row, q in zip(s.tolist(), e.tolist(), i.tolist(), score.tolist(), strict=True):
-            own = found.get(row, [])
-            if q >= net.cut and not any(x[0] < b and a < x[2] and x[1] < 3 for x in own):
-                found.setdefault(row, []).append((a, 3, b, q))
+    dot = data[ends - 1] == 46  # a full stop after it
+    parts = []
+    for s, e, i in zip(starts.tolist(), (ends - dot).tolist(), owner.tolist(), strict=True):
+        if i not in found:
+            parts.append((s, e, i))
+            continue
+        at = s
+        for a, _, b, _ in sorted(x for x in found[i] if x[0] < e and s < x[2]):
+            parts.append((at, a, i))
+            at = max(at, b)
+        parts.append((at, e, i))
+    wordly = np.concatenate([[0], np.cumsum(WORDLY[data])])
+    parts = [x for x in parts if x[1] > x[0] and wordly[x[1]] > wordly[x[0]]]
+    if parts:
+        s, e, i = np.array(parts).T
+        score = np.zeros(len(s))
+        for lo in range(0, len(s), 4096):
+            a, b, of = pieces(s[lo : lo + 4096], e[lo : lo + 4096])
+            for k in range(0, len(a), 4096):
+                row = i[lo + of[k : k + 4096]]
+                np.maximum.at(score, lo + of[k : k + 4096], net.score(windows(data, a[k : k + 4096], b[k : k + 4096], off[row], off[row + 1])))
+        for k in np.flatnonzero(score >= net.cut).tolist():
+            found.setdefault(int(i[k]), []).append((int(s[k]), 3, int(e[k]), float(score[k])))
     for i in sorted(found):
         lo, hi = int(off[i]), int(off[i + 1])
         point = np.concatenate([[0], np.cumsum((data[lo:hi] & 0xC0) != 0x80)])
