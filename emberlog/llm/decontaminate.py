@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, documents, hashes_of, in_batches, mix, slices, text_buffer, words_of
 
-#: 1: position looked at; equal weight, different gaps
+#: 1: position looked at; weights of 8 and 9, different gaps
 MASKS = ("11111111", "1101100110101", "101011001101011", "11100101100111")
 MISMATCH = 2.0  # a changed word costs as much as this many equal ones gain
 LEAST = 10.0  # least score of a stretch; items of fewer words need SHARE of their length
@@ -24,6 +24,17 @@ BLOCK_WORDS = 2_000_000  # words of test items in one broadcast, about 100 MB wi
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
+def least_run(n: int) -> int:
+    """Words that an accepted stretch of an item of n words has equal in a row at least: x changes cut T + 2x equal words in x + 1 runs."""
+    least = min(LEAST, SHARE * n)
+    runs = []
+    for x in range(n):
+        equal = int(np.ceil(least + MISMATCH * x))
+        if equal + x <= n:
+            runs.append(-(-equal // (x + 1)))
+    return min(runs)
+
+
 def _seed(h: np.ndarray, owner: np.ndarray, mask: str):
     """Hash of each window of the mask's length within one row, and its first word's index."""
     n = len(h) - len(mask) + 1
@@ -38,7 +49,7 @@ def _seed(h: np.ndarray, owner: np.ndarray, mask: str):
 
 
 class Index:
-    """Seed hashes of test items, sorted, with the word index of each; short items get a mask of their length."""
+    """Seed hashes of test items, sorted, with the word index of each; each item also gets the contiguous mask that no accepted stretch of it can miss."""
 
     def __init__(self, ids: list, texts: pa.Array):
         data, off = text_buffer(texts)
@@ -47,13 +58,13 @@ class Index:
         self.ids, self.owner, self.words = ids, owner, hashes_of(data, starts, ends)
         self.first = np.searchsorted(owner, np.arange(len(ids) + 1))
         size = np.diff(self.first)
-        shortest = min(map(len, MASKS))
-        self.masks = [*MASKS, *("1" * int(n) for n in np.unique(size[(size >= 3) & (size < shortest)]))]
+        run = np.array([least_run(int(n)) if n >= 3 else 0 for n in size], np.int64)
+        self.masks = [*MASKS, *("1" * int(r) for r in np.unique(run[run > 0]))]
         self.seeds = []
-        for mask in self.masks:
+        for k, mask in enumerate(self.masks):
             h, at = _seed(self.words, owner, mask)
-            if len(mask) < shortest:
-                own = size[owner[at]] == len(mask)
+            if k >= len(MASKS):
+                own = run[owner[at]] == len(mask)
                 h, at = h[own], at[own]
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 22, bool)
