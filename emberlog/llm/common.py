@@ -149,9 +149,11 @@ def word_counts(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own only where none is named."""
+    """The folder that driver and executors share. In local mode, where none need be named, one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="emberlog-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext.getCheckpointDir():
@@ -163,7 +165,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes a table to the shared folder and reads it again."""
     path = os.path.join(shared_dir(df.sparkSession), f"emberlog-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        if df is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: A table of two longs of this many rows takes about 64 MB as a hash relation.

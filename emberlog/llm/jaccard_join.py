@@ -9,12 +9,14 @@ between classes are found, in two steps, each pair of classes in one of them:
    before it: hashes that both hold need no look, only those in which the two differ are
    looked up. Large groups are dealt in parts, and every two parts are compared by a task.
 2. The rest, exactly. All classes' prefixes (the rarest fifth of a set in one common order) form
-   index lists ordered by set size; long lists are dealt in parts, as above. Each entry skips, by binary
-   search over the sizes, to the block of entries whose size can link, and of these takes
-   those that share no minimum hash with it. A pair stays only if the prefix tokens it
-   shares, counted over all lists, still allow a link. What stays is verified.
-
-Two linked sets always share a prefix token, so no link is lost.
+   index lists. An entry has its set's size and its token's position in the set's order; entries
+   of one size and position are a block. Two blocks are skipped whole if size and position leave
+   too few tokens for a link, and two sets that share a minimum hash are told apart there. Lists that
+   are known to be long are dealt in parts, as above; one that turns out longer than planned is
+   passed on unread and dealt in parts by its exact length in a second round. Pairs that are left are verified.
+
+Two linked sets of n and m hashes share o or more, o = 4/9 (n + m), and so a token among the first
+n - o + 1 of the one and the first m - o + 1 of the other: no link is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, documents, grams, hashes_of, in_batches, mix, slices, small, text_buffer, words_of, written
+from .common import LOWER, NOT_SPACE, documents, forget, grams, hashes_of, in_batches, mix, slices, small, text_buffer, words_of, written
 
 WORDS = 5
 SHARE = Fraction(4, 5)
@@ -34,6 +36,8 @@ SALTS = (0x0F, 0x2C7, 0x5A11, 0x91D3)  # of the minimum hashes
 BLOCK = 2048  # classes of a minimum hash that are compared at once
 BLOCK_HASHES = 2_000_000  # hashes of their sets in all, about
 LIST = 4096  # entries of a token's list that meet in one part, about
+LONG = 8  # times that many, and a list is dealt anew by its exact length
+PAIRS = 1_000_000  # pairs of blocks or entries that are held at once, about
 #: Tokens that a run of texts repeats often come last in the common order, by count. Any order is right; this keeps lists short.
 ORDERED, REPEATED, RUN_BYTES = 400_000, 2, 20 << 20
 _U = np.uint64
@@ -126,7 +130,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large.where("a <> b").distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = written(star.where("a <> b").distinct(), "star")
+        before_edges, edges = edges, written(star.where("a <> b").distinct(), "star")
+        forget(before_edges, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -274,21 +279,26 @@ def _blocked(classes: DataFrame) -> DataFrame:
     groups = pool.groupBy("k", "key").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), same.alias("same")).where("size > 1 and not same")
     most = F.greatest(F.col("size") / BLOCK, F.col("hashes") / BLOCK_HASHES)
     parts = F.when(most <= 1, 1).otherwise(F.least(F.ceil(2 * most), F.col("size"))).cast("long")
-    members = pool.join(groups.select("k", "key", parts.alias("parts")), ["k", "key"])
+    groups = written(groups.select("k", "key", parts.alias("parts")), "groups")
+    # large groups are few; their members stay where they are
+    large, rest = small(groups.where("parts > 1")), groups.where("parts = 1")
+    members = pool.join(large, ["k", "key"]).unionByName(pool.join(large, ["k", "key"], "left_anti").join(rest, ["k", "key"]))
     members = members.withColumn("part", F.pmod(F.xxhash64("class", "k"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).cast("long")
     block = F.xxhash64("k", "key", F.least("part", "other"), F.greatest("part", "other"))
     return members.select(block.alias("block"), "k", "key", side.alias("side"), "class", "doc_id", "copies", *names)
 
 
+MET = tuple(f"b{k}" for k in range(len(SALTS)))
+ENTRY = ("token", "side", "class", "n", "pos", *MET)
+
+
 def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, side, class, n, p, b0..: a row for each token in the prefix of each class; p is the prefix's length, b0.. the shared minimum hashes.
+    """ENTRY rows, one for each token in the prefix of each class; pos: the token's position, b0..: the shared minimum hashes.
 
     A long list is dealt in parts: every two parts (sides 1 and 2), and each part (side 0), are a list of their own.
     """
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    met = [f"b{k}" for k in range(len(SALTS))]
-    names = ["token", "side", "class", "n", "p", *met]
 
     def scan(batches):
         known, rank_of = shared.value
@@ -302,98 +312,150 @@ def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarra
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
                     rank = np.where(known[at] == g, rank_of[at], 0)
                 at = np.lexsort((g, rank, row))
-                p = n - -(-n * SHARE.numerator // SHARE.denominator) + 1
-                keep = at[np.arange(len(g)) - off[row] < p[row]]
-                row, sig = row[keep], signature(g, off)
-                blocks = [part.column(c).fill_null(0).to_numpy() for c in met]
+                pos = np.arange(len(g)) - off[row]
+                first = pos < (n - -(-n * SHARE.numerator // SHARE.denominator) + 1)[row]
+                keep, row, pos, sig = at[first], row[first], pos[first], signature(g, off)
+                blocks = [part.column(c).fill_null(0).to_numpy() for c in MET]
                 token, parts = g[keep], 1 + rank[keep] // LIST
                 for lo in range(0, len(keep), 50_000):
-                    r, t, m = row[lo : lo + 50_000], token[lo : lo + 50_000], parts[lo : lo + 50_000]
+                    r, t, m, at = (x[lo : lo + 50_000] for x in (row, token, parts, pos))
                     side = np.zeros(len(t), np.int64)
                     if (m > 1).any():
                         own = (mix(sig[r].view(_U) ^ t) % m.astype(_U)).astype(np.int64)
                         other = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                        r, t, own, m = (np.repeat(x, m) for x in (r, t, own, m))
+                        r, t, own, at, m = (np.repeat(x, m) for x in (r, t, own, at, m))
                         side = np.where(own == other, 0, np.where(own < other, 1, 2))
                         of = mix(t + mix((np.minimum(own, other) * m + np.maximum(own, other) + 1).astype(_U)))
                         t = np.where(m > 1, of, t)
                     for a in range(0, len(t), 50_000):
                         b = a + 50_000
-                        yield pa.RecordBatch.from_arrays([pa.array(t[a:b].astype(np.int64)), pa.array(side[a:b]), *(pa.array(x[r[a:b]]) for x in (sig, n, p, *blocks))], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(t[a:b].astype(np.int64)), pa.array(side[a:b]), pa.array(sig[r[a:b]]), pa.array(n[r[a:b]]), pa.array(at[a:b]), *(pa.array(x[r[a:b]]) for x in blocks)], list(ENTRY))
 
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(marks), "doc_id", "left")
-    return marked.where("coalesce(keep, true)").select("text", *met).mapInArrow(scan, ", ".join(f"{x} long" for x in names))
+    return marked.where("coalesce(keep, true)").select("text", *MET).mapInArrow(scan, ", ".join(f"{x} long" for x in ENTRY))
 
 
-def _candidates(lists: DataFrame) -> DataFrame:
-    """a, b: pairs of classes without a shared minimum hash whose shared prefix tokens allow a link."""
-    ordered = lists.repartition("token").sortWithinPartitions("token", "n")
-    names = ["a", "b", "na", "nb", "pa", "pb"]
+def _runs(count: np.ndarray):
+    """Slices over which count sums to PAIRS at most, or of one element."""
+    total, at = np.concatenate([[0], np.cumsum(count)]), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        yield slice(at, to)
+        at = to
+
+
+def _expanded(first: np.ndarray, count: np.ndarray):
+    """Index of the element and the place, for count places from first on of each element."""
+    of = np.repeat(np.arange(len(count)), count)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _list_pairs(x: list[np.ndarray]):
+    """Index pairs (i, j) of the entries of whole lists (columns as ENTRY, ordered by token, n and pos) that may link and share no minimum hash."""
+    token, side, klass, n, pos, *met = x
     num, den = SHARE.numerator, SHARE.denominator
+    cut = np.flatnonzero(np.diff(token)) + 1
+    lo, hi = np.append(0, cut), np.append(cut, len(token))
+    some = hi - lo > 1
+    for b in met:
+        some &= (b[lo] == 0) | (np.minimum.reduceat(b, lo) != np.maximum.reduceat(b, lo))
+    live = np.repeat(some, hi - lo)
+    if not live.any():
+        return
+    at = np.flatnonzero(live)
+    token, side, klass, n, pos, *met = (c[at] for c in x)
+    # blocks of one list, size and position
+    new = np.append(True, (np.diff(token) != 0) | (np.diff(n) != 0) | (np.diff(pos) != 0))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(token)))
+    own_list, bn, bpos = np.cumsum(np.append(True, np.diff(token[first]) != 0)), n[first], pos[first]
+    width = int(bn.max()) * den // num + 2
+    key = own_list * width + bn
+    to = np.searchsorted(key, own_list * width + bn * den // num, "right")  # skip to the sizes that can link
+    count = to - np.arange(len(first))
+    for part in _runs(count):
+        u, v = _expanded(np.arange(len(first))[part], count[part])
+        u += part.start
+        least = -(-(bn[u] + bn[v]) * num // (num + den))
+        may = (bpos[u] + least <= bn[u]) & (bpos[v] + least <= bn[v]) & ((u != v) | (size[u] > 1))
+        u, v = u[may], v[may]
+        for pairs in _runs(size[u]):
+            of, i = _expanded(first[u[pairs]], size[u[pairs]])
+            begin, end = np.maximum(first[v[pairs]][of], i + 1), (first[v[pairs]] + size[v[pairs]])[of]
+            for rows in _runs(end - begin):
+                of, j = _expanded(begin[rows], (end - begin)[rows])
+                k = i[rows][of]
+                ok = (klass[k] != klass[j]) & ((side[k] == 0) | (side[k] != side[j]))
+                for b in met:
+                    ok &= (b[k] == 0) | (b[k] != b[j])
+                if ok.any():
+                    yield at[k[ok]], at[j[ok]]
+
+
+def _met(lists: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of classes (class < other) that meet in a list; and, with null other, the entries of lists of more than most entries."""
+    ordered = lists.repartition("token").sortWithinPartitions("token", "n", "pos")
+    names = ["other", *ENTRY]
 
     def scan(batches):
-        rest = None
-
-        def pairs(x):
-            """x: rows of whole lists, a column each."""
-            token, side, klass, n, p, *met = x
-            cut = np.flatnonzero(np.diff(token)) + 1
-            lo, hi = np.append(0, cut), np.append(cut, len(token))
-            mixed = hi - lo > 1
-            for b in met:
-                mixed &= (b[lo] == 0) | (np.minimum.reduceat(b, lo) != np.maximum.reduceat(b, lo))
-            for s, e in zip(lo[mixed], hi[mixed], strict=True):
-                # skip to the block of sizes that can link
-                to = s + np.searchsorted(n[s:e], n[s:e] * den // num, "right")
-                for i in range(s, e - 1):
-                    j = np.arange(i + 1, to[i - s])
-                    if side[i] and len(j):
-                        j = j[side[j] != side[i]]
-                    for b in met:
-                        if b[i] and len(j):
-                            j = j[b[j] != b[i]]
-                    if len(j):
-                        j = j[klass[j] != klass[i]]
-                    if len(j):
-                        yield np.full(len(j), i), j
-
-        def out(x):
-            some, size = [], 0
-            for i, j in pairs(x):
-                some.append((i, j))
-                size += len(i)
-                if size > 50_000:
-                    yield some
-                    some, size = [], 0
-            if some:
-                yield some
+        rest, passed = None, None
 
         def told(x):
-            _, _, klass, n, p, *_ = x
-            for some in out(x):
-                i, j = (np.concatenate(y) for y in zip(*some, strict=True))
-                swap = klass[i] > klass[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (klass[i], klass[j], n[i], n[j], p[i], p[j])], names)
+            for i, j in _list_pairs(x):
+                a, b = np.minimum(x[2][i], x[2][j]), np.maximum(x[2][i], x[2][j])
+                for at in range(0, len(a), 50_000):
+                    own, no = pa.array(a[at : at + 50_000]), pa.nulls(len(a[at : at + 50_000]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(b[at : at + 50_000]), no, no, own, *[no] * (len(names) - 4)], names)
+
+        def unread(x):
+            return pa.RecordBatch.from_arrays([pa.nulls(len(x[0]), pa.int64()), *map(pa.array, x)], names)
 
         for batch in batches:
             x = [c.to_numpy() for c in batch.columns]
+            if passed is not None:
+                n = int(np.searchsorted(x[0], passed, "right"))
+                if n:
+                    yield unread([c[:n] for c in x])
+                    x = [c[n:] for c in x]
+                if len(x[0]):
+                    passed = None
             if rest is not None:
                 x = [np.concatenate(y) for y in zip(rest, x, strict=True)]
+                rest = None
             if not len(x[0]):
                 continue
             last = int(np.searchsorted(x[0], x[0][-1]))
-            rest = [c[last:] for c in x]
             if last:
                 yield from told([c[:last] for c in x])
+            rest = [c[last:] for c in x]
+            if most is not None and len(rest[0]) > most:
+                yield unread(rest)
+                passed, rest = int(rest[0][0]), None
         if rest is not None and len(rest[0]):
             yield from told(rest)
 
-    made = ordered.mapInArrow(scan, ", ".join(f"{x} long" for x in names))
-    counted = made.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in names[2:]))
-    # beyond the shorter-reaching prefix, at most the rest of one set is shared
-    most = F.col("shared") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return counted.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    return ordered.mapInArrow(scan, ", ".join(f"{x} long" for x in names))
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """The entries of long lists in parts of about LIST entries by exact counts; every two parts, and each part, are a list."""
+    parts = entries.groupBy("token").agg(F.ceil(F.count("*") / LIST).cast("long").alias("parts"))
+    own = entries.join(small(written(parts, "parts")), "token").withColumn("own", F.pmod(F.xxhash64("class", "token"), "parts"))
+    own = own.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    one = F.col("side") == 0
+    side = F.when(~one, F.col("side")).when(F.col("own") == F.col("to"), 0).when(F.col("own") < F.col("to"), 1).otherwise(2)
+    low = F.when(one, F.least("own", "to")).when(F.col("side") == 1, F.col("own")).otherwise(F.col("to"))
+    high = F.when(one, F.greatest("own", "to")).when(F.col("side") == 1, F.col("to")).otherwise(F.col("own"))
+    return own.select(F.xxhash64("token", low, high).alias("token"), side.cast("long").alias("side"), *ENTRY[2:])
+
+
+def _candidates(lists: DataFrame) -> DataFrame:
+    """a, b: pairs of classes without a shared minimum hash whose sizes and positions in some list allow a link."""
+    made = written(_met(lists, LONG * LIST), "met")
+    pairs, unread = made.where("other is not null"), made.where("other is null")
+    if not unread.isEmpty():
+        pairs = pairs.unionByName(written(_met(_dealt(unread.select(*ENTRY)), None), "met-long"))
+    return pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
