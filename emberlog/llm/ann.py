@@ -2,17 +2,21 @@
 
 Each projection on a random line is one sorted array. Around the query's own projections
 windows widen step by step (virtual rehashing: a wider window is a coarser hash), and each
-vector counts the windows it falls into. Those that collide in enough projections
-are verified with the original vectors; widening ends once a set share of the vectors
-was verified. One more coordinate makes all vectors equally long, so that nearness
+vector counts the windows it falls into. Those that collide in COLLIDE of the lines or more are
+verified with the original vectors. The k-th best distance verified so far tells when to stop: once the
+windows are so wide that a vector at that distance collides often enough with a chance of 0.88 or more
+(nearer ones with a larger one). One more coordinate makes all vectors equally long, so that nearness
 by inner product is nearness by distance.
 
-Vectors and queries are dealt to cells of bounded size, each a block of all rows and a chunk of
-the queries; a cell indexes its block, so every row is indexed and every query meets every row.
+Vectors and queries are dealt to cells, each a block of rows and a chunk of the queries, both bounded in
+bytes; a cell indexes its block, so every row is indexed and every query meets every row. The
+work is that of all queries against all rows, at the share of rows that the windows leave.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,10 +24,16 @@ from pyspark.sql import functions as F
 
 LINES = 80
 COLLIDE = 0.45  # share of the lines that a candidate collides in
-VERIFY = 0.27  # share of a block that is verified at least
-LEAST = 50  # and at least so many times k of it, as a small block's k nearest are not far from the rest
-WIDEN = 1.25
-BLOCK, CHUNK = 8192, 512
+SURE = 1.2  # standard deviations of that share that a vector at the k-th distance is above it
+WIDEN = 1.1
+BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
+LEAST_CHUNK = 256  # queries
+
+
+def reach(lines: int = LINES) -> float:
+    """Half a window's width, in distances, at which a vector at that distance collides in COLLIDE of the lines for SURE."""
+    share = COLLIDE + SURE * (COLLIDE * (1 - COLLIDE) / lines) ** 0.5
+    return NormalDist().inv_cdf((1 + share) / 2)
 
 
 class Index:
@@ -43,29 +53,29 @@ class Index:
         self.who = np.ascontiguousarray(at).astype(np.int64).ravel()
         self.keys = (np.take_along_axis(h.T, at, 1) + self.gap * np.arange(lines)[:, None]).ravel()
         self.start = 0.2 * max(float(np.median(h.std(0))), 1e-6 * self.gap)
+        self.reach = reach(lines)
         self.ended: list[float] = []
+        self.verified = 0
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        n = len(self.ids)
-        if n <= 2 * k:
-            found = np.arange(n)
-        else:
-            found = self._candidates(query, int(min(n, max(LEAST * k, k + 1 + np.ceil(VERIFY * n)))))
-        score = np.einsum("ij,j->i", self.vectors[found], query)
-        if len(found) > k + 1:  # ties of the last place stay
-            near = score >= np.partition(score, -(k + 1))[-(k + 1)]
+        """The k best found of the rows of other ids, and all that tie with the last."""
+        found, score = self._verified(query_id, query, k)
+        if len(found) > k:
+            near = score >= np.partition(score, -k)[-k]
             found, score = found[near], score[near]
         order = np.lexsort((self.ids[found], -score))
-        return [(int(self.ids[found[i]]), float(score[i])) for i in order[: k + 1] if self.ids[found[i]] != query_id][:k]
+        return [(int(self.ids[found[i]]), float(score[i])) for i in order[:k]]
 
-    def _candidates(self, query: np.ndarray, enough: int) -> np.ndarray:
-        unit = query * (self.longest / np.linalg.norm(query))
-        center = unit @ self.axes[:-1] + self.gap * np.arange(self.lines)
+    def _verified(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        length = float(np.linalg.norm(query))
+        center = (query * (self.longest / length)) @ self.axes[:-1] + self.gap * np.arange(self.lines)
         n, count = len(self.ids), np.zeros(len(self.ids), np.int64)
         first = n * np.arange(self.lines)
         need = int(np.ceil(COLLIDE * self.lines))
+        done = self.ids == query_id
+        found, score = np.zeros(0, np.int64), np.zeros(0)
         # widening begins a little within where it ended for the queries before
-        half = self.start if not self.ended else float(np.median(self.ended[-31:])) / WIDEN**1.5
+        half = self.start if not self.ended else float(np.median(self.ended[-31:])) / WIDEN**2
         half = min(half, self.gap / 4)
         lo = hi = None
         while True:
@@ -78,11 +88,18 @@ class Index:
             if new:
                 count += np.bincount(np.concatenate(new), minlength=n)
             lo, hi = a, b
-            found = np.flatnonzero(count >= need)
-            if len(found) >= enough or half >= self.gap / 2:
+            fresh = np.flatnonzero((count >= need) & ~done)
+            done[fresh] = True
+            found, score = np.append(found, fresh), np.append(score, np.einsum("ij,j->i", self.vectors[fresh], query))
+            wanted = self.gap / 2
+            if len(found) >= k:
+                best = float(np.partition(score, -k)[-k])
+                wanted = min(wanted, self.reach * max(0.0, 2 * self.longest * (self.longest - best / length)) ** 0.5)
+            if half >= wanted:
                 self.ended.append(half)
-                return found
-            half = min(half * WIDEN, self.gap / 2)
+                self.verified += len(found)
+                return found, score
+            half = min(half * WIDEN, wanted)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -94,22 +111,27 @@ def usable(vectors: DataFrame) -> DataFrame:
     return found.where(F.size("x") == (length["d"] if length else 0))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by every.
 
-    Null, zero or non-finite vectors, and null ids, take no part. Ties go to the
-    smaller vec_id; rows of a query's own id are no candidates. Fewer candidates than k: all of
-    them. No rows give no rows; other columns play no part.
+    Null, zero or non-finite vectors, null ids and vectors of another than the commonest length take no
+    part. Rows of one query id are one query, that of the least vector. Rows of a query's own id are no
+    candidates; all other rows are, those of one id each. Ties go to the smaller vec_id. Fewer candidates
+    than k: all of them. No rows give no rows; other columns play no part.
     """
     found = usable(vectors)
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    n, longest, asked = found.agg(F.count("*"), F.max(norm), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-asked // CHUNK))
-    deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    rows = found.select(deal(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "x")
-    asks = found.where(F.col("vec_id") % every == 0).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(chunks, 2).alias("chunk"), "vec_id", "x"
-    )
+    n, longest, asked, d = found.agg(F.count("*"), F.max(norm), F.count_distinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id"))), F.max(F.size("x"))).first()
+    row_bytes = 8 * (d or 1)
+    blocks = max(1, -(-n * row_bytes // block_bytes))
+    # small tables still give every core a cell
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-asked * row_bytes // chunk_bytes), min(-(-asked // LEAST_CHUNK), -(-2 * cores // blocks)))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
+    rows = found.select(block, "vec_id", "x").select("block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "x")
+    asks = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), chunk, "vec_id", "x")
     longest = float(longest or 1.0)
     schema = "query_id long, vec_id long, score double"
 
