@@ -58,6 +58,9 @@ class Index:
         self.ids, self.owner, self.words = ids, owner, hashes_of(data, starts, ends)
         self.first = np.searchsorted(owner, np.arange(len(ids) + 1))
         size = np.diff(self.first)
+        self.short: dict[tuple, list[int]] = {}  # items of one or two words, by their hashes
+        for k in np.flatnonzero((size > 0) & (size < 3)).tolist():
+            self.short.setdefault(tuple(self.words[self.first[k] : self.first[k + 1]].tolist()), []).append(k)
         run = np.array([least_run(int(n)) if n >= 3 else 0 for n in size], np.int64)
         self.masks = [*MASKS, *("1" * int(r) for r in np.unique(run[run > 0]))]
         self.seeds = []
@@ -72,7 +75,7 @@ class Index:
             self.seeds.append((h[order], at[order], bits))
 
     def matches(self, data: np.ndarray, off: np.ndarray):
-        """(row, item, start, end, equal words, score) of the best stretch of each row and item that reaches the least score."""
+        """(row, item, start, end, equal words, score) of the best stretch of each row and item that reaches the least score; short items by the whole row."""
         data = LOWER[data]
         starts, ends, owner = words_of(data, off, ALNUM)
         h = hashes_of(data, starts, ends)
@@ -91,6 +94,12 @@ class Index:
                         if found and found[3] > best.get(place[:2], (0, 0, 0, 0))[3]:
                             best[place[:2]] = found
         row_first = np.searchsorted(owner, np.arange(len(off)))
+        if self.short:
+            n = np.diff(row_first)
+            for r in np.flatnonzero((n > 0) & (n < 3)).tolist():
+                s, e = int(row_first[r]), int(row_first[r + 1])
+                for t in self.short.get(tuple(h[s:e].tolist()), ()):
+                    best[r, t] = (s, e, e - s, float(e - s))
         return [(r, t, s - int(row_first[r]), e - int(row_first[r]), m, score) for (r, t), (s, e, m, score) in sorted(best.items())]
 
     def _stretch(self, h, owner, row, item, shift):
@@ -123,8 +132,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS)
     """One row for each document and test item that overlap.
 
     doc_id, item_id, start_word, end_word (of the text, end exclusive), n_equal and score.
-    Null or empty texts overlap nothing. An item of one or two words is never
-    searched. Equal items are all reported, repeated rows each. Without items or rows the result is empty.
+    Null or empty texts overlap nothing. An item of one or two words is found where it is the whole text, as
+    such words alone stand in any text. Equal items are all reported, repeated rows each. Without items or rows the
+    result is empty. A text of any length is searched whole.
     A test set of any size is taken in blocks, each against all texts.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()

@@ -21,3 +21,34 @@ def test_accepted_changes_are_found(n):
             want.append((run - np.minimum.accumulate(run)).max() >= min(decontaminate.LEAST, decontaminate.SHARE * n))
     got = {r for r, *_ in index.matches(*common.text_buffer(pa.array(texts)))}
     assert got == set(np.flatnonzero(want).tolist())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_matches_are_those_of_all_diagonals(seed):
+    """Both ways: nothing that the plain search over every item, text and diagonal finds is missed, and nothing else is told."""
+    r = np.random.default_rng(seed)
+    items = [[f"w{int(r.integers(60))}" for _ in range(n)] for n in range(1, 21) for _ in range(2)]
+    texts = [[*items[0]], [*items[2]], [*items[0], "more"], [], ["w1"]]
+    for _ in range(150):
+        own = list(items[int(r.integers(len(items)))])
+        for _ in range(int(r.integers(0, 4))):
+            own[int(r.integers(len(own)))] = f"w{int(r.integers(60))}"
+        side = lambda: [f"w{int(r.integers(60))}" for _ in range(int(r.integers(0, 12)))]
+        texts.append(side() + own[int(r.integers(0, 3)) :] + side())
+
+    def best(text, item):
+        if len(item) < 3:
+            return float(len(item)) if text == item else 0.0
+        top = 0.0
+        for shift in range(-len(item) + 1, len(text)):
+            run = 0.0
+            for q, w in enumerate(item):
+                if 0 <= q + shift < len(text):
+                    run = max(0.0, run + (1.0 if text[q + shift] == w else -decontaminate.MISMATCH))
+                    top = max(top, run)
+        return top if top >= min(decontaminate.LEAST, decontaminate.SHARE * len(item)) else 0.0
+
+    index = decontaminate.Index(list(range(len(items))), pa.array([" ".join(x) for x in items]))
+    got = {(row, item): score for row, item, *_, score in index.matches(*common.text_buffer(pa.array([" ".join(x) for x in texts])))}
+    want = {(i, k): v for i, t in enumerate(texts) for k, x in enumerate(items) if (v := best(t, x))}
+    assert got == want
