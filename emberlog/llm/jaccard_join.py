@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, documents, forget, grams, hashes_of, in_batches, mix, slices, small, text_buffer, words_of, written
+from .common import LOWER, NOT_SPACE, documents, forget, grams, hashes_of, in_batches, mix, slices, small, text_buffer, unused, words_of, written
 
 WORDS = 5
 SHARE = Fraction(4, 5)
@@ -554,12 +554,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = written(jaccard_components(docs), "components")
     drop = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "drop")
     kept = docs.join(small(drop), docs["doc_id"].cast("long") == drop["doc_id"], "left_anti")
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    again = unused(docs, "again")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again))
     twice = written(twice, "twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(small(twice), kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(twice), kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(again)
+    one = kept.join(small(twice), F.col("doc_id") == F.col(again), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(small(twice), F.col("doc_id") == F.col(again), "left_anti").unionByName(one)
 
 
 def op9_jaccard_join(spark, sf_dir):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, small, written
+from .common import documents, small, unused, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -123,15 +123,19 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with the times that each is taken."""
+    """The documents that the mix takes, with mix_copies, the times that each is taken, in place of any such column.
+
+    Nulls, repeated rows and empty tables as in mix; all other columns stay.
+    """
     sizes = written(sized(docs), "sizes")
     state = cuts(sizes, written(targets(sizes), "targets"))
-    state = state.select(F.col("source").alias("_s"), F.col("base").alias("_base"), F.col("cut").alias("_cut"))
+    s, base, cut = (unused(docs, x) for x in ("mix_source", "mix_base", "mix_cut"))
+    state = state.select(F.col("source").alias(s), F.col("base").alias(base), F.col("cut").alias(cut))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))))
     h = F.conv(F.substring(digest, 1, LEVELS * PLACES), 16, 10).cast("long")
-    copies = F.col("_base") + F.when(h < F.col("_cut"), 1).otherwise(0)
-    joined = docs.join(small(state), docs["source"].eqNullSafe(F.col("_s")))
-    return joined.select(*[docs[c] for c in docs.columns], copies.cast("int").alias("mix_copies")).where("mix_copies > 0")
+    copies = F.col(base) + F.when(h < F.col(cut), 1).otherwise(0)
+    joined = docs.join(small(state), F.col("source").eqNullSafe(F.col(s))).where(copies > 0)
+    return joined.select(*[f"`{c}`" for c in docs.columns if c.lower() != "mix_copies"], copies.cast("int").alias("mix_copies"))
 
 
 def op5_mix(spark, sf_dir):
