@@ -20,16 +20,23 @@ from pyspark.sql import types as T
 
 from .common import in_batches, slices
 
+#: of a tag: a quote opens a value only after =, so that a stray one ends with the tag
+_ATTRS = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    # read to their end, or to the page's
+    rf"|<(?P<raw>script|style|textarea|title)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    # these only where they end, and not where they are empty
+    rf"|<(?P<shut>noscript|template|svg|iframe|select)\b{_ATTRS}(?<!/)>.*?</(?P=shut)\s*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>{_ATTRS})>",
     re.S | re.I,
 )
+CUT = re.compile(r"\s*<[a-zA-Z/!?][^>]*\Z")  # a tag that the page's end cuts
 ATTR = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: elements that do not part a line of text
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+EMPTY = frozenset(("svg", "path", "iframe", "template", "noscript", "select"))  # where they end in a slash
 #: an opening tag ends these open elements
 ENDS = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
@@ -49,7 +56,7 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order: character references decoded, white space to one space, trimmed, none empty."""
     out, stack, run, at = [], [], [], 0
-    linked = 0
+    linked = anchors = 0
 
     def flush():
         nonlocal run, linked
@@ -63,9 +70,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if s:
             run.append(s)
-            if any(t == "a" for t, _, _ in stack):
+            if anchors:
                 linked += len(s.strip())
 
+    def close(k):
+        nonlocal anchors
+        anchors -= sum(t == "a" for t, _, _ in stack[k:])
+        del stack[k:]
+
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
@@ -80,17 +92,18 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in ENDS.get(tag, ()):
-                del stack[k:]
+                close(k)
             elif stack[k][0] in SCOPE:
                 break
-        if tag not in VOID:
+        if tag not in VOID and not (tag in EMPTY and m["attr"].endswith("/")):
+            anchors += tag == "a"
             hints, main = [], False
             for name, a, b, c in ATTR.findall(m["attr"] or ""):
                 value = a or b or c
@@ -99,7 +112,7 @@ def blocks(page: str) -> list[Block]:
                 else:
                     hints += [w for w in re.split(r"[^a-z]+", value.lower()) if w]
             stack.append((tag, hints, main))
-    if page[at:].strip() and not page[at:].lstrip().startswith("<"):
+    if not CUT.match(page, at):
         text(page[at:])
     flush()
     return out
@@ -113,6 +126,7 @@ def _number(name: str) -> int:
 def features(page: list[Block]) -> list[list[int]]:
     out = []
     n = len(page)
+    prose = [b.text.count(" ") >= 8 and b.linked < 0.3 for b in page]
     for k, b in enumerate(page):
         words = b.text.count(" ") + 1
         own = {f"in {t}" for t in b.path} | {f"hint {h}" for h in b.hints}
@@ -127,8 +141,10 @@ def features(page: list[Block]) -> list[list[int]]:
         if "©" in b.text or "copyright" in b.text.lower():
             own.add("copyright")
         own.add("first" if not k else "last" if k == n - 1 else "inner")
-        if words > 8 and b.linked < 0.3:
-            own.add("prose")
+        own.add(f"words {min(words.bit_length(), 8)} linked {int(b.linked * 3.999)}")
+        for at, name in ((k - 1, "before"), (k, "here"), (k + 1, "after")):
+            if 0 <= at < n and prose[at]:
+                own.add(f"prose {name}")
         out.append([_number(f) for f in own])
     return out
 
@@ -184,7 +200,7 @@ class Chain:
             np.add.at(dt, (y[:-1], y[1:]), 1)
         return d, dt, d[0]
 
-    def fit(self, pages, epochs: int = 6, rate: float = 0.2, decay: float = 1e-3) -> None:
+    def fit(self, pages, epochs: int = 8, rate: float = 0.2, decay: float = 1e-3) -> None:
         """AdaGrad ascent, a page at a time; pages: (features, states)."""
         r = np.random.default_rng(2)
         gw, gt, gs = np.full(self.w.shape, 1e-6), np.full((2, 2), 1e-6), np.full(2, 1e-6)
@@ -204,7 +220,7 @@ class Chain:
                     p += rate * g / np.sqrt(q)
 
 
-def labelled_pages(n: int = 500, seed: int = 17) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
     """Pages whose main text stands in elements marked data-main; the mark is no feature."""
     r = np.random.default_rng(seed)
     pick = lambda *x: x[int(r.integers(len(x)))]
@@ -236,7 +252,7 @@ def labelled_pages(n: int = 500, seed: int = 17) -> list[str]:
 
     def body(depth=0):
         out = ""
-        for _ in some(1, 14):
+        for _ in some(1, pick(3, 14, 14)):
             k = r.random()
             if k < 0.68:
                 out += f"<p>{pick('', '<b>', '<i>')}{sentences(1, 9)}{pick('</p>', '</p>', '</b></p>', '<br>')}"
@@ -259,22 +275,33 @@ def labelled_pages(n: int = 500, seed: int = 17) -> list[str]:
     pages = []
     for _ in range(n):
         k = r.random()
-        if k < 0.6:
+        if k < 0.45:
             tag, attr = "article", cls("post", "article", "entry")
-        elif k < 0.8:
+        elif k < 0.6:
             tag, attr = "main", cls("content", "main")
-        else:
+        elif k < 0.72:
             tag, attr = "div", must("content", "article-body", "post-content", "entry-content", "story", "main")
+        else:  # nothing tells but the text
+            tag, attr = pick("div", "section", "td", "center", "div"), pick("", "", f' class="{word()}"', f' id="{word()}"')
         title = pick(f"<h1>{words(3, 10)}</h1>", f"<h1>{words(3, 10)}</h1>", "")
         inner = f"<MARK>{title}{body()}</MARK>".replace("<MARK>", "<section data-main=1>").replace("</MARK>", "</section>")
         inner = re.sub(r"<section data-main=1>\s*</section>", "", inner)
+        k = r.random()
+        if k < 0.3:  # paragraphs without an element of their own
+            inner = re.sub("(?<=<)(/?)p(?=>)", r"\1div", inner)
+        elif k < 0.4:
+            inner = inner.replace("<p>", "").replace("</p>", "<br><br>")
+        if r.random() < 0.25:  # names that mislead
+            inner = f'<div{must("notice-board", "comments-policy", "sidebar-story", "ad-hoc", "related-work", "header-image", "footer-notes", "menu-guide", "share-market", "form-letter")}>{inner}</div>'
         before = [parts[x]() for x in ("header", "nav", "notice", "ad", "aside", "form") if r.random() < 0.45]
         after = [parts[x]() for x in ("comments", "aside", "ad", "form", "nav", "notice") if r.random() < 0.35]
         r.shuffle(before)
         r.shuffle(after)
         foot = parts["footer"]() if r.random() < 0.85 else ""
+        if r.random() < 0.25:  # the article and little or nothing else
+            before, after, foot = before[: int(r.integers(0, 2))], [], pick("", "", foot)
         wrap = pick("{}", "{}", '<div class="wrapper">{}</div>', "<section>{}</section>", '<div id="page"><div class="container">{}</div></div>')
-        pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap.format("".join(before) + f"<{tag}{attr}>{inner}</{tag}>" + "".join(after)) + foot + pick("</body></html>", ""))
+        pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap.format("".join(before) + (f"<table><tr>{pick(chr(0), f'<td>{link()} {link()}</td>')}<td{attr}>{inner}</td></tr></table>".replace(chr(0), "") if tag == "td" else f"<{tag}{attr}>{inner}</{tag}>") + "".join(after)) + foot + pick("</body></html>", ""))
     return pages
 
 
@@ -307,7 +334,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the main text, blocks parted by an empty line) and n_chars of every row.
 
     Null or empty html, or a page without main text: the empty text. Repeated rows each give
-    a row; null ids and addresses stay; other columns play no part.
+    a row; null ids and addresses stay; no rows give no rows; other columns play no part. A page of any length
+    is read whole, as one chain.
     """
     shared = pages.sparkSession.sparkContext.broadcast(trained())
 
