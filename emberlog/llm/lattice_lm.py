@@ -1,7 +1,9 @@
 """Language-model scores by subword lattices.
 
 The pieces of an existing unigram vocabulary span a lattice over each word; the sum over all
-segmentations, by forward recursion in log space, is the marginal probability. A word of the training
+segmentations, by forward recursion in log space, is the marginal probability. Two weightings of the pieces run
+through one recursion: the vocabulary's own scores, which give lattice_score, and those fitted to the
+corpus, which give score. For score, a word of the training
 texts has one more arc in its lattice, over the whole word: its count less a discount.
 What is discounted is the weight of the pieces' arcs, so that the sum over all words is one; the
 discount comes from the numbers of words seen once and twice. A text's probability is the product over
@@ -26,7 +28,7 @@ from .common import _BYTE, _P, LOWER, NOT_SPACE, documents, hashes_of, in_batche
 
 RUN_BYTES = 4 << 20  # text of one run: its distinct words are segmented together
 DISTINCT = 400_000  # distinct words that a task counts before it passes sums on
-MARGINALS = 1_000_000  # words in a worker's cache, 16 MB
+MARGINALS = 1_000_000  # words in a worker's cache, 24 MB
 FREQUENT = 131_072  # words in the broadcast table, 2 MB
 ALPHA = 0.1
 FLOOR = 0.01  # expected count added to every piece
@@ -40,7 +42,8 @@ class Pieces:
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         h = np.array([self._hash(p) for p in pieces], _U)
         order = np.argsort(h)
-        self.hash, self.logp = h[order], logp[order]
+        self.hash, self.given = h[order], logp[order]
+        self.logp = self.given.copy()  # of the fitted model
         self.length = np.array([len(p) for p in pieces])[order]
         self.longest = int(self.length.max())
         self.bits = np.zeros(1 << 20, bool)
@@ -61,8 +64,8 @@ class Pieces:
         return may[ok], at[ok]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weight: np.ndarray | None = None):
-        """Log probability of each word after a space; with weights also the expected count of every piece."""
-        out = np.zeros(len(starts))
+        """Log probability of each word after a space, by the fitted and by the given scores; with weights, by the fitted alone, and the expected count of every piece."""
+        out = np.zeros((len(starts), 2 if weight is None else 1))
         expected = np.zeros(len(self.hash)) if weight is not None else None
         size = ends - starts
         order = np.argsort(size, kind="stable")
@@ -85,15 +88,16 @@ class Pieces:
             inv[t] = inverse
             total[t + 1] = total[t] + _BYTE[byte] * _U(power)
             power, inverse = power * int(_P) % (1 << 64), inverse * _INV % (1 << 64)
-        ahead = np.full((n + 2, u), -np.inf)
-        ahead[0] = 0
-        arcs = []
+        scores = [self.logp] if weight is not None else [self.logp, self.given]
+        both = np.full((len(scores), n + 2, u), -np.inf)
+        both[:, 0] = 0
+        ahead, arcs = both[0], []
         for t in range(1, n + 2):
-            acc = ahead[t]
             for k in range(1, min(t, self.longest) + 1):
                 ids, which = self.find(mix((total[t] - total[t - k]) * inv[t - k] + _U(k)))
                 if len(ids):
-                    acc[ids] = np.logaddexp(acc[ids], ahead[t - k, ids] + self.logp[which])
+                    for way, logp in zip(both, scores, strict=True):
+                        way[t, ids] = np.logaddexp(way[t, ids], way[t - k, ids] + logp[which])
                     if weight is not None:
                         arcs.append((t, k, ids, which))
         z = ahead[n + 1]
@@ -105,18 +109,18 @@ class Pieces:
                 back[t - k, ids] = np.logaddexp(back[t - k, ids], through)
                 share = np.exp(ahead[t - k, ids] + through - z[ids]) * weight[ids]
                 expected += np.bincount(which, share, minlength=len(expected))
-        return z
+        return both[:, n + 1].T
 
 
 class Marginals:
     """A worker's log probabilities of words met so far, by sorted hash; emptied when full."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.key, self.value = pieces, np.zeros(0, _U), np.zeros(0)
+        self.pieces, self.key, self.value = pieces, np.zeros(0, _U), np.zeros((0, 2))
 
     def of(self, key: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of distinct words with ascending hashes."""
-        out = np.empty(len(key))
+        """Of distinct words with ascending hashes, by the fitted and by the given scores."""
+        out = np.empty((len(key), 2))
         at = np.searchsorted(self.key, key)
         known = np.zeros(len(key), bool)
         if len(self.key):
@@ -127,7 +131,7 @@ class Marginals:
         if len(self.key) + len(new) > MARGINALS:
             self.key, self.value = key, out
         else:
-            self.key, self.value = np.insert(self.key, at[new], key[new]), np.insert(self.value, at[new], out[new])
+            self.key, self.value = np.insert(self.key, at[new], key[new]), np.insert(self.value, at[new], out[new], axis=0)
         return out
 
 
@@ -254,10 +258,11 @@ def statistics(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of every row.
 
-    vocabulary: path of a sentencepiece model. Null or empty text: only the end
-    token. A null doc_id is held out. Repeated rows each give a row, as each counts
+    vocabulary: path of a sentencepiece model. lattice_score: the log10 probability of the text's words by the
+    vocabulary's scores alone, summed over all segmentations; it has no weight for the end. Null or empty text: only the
+    end token, lattice_score 0. A text of any length is scored whole. A null doc_id is held out. Repeated rows each give a row, as each counts
     in training. No training rows: all counts are zero, the base score is that of
     unseen tokens and the lattice has the file's scores alone. Other columns play no part.
     """
@@ -299,7 +304,7 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
                 starts, ends, owner = words_of(data, off, NOT_SPACE)
                 h = hashes_of(data, starts, ends)
                 key, first, inv = np.unique(h, return_index=True, return_inverse=True)
-                marginal = model.of(key, data, starts[first], ends[first])
+                marginal, given = model.of(key, data, starts[first], ends[first]).T
                 at = np.searchsorted(frequent, key) if len(frequent) else np.zeros(len(key), np.int64)
                 known = np.zeros(len(key), bool)
                 if len(frequent):
@@ -309,6 +314,7 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
                 part_score = np.where(known, np.log10(arc[at] + left * np.exp(marginal)), 0.0) if len(frequent) else np.zeros(len(key))
                 n = np.bincount(owner, minlength=rows)
                 score = np.bincount(owner, part_score[inv], minlength=rows)
+                lattice = np.bincount(owner, given[inv], minlength=rows) / np.log(10)
                 sums = np.bincount(owner, part_base[inv], minlength=rows)
                 hits = np.bincount(owner, known[inv], minlength=rows).astype(np.int64)
                 # other words: one row for each text and word
@@ -319,14 +325,14 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(base + r), part.column("doc_id").take(pa.array(r)), pa.array(np.concatenate([np.zeros(rows, np.int64), key[pair[1]].astype(np.int64)]), mask=np.arange(len(r)) < rows),
-                        pa.array(np.concatenate([n, times]).astype(np.int64)), pa.array(np.concatenate([hits, no.astype(np.int64)])), pa.array(np.concatenate([sums, no])), pa.array(np.concatenate([score, marginal[pair[1]]])),
+                        pa.array(np.concatenate([n, times]).astype(np.int64)), pa.array(np.concatenate([hits, no.astype(np.int64)])), pa.array(np.concatenate([sums, no])), pa.array(np.concatenate([score, marginal[pair[1]]])), pa.array(np.concatenate([lattice, no])),
                     ],
-                    ["row", "doc_id", "word", "n", "n_known", "base", "score"],
+                    ["row", "doc_id", "word", "n", "n_known", "base", "score", "lattice"],
                 )
                 base += rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scanned = in_batches(docs).select("doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, word long, n long, n_known long, base double, score double")
+    scanned = in_batches(docs).select("doc_id", "text").mapInArrow(scan, f"row long, doc_id {kind}, word long, n long, n_known long, base double, score double, lattice double")
     rare = words.join(F.broadcast(spark.createDataFrame(pa.table({"key": top.column("key")}))) if top.num_rows else words.limit(0), "key", "left_anti")
     joined = scanned.join(rare.select(F.col("key").alias("word"), F.col("n").alias("c")), "word", "left")
     c = F.coalesce("c", F.lit(0.0))
@@ -342,12 +348,13 @@ def lm_scores(docs: DataFrame, vocabulary: str) -> DataFrame:
         F.sum(F.when(is_word, F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("n_known"))).alias("known"),
         F.sum(F.when(is_word, F.col("n") * F.log10(c + ALPHA)).otherwise(F.col("base"))).alias("base"),
         F.sum(F.when(is_word, F.col("n") * word_score).otherwise(F.col("score"))).alias("score"),
+        F.sum("lattice").alias("lattice"),
     )
     return sums.select(
         "doc_id", is_held_out().alias("held_out"), (F.col("n") + 1).alias("n_tokens"),
         (F.col("known") + (1 if n_end else 0)).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + end_base - (F.col("n") + 1) * den).alias("base_score"),
-        (F.col("score") + end_score).alias("score"),
+        (F.col("score") + end_score).alias("score"), F.col("lattice").alias("lattice_score"),
     )
 
 
