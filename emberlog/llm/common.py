@@ -178,8 +178,8 @@ def forget(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: A table of two longs of this many rows takes about 64 MB as a hash relation.
-BROADCAST_ROWS = 1_000_000
+#: A table of two longs of this many rows takes about 32 MB as a hash relation.
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

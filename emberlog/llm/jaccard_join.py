@@ -119,23 +119,27 @@ def _describe(docs: DataFrame) -> DataFrame:
     return in_batches(docs).select("doc_id", "text").mapInArrow(scan, ", ".join(f"{x} long" for x in names))
 
 
+EDGES = 200_000  # of a file
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node of each node's component; edges a, b. By large-star and small-star steps."""
+    """node, comp: the smallest node of each node's component; edges a, b. By large-star and small-star steps, until all are stars."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    files = 1 + edges.count() // EDGES
     while True:
+        # a star: each outer node has one edge, and no centre is an outer node
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+        if ends.where("out > 1 or out = 1 and centre = 1").isEmpty():
+            break
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), "large")
+        large = written(large.where("a <> b").distinct().coalesce(files), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        before_edges, edges = edges, written(star.where("a <> b").distinct(), "star")
-        forget(before_edges, large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, edges = edges, written(star.where("a <> b").distinct().coalesce(files), "star")
+        forget(before, large)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
@@ -192,29 +196,25 @@ def _shared(sets: list[np.ndarray], rows: int):
 
 
 def _block_links(k: int, sets: list[np.ndarray], side: np.ndarray, keys: np.ndarray):
-    """(i, all j linked to it, those of them that extend the forest) of one block; pairs that share a minimum hash before k are another block's."""
+    """(i, all j linked to it) of one block; pairs that share a minimum hash before k are another block's."""
     cross = bool((side == 1).any())
     rows = int((side < 2).sum())
     both, n = _shared(sets, rows)
-    part = np.arange(len(sets))
     for i in range(rows):
         lo = rows if cross else i + 1
         link = _linked(both[i, lo:].astype(np.int64), n[i], n[lo:])
         for m in range(k):
             link &= keys[lo:, m] != keys[i, m]
         j = lo + np.flatnonzero(link)
-        if not len(j):
-            continue
-        of, at = np.unique(part[j], return_index=True)
-        fresh = of != part[i]
-        part[np.isin(part, of[fresh])] = part[i]
-        yield i, j, j[at[fresh]]
+        if len(j):
+            yield i, j
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     """Links among the members (block, k, side, class, copies, m0..) of each block, as a, b.
 
-    Every: all of them. Otherwise those of a spanning forest, and rows without b that give the copies linked to a.
+    Every: all of them. Otherwise from each class to the first one of those linked to it in the block, directly or
+    through others, and rows without b that give the copies linked to a.
     """
     keys = [f"m{k}" for k in range(len(SALTS))]
     joined = members.join(sets, "class").repartition("block").sortWithinPartitions("block", "side", "class")
@@ -230,11 +230,15 @@ def _in_blocks(members: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
             k, side, copies, met = int(of[0, 0]), of[:, 1], of[:, 2], of[:, 3:]
             if side.max() > 0 and side.min() == side.max():
                 return
-            degree, some, size = np.zeros(len(ids), np.int64), [], 0
-            for i, j, tree in _block_links(k, own, side, met):
+            degree, some, size, part = np.zeros(len(ids), np.int64), [], 0, np.arange(len(ids))
+            for i, j in _block_links(k, own, side, met):
                 degree[i] += copies[j].sum()
                 degree[j] += copies[i]
-                j = j if every else tree
+                if not every:
+                    of = np.unique(part[np.append(j, i)])
+                    if len(of) > 1:
+                        part[np.isin(part, of)] = of[0]
+                    continue
                 some.append((np.full(len(j), ids[i]), ids[j]))
                 size += len(j)
                 if size > 50_000:
@@ -242,6 +246,9 @@ def _in_blocks(members: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
                     some, size = [], 0
             if some:
                 yield table(some)
+            if not every and (part != np.arange(len(part))).any():
+                i = np.flatnonzero(part != np.arange(len(part)))
+                yield table([(ids[part[i]], ids[i])])
             if not every and degree.any():
                 at = np.flatnonzero(degree)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.nulls(len(at), pa.int64()), pa.array(degree[at])], ["a", "b", "linked"])
