@@ -1,25 +1,24 @@
 """Detection: patterns, thresholds, sequences and composites over events, and what follows on findings.
 
-Stateful rules work per key and island: where the gap to the key's event before exceeds the
-window, all state is empty, so islands are independent and spread hot keys. Rows
-without a timestamp take no part in stateful rules.
+Pattern rules are one projection; a rule's pattern is tried only where one of the words that it cannot do without
+occurs. Rules with state fold each key's events in order (fold.py). Rows without a timestamp take no part in them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import core
 from ..rules.catalog import RULES, TACTICS
-from ..rules.model import Rule, event_filter, matches, pattern_of, step_matches
+from ..rules.model import Rule, event_filter, indicators_of, lowered, matches, may_match, pattern_of, step_matches
+from . import fold
 
 SECOND = 1_000_000
 CHUNK = 32  # patterns in one array, so that generated methods stay small
 # Names of scanning tools
 TOOLS = "sqlmap|nikto|nessus|openvas|masscan|nmap|nuclei|dirbuster|gobuster|feroxbuster|hydra|medusa|burpsuite|metasploit|zgrab"
-EVIDENCE = 10
-CARRIED = ["source_file", "source_ip", "dest_ip", "username", "hostname", "process_name", "event_id", "us", "timestamp", "session_id"]
 
 
 def rules_table(spark, rules=RULES) -> DataFrame:
@@ -30,14 +29,21 @@ def rules_table(spark, rules=RULES) -> DataFrame:
 def regex_hits(events: DataFrame, rules=None) -> DataFrame:
     """One row for each event and pattern rule that it meets: the event's columns, rule_id, matched_text (200 characters at most)."""
     rules = [r for r in (rules or RULES) if r.type == "regex"]
+    fields = sorted({r.match_field for r in rules})
+    names = {f: f"_low_{f}" for f in fields}
+    rows = events.withColumns({names[f]: lowered(f) for f in fields})
     arrays = []
     for at in range(0, len(rules), CHUNK):
         hits = [
-            F.when(matches(r), F.struct(F.lit(r.id).alias("rule_id"), F.substring(F.regexp_extract(F.col(r.match_field).cast("string"), pattern_of(r), 0), 1, 200).alias("matched_text")))
+            F.when(
+                may_match(r, F.col(names[r.match_field])) & matches(r),
+                F.struct(F.lit(r.id).alias("rule_id"), F.substring(F.regexp_extract(F.col(r.match_field).cast("string"), pattern_of(r), 0), 1, 200).alias("matched_text")),
+            )
             for r in rules[at : at + CHUNK]
         ]
         arrays.append(F.array_compact(F.array(*hits)))
-    return events.select("*", F.explode(F.flatten(F.array(*arrays))).alias("_hit")).select("*", "_hit.*").drop("_hit")
+    found = rows.select(*events.columns, F.flatten(F.array(*arrays)).alias("_hits")).where(F.size("_hits") > 0)
+    return found.select(*events.columns, F.explode("_hits").alias("_hit")).select(*events.columns, "_hit.*")
 
 
 def confidence(base, tactics: Column, event_count=None) -> Column:
@@ -60,124 +66,133 @@ def confidence(base, tactics: Column, event_count=None) -> Column:
 
 
 def findings(hits: DataFrame, asset: float = 1.0) -> DataFrame:
-    """Findings of hits: the rule's columns, confidence, risk, and an id that is a hash of what names the finding."""
+    """Findings of hits: the rule's columns, confidence, risk, and an id that is a hash of what names the finding; the event's own severity is event_severity."""
+    hits = hits.withColumnRenamed("severity", "event_severity")
     count = "event_count" if "event_count" in hits.columns else None
     joined = hits.join(F.broadcast(rules_table(hits.sparkSession)), "rule_id")
     out = joined.withColumn("confidence", F.round(confidence("base_confidence", F.col("tactic_ids"), count), 4)).withColumn("risk_score", core.risk_score("severity", "confidence", asset))
     return out.withColumn("id", F.sha2(F.concat_ws(":", "source_file", "rule_id", F.col("line_number").cast("string")), 256))
 
 
-def _islands(rows: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("us", "line_number")
-    gap = F.coalesce(F.col("us") - F.lag("us").over(w) > window_us, F.lit(False))
-    return rows.select("*", F.sum(gap.cast("int")).over(w).alias("island"))
+FIRES = T.StructType([
+    T.StructField("source_file", T.StringType()), T.StructField("key", T.StringType()), T.StructField("rule_id", T.StringType()), T.StructField("line_number", T.LongType()),
+    T.StructField("us", T.LongType()), T.StructField("event_count", T.IntegerType()), T.StructField("first_us", T.LongType()), T.StructField("supporting_lines", T.ArrayType(T.StringType())),
+])
+BITS = 60  # flags of one event that are carried in a number
 
 
-def _keyed(events: DataFrame, rule: Rule) -> tuple[DataFrame, list[str]]:
-    """Events that the rule sees, and its key; one source file never counts with another."""
-    keys = ["source_file", rule.key]
-    return events.where(event_filter(rule.where) & F.col("us").isNotNull() & F.col(rule.key).isNotNull()), keys
+def _parts(rule: Rule) -> list[Rule]:
+    return list(rule.parts) if rule.type == "composite" else [rule]
 
 
-def threshold_fires(events: DataFrame, rule: Rule) -> DataFrame:
-    """source_file, key, line_number, us, event_count, first_us: count events of one key within the window, both ends included; then it begins anew.
+def _flags(rule: Rule) -> list[Column]:
+    """One flag for each step, or one that tells whether the rule sees the event."""
+    if rule.type == "sequence":
+        return [step_matches(s) for s in rule.steps]
+    return [matches(rule) if rule.type == "regex" else event_filter(rule.where)]
 
-    As a fire empties the window, each takes exactly count events: an event is a candidate
-    if the one count - 1 before it is near enough, and fires are candidates at least count apart.
-    """
-    if rule.distinct:
-        return distinct_fires(events, rule)
-    seen, keys = _keyed(events, rule)
-    w = Window.partitionBy(*keys).orderBy("us", "line_number")
-    seen = _islands(seen, keys, rule.seconds * SECOND).select("*", F.row_number().over(w).alias("rn"), F.lag("us", rule.count - 1).over(w).alias("first_us"))
-    able = seen.where(F.col("us") - F.col("first_us") <= rule.seconds * SECOND)
-    able = able.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("rn", "line_number", "us", "first_us"))).alias("c"))
-    kind = "array<struct<rn:int,line_number:bigint,us:bigint,first_us:bigint>>"
-    fold = f"aggregate(c, cast(array() as {kind}), (s, x) -> case when size(s) = 0 or x.rn >= element_at(s, -1).rn + {rule.count} then concat(s, array(x)) else s end)"
-    fires = able.select(*keys, F.explode(F.expr(fold)).alias("f"))
-    return fires.select("source_file", F.col(rule.key).alias("key"), "f.line_number", "f.us", F.lit(rule.count).alias("event_count"), "f.first_us")
-
-
-def distinct_fires(events: DataFrame, rule: Rule) -> DataFrame:
-    """As threshold_fires, for a number of distinct values of a field; null is no value."""
-    seen, keys = _keyed(events, rule)
-    width = rule.seconds * SECOND
-    seen = _islands(seen.select(*keys, "us", "line_number", F.col(rule.distinct).cast("string").alias("v")), keys, width)
-    every = seen.groupBy(*keys, "island").agg(F.countDistinct("v").alias("n"), F.array_sort(F.collect_list(F.struct("us", "line_number", "v"))).alias("c")).where(F.col("n") >= rule.count)
-    kind = "array<struct<us:bigint,line_number:bigint,v:string>>"
-    step = (
-        f"transform(array(filter(concat(s.w, array(x)), y -> y.us >= x.us - {width})), w -> "
-        f"case when size(array_distinct(filter(transform(w, y -> y.v), v -> v is not null))) >= {rule.count} "
-        f"then named_struct('w', cast(array() as {kind}), 'f', concat(s.f, array(named_struct('line_number', x.line_number, 'us', x.us, 'first_us', w[0].us)))) "
-        "else named_struct('w', w, 'f', s.f) end)[0]"
-    )
-    start = f"named_struct('w', cast(array() as {kind}), 'f', cast(array() as array<struct<line_number:bigint,us:bigint,first_us:bigint>>))"
-    fires = every.select(*keys, F.explode(F.expr(f"aggregate(c, {start}, (s, x) -> {step}, s -> s.f)")).alias("f"))
-    return fires.select("source_file", F.col(rule.key).alias("key"), "f.line_number", "f.us", F.lit(rule.count).alias("event_count"), "f.first_us")
 
+def _machine(rule: Rule):
+    width = (rule.seconds or 0) * SECOND
+    if rule.type == "composite":
+        return fold.All([_machine(p) for p in rule.parts], width, rule.logic)
+    if rule.type == "sequence":
+        return fold.Steps([int(s.get("min_count", 1)) for s in rule.steps], width)
+    if rule.type == "regex":
+        return fold.Met()
+    return (fold.Distinct if rule.distinct else fold.Count)(rule.count, width)
 
-def sequence_fires(events: DataFrame, rule: Rule) -> DataFrame:
-    """As threshold_fires, for steps in order.
 
-    The window is anchored at the key's first event since the last reset, whether it is a step or
-    not; an event past it starts anew. One event advances one step at most.
+def fires(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """FIRES rows of threshold, sequence and composite rules; one source file never counts with another.
+
+    All rules of one key run in one pass over its sorted events. Events without a time or without the key take no part,
+    and events that no rule sees stay out of the shuffle unless a sequence's window may begin with them.
     """
-    seen, keys = _keyed(events, rule)
-    width = rule.seconds * SECOND
-    flags = F.array(*[step_matches(s) for s in rule.steps]).alias("b")
-    seen = _islands(seen.select(*keys, "us", "line_number", flags), keys, width)
-    every = seen.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("us", "line_number", "b"))).alias("c"))
-    least = "array(" + ", ".join(str(int(s.get("min_count", 1))) for s in rule.steps) + ")"
-    n = len(rule.steps)
-    kind = "array<struct<line_number:bigint,us:bigint,first_us:bigint>>"
-    state = lambda step, seen, first, fires: f"named_struct('step', {step}, 'n', {seen}, 'first', {first}, 'f', {fires})"
-    fresh = f"case when s.first is null or x.us - s.first > {width} then {state('0', '0', 'x.us', 's.f')} else s end"
-    took = (
-        f"case when not element_at(x.b, r.step + 1) then r when r.n + 1 < element_at({least}, r.step + 1) then {state('r.step', 'r.n + 1', 'r.first', 'r.f')} "
-        f"when r.step + 1 < {n} then {state('r.step + 1', '0', 'r.first', 'r.f')} "
-        f"else {state('0', '0', 'x.us', 'concat(r.f, array(named_struct(' + repr('line_number') + ', x.line_number, ' + repr('us') + ', x.us, ' + repr('first_us') + ', r.first)))')} end"
-    )
-    start = state("0", "0", "cast(null as bigint)", f"cast(array() as {kind})")
-    fold = f"aggregate(c, {start}, (s, x) -> transform(array({fresh}), r -> {took})[0], s -> s.f)"
-    fires = every.select(*keys, F.explode(F.expr(fold)).alias("f"))
-    return fires.select("source_file", F.col(rule.key).alias("key"), "f.line_number", "f.us", F.lit(n).alias("event_count"), "f.first_us")
+    groups: dict[str, list[list[Rule]]] = {}
+    for r in rules:
+        mine = groups.setdefault(r.key, [[]])
+        if sum(len(_flags(p)) for x in [*mine[-1], r] for p in _parts(x)) > BITS:
+            mine.append([])
+        mine[-1].append(r)
+    out = None
+    for key, group in ((k, g) for k, gs in groups.items() for g in gs):
+        flags, values, plan = [], [], []  # plan: (rule, for each part: shift, mask, index of its value)
+        for r in group:
+            own = []
+            for p in _parts(r):
+                f = _flags(p)
+                own.append((len(flags), (1 << len(f)) - 1, len(values) if p.distinct else None))
+                flags += f
+                if p.distinct:
+                    values.append(F.col(p.distinct).cast("string"))
+            plan.append((r, own))
+        mask = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags)), F.lit(0).cast("long"))
+        seen = events.where(F.col("us").isNotNull() & F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
+        seen = seen.select("source_file", F.col(key).cast("string").alias("key"), F.col("us").cast("long").alias("us"), F.col("line_number").cast("long").alias("line_number"), "raw_line", mask.alias("mask"), F.array(*values).cast("array<string>").alias("values"))
+        if not any(p.type == "sequence" for r in group for p in _parts(r)):
+            seen = seen.where("mask <> 0")
+
+        def start(plan=plan):
+            live = [(r.id, r.type == "composite", own, _machine(r)) for r, own in plan]
+
+            def step(row):
+                source, key, us, line_number, raw, mask, values = row
+                out = []
+                for name, several, own, machine in live:
+                    bits = [mask >> at & width for at, width, _ in own]
+                    value = [None if v is None else values[v] for _, _, v in own]
+                    fired = machine.feed(us, bits, value, raw) if several else machine.feed(us, bits[0], value[0], raw)
+                    if fired:
+                        out.append((source, key, name, line_number, us, *fired))
+                return out
+
+            return step
+
+        found = fold.folded(seen, ["source_file", "key"], ["us", "line_number"], start, FIRES)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else events.sparkSession.createDataFrame([], FIRES)
 
 
-def composite_fires(events: DataFrame, subs: list[Column], key: str, seconds: int, logic: str = "AND") -> DataFrame:
-    """Events at which all (or, for OR, any) of the predicates have been met by one key within the window; then all are forgotten.
+def threshold_fires(events: DataFrame, rule: Rule) -> DataFrame:
+    """FIRES of one threshold: count events (or distinct values) of one key within the window, both ends included; then it begins anew."""
+    return fires(events, [rule])
 
-    A predicate met stays met until the window after it has passed, and is not looked at again before.
-    """
-    width = seconds * SECOND
-    keys = ["source_file", key]
-    seen = events.where(F.col("us").isNotNull() & F.col(key).isNotNull()).select(*keys, "us", "line_number", F.array(*[F.coalesce(s, F.lit(False)) for s in subs]).alias("b"))
-    every = _islands(seen.where(F.exists("b", lambda v: v)), keys, width)
-    every = every.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("us", "line_number", "b"))).alias("c"))
-    none = "transform(x.b, v -> cast(null as bigint))"
-    met = f"transform(x.b, (v, i) -> case when element_at(s.t, i + 1) >= x.us - {width} then element_at(s.t, i + 1) when v then x.us end)"
-    done = "exists(x.b, v -> v)" if logic == "OR" else "forall(t, v -> v is not null)"
-    fire = "concat(s.f, array(named_struct('line_number', x.line_number, 'us', x.us)))"
-    step = f"transform(array({met}), t -> case when {done} then named_struct('t', {none}, 'f', {fire}) else named_struct('t', t, 'f', s.f) end)[0]"
-    start = f"named_struct('t', cast(array({', '.join(['null'] * len(subs))}) as array<bigint>), 'f', cast(array() as array<struct<line_number:bigint,us:bigint>>))"
-    fires = every.select(*keys, F.explode(F.expr(f"aggregate(c, {start}, (s, x) -> {step}, s -> s.f)")).alias("f"))
-    return fires.select("source_file", F.col(key).alias("key"), "f.line_number", "f.us")
+
+def sequence_fires(events: DataFrame, rule: Rule) -> DataFrame:
+    """FIRES of one sequence of steps; see fold.Steps."""
+    return fires(events, [rule])
+
+
+def composite_fires(events: DataFrame, rule: Rule) -> DataFrame:
+    """FIRES of a composite, whose parts are pattern, threshold or sequence rules over its key; see fold.All."""
+    return fires(events, [rule])
 
 
 def stateful_hits(events: DataFrame, rules=None) -> DataFrame:
-    """Hits of all threshold and sequence rules: the firing event's columns, rule_id, event_count, and the last lines as evidence."""
-    out = None
-    for rule in rules or RULES:
-        if rule.type == "regex":
-            continue
-        fires = (threshold_fires if rule.type == "threshold" else sequence_fires)(events, rule)
-        fires = fires.select("source_file", "line_number", "event_count", "first_us", F.lit(rule.id).alias("rule_id"))
-        out = fires if out is None else out.unionByName(fires)
-    return events.join(out, ["source_file", "line_number"])
+    """Hits of all rules with state: the firing event's columns, rule_id, event_count, first_us and supporting_lines, the last lines that led to it."""
+    found = fires(events, [r for r in rules or RULES if r.type != "regex"])
+    return events.join(found.select("source_file", "line_number", "event_count", "first_us", "rule_id", "supporting_lines"), ["source_file", "line_number"])
 
 
 def detect(events: DataFrame, rules=None) -> DataFrame:
-    """All findings of all rules."""
-    return findings(regex_hits(events, rules).unionByName(stateful_hits(events, rules), allowMissingColumns=True))
+    """All findings of all rules, with indicators, and supporting_lines where a rule has state."""
+    return with_indicators(findings(regex_hits(events, rules).unionByName(stateful_hits(events, rules), allowMissingColumns=True)), rules)
+
+
+def with_indicators(found: DataFrame, rules=None) -> DataFrame:
+    """Adds indicators, a map of the fields that each rule names (500 characters at most, none that is null), and matched_text."""
+    maps = [(r, indicators_of(r, found.columns)) for r in rules or RULES]
+    by: dict[tuple, list[str]] = {}
+    for r, fields in maps:
+        by.setdefault(tuple(fields), []).append(r.id)
+    pair = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("k"), F.substring(F.col(f).cast("string"), 1, 500).alias("v")))
+    text = [pair("matched_text")] if "matched_text" in found.columns else []
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    out = none
+    for fields, ids in by.items():
+        out = F.when(F.col("rule_id").isin(ids), F.array_compact(F.array(*map(pair, fields), *text)) if fields or text else none).otherwise(out)
+    return found.withColumn("indicators", F.map_from_entries(out))
 
 
 def deduplicate(found: DataFrame, seconds: int = 60) -> DataFrame:
@@ -187,17 +202,33 @@ def deduplicate(found: DataFrame, seconds: int = 60) -> DataFrame:
     """
     width = seconds * SECOND
     source = F.coalesce("source_ip", "hostname", F.lit("?"))
-    rows = found.select("source_file", "rule_id", source.alias("source"), "us", "line_number", F.col("raw_line").alias("line"))
+    rows = found.select("source_file", "rule_id", source.alias("source"), F.col("line_number").cast("long").alias("line_number"), F.col("us").cast("long").alias("us"), F.col("raw_line").alias("line"))
     keys = ["source_file", "rule_id", "source"]
-    timed = _islands(rows.where("us is not null"), keys, width)
-    each = timed.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("us", "line_number", "line"))).alias("c"))
-    kept = "named_struct('us', x.us, 'line_number', x.line_number, 'line', x.line, 'merged', cast(array() as array<string>))"
-    last = "element_at(s, -1)"
-    more = f"case when x.line = {last}.line or array_contains({last}.merged, x.line) then {last}.merged else concat({last}.merged, array(x.line)) end"
-    merge = f"concat(slice(s, 1, size(s) - 1), array(named_struct('us', {last}.us, 'line_number', {last}.line_number, 'line', {last}.line, 'merged', {more})))"
-    kind = "array<struct<us:bigint,line_number:bigint,line:string,merged:array<string>>>"
-    fold = f"aggregate(c, cast(array() as {kind}), (s, x) -> case when size(s) = 0 or x.us - {last}.us > {width} then concat(s, array({kept})) else {merge} end)"
-    out = each.select(*keys, F.explode(F.expr(fold)).alias("f")).select(*keys, "f.line_number", "f.us", "f.merged")
+
+    def start():
+        kept = None  # the kept row, and the lines merged into it
+
+        def step(row):
+            nonlocal kept
+            out = []
+            us, line = row[4], row[5]
+            if kept is not None and us - kept[0][4] <= width:
+                if line is not None and line != kept[0][5]:
+                    kept[1].setdefault(line)
+            else:
+                if kept is not None:
+                    out.append((*kept[0][:5], list(kept[1])))
+                kept = row, {}
+            return out
+
+        def last():
+            return [] if kept is None else [(*kept[0][:5], list(kept[1]))]
+
+        step.last = last
+        return step
+
+    schema = T.StructType([*rows.schema.fields[:5], T.StructField("merged", T.ArrayType(T.StringType()))])
+    out = fold.folded(rows.where("us is not null"), keys, ["us", "line_number"], start, schema)
     untimed = rows.where("us is null").select(*keys, "line_number", "us", F.array().cast("array<string>").alias("merged"))
     return out.unionByName(untimed)
 

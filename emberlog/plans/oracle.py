@@ -6,9 +6,7 @@ from ..operators import correlate, detect, ioc
 from ..rules.catalog import RULES, TACTICS
 from .adapter import EV_SQL
 
-#: lookaheads, which RE2 has not
-NOT_RE2 = ("API-008", "SC-001", "SC-004", "SC-007")
-PATTERN_RULES = [r for r in RULES if r.type == "regex" and r.id not in NOT_RE2]
+PATTERN_RULES = [r for r in RULES if r.type == "regex"]
 PRIVATE = r"'^(10[.]|127[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.])'"
 
 
@@ -32,7 +30,34 @@ def _filter(where: dict) -> str:
     return "".join(f"{c} and " for c in out)
 
 
+def _marked(field: str, prefix: str, names: str) -> str:
+    """The field with a mark in place of names that stand right after the prefix: RE2 has no lookaheads."""
+    return f"regexp_replace({field}, '(?i)({prefix})({names})', '\\1' || chr(1), 'g')"
+
+
+_WEB = "https?://"
+_REPOS = r"pypi\.org|files\.pythonhosted\.org|registry\.npmjs\.org|dl\.google\.com"
+_IMAGES = r"docker\.io\/library\/|gcr\.io\/|public\.ecr\.aws\/|mcr\.microsoft\.com\/|registry\.k8s\.io\/"
+_TYPOS = "requets|reqeusts|requsts|urllib4|urlib3|boto|b0to3|botto3|djang0|flaskk|fastap1|cryptograpy|pycrypto2|openssl2|numpy2|nump1|panads|pnadas|setup-tools|setuptool|pip-tools2|requests-html2"
+LOOKAHEAD = {
+    "API-008": r"(regexp_matches(message, '(?i)(Upgrade:\s*websocket.*Origin:\s*null|text/event-stream.*Origin:\s*null|websocket.*CSWSH|cross.site.*websocket)') "
+    r"or (regexp_matches(message, '(?i)Upgrade:\s*websocket.*Origin:\s*https?://') and not regexp_matches(regexp_extract(message, '(?i)Upgrade:\s*websocket.*Origin:\s*https?://(.*)', 1), '(?i)same-origin')) "
+    r"or (regexp_matches(message, '(?i)Upgrade:\s*websocket\s*\n') and not regexp_matches(regexp_extract(message, '(?i)Upgrade:\s*websocket\s*\n(.*)', 1), '(?i)Origin:')))",
+    "SC-001": "("
+    + " or ".join(
+        [f"regexp_matches({_marked('message', _WEB, names)}, '(?i){head}https?://([^\\x01]|$)')" for names, head in ((r"registry\.npmjs\.org", r"npm\s+install.*--registry\s+"), (r"pypi\.org", r"pip\s+install.*(-i|--index-url)\s+"), (r"rubygems\.org", r"gem\s+install.*--source\s+"))]
+        + [r"regexp_matches(message, '(?i)(package.*installed.*from.*internal.*public|dependency.*confusion)')", f"regexp_matches({_marked('message', _WEB, _REPOS)}, '(?i)Downloading\\s+https?://[^\\s\\x01][^\\s]*\\.(whl|tar\\.gz|tgz|zip)')"]
+    )
+    + ")",
+    "SC-004": f"regexp_matches(message, '(?i)(Collecting\\s+({_TYPOS})(\\s|==|>|$)|installing\\s+(requets|djang0|flaskk|urllib4|boto([^3]|$)))')",
+    "SC-007": f"(regexp_matches({_marked('message', 'docker' + chr(92) + 's+pull' + chr(92) + 's+', _IMAGES)}, '(?i)docker\\s+pull\\s+[^\\s\\x01][^\\s]*/[^\\s]+') or regexp_matches(message, '(?i)Pulling\\s+from\\s+[^\\s]+/(xmrig|minerd)') "
+    + f"or regexp_matches({_marked('message', 'registry', r'(?:' + chr(92) + '.k8s' + chr(92) + '.io|' + chr(92) + '.microsoft' + chr(92) + '.com|' + chr(92) + '.docker' + chr(92) + '.com|gcr' + chr(92) + '.io|ecr' + chr(92) + '.aws)')}, '(?i)image.*pulled.*from.*registry([^\\x01]|$)'))",
+}
+
+
 def _case(rule) -> str:
+    if rule.id in LOOKAHEAD:
+        return f"case when {LOOKAHEAD[rule.id]} then {q(rule.id)} end"
     pattern = "(?i)" + rule.pattern.replace("(?i)", "")
     return f"case when {_filter(rule.where)} regexp_matches({rule.match_field}::varchar, {q(pattern)}) then {q(rule.id)} end"
 
@@ -83,12 +108,16 @@ SQL["sequence_fires"] = (
     "select key, line_number from f where fired"
 )
 SQL["composite_fires"] = (
+    # p: a failure that counts; a, b: when the threshold and the pattern were met
     f"with recursive {EV_SQL}, seen as ({_RN.format(c=chr(97) + 'uth_result, http_user_agent')}), "
-    "f(key, rn, a, b, line_number, fired) as (select key, 0::bigint, null::bigint, null::bigint, null::bigint, false from seen where rn = 1 union all "
-    "select key, rn, case when x is not null and y is not null then null else x end, case when x is not null and y is not null then null else y end, line_number, x is not null and y is not null from ("
-    "select s.key, s.rn, s.line_number, case when f.a >= s.us - 172800000000 then f.a when auth_result = 'failure' then s.us end as x, "
-    "case when f.b >= s.us - 172800000000 then f.b when starts_with(http_user_agent, 'sqlmap') then s.us end as y from f join seen s on s.key = f.key and s.rn = f.rn + 1)) "
-    "select key, line_number from f where fired"
+    "f(key, rn, p, a, b, line_number, fired) as (select key, 0::bigint, null::bigint, null::bigint, null::bigint, null::bigint, false from seen where rn = 1 union all "
+    "select key, rn, p, case when a is null or b is null then a end, case when a is null or b is null then b end, line_number, a is not null and b is not null from ("
+    "select key, rn, line_number, case when a0 is not null or auth_result is distinct from 'failure' then p when p >= us - 172800000000 then null else us end as p, "
+    "case when a0 is not null then a0 when auth_result = 'failure' and p >= us - 172800000000 then us end as a, "
+    "case when b0 is not null then b0 when regexp_matches(http_user_agent, '(?i)^sqlmap') then us end as b from ("
+    "select s.key, s.rn, s.us, s.line_number, s.auth_result, s.http_user_agent, f.p, case when f.a >= s.us - 345600000000 then f.a end as a0, case when f.b >= s.us - 345600000000 then f.b end as b0 "
+    "from f join seen s on s.key = f.key and s.rn = f.rn + 1))) "
+    "select key, line_number, 2 as event_count from f where fired"
 )
 SQL["deduplicated"] = FINDINGS + (
     ", seen as (select rule_id, source_ip as source, us, line_number, raw_line, row_number() over (partition by rule_id, source_ip order by us, line_number) as rn from found), "

@@ -9,14 +9,14 @@ from .functions import core
 from .operators import cases, correlate, detect, ioc, search, text
 from .plans import oracle
 from .plans.adapter import events
-from .rules.model import Rule
+from .rules.model import C, Rule
 from .sources import formats
 from .streaming import jobs
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every pattern rule that SQL can repeat."""
-    return detect.findings(detect.regex_hits(events(spark, sf_dir), oracle.PATTERN_RULES))
+    """Findings of all pattern rules."""
+    return detect.findings(detect.regex_hits(events(spark, sf_dir)))
 
 
 def _rule(**k) -> Rule:
@@ -27,6 +27,8 @@ DAY = 86400
 THRESHOLD = _rule(type="threshold", where={"auth_result": "failure"}, key="source_ip", count=4, seconds=2 * DAY)
 DISTINCT = _rule(type="threshold", key="username", count=4, seconds=DAY, distinct="dest_port")
 SEQUENCE = _rule(type="sequence", key="username", seconds=5 * DAY, steps=({"match_field": "auth_result", "value": "failure", "min_count": 2}, {"match_field": "auth_result", "value": "success"}))
+#: two failures within two days and a scanner's name within four, in any order
+COMPOSITE = C("X-2", "username", 4 * DAY, [_rule(type="threshold", where={"auth_result": "failure"}, key="username", count=2, seconds=2 * DAY), _rule(type="regex", match_field="http_user_agent", pattern="^sqlmap")])
 SESSION = "2024-01-10"
 
 
@@ -35,8 +37,7 @@ def _features(s, d):
 
 
 def _composite(s, d):
-    subs = [F.col("auth_result") == "failure", F.col("http_user_agent").startswith("sqlmap")]
-    return detect.composite_fires(events(s, d), subs, "username", 2 * DAY).select("key", "line_number")
+    return detect.composite_fires(events(s, d), COMPOSITE).select("key", "line_number", "event_count")
 
 
 def _deduplicated(s, d):
@@ -140,7 +141,7 @@ QUERIES = {
     "selection": lambda s, d: events(s, d).where(cases.selection({"http_uri_decoded|contains": ["login", "etc?passwd"], "Agent": "sql*"}, {"Agent": "http_user_agent"})).select("line_number"),
     "hash_vectors": lambda s, d: _docs(s, d).select("doc_id", F.round(F.element_at(text.hash_vector(F.coalesce("text", F.lit(""))), 1), 6).alias("first")),
     "event_rows": lambda s, d: events(s, d).select("line_number", "username", "source_ip", "auth_result", "http_status", "http_uri_decoded", "http_bytes", "session_id"),
-    "detect_patterns": lambda s, d: detect.regex_hits(events(s, d), oracle.PATTERN_RULES).select("rule_id", "line_number"),
+    "detect_patterns": lambda s, d: detect.regex_hits(events(s, d)).select("rule_id", "line_number"),
     "detect_all_rules": lambda s, d: detect.detect(events(s, d)).select("rule_id", "line_number", "severity", "confidence", "risk_score"),
     "findings": lambda s, d: found(s, d).select("id", "rule_id", "line_number", "severity", "confidence", "risk_score"),
     "threshold_fires": lambda s, d: detect.threshold_fires(events(s, d), THRESHOLD).select("key", "line_number", "first_us", "event_count"),

