@@ -174,7 +174,7 @@ def risk_band(score) -> Column:
 
 def anomaly_label(score) -> Column:
     s = c(score)
-    return F.when(s >= 8, "CRITICAL").when(s >= 6, "HIGH").when(s >= 4, "MEDIUM").otherwise("LOW")
+    return F.when(s >= 8, "CRITICAL anomaly").when(s >= 6, "HIGH anomaly").when(s >= 4, "SUSPICIOUS").otherwise("Normal")
 
 
 def threat_level(critical, high, medium, low) -> Column:

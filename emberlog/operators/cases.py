@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
@@ -40,8 +40,11 @@ def new_entries(ledger: DataFrame, more: DataFrame, key: str = "sha256") -> Data
 
 # --- playbooks ---------------------------------------------------------------------
 
-# Other names of categories
-ALIASES = {"auth": "auth_attack", "api_attack": "api_security", "lolbin": "living_off_land", "cloud_attack": "cloud_container", "network_attack": "network_protocol"}
+# Categories whose playbook is another's
+ALIASES = {
+    "api_security": "web_attack", "bot_activity": "web_attack", "recon": "default", "discovery": "default", "defense_evasion": "persistence", "impact": "malware", "insider_threat": "auth_attack",
+    "cloud_container_attack": "default", "supply_chain": "malware", "living_off_land": "privilege_escalation", "network_protocol": "lateral_movement",
+}
 
 
 def playbook_steps(found: DataFrame, steps: DataFrame) -> DataFrame:
@@ -56,11 +59,26 @@ def playbook_steps(found: DataFrame, steps: DataFrame) -> DataFrame:
 # --- decoys ------------------------------------------------------------------------
 
 
+PHRASES = 1000  # decoys that are looked for in every line, at most
+
+
 def decoy_hits(events: DataFrame, decoys: DataFrame) -> DataFrame:
-    """Events whose line holds a decoy's value as a word; by an equal join on the line's words, as decoys are single words."""
-    words = events.select("line_number", "source_file", "source_ip", "us", F.explode(F.array_distinct(F.regexp_extract_all("raw_line", F.lit(r"[\w@.-]{6,}"), 0))).alias("word"))
-    hit = words.join(decoys.select("token_id", F.col("value").alias("word")), "word")
-    return hit.select("token_id", "line_number", "source_file", "source_ip", "us", F.lit("CANARY-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("insider_threat").alias("category"), F.lit(9.0).alias("risk_score"), F.lit("T1005").alias("technique"))
+    """Events whose line holds a decoy's value, whatever its case.
+
+    Decoys that are one word of six characters or more meet the line's words by an equal join; the others, which are few and are
+    broadcast, are looked for in every line.
+    """
+    plain = F.col("value").rlike(r"^[\w@.-]{6,}$")
+    one = decoys.where(plain).select("token_id", F.lower("value").alias("word"))
+    carried = ["line_number", "source_file", "source_ip", "us"]
+    words = events.select(*carried, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_line"), F.lit(r"[\w@.-]{6,}"), 0))).alias("word"))
+    hit = words.join(one, "word").select("token_id", *carried)
+    rest = decoys.where(~plain & (F.col("value") != "")).select("token_id", F.lower("value").alias("_value"))
+    if rest.limit(PHRASES + 1).count() > PHRASES:
+        raise ValueError(f"more than {PHRASES} decoys are short or of several words")
+    more = events.join(F.broadcast(rest), F.lower("raw_line").contains(F.col("_value"))).select("token_id", *carried)
+    hit = hit.unionByName(more)
+    return hit.select("token_id", *carried, F.lit("CANARY-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("insider_threat").alias("category"), F.lit(9.0).alias("risk_score"), F.lit("T1005").alias("technique"))
 
 
 # --- observed data, actors, objects ------------------------------------------------
@@ -106,7 +124,8 @@ LAYOUTS = {
     "zeek": ["indicator", "indicator_type", "meta.source"],
     "misp": ["category", "type", "value", "comment", "to_ids"],
 }
-ZEEK_TYPES = {"ipv4": "Intel::ADDR", "domain": "Intel::DOMAIN", "hostname": "Intel::DOMAIN", "url": "Intel::URL", "email": "Intel::EMAIL", "md5": "Intel::FILE_HASH", "sha1": "Intel::FILE_HASH", "sha256": "Intel::FILE_HASH"}
+# Names of kinds in that layout
+ZEEK_TYPES = {"ipv4": "Intel::ADDR", "domain": "Intel::DOMAIN", "hostname": "Intel::DOMAIN", "url": "Intel::URL", "email": "Intel::EMAIL", "hash_md5": "Intel::FILE_HASH", "hash_sha1": "Intel::FILE_HASH", "hash_sha256": "Intel::FILE_HASH"}
 MISP_CATEGORIES = {"ipv4": "Network activity", "domain": "Network activity", "hostname": "Network activity", "url": "Network activity", "email": "Payload delivery"}
 
 
@@ -172,6 +191,7 @@ def ledger_summary(entries: DataFrame) -> DataFrame:
 
 def hints(found: DataFrame) -> DataFrame:
     """rule_id and what the first trigger line of each rule shows: addresses, request paths, quoted texts, event numbers, users, processes."""
+    # The patterns
     every = lambda p, k=1: F.regexp_extract_all("raw_line", F.lit(p), k)
     first = found.groupBy("rule_id", "category").agg(F.min_by("raw_line", "line_number").alias("raw_line"))
     return first.select(
@@ -180,6 +200,31 @@ def hints(found: DataFrame) -> DataFrame:
     )
 
 
+def signed(entries: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Ledger entries with entry_hmac, the HMAC-SHA256 of their columns as JSON; a null column is left out of it."""
+    return entries.withColumn("entry_hmac", _hmac(key, F.to_json(F.struct(*sorted(columns)))))
+
+
+def _hmac(key: str, text) -> Column:
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytearray(b ^ x for b in raw))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), text.cast("binary")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def verified(entries: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """entry_id, hmac_ok, file_ok, verified and error of each ledger entry: its signature, and its file's hash against that now (path, sha256)."""
+    now = current.select(F.col("path").alias("file_path"), F.col("sha256").alias("_now"))
+    ok = F.coalesce(_hmac(key, F.to_json(F.struct(*sorted(columns)))) == F.col("entry_hmac"), F.lit(False))
+    file_ok = F.coalesce(F.col("_now") == F.col("sha256"), F.lit(False))
+    out = entries.withColumn("hmac_ok", ok).join(now, "file_path", "left").withColumn("file_ok", file_ok)
+    error = F.when(F.col("_now").isNull(), "missing").when(~F.col("hmac_ok"), "tampered").when(~F.col("file_ok"), "modified")
+    return out.select("entry_id", "hmac_ok", "file_ok", (F.col("hmac_ok") & F.col("file_ok")).alias("verified"), error.alias("error"))
+
+
 # --- time --------------------------------------------------------------------------
 
 
@@ -213,3 +258,73 @@ def selection(fields: dict, mapping: dict | None = None):
             one = one | F.coalesce(F.col((mapping or {}).get(field, field)).cast("string").rlike(f"(?is)^{p}$"), F.lit(False))
         out = out & one
     return out
+
+
+def condition(text: str, selections: dict[str, dict], mapping: dict | None = None):
+    """A column from a condition over named selections: names, and, or, not, parentheses, 1 of them, all of them, 1 of name*, all of name*."""
+    import re as _re
+
+    names = {k: selection(v, mapping) if isinstance(v, dict) else _any([selection(x, mapping) for x in v]) for k, v in selections.items()}
+    words = _re.findall(r"\(|\)|(?:1|all) of [\w*]+|[\w*]+", text)
+    at = 0
+
+    def term():
+        nonlocal at
+        w = words[at]
+        at += 1
+        if w == "not":
+            return ~term()
+        if w == "(":
+            out = either()
+            at += 1
+            return out
+        if " of " in w:
+            how, pattern = w.split(" of ")
+            own = [c for k, c in names.items() if pattern == "them" or _re.fullmatch(pattern.replace("*", ".*"), k)]
+            return _any(own) if how == "1" else _every(own)
+        return names[w]
+
+    def both():
+        nonlocal at
+        out = term()
+        while at < len(words) and words[at] == "and":
+            at += 1
+            out = out & term()
+        return out
+
+    def either():
+        nonlocal at
+        out = both()
+        while at < len(words) and words[at] == "or":
+            at += 1
+            out = out | both()
+        return out
+
+    return either()
+
+
+def _any(columns):
+    out = F.lit(False)
+    for c in columns:
+        out = out | c
+    return out
+
+
+def _every(columns):
+    out = F.lit(True)
+    for c in columns:
+        out = out & c
+    return out
+
+
+#: formats of a product or service that rules name as their source
+LOG_SOURCES = {
+    "windows": ["windows_evtx", "windows_sysmon", "powershell_script"], "linux": ["syslog", "auth_log", "auditd", "journald"], "webserver": ["apache_combined", "nginx_access", "iis_w3c"],
+    "aws": ["aws_cloudtrail"], "azure": ["azure_activity", "azure_signin"], "gcp": ["gcp_audit"], "zeek": ["zeek_conn", "zeek_dns", "zeek_http", "zeek_ssl"],
+}
+
+
+def from_source(product: str | None):
+    """Whether an event's format is one of a product's; any for none or for one that isn't known."""
+    known = LOG_SOURCES.get((product or "").lower())
+    return F.col("log_format").isin(known) if known else F.lit(True)

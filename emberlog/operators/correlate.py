@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
@@ -51,7 +51,7 @@ def entity_risk(found: DataFrame) -> DataFrame:
     """kind, value, risk_score, risk_band, finding_count, latest_us of every entity."""
     bonus = F.array_max(F.transform("tactic_names", lambda t: core.lookup(TACTIC_BONUS, t, 1.0)))
     chain = F.when(F.col("category").isin(*CHAIN_CATEGORIES), CHAIN_BONUS).otherwise(1.0)
-    part = F.greatest("risk_score", core.lookup(core.WEIGHTS, "severity", 2.0)) * F.coalesce("confidence", F.lit(0.75)) * F.coalesce(bonus, F.lit(1.0)) * chain
+    part = F.greatest("risk_score", core.lookup(core.WEIGHTS, "severity", 2.0)) * F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(0.75)) * F.coalesce(bonus, F.lit(1.0)) * chain
     score = F.least(F.lit(100.0), F.round(F.sum("part") * SCALE, 2))
     out = entities(found.withColumn("part", part)).groupBy("kind", "value").agg(score.alias("risk_score"), F.count("*").alias("finding_count"), F.max("us").alias("latest_us"))
     return out.withColumn("risk_band", core.risk_band("risk_score"))
@@ -68,11 +68,11 @@ FEATURES = ["finding_count", "auth_failure_rate", "distinct_dests", "off_hours_s
 
 
 def behaviour(found: DataFrame) -> DataFrame:
-    """session_id, entity (the first of address, user, host) and its features."""
+    """session_id, entity (the first of address, user, host) and its features; a finding whose category holds auth counts as a failure."""
     share = lambda cond: F.avg(F.when(F.coalesce(cond, F.lit(False)), 1.0).otherwise(0.0))
     rows = found.withColumn("entity", F.coalesce("source_ip", "username", "hostname")).where("entity is not null")
     return rows.groupBy("session_id", "entity").agg(
-        F.count("*").cast("double").alias("finding_count"), share(F.col("auth_result") == "failure").alias("auth_failure_rate"),
+        F.count("*").cast("double").alias("finding_count"), share((F.col("auth_result") == "failure") | F.lower("category").contains("auth")).alias("auth_failure_rate"),
         F.countDistinct("dest_ip").cast("double").alias("distinct_dests"), share((F.col("hour_of_day") < 8) | (F.col("hour_of_day") >= 18)).alias("off_hours_share"),
         share(F.col("severity").isin("HIGH", "CRITICAL")).alias("high_share"), F.avg(core.severity_rank("severity")).alias("mean_severity"),
     )
@@ -89,26 +89,37 @@ def baseline(features: DataFrame) -> DataFrame:
     return _long(features).groupBy("entity", "feature").agg(F.avg("x").alias("mean"), std.alias("std"), F.count("*").alias("sessions"))
 
 
-def anomaly(features: DataFrame, session: str) -> DataFrame:
-    """entity, score, label, anomalous of one session against all others: twice the mean absolute z, at most 10.
+def anomaly(features: DataFrame, session: str, threshold: float = 6.0) -> DataFrame:
+    """entity, score, label, anomalous, has_baseline and flags of one session against all others: twice the mean absolute z, at most 10.
 
-    An entity without a past scores points for high features: 3 for many findings, 3 for failures, 2 each for destinations, hours and severity.
+    An entity without a past scores points for high features: 3 each for failures and grave findings, 2 each for hours,
+    destinations and mean severity.
     """
     now, past = features.where(F.col("session_id") == session), baseline(features.where(F.col("session_id") != session))
     z = _long(now).join(past, ["entity", "feature"], "left").groupBy("entity").agg(F.avg(F.abs((F.col("x") - F.col("mean")) / F.col("std"))).alias("z"))
-    pts = lambda cond, n: F.when(cond, n).otherwise(0)
-    points = pts(F.col("finding_count") > 20, 3) + pts(F.col("auth_failure_rate") > 0.5, 3) + pts(F.col("distinct_dests") > 10, 2) + pts(F.col("off_hours_share") > 0.5, 2) + pts(F.col("high_share") > 0.5, 2)
+    pts = lambda c, least, n: F.when(F.col(c) > least, n).otherwise(0)
+    points = pts("auth_failure_rate", 0.5, 3) + pts("high_share", 0.3, 3) + pts("off_hours_share", 0.5, 2) + pts("distinct_dests", 10, 2) + pts("mean_severity", 2.5, 2)
     score = F.round(F.least(F.coalesce(F.col("z") * 2, points.cast("double")), F.lit(10.0)), 1)
-    out = now.join(z, "entity").select("entity", score.alias("score"))
-    return out.select("*", core.anomaly_label("score").alias("label"), (F.col("score") >= 6.0).alias("anomalous"))
+    flag = lambda c, least, name: F.when(F.col(c) > least, name)
+    flags = F.array_compact(F.array(flag("auth_failure_rate", 0.4, "failures"), flag("high_share", 0.25, "grave"), flag("off_hours_share", 0.4, "off hours"), flag("distinct_dests", 8, "many destinations")))
+    out = now.join(z, "entity").select("entity", score.alias("score"), F.col("z").isNotNull().alias("has_baseline"), flags.alias("flags"))
+    return out.select("entity", "score", core.anomaly_label("score").alias("label"), (F.col("score") >= threshold).alias("anomalous"), "has_baseline", "flags")
+
+
+def ends(found: DataFrame) -> tuple[Column, Column]:
+    """Source and target of a finding in graphs: the address or external; the first of host, address, process, file and category that there is."""
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    name = F.element_at(F.split(some("source_file"), r"[/\\\\]"), -1)
+    target = F.coalesce(some("hostname"), some("dest_ip"), F.concat(F.lit("process:"), some("process_name")), F.concat(F.lit("log:"), name), F.concat(F.lit("target:"), some("category")), F.lit("observed-target"))
+    return F.coalesce(some("source_ip"), F.lit("external")), target
 
 
 def graph_edges(found: DataFrame) -> DataFrame:
-    """source, target, weight, max_risk, max_severity, techniques of the attack graph; the target is the first of host, address, process, file that there is."""
-    target = F.coalesce("hostname", "dest_ip", F.concat(F.lit("process:"), "process_name"), F.concat(F.lit("log:"), "source_file"))
-    rows = found.where("source_ip is not null").select("*", target.alias("target"), core.severity_rank("severity").alias("rank"))
+    """source, target, weight, max_risk, max_severity, techniques of the attack graph; see ends."""
+    source, target = ends(found)
+    rows = found.select("*", source.alias("_source"), target.alias("target"), core.severity_rank("severity").alias("rank"))
     top = F.element_at(F.array(*map(F.lit, core.SEVERITIES)), F.max("rank") + 1)
-    return rows.groupBy(F.col("source_ip").alias("source"), "target").agg(
+    return rows.groupBy(F.col("_source").alias("source"), "target").agg(
         F.count("*").alias("weight"), F.max("risk_score").alias("max_risk"), top.alias("max_severity"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("mitre_ids")))).alias("techniques"),
     )
@@ -165,3 +176,21 @@ def source_chains(found: DataFrame, width: int = 8, top: int = 20) -> DataFrame:
     names = F.array_join(F.slice(F.transform(ordered, lambda x: x["category"]), 1, width), ",")
     out = per.groupBy("source_ip").agg(F.sum("n").alias("finding_count"), F.max("risk").alias("max_risk"), names.alias("categories"))
     return out.orderBy(F.desc("max_risk"), F.desc("finding_count"), "source_ip").limit(top)
+
+
+def derived_chains(found: DataFrame, top: int = 20) -> DataFrame:
+    """chain_name, source, categories, rules, techniques, finding_count, max_risk_score: what each source did, in order of time.
+
+    The first 8 categories, 12 rules and 12 techniques (of each finding at most 4) by when they were first seen; the top
+    sources by risk, number and name. What is kept for a source is one row for each distinct name.
+    """
+    source = F.coalesce(F.nullif("source_ip", F.lit("")), F.nullif("hostname", F.lit("")), F.lit("unknown-source"))
+    rows = found.select(source.alias("source"), F.coalesce("category", F.lit("uncategorized")).alias("category"), F.coalesce("rule_id", F.lit("rule")).alias("rule"), "mitre_ids", "risk_score", F.struct("us", "line_number", "rule_id").alias("at"))
+    names = F.concat(F.array(F.struct(F.lit("c").alias("k"), F.col("category").alias("v"), F.lit(0).alias("i")), F.struct(F.lit("r").alias("k"), F.col("rule").alias("v"), F.lit(0).alias("i"))), F.transform(F.slice(F.coalesce("mitre_ids", F.array().cast("array<string>")), 1, 4), lambda t, i: F.struct(F.lit("t").alias("k"), t.alias("v"), i.alias("i"))))
+    seen = rows.select("source", "at", F.explode(names).alias("n")).groupBy("source", "n.k", "n.v").agg(F.min(F.struct("at", "n.i")).alias("first"))
+    of = lambda k, most: F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("first", "v")))), lambda x: x["v"]), 1, most)
+    lists = seen.groupBy("source").agg(of("c", 8).alias("categories"), of("r", 12).alias("rules"), of("t", 12).alias("techniques"))
+    out = rows.groupBy("source").agg(F.count("*").alias("finding_count"), F.round(F.max("risk_score"), 2).alias("max_risk_score")).join(lists, "source")
+    words = F.array_join(F.transform(F.slice("categories", 1, 5), lambda c: F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))), " -> ")
+    out = out.where((F.size("categories") > 1) | (F.size("techniques") > 0) | (F.col("max_risk_score") > 0)).withColumn("chain_name", F.concat("source", F.lit(": "), words))
+    return out.orderBy(F.desc("max_risk_score"), F.desc("finding_count"), "chain_name").limit(top)

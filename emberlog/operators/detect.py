@@ -1,7 +1,6 @@
 """Detection: patterns, thresholds, sequences and composites over events, and what follows on findings.
 
-Pattern rules are one projection; a rule's pattern is tried only where one of the words that it cannot do without
-occurs. Rules with state fold each key's events in order (fold.py). Rows without a timestamp take no part in them.
+Pattern rules are one projection. Rules with state fold each key's events in order (fold.py). Rows without a timestamp take no part in them.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import core
 from ..rules.catalog import RULES, TACTICS
-from ..rules.model import Rule, event_filter, indicators_of, lowered, matches, may_match, pattern_of, step_matches
+from ..rules.model import Rule, event_filter, indicators_of, matches, pattern_of, step_matches
 from . import fold
 
 SECOND = 1_000_000
@@ -29,21 +28,14 @@ def rules_table(spark, rules=RULES) -> DataFrame:
 def regex_hits(events: DataFrame, rules=None) -> DataFrame:
     """One row for each event and pattern rule that it meets: the event's columns, rule_id, matched_text (200 characters at most)."""
     rules = [r for r in (rules or RULES) if r.type == "regex"]
-    fields = sorted({r.match_field for r in rules})
-    names = {f: f"_low_{f}" for f in fields}
-    rows = events.withColumns({names[f]: lowered(f) for f in fields})
     arrays = []
     for at in range(0, len(rules), CHUNK):
         hits = [
-            F.when(
-                may_match(r, F.col(names[r.match_field])) & matches(r),
-                F.struct(F.lit(r.id).alias("rule_id"), F.substring(F.regexp_extract(F.col(r.match_field).cast("string"), pattern_of(r), 0), 1, 200).alias("matched_text")),
-            )
+            F.when(matches(r), F.struct(F.lit(r.id).alias("rule_id"), F.substring(F.regexp_extract(F.col(r.match_field).cast("string"), pattern_of(r), 0), 1, 200).alias("matched_text")))
             for r in rules[at : at + CHUNK]
         ]
         arrays.append(F.array_compact(F.array(*hits)))
-    found = rows.select(*events.columns, F.flatten(F.array(*arrays)).alias("_hits")).where(F.size("_hits") > 0)
-    return found.select(*events.columns, F.explode("_hits").alias("_hit")).select(*events.columns, "_hit.*")
+    return events.select("*", F.explode(F.flatten(F.array(*arrays))).alias("_hit")).select("*", "_hit.*").drop("_hit")
 
 
 def confidence(base, tactics: Column, event_count=None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
@@ -50,8 +50,6 @@ def by_risk(found: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
 
 def page(found: DataFrame, number: int, size: int) -> DataFrame:
     """One page in order of risk, with has_more: whether another follows. One row more than the page is fetched."""
-    from pyspark.sql import Window
-
     rows = by_risk(found, size + 1, number * size)
     w = Window.orderBy(F.desc("risk_score"), F.desc("us"), "line_number", "rule_id")
     every = Window.partitionBy()
@@ -64,16 +62,23 @@ def timeline(found: DataFrame, severities=None, limit: int = 100, offset: int =
     return out.orderBy("us", "line_number", "rule_id").offset(offset).limit(limit)
 
 
+def dimensions(found: DataFrame, dims: list[tuple[str, int | None]]) -> DataFrame:
+    """dimension, value, n, max_risk, avg_risk, first_us, last_us: each column's values, the most frequent ones where a number is given; total is all findings.
+
+    One pass and one shuffle of partial sums, whatever the number of dimensions.
+    """
+    value = lambda c: F.lit("all") if c == "total" else F.col(c).cast("string")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), value(c).alias("value")) for c, _ in dims])).alias("d")
+    rows = found.select("risk_score", "us", each).where("d.value is not null")
+    n = rows.groupBy("d.dimension", "d.value").agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))
+    most = core.lookup({c: k for c, k in dims if k}, "dimension")
+    return n.withColumn("_r", rank).where(F.coalesce(F.col("_r") <= most, F.lit(True))).drop("_r")
+
+
 def summary(found: DataFrame, top: int = 10) -> DataFrame:
     """dimension, value, n, max_risk, avg_risk: by severity, category, and the top addresses, hosts and rules."""
-    dims = [("severity", None), ("category", None), ("source_ip", top), ("hostname", top), ("rule_id", top)]
-    out = None
-    for c, k in dims:
-        one = found.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"))
-        one = one.orderBy(F.desc("n"), "value").limit(k) if k else one
-        one = one.select(F.lit(c).alias("dimension"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return dimensions(found, [("severity", None), ("category", None), ("source_ip", top), ("hostname", top), ("rule_id", top)]).drop("first_us", "last_us")
 
 
 def threat_levels(found: DataFrame) -> DataFrame:

@@ -136,16 +136,17 @@ _ENT = ", ent as (select *, unnest([{'kind': 'ip', 'value': source_ip}, {'kind':
 _BONUS = "case t " + " ".join(f"when {q(k)} then {v}::double" for k, v in correlate.TACTIC_BONUS.items()) + " else 1.0 end"
 _SCORED = f", bonus as (select rule_id, max({_BONUS}) as bonus from (select rule_id, unnest(tactic_names) as t from rules) group by rule_id), scored as (select f.*, greatest(risk_score, {WEIGHT}) * confidence * bonus * case when category in ('lateral_movement', 'persistence', 'exfiltration', 'privilege_escalation') then 1.15::double else 1.0 end as part from found f join bonus using (rule_id))"
 BAND = "case when s >= 85 then 'CRITICAL' when s >= 70 then 'HIGH' when s >= 40 then 'MEDIUM' when s > 0 then 'LOW' else 'INFO' end"
-SQL["entity_risk"] = FINDINGS + _SCORED + _ENT + f"select kind, value, s as risk_score, {BAND} as risk_band, n as finding_count from (select kind, value, least(100.0, round(sum(part) * 2.4, 2)) as s, count(*) as n from ent group by kind, value)"
+SQL["entity_risk"] = FINDINGS + _SCORED + _ENT + f"select kind, value, s as risk_score, {BAND} as risk_band, n as finding_count, latest_us from (select kind, value, least(100.0, round(sum(part) * 2.4, 2)) as s, count(*) as n, max(us) as latest_us from ent group by kind, value)"
 SQL["entity_top_rules"] = FINDINGS + _SCORED + _ENT + "select kind, value, rule_id as item, n, rank::int as rank from (select kind, value, rule_id, count(*) as n, row_number() over (partition by kind, value order by count(*) desc, rule_id) as rank from ent group by kind, value, rule_id) where rank <= 5"
-_BEH = f", beh as (select session_id, source_ip as entity, count(*)::double as finding_count, avg(case when auth_result = 'failure' then 1.0 else 0 end) as auth_failure_rate, count(distinct dest_ip)::double as distinct_dests, avg(case when hour_of_day < 8 or hour_of_day >= 18 then 1.0 else 0 end) as off_hours_share, avg(case when severity in ('HIGH', 'CRITICAL') then 1.0 else 0 end) as high_share, avg({RANK}) as mean_severity from found group by session_id, source_ip), long as (unpivot beh on {', '.join(correlate.FEATURES)} into name feature value x)"
+_BEH = f", beh as (select session_id, source_ip as entity, count(*)::double as finding_count, avg(case when auth_result = 'failure' or contains(lower(category), 'auth') then 1.0 else 0 end) as auth_failure_rate, count(distinct dest_ip)::double as distinct_dests, avg(case when hour_of_day < 8 or hour_of_day >= 18 then 1.0 else 0 end) as off_hours_share, avg(case when severity in ('HIGH', 'CRITICAL') then 1.0 else 0 end) as high_share, avg({RANK}) as mean_severity from found group by session_id, source_ip), long as (unpivot beh on {', '.join(correlate.FEATURES)} into name feature value x)"
 SQL["behaviour"] = FINDINGS + _BEH + "select session_id, entity, " + ", ".join(f"round({f}, 6) as {f}" for f in correlate.FEATURES) + " from beh"
 SQL["behaviour_baseline"] = FINDINGS + _BEH + "select entity, feature, round(avg(x), 6) as mean, round(greatest(coalesce(stddev_samp(x), 1.0), 0.01), 6) as std, count(*) as sessions from long where session_id <> '2024-01-10' group by entity, feature"
 SQL["anomaly"] = FINDINGS + _BEH + (
     ", past as (select entity, feature, avg(x) as mean, greatest(coalesce(stddev_samp(x), 1.0), 0.01) as std from long where session_id <> '2024-01-10' group by entity, feature), "
     "z as (select l.entity, avg(abs((x - mean) / std)) as z from long l left join past p using (entity, feature) where session_id = '2024-01-10' group by l.entity), "
-    "s as (select b.entity, round(least(coalesce(z * 2, (case when finding_count > 20 then 3 else 0 end + case when auth_failure_rate > 0.5 then 3 else 0 end + case when distinct_dests > 10 then 2 else 0 end + case when off_hours_share > 0.5 then 2 else 0 end + case when high_share > 0.5 then 2 else 0 end)::double), 10.0), 1) as score from beh b join z using (entity) where session_id = '2024-01-10') "
-    "select entity, score, case when score >= 8 then 'CRITICAL' when score >= 6 then 'HIGH' when score >= 4 then 'MEDIUM' else 'LOW' end as label, score >= 6.0 as anomalous from s"
+    "s as (select b.*, z is not null as has_baseline, round(least(coalesce(z * 2, (case when auth_failure_rate > 0.5 then 3 else 0 end + case when high_share > 0.3 then 3 else 0 end + case when off_hours_share > 0.5 then 2 else 0 end + case when distinct_dests > 10 then 2 else 0 end + case when mean_severity > 2.5 then 2 else 0 end)::double), 10.0), 1) as score from beh b join z using (entity) where session_id = '2024-01-10') "
+    "select entity, score, case when score >= 8 then 'CRITICAL anomaly' when score >= 6 then 'HIGH anomaly' when score >= 4 then 'SUSPICIOUS' else 'Normal' end as label, score >= 6.0 as anomalous, has_baseline, "
+    "concat_ws(',', case when auth_failure_rate > 0.4 then 'failures' end, case when high_share > 0.25 then 'grave' end, case when off_hours_share > 0.4 then 'off hours' end, case when distinct_dests > 8 then 'many destinations' end) as flags from s"
 )
 _EDGES = ", edges as (select source_ip as source, hostname as target, count(*) as weight, max(risk_score) as max_risk, max(sev_rank) as r from found group by source_ip, hostname)"
 SQL["graph_edges"] = FINDINGS + _EDGES + ", tech as (select source_ip as source, hostname as target, array_to_string(list_sort(list(distinct t)), ',') as techniques from (select source_ip, hostname, unnest(mitre_ids) as t from found) group by all) select source, target, weight, max_risk, (['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[r + 1] as max_severity, techniques from edges join tech using (source, target)"
@@ -172,12 +173,64 @@ SQL["parse_syslog"] = EV + "select line_number, hostname, username, source_ip, a
 SQL["parse_key_values"] = EV + "select line_number, source_ip, dest_ip, dest_port, 'block' as action from ev where auth_result = 'failure'"
 SQL["parse_json"] = EV + "select line_number, source_ip, http_status, http_user_agent, us // 1000000 as second from ev"
 SQL["parse_stats"] = EV + "select log_format, count(*) as lines, count(distinct source_ip) as ips, min(us) as first_us, max(us) as last_us from ev group by log_format"
-_IOC = " union all ".join(f"select doc_id, '{k}' as type, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), {q(p)}))) as value, {w}::double as w from documents" for k, p, w in ioc.KINDS)
+def _found_in(kind: str, pattern: str) -> str:
+    values = f"regexp_extract_all(coalesce(text, ''), {q(pattern)}{', 1' if '(/(?:etc' in pattern else ''})"
+    return f"unnest(list_distinct({f'list_transform({values}, lambda v: lower(v))' if kind in ioc.LOWER else values}))"
+
+
+_IOC = " union all ".join(f"select doc_id, coalesce(lang, '-') as lang, coalesce(source, '-') as source, '{k}' as type, {_found_in(k, p)} as value, {w}::double as w from documents" for k, p, w in ioc.KINDS)
 _OPEN = r"(type <> 'ipv4' or not regexp_matches(value, '^(10[.]|127[.]|192[.]168[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|192[.]0[.][02][.]|198[.]51[.]100[.]|203[.]0[.]113[.]|169[.]254[.]|0[.]|100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])[.]|198[.]1[89][.]|(24[0-9]|25[0-5])[.])')) and (type <> 'domain' or len(value) > 4)"
 SQL["ioc_extract"] = f"select doc_id, type, value, w as confidence from ({_IOC}) where {_OPEN}"
-SQL["ioc_merge"] = f"select type, lower(value) as value, max(w) as confidence, count(*) as n from ({_IOC}) where {_OPEN} group by type, lower(value)"
+_MERGED = f"with i as (select * from ({_IOC}) where {_OPEN}), m as (select type, min(value) as value, max(w) as confidence, count(*) as n, array_to_string(list_sort(list(distinct lang)), ',') as tags, arg_min(source, struct_pack(v := value, s := source)) as source_rule from i group by type, lower(value)) "
+SQL["ioc_merge"] = _MERGED + "select * from m"
+SQL["ioc_summary"] = _MERGED + "select 'total' as kind, 'all' as name, count(*) as n, round(avg(confidence), 3) as mean_confidence from m union all select 'type', type, count(*), round(avg(confidence), 3) from m group by type union all select * from (select 'rule', source_rule, count(*) as n, round(avg(confidence), 3) from m group by source_rule order by n desc, source_rule limit 5)"
+SQL["ioc_reputation"] = _MERGED + (
+    ", o as (select *, case when type = 'ipv4' then split_part(value, '.', 4)::int end as o from m), s as (select *, o % 101 >= 25 as bad from o) "
+    "select type, value, round(case when bad then least(confidence + (o % 101) / 100.0::double * 0.2, 1.0) else confidence end, 6) as confidence, "
+    "concat_ws(',', tags, case when bad then concat('known_bad_ip,abuse_score:', o % 101) end, case when o % 3 = 0 then 'country:de' end) as tags from s"
+)
+SQL["ioc_feeds"] = _MERGED + (
+    ", l as (select *, len(value) as n0 from m), g as (select type, value, round(greatest(0.0::double, case when n0 % 2 = 0 then (n0 % 7) / 10.0::double * 10 end, case when n0 % 2 = 0 and n0 * 3 > 50 then 7.0 end, "
+    "case when n0 % 3 = 0 then case when n0 % 20 > 5 then least((n0 % 20) / 2.0::double, 8.0) when n0 % 20 > 0 then 4.0 end end, case when type = 'url' then 7.0 end, case when type = 'hash_sha1' then 8.0 end), 4) as threat_score from l) "
+    "select *, case when threat_score < 4 then 'clean' when threat_score < 7 then 'suspicious' else 'malicious' end as verdict from g"
+)
+SQL["finding_tags"] = FINDINGS + "select rule_id, line_number, case when line_number % 10 = 0 then concat('checked,', category, ',late') when line_number % 5 = 0 then concat('checked,', category) else '' end as tags from found"
+SQL["hardening"] = FINDINGS + "select * from (values ('web_attack', 1, 'check what requests may hold'), ('web_attack', 2, 'close directory lists'), ('auth', 1, 'lock accounts after failures'), ('impact', 1, 'keep copies apart')) a(category, position, step) where category in (select category from found)"
+SQL["session_summaries"] = FINDINGS + "select s.session_id, count(f.rule_id) as findings, count(f.rule_id) filter (sev_rank >= 3) as grave, coalesce(max(risk_score), 0.0) as max_risk from (select distinct session_id from ev) s left join found f using (session_id) group by s.session_id"
+SQL["report_numbers"] = FINDINGS + (
+    "select count(*) as findings, count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'HIGH') as high, max(risk_score) as max_risk, round(avg(risk_score), 6) as avg_risk, "
+    "array_to_string(list_sort(list(distinct category)), ',') as categories, (select array_to_string(list_sort(list(distinct t)), ',') from (select unnest(mitre_ids) as t from found)) as techniques from found"
+)
+SQL["report_top"] = FINDINGS + "select rule_id, line_number, case when line_number % 2 = 0 then 'open' else 'new' end as triage_state, risk_score, raw_line from found order by risk_score desc, us desc, line_number, rule_id limit 5"
+_STAT = "select '{c}' as dimension, {v} as value, count(*) as n, max(risk_score) as max_risk, round(avg(risk_score), 6) as avg_risk, min(us) as first_us, max(us) as last_us from found group by all"
+_COUNTED = " union all ".join(f"select '{k}', 'all', count(*), null, null, null, null from ({t})" for k, t in (("sessions", "select distinct session_id from found"), ("evidence", "select 1 from documents"), ("attack_chains", "select chain_name, source_ip from met where len(cats) = wanted")))
+SQL["case_stats"] = (
+    SQL["kill_chains"].rpartition("select chain_name, source_ip, array_to_string")[0]
+    + " union all ".join(f"select * from ({_STAT.format(c=c, v=v)}{' order by n desc, value limit 10' if top else ''})" for c, v, top in (("total", "'all'", 0), ("severity", "severity", 0), ("category", "category", 0), ("source_ip", "source_ip", 1), ("hostname", "hostname", 1), ("rule_id", "rule_id", 1)))
+    + " union all " + _COUNTED
+)
+_PART = "select '{s}' as section, {c} as name, count(*) as n, max(risk_score) as max_risk from {t} group by all"
+SQL["dashboard"] = FINDINGS + ", x as (select unnest(mitre_ids) as technique, risk_score from found) " + " union all ".join(
+    f"select * from ({_PART.format(s=s, c=c, t=t)}{' order by n desc, name limit 12' if top else ''})" for s, c, t, top in (("severity", "severity", "found", 0), ("category", "category", "found", 0), ("source", "source_ip", "found", 1), ("host", "hostname", "found", 1), ("rule", "rule_id", "found", 1), ("technique", "technique", "x", 1))
+)
+_SEEN = "select source, array_to_string(list(v order by us, line_number, rule_id, i, v)[1:{k}], ',') as {n} from (select source, v, min(struct_pack(us := us, line_number := line_number, rule_id := rule_id, i := i)) as f from ({t}) group by source, v), lateral (select f.us as us, f.line_number as line_number, f.rule_id as rule_id, f.i as i) group by source"
+SQL["derived_chains"] = FINDINGS + (
+    ", rows as (select source_ip as source, * from found), c as (" + _SEEN.format(k=8, n="categories", t="select source, category as v, us, line_number, rule_id, 0 as i from rows") + "), "
+    "r as (" + _SEEN.format(k=12, n="rules", t="select source, rule_id as v, us, line_number, rule_id, 0 as i from rows") + "), "
+    "t as (" + _SEEN.format(k=12, n="techniques", t="select source, unnest(mitre_ids[1:4]) as v, us, line_number, rule_id, unnest(range(len(mitre_ids[1:4]))) as i from rows") + "), "
+    "n as (select source, count(*) as finding_count, round(max(risk_score), 2) as max_risk_score from rows group by source) "
+    "select source, concat(source, ': ', array_to_string(list_transform(string_split(categories, ',')[1:5], lambda c: array_to_string(list_transform(string_split(c, '_'), lambda w: concat(upper(w[1]), w[2:])), ' ')), ' -> ')) as chain_name, finding_count, max_risk_score, categories, rules, techniques "
+    "from n join c using (source) join r using (source) join t using (source) order by max_risk_score desc, finding_count desc, chain_name limit 20"
+)
+SQL["raw_formats"] = EV + "select concat('file', line_number % 4) as source_file, (['apache_combined', 'auth_log', 'json_generic', 'iptables'])[1 + line_number % 4] as log_format, count(*) as lines, count(distinct source_ip) as ips from ev group by all"
+SQL["zeek_headers"] = EV + "select line_number, source_ip, dest_ip, dest_port, 'tcp' as protocol, us // 1000000 as second from ev"
+SQL["condition"] = EV + "select line_number from ev where (http_uri_decoded ilike '%login%' or http_uri_decoded ilike '%etc_passwd%') and (http_user_agent ilike 'sql%' or http_status <> 200)"
+SQL["threshold_evidence"] = SQL["threshold_fires"].replace("select source_ip as key, us, line_number,", "select source_ip as key, us, line_number, raw_line,").replace(
+    "select a.key, a.line_number, a.first_us, 4 as event_count from f join able a on a.key = f.key and a.rn = f.rn where f.rn is not null",
+    "select a.key, a.line_number, string_agg(p.raw_line, '|' order by p.rn) as lines from f join able a on a.key = f.key and a.rn = f.rn join seen p on p.key = a.key and p.rn between a.rn - 3 and a.rn group by a.key, a.line_number",
+)
 SQL["enrich_reputation"] = FINDINGS + ", rep as (select distinct source_ip as ip, (us % 1)::double + user_score as score from (select source_ip, us, (split_part(source_ip, '.', 4)::int % 101)::double as user_score from ev)) select rule_id, line_number, score as reputation, coalesce(score >= 25, false) as known_bad, round(least(1.0, confidence + case when score >= 25 then least(score / 100 * 0.15, 0.15) else 0 end), 6) as confidence from found left join rep on source_ip = ip"
-SQL["enrich_geo"] = EV + ", nets as (select 757137408 + n_nationkey * 1024 * 10 as lo, 757137408 + n_nationkey * 1024 * 10 + 10239 as hi, n_name as country from nation where n_nationkey < 6), addr as (select line_number, source_ip, case when starts_with(source_ip, '10.') then null else split_part(source_ip, '.', 1)::bigint * 16777216 + split_part(source_ip, '.', 2)::bigint * 65536 + split_part(source_ip, '.', 3)::bigint * 256 + split_part(source_ip, '.', 4)::bigint end as n from ev) select line_number, source_ip, country from addr left join nets on n between lo and hi"
+SQL["enrich_geo"] = EV + ", nets as (select 757137408 + n_nationkey * 1024 * 10 as lo, 757137408 + n_nationkey * 1024 * 10 + 10239 as hi, n_name as country from nation), addr as (select line_number, source_ip, case when starts_with(source_ip, '10.') then null else split_part(source_ip, '.', 1)::bigint * 16777216 + split_part(source_ip, '.', 2)::bigint * 65536 + split_part(source_ip, '.', 3)::bigint * 256 + split_part(source_ip, '.', 4)::bigint end as n from ev) select line_number, source_ip, country, coalesce('country:' || country, '') as tags from addr left join nets on n between lo and hi"
 SQL["rate_windows"] = EV + "select source_ip, (us // 3600000000) * 3600 as hour, count(*) as n from ev where auth_result = 'failure' group by all"
 _TERMS = r"select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.-]{2,}')) as term from documents"
 SQL["tf_idf"] = f"with tf as (select doc_id, term, count(*) as tf from ({_TERMS}) group by all), df as (select term, sum(tf) as total, count(*) as df from tf group by term order by total desc, term limit 1024), w as (select doc_id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1) as w from tf join df using (term)) select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w"
@@ -190,8 +243,9 @@ SQL["evidence_trust"] = (
     "select *, case when changed > 0 then 'compromised' when missing > 0 then 'warning' when verified > 0 then 'trusted' else 'no_evidence' end as status from n"
 )
 SQL["playbook_steps"] = FINDINGS + (
-    ", steps(c, phase, step) as (values ('web_attack', 'contain', 'block the source'), ('web_attack', 'recover', 'patch'), ('auth_attack', 'contain', 'lock the account'), ('default', 'triage', 'look at it')) "
-    "select category, phase, step, count(*) as n from found join steps on c = case category when 'web_attack' then 'web_attack' when 'auth' then 'auth_attack' else 'default' end group by all"
+    ", steps(c, phase, step) as (values ('web_attack', 'contain', 'block the source'), ('web_attack', 'recover', 'patch'), ('auth_attack', 'contain', 'lock the account'), ('malware', 'contain', 'take it off the net'), ('default', 'triage', 'look at it')), "
+    "named as (select category, case when category in ('web_attack', 'api_security', 'bot_activity') then 'web_attack' when category in ('insider_threat', 'auth_attack') then 'auth_attack' when category in ('malware', 'impact', 'supply_chain') then 'malware' else 'default' end as c from found) "
+    "select category, phase, step, count(*) as n from named join steps using (c) group by all"
 )
 SQL["decoy_hits"] = EV + "select concat('t', ip) as token_id, count(*) as n from (select distinct source_ip as ip from ev where dest_port = 1007) join ev on source_ip = ip group by ip"
 SQL["year_rollover"] = EV + "select (2020 + (line_number + 50) // 100)::bigint as year, count(*) as n from ev group by 1"
@@ -204,7 +258,8 @@ SQL["stix_relationships"] = FINDINGS + (
     "x as (select sha256(concat_ws(':', 'threat-actor', source_ip)) as a, sha256(concat_ws(':', 'attack-pattern', t)) as b from h) "
     "select concat('threat-actor--', a[1:8], '-', a[9:12], '-', a[13:16], '-', a[17:20], '-', a[21:32]) as source, 'uses' as relation, concat('attack-pattern--', b[1:8], '-', b[9:12], '-', b[13:16], '-', b[17:20], '-', b[21:32]) as target from x"
 )
-SQL["export_zeek"] = f"select distinct lower(value) as indicator, case when type = 'ipv4' then 'Intel::ADDR' when type = 'domain' then 'Intel::DOMAIN' when type = 'url' then 'Intel::URL' when type = 'email' then 'Intel::EMAIL' else 'Intel::FILE_HASH' end as indicator_type, 'emberlog' as source from ({_IOC}) where {_OPEN} group by type, lower(value)"
+SQL["export_zeek"] = f"select min(value) as indicator, case when type = 'ipv4' then 'Intel::ADDR' when type = 'domain' then 'Intel::DOMAIN' when type = 'email' then 'Intel::EMAIL' when starts_with(type, 'hash') then 'Intel::FILE_HASH' else 'Intel::SOFTWARE' end as indicator_type, 'emberlog' as source from ({_IOC}) where {_OPEN} group by type, lower(value)"
+SQL["export_misp"] = _MERGED + "select case when type in ('ipv4', 'domain') then 'Network activity' when type = 'email' then 'Payload delivery' else 'Artifacts dropped' end as category, type, value, replace(tags, ',', ';') as comment, confidence >= 0.75 as to_ids from m"
 SQL["blocklist"] = f"select distinct lower(value) as value from ({_IOC}) where {_OPEN} and type = 'ipv4' and w >= 0.75"
 SQL["selection"] = EV + "select line_number from ev where (http_uri_decoded ilike '%login%' or http_uri_decoded ilike '%etc_passwd%') and http_user_agent ilike 'sql%'"
 _TOP = "select technique, array_to_string(list({c} order by n desc, {c})[1:5], ',') as top_{c} from (select technique, {c}, count(*) as n from x group by technique, {c}) group by technique"

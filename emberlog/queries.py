@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import core
-from .operators import cases, correlate, detect, ioc, search, text
+from .operators import cases, correlate, detect, ioc, report, search, text
 from .plans import oracle
 from .plans.adapter import events
 from .rules.model import C, Rule
-from .sources import formats
+from .sources import formats, probing
 from .streaming import jobs
 
 
@@ -71,7 +71,79 @@ def _http_severities(s, d):
 
 
 def _iocs(s, d):
-    return ioc.extract(s.read.parquet(f"{d}/documents.parquet"), "text", F.lit(1.0), "doc_id")
+    return ioc.extract(_docs(s, d), "text", F.lit(1.0), "doc_id")
+
+
+def _merged(s, d):
+    """Indicators of the documents, with the language as tag and the source in place of a rule."""
+    rows = _docs(s, d).select("text", F.array(F.coalesce("lang", F.lit("-"))).alias("tags"), F.coalesce("source", F.lit("-")).alias("source_rule"))
+    return ioc.merged(ioc.extract(rows, "text", F.lit(1.0), "tags", "source_rule"))
+
+
+def _ioc_reputation(s, d):
+    i = _merged(s, d)
+    last = F.element_at(F.split("value", r"\."), 4).cast("int")
+    rep = i.where("type = 'ipv4'").select(F.col("value").alias("ip"), (last % 101).cast("double").alias("score"), F.when(last % 3 == 0, "de").otherwise("").alias("country"))
+    return ioc.reputation_of(i, rep).select("type", "value", F.round("confidence", 6).alias("confidence"), F.array_join("tags", ",").alias("tags"))
+
+
+def _ioc_feeds(s, d):
+    i = _merged(s, d)
+    n = F.length("value")
+    engines = i.where(n % 2 == 0).select("value", (n % 7).alias("detected"), F.lit(10).alias("total"), (-n * 3).alias("reputation"))
+    pulses = i.where(n % 3 == 0).select("value", (n % 20).alias("pulses"))
+    return ioc.with_feeds(i, engines.distinct(), pulses.distinct(), i.where("type = 'url'"), i.where("type = 'hash_sha1'")).select("type", "value", "threat_score", "verdict")
+
+
+def _tags(s, d):
+    f = found(s, d)
+    tags = f.where("line_number % 5 = 0").select("id", F.array(F.lit("checked"), "category").alias("tags"), F.lit(2).alias("created_us"))
+    return report.tagged(f, tags.union(tags.where("line_number % 10 = 0").select("id", F.array(F.lit("late"), F.lit("checked")), F.lit(3)))).select("rule_id", "line_number", F.array_join("analyst_tags", ",").alias("tags"))
+
+
+ADVICE = [("web_attack", 1, "check what requests may hold"), ("web_attack", 2, "close directory lists"), ("auth", 1, "lock accounts after failures"), ("impact", 1, "keep copies apart")]
+
+
+def _raw_formats(s, d):
+    """Events as raw lines of four formats in a file each, told apart by content, parsed together, and counted."""
+    e = events(s, d)
+    second = F.date_format("timestamp", "MMM d HH:mm:ss")
+    kind = F.col("line_number") % 4
+    line = (
+        F.when(kind == 0, F.concat("source_ip", F.lit(" - - ["), F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET '), "http_uri", F.lit(' HTTP/1.1" 200 5 "-" "x"')))
+        .when(kind == 1, F.concat(second, F.lit(" "), "hostname", F.lit(" sshd[7]: Failed password for "), "username", F.lit(" from "), "source_ip", F.lit(" port 22 ssh2")))
+        .when(kind == 2, F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("source_ip").alias("ip"))))
+        .otherwise(F.concat(second, F.lit(" gw kernel: IN=eth0 OUT= SRC="), "source_ip", F.lit(" DST="), "dest_ip", F.lit(" PROTO=TCP SPT=5 DPT=22")))
+    )
+    lines = e.select(F.concat(F.lit("file"), kind).alias("source_file"), "line_number", line.alias("raw_line"))
+    kinds = probing.file_format(lines)
+    parsed = formats.normalise_mixed(lines.join(F.broadcast(kinds), "source_file"), ["apache_combined", "auth_log", "json_generic", "iptables"])
+    return parsed.groupBy("source_file", "log_format").agg(F.count("*").alias("lines"), F.countDistinct("source_ip").alias("ips"))
+
+
+def _zeek_headers(s, d):
+    """Events as connection logs whose files name their columns in different orders, parsed by the names."""
+    e = events(s, d).withColumn("source_file", F.concat(F.lit("conn"), F.col("line_number") % 2))
+    values = {"ts": F.format_string("%d.%06d", F.floor(F.col("us") / 1000000).cast("long"), F.col("us") % 1000000), "id.orig_h": F.col("source_ip"), "id.resp_h": F.col("dest_ip"), "id.resp_p": F.col("dest_port").cast("string"), "proto": F.lit("tcp")}
+    orders = [list(values), ["proto", "id.resp_p", "ts", "id.resp_h", "id.orig_h"]]
+    line = F.when(F.col("line_number") % 2 == 0, F.concat_ws("\t", *[values[c] for c in orders[0]])).otherwise(F.concat_ws("\t", *[values[c] for c in orders[1]]))
+    heads = s.createDataFrame([(f"conn{i}", -1, "#fields\t" + "\t".join(o)) for i, o in enumerate(orders)], "source_file string, line_number long, raw_line string")
+    lines = e.select("source_file", F.col("line_number").cast("long"), line.alias("raw_line")).union(heads)
+    return probing.parse_with_header(lines, "zeek_conn").select("line_number", "source_ip", "dest_ip", "dest_port", "protocol", F.unix_timestamp("timestamp").alias("second"))
+
+
+def _condition(s, d):
+    selections = {"web_login": {"http_uri_decoded|contains": "login"}, "web_etc": {"http_uri_decoded|contains": "etc?passwd"}, "tool": {"http_user_agent": "sql*"}, "quiet": {"http_status": 200}}
+    return events(s, d).where(cases.condition("1 of web* and (tool or not quiet)", selections) & cases.from_source("webserver")).select("line_number")
+
+
+def _evidence(s, d):
+    return detect.threshold_fires(events(s, d), THRESHOLD).select("key", "line_number", F.array_join("supporting_lines", "|").alias("lines"))
+
+
+def _top_findings(s, d):
+    f = found(s, d)
+    return report.report_data(f, f.where("line_number % 2 = 0").select("id", F.lit("open").alias("action"), F.lit(1).alias("created_us"))).select("rule_id", "line_number", "triage_state", "risk_score", "raw_line")
 
 
 def _reputation(s, d):
@@ -81,8 +153,8 @@ def _reputation(s, d):
 
 def _geo(s, d):
     lo = F.lit(757137408) + F.col("n_nationkey") * 10240
-    nets = s.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 6").select(lo.cast("long").alias("lo"), (lo + 10239).cast("long").alias("hi"), F.col("n_name").alias("country"))
-    return ioc.with_geo(events(s, d), nets).select("line_number", "source_ip", "country")
+    nets = s.read.parquet(f"{d}/nation.parquet").select(lo.cast("long").alias("lo"), (lo + 10239).cast("long").alias("hi"), F.col("n_name").alias("country"))
+    return ioc.with_geo(events(s, d), nets).select("line_number", "source_ip", "country", F.array_join("geo_tags", ",").alias("tags"))
 
 
 def _cosine(s, d):
@@ -104,7 +176,7 @@ def _integrity(s, d):
     return cases.trust(cases.integrity(then, now))
 
 
-STEPS = [("web_attack", "contain", "block the source"), ("web_attack", "recover", "patch"), ("auth_attack", "contain", "lock the account"), ("default", "triage", "look at it")]
+STEPS = [("web_attack", "contain", "block the source"), ("web_attack", "recover", "patch"), ("auth_attack", "contain", "lock the account"), ("malware", "contain", "take it off the net"), ("default", "triage", "look at it")]
 
 
 def _playbook(s, d):
@@ -124,7 +196,7 @@ def _years(s, d):
 QUERIES = {
     "digest": lambda s, d: cases.digest(found(s, d)),
     "technique_rows": lambda s, d: cases.technique_rows(found(s, d)),
-    "rule_hints": lambda s, d: cases.hints(found(s, d)).select("rule_id", "category", F.array_join("addresses", ",").alias("addresses"), F.array_join("paths", ",").alias("paths")),
+    "rule_hints": lambda s, d: cases.hints(found(s, d)).select("rule_id", "category", *(F.array_join(c, ",").alias(c) for c in ("addresses", "paths", "quoted", "event_ids", "users", "processes"))),
     "evidence_trust": _integrity,
     "playbook_steps": _playbook,
     "decoy_hits": _decoys,
@@ -135,11 +207,11 @@ QUERIES = {
     "context_block": lambda s, d: cases.context(found(s, d)),
     "stix_objects": lambda s, d: cases.stix_objects(found(s, d)),
     "stix_relationships": lambda s, d: cases.stix_relationships(found(s, d)),
-    "export_zeek": lambda s, d: cases.layout(ioc.merged(_iocs(s, d).withColumn("tags", F.array("type"))), "zeek").withColumnRenamed("meta.source", "source"),
-    "export_misp": lambda s, d: cases.layout(ioc.merged(_iocs(s, d).withColumn("tags", F.array("type"))), "misp"),
-    "blocklist": lambda s, d: ioc.blocklist(ioc.merged(_iocs(s, d)), "ipv4"),
+    "export_zeek": lambda s, d: cases.layout(_merged(s, d), "zeek").withColumnRenamed("meta.source", "source"),
+    "export_misp": lambda s, d: cases.layout(_merged(s, d), "misp"),
+    "blocklist": lambda s, d: ioc.blocklist(_merged(s, d), "ipv4"),
     "selection": lambda s, d: events(s, d).where(cases.selection({"http_uri_decoded|contains": ["login", "etc?passwd"], "Agent": "sql*"}, {"Agent": "http_user_agent"})).select("line_number"),
-    "hash_vectors": lambda s, d: _docs(s, d).select("doc_id", F.round(F.element_at(text.hash_vector(F.coalesce("text", F.lit(""))), 1), 6).alias("first")),
+    "hash_vectors": lambda s, d: _docs(s, d).select("doc_id", F.transform(text.hash_vector(F.coalesce("text", F.lit(""))), lambda x: F.round(x, 6)).alias("vector")),
     "event_rows": lambda s, d: events(s, d).select("line_number", "username", "source_ip", "auth_result", "http_status", "http_uri_decoded", "http_bytes", "session_id"),
     "detect_patterns": lambda s, d: detect.regex_hits(events(s, d)).select("rule_id", "line_number"),
     "detect_all_rules": lambda s, d: detect.detect(events(s, d)).select("rule_id", "line_number", "severity", "confidence", "risk_score"),
@@ -151,11 +223,11 @@ QUERIES = {
     "deduplicated": _deduplicated,
     "first_per_minute": lambda s, d: detect.first_per_minute(found(s, d)).select("rule_id", "source_ip", "line_number"),
     "kill_chains": lambda s, d: correlate.kill_chains(found(s, d)).withColumn("categories", F.array_join("categories", ",")),
-    "entity_risk": lambda s, d: correlate.entity_risk(found(s, d)).drop("latest_us"),
+    "entity_risk": lambda s, d: correlate.entity_risk(found(s, d)),
     "entity_top_rules": lambda s, d: correlate.entity_top(found(s, d), "rule_id"),
     "behaviour": lambda s, d: _features(s, d).select("session_id", "entity", *(F.round(f, 6).alias(f) for f in correlate.FEATURES)),
     "behaviour_baseline": lambda s, d: correlate.baseline(_features(s, d).where(F.col("session_id") != SESSION)).select("entity", "feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "sessions"),
-    "anomaly": lambda s, d: correlate.anomaly(_features(s, d), SESSION),
+    "anomaly": lambda s, d: correlate.anomaly(_features(s, d), SESSION).withColumn("flags", F.array_join("flags", ",")),
     "graph_edges": lambda s, d: correlate.graph_edges(found(s, d)).withColumn("techniques", F.array_join("techniques", ",")),
     "graph_nodes": lambda s, d: correlate.graph_nodes(correlate.graph_edges(found(s, d))),
     "graph_reduced": _graph_reduced,
@@ -179,7 +251,22 @@ QUERIES = {
     "parse_json": formats.json_round_trip,
     "parse_stats": lambda s, d: events(s, d).groupBy("log_format").agg(F.count("*").alias("lines"), F.countDistinct("source_ip").alias("ips"), F.min("us").alias("first_us"), F.max("us").alias("last_us")),
     "ioc_extract": _iocs,
-    "ioc_merge": lambda s, d: ioc.merged(_iocs(s, d)).drop("tags"),
+    "ioc_merge": lambda s, d: _merged(s, d).withColumn("tags", F.array_join("tags", ",")),
+    "ioc_summary": lambda s, d: ioc.summary(_merged(s, d)),
+    "ioc_reputation": _ioc_reputation,
+    "ioc_feeds": _ioc_feeds,
+    "finding_tags": _tags,
+    "hardening": lambda s, d: report.hardening(found(s, d), s.createDataFrame(ADVICE, "category string, position int, step string")),
+    "session_summaries": lambda s, d: report.session_summaries(events(s, d).select("session_id").distinct(), found(s, d)),
+    "report_numbers": lambda s, d: report.report_numbers(found(s, d)),
+    "report_top": _top_findings,
+    "case_stats": lambda s, d: report.case_stats(f := found(s, d), correlate.kill_chains(f), _docs(s, d)),
+    "dashboard": lambda s, d: report.dashboard(found(s, d)),
+    "derived_chains": lambda s, d: (lambda c: c.select("source", "chain_name", "finding_count", "max_risk_score", *(F.array_join(x, ",").alias(x) for x in ("categories", "rules", "techniques"))))(correlate.derived_chains(found(s, d))),
+    "raw_formats": _raw_formats,
+    "zeek_headers": _zeek_headers,
+    "condition": _condition,
+    "threshold_evidence": _evidence,
     "ioc_of_findings": lambda s, d: ioc.merged(ioc.of_findings(found(s, d))),
     "enrich_reputation": _reputation,
     "enrich_geo": _geo,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re._parser as parser
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,57 +85,6 @@ def pattern_of(rule: Rule) -> str:
     return "(?iu)" + rule.pattern.replace("(?i)", "")
 
 
-MOST_WORDS = 40
-
-
-def _words(tree) -> list[str] | None:
-    """Lower-case texts of which every match holds one; None where none can be told."""
-    best, run = None, ""
-
-    def offer(words):
-        nonlocal best
-        if words and len(words) <= MOST_WORDS and min(map(len, words)) > (min(map(len, best)) if best else 1):
-            best = words
-
-    for op, arg in tree:
-        if op is parser.LITERAL and arg < 128:
-            run += chr(arg).lower()
-            continue
-        if op in (parser.AT, parser.ASSERT, parser.ASSERT_NOT):  # they take no text
-            continue
-        offer([run] if run else None)
-        run = ""
-        if op is parser.SUBPATTERN:
-            offer(_words(arg[3]))
-        elif op is parser.BRANCH:
-            each = [_words(x) for x in arg[1]]
-            offer(sorted({w for x in each for w in x}) if all(each) else None)
-        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and arg[0] > 0:
-            offer(_words(arg[2]))
-    offer([run] if run else None)
-    return best
-
-
-@lru_cache(1000)
-def needed(pattern: str) -> tuple[str, ...]:
-    """Texts of which every match of the pattern holds one, whatever its case; empty where none can be told."""
-    return tuple(_words(parser.parse(pattern.replace("(?i)", ""))) or ())
-
-
-def lowered(field: str) -> Column:
-    """A field's text in lower case, with the few letters beyond ASCII that a pattern takes for s, i and k by case as those."""
-    return F.lower(F.translate(F.col(field).cast("string"), "ſıİK", "siik"))
-
-
-def may_match(rule: Rule, low: Column) -> Column:
-    """Whether the lowered text holds one of the texts that the rule's pattern cannot do without."""
-    words = needed(rule.pattern)
-    out = F.lit(not words)
-    for w in words:
-        out = out | low.contains(w)
-    return F.coalesce(out, F.lit(False))
-
-
 def indicators_of(rule: Rule, columns) -> list[str]:
     """The fields that a rule names for its findings and that there are."""
     return [f for f in rule.indicators if f in columns]

@@ -83,8 +83,17 @@ def key_value(x) -> dict[str, Column]:
     }
 
 
+class Named:
+    """A map of columns by name, in place of a line."""
+
+    def __init__(self, fields: Column):
+        self.fields = fields
+
+
 def header_split(x, separator: str, names: list[str]) -> dict[str, Column]:
-    """Positional columns of a header: tab- or space-separated logs; '-' is nothing."""
+    """Columns by name, or by position in a line: tab- or space-separated logs; '-' is nothing."""
+    if isinstance(x, Named):
+        return {n: core.dash_null(x.fields[n]) for n in names}
     p = F.split(core.c(x), separator)
     return {n: core.dash_null(F.get(p, F.lit(i))) for i, n in enumerate(names)}
 
@@ -113,23 +122,6 @@ def parse(lines: DataFrame, log_format: str, raw: str = "raw_line") -> DataFrame
     return lines.select(*[c for c in lines.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
-PROBES = [
-    ("aws_cloudtrail", r'"eventSource"\s*:\s*"[^"]*amazonaws'), ("json_lines", r"^\s*\{"), ("apache_combined", r'^\S+ \S+ \S+ \[\d{2}/[A-Z][a-z]{2}/\d{4}:[^\]]+\] "'),
-    ("iptables", r"\bSRC=\S+ DST=\S+"), ("auth_log", r"^[A-Z][a-z]{2}\s+\d{1,2} [\d:]{8} \S+ (?:sshd|sudo|su|login)\b"), ("syslog", r"^[A-Z][a-z]{2}\s+\d{1,2} [\d:]{8} \S+ \S+:"),
-]
-
-
-def line_format(x) -> Column:
-    """The first probe that a line meets, else unknown."""
-    return F.coalesce(*[F.when(core.c(x).rlike(p), n) for n, p in PROBES], F.lit("unknown"))
-
-
-def file_format(lines: DataFrame) -> DataFrame:
-    """source_file, log_format: the format that most of a file's first fifteen lines meet."""
-    n = lines.where(F.col("line_number") <= 15).groupBy("source_file", line_format("raw_line").alias("log_format")).agg(F.count("*").alias("n"))
-    return n.groupBy("source_file").agg(F.max_by("log_format", F.struct(F.col("log_format") != "unknown", "n", "log_format")).alias("log_format"))
-
-
 def read_lines(spark, path: str, max_bytes: int = 1 << 20) -> DataFrame:
     """source_file, raw_line, too_long of text files, gzip included; blank lines are skipped."""
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", r"\r$", "").alias("raw_line"))
@@ -596,13 +588,15 @@ def normalise(lines: DataFrame, log_format: str, raw: str = "raw_line") -> DataF
 
 
 def normalise_mixed(lines: DataFrame, formats: list[str], raw: str = "raw_line") -> DataFrame:
-    """Lines with a log_format column: one branch for each format, and one for the rest, put together."""
-    out = None
-    for name in [*formats, None]:
-        own = lines.where(F.col("log_format") == name) if name else lines.where(~F.coalesce(F.col("log_format").isin(formats), F.lit(False)))
-        one = normalise(own, name or "unknown", raw)
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Lines with a log_format column, read once: each event column by the line's format, null where it has none or is another format."""
+    made = {f: FORMATS[f](F.col(raw)) for f in formats}
+    none = F.lit(None)
+    columns = []
+    for c in EVENT_COLUMNS:
+        kind = EVENT_TYPES.get(c, "string")
+        own = [F.when(F.col("log_format") == f, m[c].cast(kind)) for f, m in made.items() if m.get(c) is not None]
+        columns.append((F.coalesce(*own) if own else none.cast(kind)).alias(c))
+    return lines.select(*[c for c in lines.columns if c not in EVENT_COLUMNS], *columns)
 
 
 # --- queries: events written as lines and parsed back -------------------------------

