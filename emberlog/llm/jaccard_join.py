@@ -538,7 +538,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id linked) and n_links (the other rows linked to it) of every row.
 
     Null, empty or blank text: no shingles, no links, a component of its own. Fewer than five
-    words: the whole sequence is the one shingle. A null doc_id takes no part: its
+    words: the whole sequence is the one shingle. A text of any length is one whole set. A null doc_id takes no part: its
     component is null, it has no links and nobody links through it. Rows of one doc_id keep a row each
     and count as rows. Other columns play no part; no rows give no rows.
     """

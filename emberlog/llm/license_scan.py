@@ -35,6 +35,16 @@ NOTICES = [
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
 ]
 PHRASE_K, NOTICE_K = 2, 4
 SHIFT = 3  # diagonals this near are one alignment
@@ -63,7 +73,7 @@ def license_hits(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, with its counts, labels and spans.
 
     row: a number of the row; doc_id; n_words; spans array<struct<label, base, start,
-    end, cover>>, words from 0. Null or empty text: no words, no spans. Repeated rows and equal or null
+    end, cover>>, words from 0. Null or empty text: no words, no spans. A text of any length is read whole. Repeated rows and equal or null
     doc_ids each give a row. Other columns play no part.
     """
     spark = docs.sparkSession

@@ -110,7 +110,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row.
 
     taken is 0, 1 or 2 times size. Null source: a source of its own, the last.
-    Null or empty text: size 0, taken 0. Rows of one doc_id go together; no rows
+    Null or empty text: size 0, taken 0. A text of any length is counted whole. Rows of one doc_id go together; no rows
     give no rows. Other columns of docs play no part. Reruns agree, as the hash
     is of doc_id alone.
     """

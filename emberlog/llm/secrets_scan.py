@@ -273,7 +273,7 @@ _ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id and secrets, an array of spans (kind, start, end in code points, score), of every row.
 
-    Null or empty text: an empty array. Repeated rows each give a row, null doc_ids stay;
+    Null or empty text: an empty array. A text of any length is read whole. Repeated rows each give a row, null doc_ids stay;
     no rows give no rows; other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
