@@ -95,6 +95,37 @@ def _machine(rule: Rule):
     return (fold.Distinct if rule.distinct else fold.Count)(rule.count, width)
 
 
+machine_of = _machine
+
+
+def columns_of(rule: Rule) -> tuple[list[Column], list[Column], list[tuple]]:
+    """Flags and values of an event that a rule looks at, and for each of its parts where its flags begin, how many bits they are, and which value is its."""
+    flags, values, own = [], [], []
+    for p in _parts(rule):
+        f = _flags(p)
+        own.append((len(flags), (1 << len(f)) - 1, len(values) if p.distinct else None))
+        flags += f
+        if p.distinct:
+            values.append(F.col(p.distinct).cast("string"))
+    return flags, values, own
+
+
+def mask_of(flags: list[Column]) -> Column:
+    return sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags)), F.lit(0).cast("long"))
+
+
+def window_of(rule: Rule) -> int:
+    """The longest time, in microseconds, that a rule's state looks back."""
+    return SECOND * sum(r.seconds or 0 for r in (rule, *rule.parts))
+
+
+def fed(machine, rule: Rule, own: list[tuple], us: int, mask: int, values, line: str):
+    """What a rule's machine says to an event."""
+    bits = [mask >> at & width for at, width, _ in own]
+    value = [None if v is None else values[v] for _, _, v in own]
+    return machine.feed(us, bits, value, line) if rule.type == "composite" else machine.feed(us, bits[0], value[0], line)
+
+
 def fires(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """FIRES rows of threshold, sequence and composite rules; one source file never counts with another.
 
@@ -109,34 +140,27 @@ def fires(events: DataFrame, rules: list[Rule]) -> DataFrame:
         mine[-1].append(r)
     out = None
     for key, group in ((k, g) for k, gs in groups.items() for g in gs):
-        flags, values, plan = [], [], []  # plan: (rule, for each part: shift, mask, index of its value)
+        flags, values, plan = [], [], []  # plan: each rule with the places of its flags and values
         for r in group:
-            own = []
-            for p in _parts(r):
-                f = _flags(p)
-                own.append((len(flags), (1 << len(f)) - 1, len(values) if p.distinct else None))
-                flags += f
-                if p.distinct:
-                    values.append(F.col(p.distinct).cast("string"))
-            plan.append((r, own))
-        mask = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(flags)), F.lit(0).cast("long"))
+            f, v, own = columns_of(r)
+            plan.append((r, [(at + len(flags), width, None if i is None else i + len(values)) for at, width, i in own]))
+            flags += f
+            values += v
+        mask = mask_of(flags)
         seen = events.where(F.col("us").isNotNull() & F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
         seen = seen.select("source_file", F.col(key).cast("string").alias("key"), F.col("us").cast("long").alias("us"), F.col("line_number").cast("long").alias("line_number"), "raw_line", mask.alias("mask"), F.array(*values).cast("array<string>").alias("values"))
         if not any(p.type == "sequence" for r in group for p in _parts(r)):
             seen = seen.where("mask <> 0")
 
         def start(plan=plan):
-            live = [(r.id, r.type == "composite", own, _machine(r)) for r, own in plan]
+            live = [(r, own, _machine(r)) for r, own in plan]
 
             def step(row):
                 source, key, us, line_number, raw, mask, values = row
                 out = []
-                for name, several, own, machine in live:
-                    bits = [mask >> at & width for at, width, _ in own]
-                    value = [None if v is None else values[v] for _, _, v in own]
-                    fired = machine.feed(us, bits, value, raw) if several else machine.feed(us, bits[0], value[0], raw)
-                    if fired:
-                        out.append((source, key, name, line_number, us, *fired))
+                for r, own, machine in live:
+                    if fired := fed(machine, r, own, us, mask, values, raw):
+                        out.append((source, key, r.id, line_number, us, *fired))
                 return out
 
             return step

@@ -1,8 +1,10 @@
-"""Streaming detection: stateless patterns, windowed rates, sessions, duplicates, thresholds with reset."""
+"""Streaming detection: raw lines, stateless patterns, windowed rates, sessions, duplicates, rules with state."""
 
 from __future__ import annotations
 
 import os
+import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect
+from ..rules.model import Rule
+from ..sources import formats
 from ..plans.adapter import K, COLUMNS
 from ..functions import core
 
@@ -51,35 +55,62 @@ def without_repeats(found: DataFrame, within: str = "1 minute") -> DataFrame:
 
 
 def threshold_stream(events: DataFrame, key: str, count: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """key, line_number: as threshold_fires, over a stream; state is the key's last events, dropped once the window is past."""
-    width = seconds * 1_000_000
+    """key, rule_id, line_number, event_count: one threshold over a stream, without a filter."""
+    return rule_stream(events, Rule("threshold", "threshold", "MEDIUM", "rate", 0.8, (), (), "threshold", key=key, count=count, seconds=seconds), late)
+
+
+def rule_stream(events: DataFrame, rule: Rule, late: str = "1 hour") -> DataFrame:
+    """key, rule_id, line_number, event_count: fires of a threshold, sequence or composite over a stream.
+
+    A key's state is the rule's machine, as in batch; it is dropped once the rule's window after the key's last event has passed
+    the watermark. Events of one trigger are put in order; rows later than the watermark are dropped by Spark.
+    """
+    flags, values, own = detect.columns_of(rule)
+    width = detect.window_of(rule)
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
+        machine = pickle.loads(state.get[0]) if state.exists else detect.machine_of(rule)
         rows = pd.concat(list(batches)).sort_values(["us", "line_number"])
         out = []
-        for us, line in zip(rows["us"].tolist(), rows["line_number"].tolist(), strict=True):
-            held = [x for x in held if x >= us - width] + [us]
-            if len(held) >= count:
-                out.append((k[0], line))
-                held = []
-        state.update((held,))
-        last = (max(held) if held else int(rows["us"].max())) // 1000 + seconds * 1000
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "line_number"])
-
-    rows = events.where(F.col(key).isNotNull()).withWatermark("timestamp", late).select(F.col(key).alias("key"), "us", "line_number", "timestamp")
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, line_number long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, into a table in the shared folder, and reads that."""
+        for us, line, raw, mask, v in zip(rows["us"].tolist(), rows["line_number"].tolist(), rows["raw_line"].tolist(), rows["mask"].tolist(), rows["values"].tolist(), strict=True):
+            fired = detect.fed(machine, rule, own, us, int(mask), v, raw)
+            if fired:
+                out.append((k[0], rule.id, line, fired[0]))
+        state.update((pickle.dumps(machine),))
+        state.setTimeoutTimestamp(max((int(rows["us"].max()) + width) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "rule_id", "line_number", "event_count"])
+
+    rows = events.where(F.col(rule.key).isNotNull()).withWatermark("timestamp", late)
+    rows = rows.select(F.col(rule.key).cast("string").alias("key"), "us", F.col("line_number").cast("long").alias("line_number"), "raw_line", detect.mask_of(flags).alias("mask"), F.array(*values).cast("array<string>").alias("values"), "timestamp")
+    return rows.groupBy("key").applyInPandasWithState(fold, "key string, rule_id string, line_number long, event_count int", "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_rows(events: DataFrame, done_us: int, late_us: int = 3_600_000_000) -> DataFrame:
+    """Events of a batch that a stream whose greatest time was done_us no longer takes: they go to a table of their own, for repair in batch."""
+    return events.where(F.col("us") < done_us - late_us)
+
+
+def line_stream(spark: SparkSession, path: str, log_format: str) -> DataFrame:
+    """Event rows of a folder of text logs of one format, as the files come; source_file is the file's path. A line has no number in a stream: line_number is a hash of it."""
+    lines = spark.readStream.format("text").load(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw_line")).where(F.trim("raw_line") != "")
+    out = formats.normalise(lines, log_format).withColumn("line_number", F.xxhash64("source_file", "raw_line"))
+    return out.withColumn("us", F.unix_micros("timestamp"))
+
+
+def run_to_end(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, into a table in the shared folder, and reads that.
+
+    With a path, a later run over the same source goes on where the last one ended: its checkpoint is there.
+    """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="emberlog-stream-")
-    path = os.path.join(root, f"emberlog-stream-{uuid.uuid4().hex}")
+    if path is None:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        path = os.path.join(root or tempfile.mkdtemp(prefix="emberlog-stream-"), f"emberlog-stream-{uuid.uuid4().hex}")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

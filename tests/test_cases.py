@@ -1,9 +1,13 @@
 """Case work on small tables."""
 
+import hashlib
+import hmac
+import json
+
 from pyspark.sql import functions as F
 
 from emberlog.functions import core
-from emberlog.operators import cases, ioc, search
+from emberlog.operators import cases, correlate, ioc, report, search
 from emberlog.plans.adapter import events
 from emberlog.queries import found
 from emberlog.sources import formats
@@ -81,3 +85,92 @@ def test_small_functions(spark):
     assert one.select(core.is_tor_exit(F.lit("185.220.101.5")), core.same_subnet(F.lit("10.0.0.1"), F.lit("10.0.0.200"), 24), core.url_decoded(F.lit("a%2+b%zz%41"))).first()[:] == (True, True, "a%2 b%zzA")
     assert one.select(core.epoch_time(F.lit("1700000000.5")) == core.epoch_time(F.lit("1700000000500"))).first()[0]
     assert events(spark, DIR).count() == 1000
+
+
+def finding(spark, *rows):
+    kinds = "id string, rule_id string, rule_name string, severity string, category string, confidence double, risk_score double, source_ip string, dest_ip string, hostname string, username string, process_name string, event_id string, us long, line_number long, raw_line string, source_file string, session_id string, auth_result string, hour_of_day int, mitre_ids array<string>, tactic_names array<string>, http_user_agent string, http_uri_decoded string, supporting_lines array<string>"
+    names = [k.strip().split()[0] for k in kinds.split(", ")]
+    base = {"severity": "HIGH", "category": "auth", "confidence": 0.8, "risk_score": 5.0, "us": 0, "session_id": "s", "mitre_ids": [], "tactic_names": [], "hour_of_day": 12, "raw_line": "line"}
+    return spark.createDataFrame([tuple((base | {"id": str(i), "line_number": i} | r).get(n) for n in names) for i, r in enumerate(rows)], kinds)
+
+
+def test_ledger_signatures(spark):
+    rows = [("e1", "/a", "h1", 5), ("e2", "/b", "h2", 6), ("e3", "/c", "h3", 7), ("e4", "/d", "h4", 8)]
+    columns = ["entry_id", "file_path", "sha256", "size"]
+    book = cases.signed(spark.createDataFrame(rows, "entry_id string, file_path string, sha256 string, size long"), "secret", columns)
+    first = book.orderBy("entry_id").first()
+    text = json.dumps({"entry_id": "e1", "file_path": "/a", "sha256": "h1", "size": 5}, separators=(",", ":"))
+    assert first["entry_hmac"] == hmac.new(b"secret", text.encode(), hashlib.sha256).hexdigest()
+    book = book.withColumn("size", F.when(F.col("entry_id") == "e2", 99).otherwise(F.col("size")))
+    now = spark.createDataFrame([("/a", "h1"), ("/b", "h2"), ("/c", "other")], "path string, sha256 string")
+    got = {r["entry_id"]: (r["verified"], r["error"]) for r in cases.verified(book, now, "secret", columns).collect()}
+    assert got == {"e1": (True, None), "e2": (False, "tampered"), "e3": (False, "modified"), "e4": (False, "missing")}
+
+
+def test_conditions(spark):
+    rows = spark.createDataFrame([(1, "cmd.exe", "bob"), (2, "cmd.exe", "system"), (3, "sh", "bob"), (4, None, "bob")], "i int, image string, user string")
+    s = {"sel_a": {"image": "cmd*"}, "sel_b": {"image": "s?"}, "flt": {"user": "SYSTEM"}}
+    ids = lambda text: [r["i"] for r in rows.where(cases.condition(text, s)).orderBy("i").collect()]
+    assert ids("sel_a and not flt") == [1] and ids("1 of sel_*") == [1, 2, 3] and ids("all of sel_*") == []
+    assert ids("(sel_a or sel_b) and not flt") == [1, 3] and ids("not 1 of them") == [4]
+
+
+def test_indicators_of_findings(spark):
+    f = finding(
+        spark,
+        {"rule_id": "R1", "category": "malware", "source_ip": "45.1.1.1", "dest_ip": "8.8.4.4", "hostname": "web1", "process_name": "mimikatz.exe", "http_user_agent": "sqlmap/1", "event_id": "4625", "mitre_ids": ["T1"],
+         "http_uri_decoded": "/r?u=http://Bad.Example.COM/x", "raw_line": "seen /etc/passwd and C:\\\\temp\\\\a.exe by Bob@Mail.example.org", "supporting_lines": ["from evil.example.net at 9.9.9.9", "a" * 64]},
+    )
+    got = {(r["type"], r["value"]): r for r in ioc.of_findings(f).collect()}
+    want = {("ipv4", "45.1.1.1"): 0.8, ("ipv4", "8.8.4.4"): 0.72, ("hostname", "web1"): 0.68, ("process", "mimikatz.exe"): 0.85, ("user_agent", "sqlmap/1"): 0.9, ("url", "http://Bad.Example.COM/x"): 0.8, ("domain", "evil.example.net"): 0.56, ("ipv4", "9.9.9.9"): 0.6, ("email", "bob@mail.example.org"): 0.64, ("hash_sha256", "a" * 64): 0.8, ("file_path", "/etc/passwd"): 0.56}
+    assert {k: got[k]["confidence"] for k in want} == want
+    assert got[("hostname", "web1")]["tags"] == ["malware", "T1", "EventID:4625"] and got[("hostname", "web1")]["source_rule"] == "R1"
+    assert {k for k in got if k[0] == "domain"} >= {("domain", "bad.example.com"), ("domain", "mail.example.org")}
+    both = ioc.merged(ioc.of_findings(f))
+    assert ioc.filtered(both, rule="r1", tag="eventid", drop_private=True).count() == both.count() and ioc.filtered(both, rule="zzz").count() == 0
+
+
+def test_behaviour_without_a_past(spark):
+    rows = [{"source_ip": "1.1.1.1", "category": "auth_attack", "severity": "LOW", "hour_of_day": 12}] * 2 + [{"source_ip": "2.2.2.2", "category": "web", "severity": "CRITICAL", "hour_of_day": 3}] * 3 + [{"source_ip": "3.3.3.3", "category": "web", "severity": "LOW"}] * 30
+    got = {r["entity"]: r for r in correlate.anomaly(correlate.behaviour(finding(spark, *rows)), "s").collect()}
+    # failures alone; grave, off hours and mean severity; the number of findings gives nothing
+    assert [(got[e]["score"], got[e]["label"]) for e in ("1.1.1.1", "2.2.2.2", "3.3.3.3")] == [(3.0, "Normal"), (7.0, "HIGH anomaly"), (0.0, "Normal")]
+    assert got["2.2.2.2"]["flags"] == ["grave", "off hours"] and not got["1.1.1.1"]["has_baseline"]
+
+
+def test_graph_ends(spark):
+    rows = [{"hostname": "h", "source_ip": "1.1.1.1"}, {"dest_ip": "2.2.2.2"}, {"process_name": "p"}, {"source_file": "/var/log/a.log"}, {"category": "web"}]
+    got = {(r["source"], r["target"]) for r in correlate.graph_edges(finding(spark, *rows)).collect()}
+    assert got == {("1.1.1.1", "h"), ("external", "2.2.2.2"), ("external", "process:p"), ("external", "log:a.log"), ("external", "target:web")}
+
+
+def test_playbook_names(spark):
+    steps = spark.createDataFrame([("web_attack", "p", "w"), ("malware", "p", "m"), ("default", "p", "d")], "category string, phase string, step string")
+    got = {r["category"]: r["step"] for r in cases.playbook_steps(finding(spark, *({"category": c} for c in ("api_security", "impact", "recon", "ai_attack"))), steps).collect()}
+    assert got == {"api_security": "w", "impact": "m", "recon": "d", "ai_attack": "d"}
+
+
+def test_entity_risk_without_confidence(spark):
+    got = correlate.entity_risk(finding(spark, {"source_ip": "1.1.1.1", "confidence": 0.0, "risk_score": 8.0})).first()
+    assert got["risk_score"] == round(8.0 * 0.75 * 2.4, 2)
+
+
+def test_decoys(spark):
+    e = spark.createDataFrame([(1, "f", "a", 0, "read Canary-User-7 now"), (2, "f", "b", 0, "the blue folder"), (3, "f", "c", 0, "key k9z")], "line_number long, source_file string, source_ip string, us long, raw_line string")
+    d = spark.createDataFrame([("t1", "canary-user-7"), ("t2", "Blue Folder"), ("t3", "k9z"), ("t4", "")], "token_id string, value string")
+    assert sorted((r["token_id"], r["line_number"]) for r in cases.decoy_hits(e, d).collect()) == [("t1", 1), ("t2", 2), ("t3", 3)]
+
+
+def test_case_tables(spark, tmp_path):
+    root = str(tmp_path)
+    assert report.read(spark, "notes", root).count() == 0
+    report.append(spark, "notes", [("s1", "ann", "look", 1)], root)
+    report.append(spark, "notes", [("s1", "bob", "done", 2)], root)
+    assert sorted(r["note"] for r in report.read(spark, "notes", root).collect()) == ["done", "look"]
+    f = finding(spark, {"source_ip": "1.1.1.1", "hostname": "h"})
+    report.append(spark, "risk_snapshots", report.risk_snapshot(f, 7), root)
+    assert {(r["kind"], r["taken_us"]) for r in report.read(spark, "risk_snapshots", root).collect()} == {("ip", 7), ("host", 7)}
+    report.save_report(f, f.select("id", F.lit("open").alias("action"), F.lit(1).alias("created_us")), f"{root}/r")
+    assert spark.read.json(f"{root}/r/summary").first()["findings"] == 1
+    report.save_graph(f, f"{root}/g")
+    assert spark.read.parquet(f"{root}/g/nodes").count() == 2

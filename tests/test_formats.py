@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from emberlog.functions import core
-from emberlog.sources import formats
+from emberlog.sources import formats, probing
 
 CASES = [
     ("apache_combined", '192.168.1.11 - admin [04/Jan/2026:10:00:01 +0200] "POST /login?id=1%27+OR+1%3D1 HTTP/1.1" 200 512 "-" "sqlmap/1.7.8"', {"source_ip": "192.168.1.11", "username": "admin", "http_method": "POST", "http_status": 200, "http_user_agent": "sqlmap/1.7.8", "http_uri_decoded": "/login?id=1' OR 1=1", "timestamp": datetime(2026, 1, 4, 8, 0, 1)}),
@@ -68,10 +68,59 @@ def test_every_format_gives_event_columns(spark):
     assert formats.normalise_mixed(lines.selectExpr("*", "'squid' as log_format"), ["squid", "cef"]).count() == 2
 
 
+def lines_of(spark, files):
+    rows = [(name, i + 1, text) for name, texts in files.items() for i, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "source_file string, line_number long, raw_line string")
+
+
 def test_detection_of_formats(spark):
-    want = {"apache_combined": CASES[0][1], "auth_log": CASES[1][1], "json_lines": CASES[3][1], "aws_cloudtrail": CASES[4][1], "unknown": "free text"}
-    lines = spark.createDataFrame([(k, i + 1, v) for k, v in want.items() for i in range(3)], "source_file string, line_number long, raw_line string")
-    assert {r["source_file"]: r["log_format"] for r in formats.file_format(lines).collect()} == {k: k for k in want}
+    sample = {name: text for name, text, _ in reversed(CASES)}
+    by_content = {"apache_combined": "apache_combined", "auth_log": "auth_log", "json_lines": "json_generic", "aws_cloudtrail": "aws_cloudtrail", "squid": "squid", "cisco_asa": "cisco_asa", "cef": "cef", "leef": "ai_parsed", "snort_fast": "snort_fast", "auditd": "auditd", "fail2ban": "fail2ban", "mysql_error": "mysql_error", "android_logcat": "android_logcat", "syslog_rfc5424": "syslog"}  # LEEF 1.0 meets no probe; a name counts before content
+    files = {f"/x/{name}.bin": ["", sample[name], sample[name]] for name in by_content}
+    want = {f"/x/{k}.bin": v for k, v in by_content.items()}
+    more = {
+        "/x/u_ex260104.txt": (["nothing"], "iis_w3c"), "/x/a.jsonl": (["nothing"], "json_lines"), "/x/Auth.log.1": (["nothing"], "auth_log"), "/x/plain.bin": (["free text"], "ai_parsed"), "/x/array.bin": (['[{"a": 1}]'], "json_generic"),
+        "/x/conn.bin": (["#fields\tts\tuid\tid.orig_h", "1\t2\t3"], "zeek_conn"), "/x/late.bin": (["x"] * 15 + [sample["cef"]], "ai_parsed"),
+        # Apache has more points, but there are logins
+        "/x/both.bin": ([sample["apache_combined"]] * 5 + [sample["auth_log"]], "auth_log"), "/x/magic.log": (["nothing"], "windows_evtx"),
+    }
+    files |= {k: v[0] for k, v in more.items()}
+    magic = spark.createDataFrame([("/x/magic.log", b"ElfFile\0"), ("/x/plain.bin", b"MZ")], "source_file string, head binary")
+    got = {r["source_file"]: r["log_format"] for r in probing.file_format(lines_of(spark, files), magic).collect()}
+    assert got == want | {k: v[1] for k, v in more.items()}
+    one = lines_of(spark, {"f": [sample["cef"], "free text"]}).select(probing.line_format("raw_line").alias("f"))
+    assert [r["f"] for r in one.collect()] == ["cef", "ai_parsed"]
+
+
+def test_columns_by_header(spark):
+    files = {
+        "a": ["#Software: Microsoft IIS", "#Fields: date time c-ip cs-method cs-uri-stem sc-status", "2026-01-04 10:00:01 1.2.3.4 GET /a 404"],
+        "b": ["2026-01-04 10:00:01 5.6.7.8 GET /b id=1 80 - 1.2.3.9 Mozilla/5.0+(X) - 200 0 0 1"],
+    }
+    got = {r["source_file"]: r for r in probing.parse_with_header(lines_of(spark, files), "iis_w3c").collect()}
+    assert (got["a"]["source_ip"], got["a"]["http_uri"], got["a"]["http_status"], got["a"]["http_method"]) == ("1.2.3.4", "/a", 404, "GET")
+    assert (got["b"]["source_ip"], got["b"]["http_uri"], got["b"]["http_status"]) == ("1.2.3.9", "/b?id=1", 200)
+    flow = {"v": ["version srcaddr dstaddr dstport action protocol start", "2 1.2.3.4 5.6.7.8 22 REJECT 6 1700000000"], "w": ["2 123 eni-1 1.2.3.4 5.6.7.8 99 23 6 10 840 1700000000 1700000060 ACCEPT OK"]}
+    got = {r["source_file"]: r for r in probing.parse_with_header(lines_of(spark, flow), "aws_vpc_flow").collect()}
+    assert (got["v"]["source_ip"], got["v"]["dest_port"], got["v"]["action"], got["v"]["protocol"]) == ("1.2.3.4", 22, "reject", "tcp")
+    assert (got["w"]["dest_port"], got["w"]["action"]) == (23, "accept")
+    wall = {"f": ["#Fields: date time action protocol dst-ip src-ip dst-port src-port", "2026-01-04 10:00:01 DROP TCP 5.6.7.8 1.2.3.4 445 99"]}
+    r = probing.parse_with_header(lines_of(spark, wall), "windows_firewall").first()
+    assert (r["source_ip"], r["dest_ip"], r["dest_port"], r["action"]) == ("1.2.3.4", "5.6.7.8", 445, "drop")
+
+
+def test_rejects_and_statistics(spark):
+    lines = lines_of(spark, {"f": [CASES[0][1], "nonsense", "y" * 300]})
+    parsed = formats.normalise(lines, "apache_combined")
+    assert sorted(map(tuple, probing.rejects(lines, parsed, 250).collect())) == [("f", 2, "unparsed"), ("f", 3, "too_long")]
+    r = probing.statistics(parsed).first()
+    assert (r["lines"], r["ok"], r["errors"], r["ips"], r["span"]) == (3, 1, 2, 1, 0)
+
+
+def test_own_format(spark):
+    formats.register_format("mine", lambda x: {"source_ip": formats.part(x, r"from=(\S+)", 1)})
+    assert formats.normalise(lines_of(spark, {"f": ["from=1.2.3.4"]}), "mine").first()["source_ip"] == "1.2.3.4"
+    del formats.FORMATS["mine"]
 
 
 def test_readers(spark, tmp_path):
