@@ -5,6 +5,8 @@ Pattern rules are one projection. Rules with state fold each key's events in ord
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from ..rules.model import Rule, event_filter, indicators_of, matches, pattern_of
 from . import fold
 
 SECOND = 1_000_000
-CHUNK = 32  # patterns in one array, so that generated methods stay small
+CHUNK = 16  # patterns in one array, so that generated methods stay small
 # Names of scanning tools
 TOOLS = "sqlmap|nikto|nessus|openvas|masscan|nmap|nuclei|dirbuster|gobuster|feroxbuster|hydra|medusa|burpsuite|metasploit|zgrab"
 
@@ -28,6 +30,13 @@ def rules_table(spark, rules=RULES) -> DataFrame:
 def regex_hits(events: DataFrame, rules=None) -> DataFrame:
     """One row for each event and pattern rule that it meets: the event's columns, rule_id, matched_text (200 characters at most)."""
     rules = [r for r in (rules or RULES) if r.type == "regex"]
+    rows = spread(events)
+    return rows.select("*", F.explode(_hits_of(tuple(rules), rows.sparkSession.sparkContext.applicationId)).alias("_hit")).select("*", "_hit.*").drop("_hit")
+
+
+@lru_cache(16)
+def _hits_of(rules: tuple[Rule, ...], application: str) -> Column:
+    """An array of the rules that a row meets. Kept, as building it takes seconds."""
     arrays = []
     for at in range(0, len(rules), CHUNK):
         hits = [
@@ -35,7 +44,13 @@ def regex_hits(events: DataFrame, rules=None) -> DataFrame:
             for r in rules[at : at + CHUNK]
         ]
         arrays.append(F.array_compact(F.array(*hits)))
-    return events.select("*", F.explode(F.flatten(F.array(*arrays))).alias("_hit")).select("*", "_hit.*").drop("_hit")
+    return F.flatten(F.array(*arrays))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come from fewer partitions than there are cores, as from one small file, dealt to all; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def confidence(base, tactics: Column, event_count=None) -> Column:
@@ -198,17 +213,22 @@ def detect(events: DataFrame, rules=None) -> DataFrame:
 
 def with_indicators(found: DataFrame, rules=None) -> DataFrame:
     """Adds indicators, a map of the fields that each rule names (500 characters at most, none that is null), and matched_text."""
-    maps = [(r, indicators_of(r, found.columns)) for r in rules or RULES]
     by: dict[tuple, list[str]] = {}
-    for r, fields in maps:
-        by.setdefault(tuple(fields), []).append(r.id)
-    pair = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("k"), F.substring(F.col(f).cast("string"), 1, 500).alias("v")))
-    text = [pair("matched_text")] if "matched_text" in found.columns else []
-    none = F.array().cast("array<struct<k:string,v:string>>")
-    out = none
-    for fields, ids in by.items():
-        out = F.when(F.col("rule_id").isin(ids), F.array_compact(F.array(*map(pair, fields), *text)) if fields or text else none).otherwise(out)
-    return found.withColumn("indicators", F.map_from_entries(out))
+    for r in rules or RULES:
+        by.setdefault(tuple(indicators_of(r, found.columns)), []).append(r.id)
+    groups = tuple((fields, tuple(ids)) for fields, ids in by.items())
+    return found.withColumn("indicators", _indicators(groups, "matched_text" in found.columns, found.sparkSession.sparkContext.applicationId))
+
+
+@lru_cache(16)
+def _indicators(groups: tuple, text: bool, application: str) -> Column:
+    pair = lru_cache(None)(lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("k"), F.substring(F.col(f).cast("string"), 1, 500).alias("v"))))
+    out = F.array().cast("array<struct<k:string,v:string>>")
+    for fields, ids in groups:
+        pairs = [pair(f) for f in (*fields, *(["matched_text"] if text else []))]
+        if pairs:
+            out = F.when(F.col("rule_id").isin(*ids), F.array_compact(F.array(*pairs))).otherwise(out)
+    return F.map_from_entries(out)
 
 
 def deduplicate(found: DataFrame, seconds: int = 60) -> DataFrame:
