@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity
+from . import ann, clusters, decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity, vector_codes
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_token_counts": token_count.op10_token_counts,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_clusters": clusters.op12_clusters,
 }
-ORACLE_SQL = {"op5_mix": mixing.SQL}
+ORACLE_SQL = {"op5_mix": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_clusters": clusters.SQL}
