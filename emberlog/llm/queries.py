@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, clusters, decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity, vector_codes
+from . import ann, clusters, decontaminate, html_extract, jaccard_join, lattice_lm, license_scan, mixing, secrets_scan, token_count, toxicity, url_templates, vector_codes
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_counts": token_count.op10_token_counts,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_clusters": clusters.op12_clusters,
+    "op13_url_filter": url_templates.op13_url_filter,
 }
 ORACLE_SQL = {"op5_mix": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_clusters": clusters.SQL}
