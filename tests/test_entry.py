@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -50,3 +54,16 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert os.path.exists(DIR)
+
+
+@pytest.mark.parametrize("gone", [("emberlog/llm", "tests/llm"), ("emberlog/llm", "tests/llm", "corpus_pipeline.py")])
+def test_without_the_subpackage(tmp_path, gone):
+    """The rest imports and has all its queries in a copy without the training-data operators."""
+    here = Path(__spark_entry__.__file__).parent
+    for name in ("emberlog", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        if name not in gone and (here / name).exists():
+            (shutil.copytree if (here / name).is_dir() else shutil.copy)(here / name, tmp_path / name)
+    for name in gone:
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
+    code = "import __spark_entry__ as e; from emberlog import queries; assert set(e.queries()) == set(queries.QUERIES), 1; assert set(e.oracle_sql()) <= set(e.queries()), 2"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
