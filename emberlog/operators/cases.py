@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from . import ioc
+from . import ioc, matching
 
 # --- evidence ----------------------------------------------------------------------
 
@@ -59,26 +59,15 @@ def playbook_steps(found: DataFrame, steps: DataFrame) -> DataFrame:
 # --- decoys ------------------------------------------------------------------------
 
 
-PHRASES = 1000  # decoys that are looked for in every line, at most
-
-
 def decoy_hits(events: DataFrame, decoys: DataFrame) -> DataFrame:
-    """Events whose line holds a decoy's value, whatever its case.
+    """Events whose line holds a decoy's value, whatever its case and whatever stands beside it: one row for each event and token.
 
-    Decoys that are one word of six characters or more meet the line's words by an equal join; the others, which are few and are
-    broadcast, are looked for in every line.
+    decoys: token_id, value; empty and null values are never found. See matching.containing for how.
     """
-    plain = F.col("value").rlike(r"^[\w@.-]{6,}$")
-    one = decoys.where(plain).select("token_id", F.lower("value").alias("word"))
-    carried = ["line_number", "source_file", "source_ip", "us"]
-    words = events.select(*carried, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_line"), F.lit(r"[\w@.-]{6,}"), 0))).alias("word"))
-    hit = words.join(one, "word").select("token_id", *carried)
-    rest = decoys.where(~plain & (F.col("value") != "")).select("token_id", F.lower("value").alias("_value"))
-    if rest.limit(PHRASES + 1).count() > PHRASES:
-        raise ValueError(f"more than {PHRASES} decoys are short or of several words")
-    more = events.join(F.broadcast(rest), F.lower("raw_line").contains(F.col("_value"))).select("token_id", *carried)
-    hit = hit.unionByName(more)
-    return hit.select("token_id", *carried, F.lit("CANARY-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("insider_threat").alias("category"), F.lit(9.0).alias("risk_score"), F.lit("T1005").alias("technique"))
+    own = decoys.select("token_id", F.lower("value").alias("value")).distinct()
+    hit = matching.containing(events.select("line_number", "source_file", "source_ip", "us", "raw_line"), own, "raw_line", ["source_file", "line_number"])
+    hit = hit.join(own, "value").select("token_id", "line_number", "source_file", "source_ip", "us").distinct()
+    return hit.select("*", F.lit("CANARY-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("insider_threat").alias("category"), F.lit(9.0).alias("risk_score"), F.lit("T1005").alias("technique"))
 
 
 # --- observed data, actors, objects ------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
+from . import matching
 
 # Categories of each chain and what it adds to confidence
 CHAINS = [
@@ -194,3 +195,20 @@ def derived_chains(found: DataFrame, top: int = 20) -> DataFrame:
     words = F.array_join(F.transform(F.slice("categories", 1, 5), lambda c: F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))), " -> ")
     out = out.where((F.size("categories") > 1) | (F.size("techniques") > 0) | (F.col("max_risk_score") > 0)).withColumn("chain_name", F.concat("source", F.lit(": "), words))
     return out.orderBy(F.desc("max_risk_score"), F.desc("finding_count"), "chain_name").limit(top)
+
+
+def impossible_travel(events: DataFrame, seconds: int = 3600) -> DataFrame:
+    """The strict form of INSD-008: logins of a user that follow one from another address within the window, with that one's line, address and time.
+
+    The rule itself asks for two logins only. See matching.last_other for how; the rows have all columns of the event, rule_id, and other_ columns.
+    """
+    logins = events.where("auth_result = 'success' and username <> '' and source_ip <> ''")
+    found = matching.last_other(logins, "username", "source_ip", ["line_number"], ["line_number", "source_file"], seconds)
+    return found.withColumn("rule_id", F.lit("INSD-008"))
+
+
+def logins_after_failures(events: DataFrame, seconds: int = 3600) -> DataFrame:
+    """username, pairs, least_us: pairs of a failed and a later successful login of a user within the window, and the shortest time between."""
+    pick = lambda result, name: events.where(F.col("auth_result") == result).where("username <> ''").select("username", F.col("us").alias(name))
+    pairs = matching.interval_join(pick("failure", "us"), pick("success", "right_us"), ["username"], seconds)
+    return pairs.groupBy("username").agg(F.count("*").alias("pairs"), F.min(F.col("right_us") - F.col("us")).alias("least_us"))

@@ -267,3 +267,19 @@ SQL["technique_rows"] = FINDINGS + (
     ", x as (select unnest(mitre_ids) as technique, risk_score, sev_rank, rule_id, source_ip from found), t as (select technique, count(*) as n, max(risk_score) as max_risk, (['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[max(sev_rank) + 1] as top_severity from x group by technique order by n desc, technique limit 30) "
     f"select * from t left join ({_TOP.format(c='rule_id')}) a using (technique) left join ({_TOP.format(c='source_ip')}) b using (technique)"
 )
+SQL["decoys_any_length"] = EV + (
+    ", first as (select substr(username, 2, 9) as uid, arg_min(raw_line, line_number) as line from ev group by 1), "
+    "decoys as (select concat('u', uid) as token_id, substr(line, cast(1 + uid::int % 60 as int), cast(1 + uid::int % 40 as int)) as value from first "
+    "union all select concat('d', coalesce(source, '-')), min(lang) from documents group by source) "
+    "select token_id, count(*) as n, min(line_number) as first_line from (select distinct token_id, line_number from decoys join ev on contains(lower(raw_line), lower(value)) where value <> '') group by token_id"
+)
+SQL["impossible_travel"] = EV + (
+    ", logins as (select hostname as username, line_number, source_ip, us from ev where auth_result = 'success'), "
+    "pairs as (select a.username, a.line_number, a.source_ip, a.us, b.line_number as l, b.source_ip as ip, b.us as t, row_number() over (partition by a.line_number order by b.us desc, b.line_number desc) as place "
+    "from logins a join logins b on a.username = b.username and a.source_ip <> b.source_ip and (b.us, b.line_number) < (a.us, a.line_number) and b.us >= a.us - 3600000000) "
+    "select username, line_number, source_ip, l as other_line_number, ip as other_source_ip, us - t as apart_us from pairs where place = 1"
+)
+SQL["logins_after_failures"] = EV + (
+    "select f.username, count(*) as pairs, min(s.us - f.us) as least_us from ev f join ev s on f.username = s.username and s.us between f.us and f.us + 43200000000 "
+    "where f.auth_result = 'failure' and s.auth_result = 'success' group by f.username"
+)

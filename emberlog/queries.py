@@ -189,6 +189,22 @@ def _decoys(s, d):
     return cases.decoy_hits(e, e.where("dest_port = 1007").select(F.col("source_ip").alias("value")).distinct().withColumn("token_id", F.concat(F.lit("t"), "value"))).groupBy("token_id").agg(F.count("*").alias("n"))
 
 
+def _decoys_any(s, d):
+    """Decoys of 1 to 40 characters, one cut from each user's first line and each document's source, looked for in all lines."""
+    e = events(s, d)
+    n = F.col("user_id").cast("int")
+    first = e.select(F.substring("username", 2, 9).alias("user_id"), "line_number", "raw_line").groupBy("user_id").agg(F.min_by("raw_line", "line_number").alias("line"))
+    cut = first.select(F.concat(F.lit("u"), "user_id").alias("token_id"), F.substring("line", 1 + n % 60, 1 + n % 40).alias("value"))
+    more = _docs(s, d).groupBy("source").agg(F.min("lang").alias("value")).select(F.concat(F.lit("d"), F.coalesce("source", F.lit("-"))).alias("token_id"), "value")
+    return cases.decoy_hits(e, cut.union(more)).groupBy("token_id").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"))
+
+
+def _travel(s, d):
+    """Hosts stand for users: a user of this table has one address."""
+    rows = correlate.impossible_travel(events(s, d).withColumn("username", F.col("hostname")))
+    return rows.select("username", "line_number", "source_ip", "other_line_number", "other_source_ip", (F.col("us") - F.col("other_us")).alias("apart_us"))
+
+
 def _years(s, d):
     return cases.with_years(events(s, d).select("source_file", "line_number", F.when(F.col("line_number") % 100 < 50, 12).otherwise(1).alias("month")), 2020).groupBy("year").agg(F.count("*").alias("n"))
 
@@ -200,6 +216,9 @@ QUERIES = {
     "evidence_trust": _integrity,
     "playbook_steps": _playbook,
     "decoy_hits": _decoys,
+    "decoys_any_length": _decoys_any,
+    "impossible_travel": _travel,
+    "logins_after_failures": lambda s, d: correlate.logins_after_failures(events(s, d), 12 * 3600),
     "year_rollover": _years,
     "observed": lambda s, d: cases.observed(found(s, d)),
     "case_numbers": lambda s, d: cases.case_numbers(found(s, d)),

@@ -3,11 +3,14 @@
 import hashlib
 import hmac
 import json
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions import core
-from emberlog.operators import cases, correlate, ioc, report, search
+from emberlog.operators import cases, correlate, ioc, matching, report, search
 from emberlog.plans.adapter import events
 from emberlog.queries import found
 from emberlog.sources import formats
@@ -161,6 +164,46 @@ def test_decoys(spark):
     assert sorted((r["token_id"], r["line_number"]) for r in cases.decoy_hits(e, d).collect()) == [("t1", 1), ("t2", 2), ("t3", 3)]
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_values_in_lines(spark, small):
+    """Values of 1 to 40 characters, alike ones and ones of many scripts, equal to looking for each in each line."""
+    r = random.Random(3)
+    alphabet = "aAb.- honeyÄé✓𝄞k9"
+    lines = ["".join(r.choice(alphabet) for _ in range(r.randrange(80))) for _ in range(300)] + ["read honey.txt.", "my-honey.txt", "HONEY.TXT", "", None, "x" * 20_000 + "honey.txt"]
+    values = {"honey.txt", "prefix-aaaa-1", "prefix-aaaa-2"} | {line[at : at + r.randrange(1, 41)] for line in lines if line for at in [r.randrange(len(line))] for _ in range(2)}
+    values |= {"".join(r.choice(alphabet) for _ in range(n)) for n in range(1, 41)}
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "source_file string, line_number long, raw_line string").repartition(3)
+    own = spark.createDataFrame([(v.lower(),) for v in values] + [("",), (None,)], "value string")
+    got = sorted((x["line_number"], x["value"]) for x in matching.containing(rows, own, "raw_line", ["source_file", "line_number"], small).collect())
+    low = {v.lower() for v in values}
+    assert got == sorted((i, v) for i, x in enumerate(lines) if x for v in low if v in x.lower())
+    assert matching.containing(rows, own.where("value = ''"), "raw_line", ["source_file", "line_number"], small).collect() == []
+
+
+def test_pieces_that_others_share_are_not_used(spark):
+    values = [f"akia-common-prefix-{i:06d}" for i in range(500)]
+    got = matching.rarest_pieces(spark.createDataFrame([(v,) for v in values], "value string")).collect()
+    assert len(got) == 500 and max(Counter(x["piece"] for x in got).values()) == 1
+
+
+def test_intervals(spark):
+    """Against all pairs: ties, times on the edge of the window and of buckets, nulls, and a user with most rows."""
+    r = random.Random(4)
+    at = lambda: r.choice([r.randrange(40), 10, 20, 30]) * 1_000_000
+    rows = [(i, r.choice(["u", "u", "u", "v", None]), r.choice("abc") if r.random() < 0.9 else None, at() if r.random() < 0.95 else None) for i in range(400)]
+    e = spark.createDataFrame(rows, "line_number long, username string, source_ip string, us long").repartition(3)
+    got = {x["line_number"]: x["other_line_number"] for x in matching.last_other(e, "username", "source_ip", ["line_number"], ["line_number"], 10).collect()}
+    want = {}
+    for i, u, ip, t in rows:
+        before = [(t2, j) for j, u2, ip2, t2 in rows if None not in (u, ip, t, u2, ip2, t2) and u == u2 and ip != ip2 and (t2, j) < (t, i) and t2 >= t - 10_000_000]
+        if before:
+            want[i] = max(before)[1]
+    assert got == want
+    right = e.select("username", F.col("us").alias("right_us"), F.col("line_number").alias("other"))
+    pairs = sorted((x["line_number"], x["other"]) for x in matching.interval_join(e, right, ["username"], 10).collect())
+    assert pairs == sorted((i, j) for i, u, _, t in rows for j, v, _, s in rows if None not in (u, v, t, s) and u == v and t <= s <= t + 10_000_000)
+
+
 def test_case_tables(spark, tmp_path):
     root = str(tmp_path)
     assert report.read(spark, "notes", root).count() == 0
