@@ -1,20 +1,21 @@
 """Detection: patterns, thresholds, sequences and composites over events, and what follows on findings.
 
-Pattern rules are one projection. Rules with state fold each key's events in order (fold.py). Rows without a timestamp take no part in them.
+Pattern rules are one projection. Rules with state are chains over each key's events in order (chains.py). Rows without a timestamp take no part in them.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import core
 from ..rules.catalog import RULES, TACTICS
 from ..rules.model import Rule, event_filter, indicators_of, matches, pattern_of, step_matches
-from . import fold
+from . import chains, hot_keys, shared
 
 SECOND = 1_000_000
 CHUNK = 16  # patterns in one array, so that generated methods stay small
@@ -81,17 +82,10 @@ def findings(hits: DataFrame, asset: float = 1.0) -> DataFrame:
     return out.withColumn("id", F.sha2(F.concat_ws(":", "source_file", "rule_id", F.col("line_number").cast("string")), 256))
 
 
-FIRES = T.StructType([
-    T.StructField("source_file", T.StringType()), T.StructField("key", T.StringType()), T.StructField("rule_id", T.StringType()), T.StructField("line_number", T.LongType()),
-    T.StructField("us", T.LongType()), T.StructField("event_count", T.IntegerType()), T.StructField("first_us", T.LongType()), T.StructField("supporting_lines", T.ArrayType(T.StringType())),
-])
+FIRES = "source_file string, key string, rule_id string, line_number long, us long, event_count int, first_us long, evidence array<long>"
 BITS = 60  # flags of one event that are carried in a number
 
 
-def _parts(rule: Rule) -> list[Rule]:
-    return list(rule.parts) if rule.type == "composite" else [rule]
-
-
 def _flags(rule: Rule) -> list[Column]:
     """One flag for each step, or one that tells whether the rule sees the event."""
     if rule.type == "sequence":
@@ -99,30 +93,19 @@ def _flags(rule: Rule) -> list[Column]:
     return [matches(rule) if rule.type == "regex" else event_filter(rule.where)]
 
 
-def _machine(rule: Rule):
-    width = (rule.seconds or 0) * SECOND
-    if rule.type == "composite":
-        return fold.All([_machine(p) for p in rule.parts], width, rule.logic)
-    if rule.type == "sequence":
-        return fold.Steps([int(s.get("min_count", 1)) for s in rule.steps], width)
-    if rule.type == "regex":
-        return fold.Met()
-    return (fold.Distinct if rule.distinct else fold.Count)(rule.count, width)
-
-
-machine_of = _machine
-
-
-def columns_of(rule: Rule) -> tuple[list[Column], list[Column], list[tuple]]:
-    """Flags and values of an event that a rule looks at, and for each of its parts where its flags begin, how many bits they are, and which value is its."""
-    flags, values, own = [], [], []
-    for p in _parts(rule):
-        f = _flags(p)
-        own.append((len(flags), (1 << len(f)) - 1, len(values) if p.distinct else None))
-        flags += f
-        if p.distinct:
-            values.append(F.col(p.distinct).cast("string"))
-    return flags, values, own
+def columns_of(rules: list[Rule]) -> tuple[list[Column], list[Column], list[chains.Plan]]:
+    """Flags and values of an event that rules look at, and each rule with the places of its own."""
+    flags, values, plans = [], [], []
+    for rule in rules:
+        own = []
+        for part in rule.parts if rule.type == "composite" else (rule,):
+            f = _flags(part)
+            own.append((len(flags), (1 << len(f)) - 1, len(values) if part.distinct else None))
+            flags += f
+            if part.distinct:
+                values.append(F.col(part.distinct).cast("string"))
+        plans.append(chains.Plan(rule, own))
+    return flags, values, plans
 
 
 def mask_of(flags: list[Column]) -> Column:
@@ -134,55 +117,81 @@ def window_of(rule: Rule) -> int:
     return SECOND * sum(r.seconds or 0 for r in (rule, *rule.parts))
 
 
-def fed(machine, rule: Rule, own: list[tuple], us: int, mask: int, values, line: str):
-    """What a rule's machine says to an event."""
-    bits = [mask >> at & width for at, width, _ in own]
-    value = [None if v is None else values[v] for _, _, v in own]
-    return machine.feed(us, bits, value, line) if rule.type == "composite" else machine.feed(us, bits[0], value[0], line)
-
-
-def fires(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """FIRES rows of threshold, sequence and composite rules; one source file never counts with another.
-
-    All rules of one key run in one pass over its sorted events. Events without a time or without the key take no part,
-    and events that no rule sees stay out of the shuffle unless a sequence's window may begin with them.
-    """
+def _groups(rules: list[Rule]) -> list[list[Rule]]:
+    """Rules of one key, as many as have flags for one number."""
     groups: dict[str, list[list[Rule]]] = {}
     for r in rules:
         mine = groups.setdefault(r.key, [[]])
-        if sum(len(_flags(p)) for x in [*mine[-1], r] for p in _parts(x)) > BITS:
+        if len(columns_of([*mine[-1], r])[0]) > BITS:
             mine.append([])
         mine[-1].append(r)
-    out = None
-    for key, group in ((k, g) for k, gs in groups.items() for g in gs):
-        flags, values, plan = [], [], []  # plan: each rule with the places of its flags and values
-        for r in group:
-            f, v, own = columns_of(r)
-            plan.append((r, [(at + len(flags), width, None if i is None else i + len(values)) for at, width, i in own]))
-            flags += f
-            values += v
-        mask = mask_of(flags)
-        seen = events.where(F.col("us").isNotNull() & F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-        seen = seen.select("source_file", F.col(key).cast("string").alias("key"), F.col("us").cast("long").alias("us"), F.col("line_number").cast("long").alias("line_number"), "raw_line", mask.alias("mask"), F.array(*values).cast("array<string>").alias("values"))
-        if not any(p.type == "sequence" for r in group for p in _parts(r)):
-            seen = seen.where("mask <> 0")
+    return [g for mine in groups.values() for g in mine]
+
 
-        def start(plan=plan):
-            live = [(r, own, _machine(r)) for r, own in plan]
+def seen_by(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[chains.Plan], int]:
+    """source_file, key, us, line_number, mask and values v0, v1, ... of the events that rules of one key see; and the rules' plans.
+
+    Events without a time or without the key take no part, and events that no rule sees stay out unless a sequence's window may begin with them.
+    """
+    flags, values, plans = columns_of(rules)
+    key = F.col(rules[0].key).cast("string")
+    rows = events.where(F.col("us").isNotNull() & key.isNotNull() & (key != ""))
+    rows = rows.select("source_file", key.alias("key"), F.col("us").cast("long").alias("us"), F.col("line_number").cast("long").alias("line_number"), mask_of(flags).alias("mask"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    if not any(part.type == "sequence" for plan in plans for part in plan.parts):
+        rows = rows.where("mask <> 0")
+    return rows, plans, len(values)
 
-            def step(row):
-                source, key, us, line_number, raw, mask, values = row
-                out = []
-                for r, own, machine in live:
-                    if fired := fed(machine, r, own, us, mask, values, raw):
-                        out.append((source, key, r.id, line_number, us, *fired))
-                return out
 
-            return step
+def fires(events: DataFrame, rules: list[Rule], hot: int = hot_keys.HOT, chunk: int = hot_keys.CHUNK) -> DataFrame:
+    """FIRES rows of threshold, sequence and composite rules; one source file never counts with another. evidence: numbers of the last lines that led to a fire.
 
-        found = fold.folded(seen, ["source_file", "key"], ["us", "line_number"], start, FIRES)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else events.sparkSession.createDataFrame([], FIRES)
+    All rules of one key run in one pass over its sorted events: Spark deals the events by key and sorts them, and only what the rules look at is
+    dealt, no lines. See chains.py for what a task does. Keys with more than hot events are counted first, and their thresholds are folded by
+    chunks on all cores (hot_keys.py); their sequences and composites take one task each, in bounded memory.
+    """
+    parts = []
+    for group in _groups(rules):
+        rows, plans, values = seen_by(events, group)
+        thresholds = [p for p in plans if p.rule.type == "threshold"]
+        cuts = hot_keys.hot_keys(rows, hot, chunk) if thresholds else None
+        if cuts is None:
+            parts.append(_folded(rows, plans, values))
+            continue
+        others = [p for p in plans if p.rule.type != "threshold"]
+        few = shared.small(cuts.select(*hot_keys.KEYS))
+        parts += [_folded(rows.join(few, hot_keys.KEYS, "left_anti"), plans, values), hot_keys.fires(rows, cuts, thresholds, values, fires_batch, FIRES)]
+        if others:
+            parts.append(_folded(rows.join(few, hot_keys.KEYS, "left_semi"), others, values))
+    return reduce(DataFrame.unionByName, parts) if parts else events.sparkSession.createDataFrame([], FIRES)
+
+
+def _folded(rows: DataFrame, plans: list[chains.Plan], values: int) -> DataFrame:
+    keys = hot_keys.KEYS
+
+    def scan(batches):
+        for found in chains.scanned(batches, keys, plans, values):
+            if found:
+                yield fires_batch(found)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "us", "line_number").mapInArrow(scan, FIRES)
+
+
+def fires_batch(found: list[tuple]) -> pa.RecordBatch:
+    source, key, rule, fired = zip(*found, strict=True)
+    line, us, count, first, evidence = zip(*fired, strict=True)
+    kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    columns = [source, key, rule, line, us, count, first, evidence]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["source_file", "key", "rule_id", "line_number", "us", "event_count", "first_us", "evidence"])
+
+
+def with_lines(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Fires with supporting_lines: the lines of their evidence, in order. The fires are written once; where few (they are counted), they are broadcast and no event is shuffled."""
+    found = shared.written(found, "fires")
+    wanted = found.select("source_file", "rule_id", "key", F.col("line_number").alias("_at"), F.posexplode("evidence").alias("_place", "line_number"))
+    lines = events.select("source_file", F.col("line_number").cast("long").alias("line_number"), "raw_line").join(shared.small(wanted), ["source_file", "line_number"])
+    each = lines.groupBy("source_file", "rule_id", "key", "_at", "_place").agg(F.min("raw_line").alias("line"))
+    own = each.groupBy("source_file", "rule_id", "key", F.col("_at").alias("line_number")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "line"))), lambda x: x["line"]).alias("supporting_lines"))
+    return found.join(own, ["source_file", "rule_id", "key", "line_number"], "left")
 
 
 def threshold_fires(events: DataFrame, rule: Rule) -> DataFrame:
@@ -191,19 +200,20 @@ def threshold_fires(events: DataFrame, rule: Rule) -> DataFrame:
 
 
 def sequence_fires(events: DataFrame, rule: Rule) -> DataFrame:
-    """FIRES of one sequence of steps; see fold.Steps."""
+    """FIRES of one sequence of steps; see chains.Steps."""
     return fires(events, [rule])
 
 
 def composite_fires(events: DataFrame, rule: Rule) -> DataFrame:
-    """FIRES of a composite, whose parts are pattern, threshold or sequence rules over its key; see fold.All."""
+    """FIRES of a composite, whose parts are pattern, threshold or sequence rules over its key: all of them within its window, or any. A part that has fired counts until the window after it has passed, and hears nothing meanwhile."""
     return fires(events, [rule])
 
 
 def stateful_hits(events: DataFrame, rules=None) -> DataFrame:
     """Hits of all rules with state: the firing event's columns, rule_id, event_count, first_us and supporting_lines, the last lines that led to it."""
-    found = fires(events, [r for r in rules or RULES if r.type != "regex"])
-    return events.join(found.select("source_file", "line_number", "event_count", "first_us", "rule_id", "supporting_lines"), ["source_file", "line_number"])
+    found = with_lines(events, fires(events, [r for r in rules or RULES if r.type != "regex"]))
+    found = found.select("source_file", "line_number", "event_count", "first_us", "rule_id", "supporting_lines")
+    return events.join(shared.small(found), ["source_file", "line_number"])
 
 
 def detect(events: DataFrame, rules=None) -> DataFrame:
@@ -231,42 +241,59 @@ def _indicators(groups: tuple, text: bool, application: str) -> Column:
     return F.map_from_entries(out)
 
 
-def deduplicate(found: DataFrame, seconds: int = 60) -> DataFrame:
-    """Bursts as one finding: of each rule and source, those within the window after a kept one are merged into it.
+MEMBERS = 20  # lines of a burst that are named; all are counted
+
+
+def bursts(found: DataFrame, seconds: int = 60) -> DataFrame:
+    """Findings by burst: source_file, rule_id, source, line_number and us of the one that is kept, kept_hash, and member_line, member_us and member_hash (of its line) of each that is in it, the kept one too.
 
-    rule_id, source, line_number and us of the kept, and merged, the distinct other trigger lines. A finding without a time always stays.
+    Of each rule and source, in order of time, a finding more than the window after the one kept last is kept. A finding without a time is a burst of its own.
     """
-    width = seconds * SECOND
     source = F.coalesce("source_ip", "hostname", F.lit("?"))
-    rows = found.select("source_file", "rule_id", source.alias("source"), F.col("line_number").cast("long").alias("line_number"), F.col("us").cast("long").alias("us"), F.col("raw_line").alias("line"))
+    line, us, text = F.col("line_number").cast("long"), F.col("us").cast("long"), F.xxhash64("raw_line")
+    rows = found.select("source_file", "rule_id", source.alias("source"), line.alias("member_line"), us.alias("member_us"), text.alias("member_hash"))
     keys = ["source_file", "rule_id", "source"]
+    schema = f"{', '.join(f'{k} string' for k in keys)}, line_number long, us long, kept_hash long, member_line long, member_us long, member_hash long"
+
+    def scan(batches):
+        now, open_burst, kept = None, chains.Bursts(seconds * SECOND), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k) for k in keys]
+            line, us, text = (batch.column(c).to_numpy() for c in ("member_line", "member_us", "member_hash"))
+            starts = chains.runs_of(columns)
+            facts = np.empty((len(us), 3), np.int64)
+            for lo, hi in zip(starts, np.append(starts[1:], len(us)), strict=True):
+                if lo or chains.key_at(columns, 0) != now:
+                    open_burst = chains.Bursts(seconds * SECOND)
+                own = lo + (of := open_burst.kept_of(us[lo:hi]))
+                facts[lo:hi] = np.stack([line[own], us[own], text[own]], 1)
+                if (before := of < 0).any():
+                    facts[lo:hi][before] = kept
+                kept = facts[hi - 1].copy()
+            now = chains.key_at(columns, len(us) - 1)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(facts[:, i].copy()) for i in range(3)), *(batch.column(c) for c in ("member_line", "member_us", "member_hash"))], [*keys, "line_number", "us", "kept_hash", "member_line", "member_us", "member_hash"])
+
+    timed = rows.where("member_us is not null").repartition(*keys).sortWithinPartitions(*keys, "member_us", "member_line").mapInArrow(scan, schema)
+    alone = rows.where("member_us is null").select(*keys, F.col("member_line").alias("line_number"), F.col("member_us").alias("us"), F.col("member_hash").alias("kept_hash"), "member_line", "member_us", "member_hash")
+    return timed.unionByName(alone.withColumn("us", F.lit(None).cast("long")))
 
-    def start():
-        kept = None  # the kept row, and the lines merged into it
-
-        def step(row):
-            nonlocal kept
-            out = []
-            us, line = row[4], row[5]
-            if kept is not None and us - kept[0][4] <= width:
-                if line is not None and line != kept[0][5]:
-                    kept[1].setdefault(line)
-            else:
-                if kept is not None:
-                    out.append((*kept[0][:5], list(kept[1])))
-                kept = row, {}
-            return out
-
-        def last():
-            return [] if kept is None else [(*kept[0][:5], list(kept[1]))]
-
-        step.last = last
-        return step
-
-    schema = T.StructType([*rows.schema.fields[:5], T.StructField("merged", T.ArrayType(T.StringType()))])
-    out = fold.folded(rows.where("us is not null"), keys, ["us", "line_number"], start, schema)
-    untimed = rows.where("us is null").select(*keys, "line_number", "us", F.array().cast("array<string>").alias("merged"))
-    return out.unionByName(untimed)
+
+def deduplicate(found: DataFrame, seconds: int = 60) -> DataFrame:
+    """Bursts as one finding: source_file, rule_id, source, line_number and us of the kept, n_findings in the burst, n_merged, the number of distinct other lines in it, and merged, the numbers of the first MEMBERS of those. A finding without a time always stays."""
+    keys = ["source_file", "rule_id", "source", "line_number", "us"]
+    rows = bursts(found, seconds)
+    timed = rows.where("us is not null")
+    each = timed.groupBy(*keys, "kept_hash", "member_hash").agg(F.min(F.struct("member_us", "member_line")).alias("first"), F.count("*").alias("n"))
+    other = F.when(F.col("member_hash") != F.col("kept_hash"), F.col("first"))
+    size = F.count("other")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("other").isNull(), "other"))
+    ranked = each.withColumn("other", other).withColumn("place", place)
+    first = F.array_sort(F.collect_list(F.when(F.col("other").isNotNull() & (F.col("place") <= MEMBERS), F.col("other"))))
+    out = ranked.groupBy(*keys).agg(F.sum("n").alias("n_findings"), size.alias("n_merged"), F.transform(first, lambda x: x["member_line"]).alias("merged"))
+    alone = rows.where("us is null").select(*keys, F.lit(1).cast("long").alias("n_findings"), F.lit(0).cast("long").alias("n_merged"), F.array().cast("array<long>").alias("merged"))
+    return out.unionByName(alone)
 
 
 def first_per_minute(found: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def _composite(s, d):
 
 
 def _deduplicated(s, d):
-    return detect.deduplicate(found(s, d), 6 * 3600).select("rule_id", "source", "line_number", F.size("merged").cast("long").alias("n_merged"))
+    return detect.deduplicate(found(s, d), 6 * 3600).select("rule_id", "source", "line_number", "n_merged")
 
 
 def _graph_reduced(s, d):
@@ -138,7 +138,7 @@ def _condition(s, d):
 
 
 def _evidence(s, d):
-    return detect.threshold_fires(events(s, d), THRESHOLD).select("key", "line_number", F.array_join("supporting_lines", "|").alias("lines"))
+    return detect.with_lines(events(s, d), detect.threshold_fires(events(s, d), THRESHOLD)).select("key", "line_number", F.array_join("supporting_lines", "|").alias("lines"))
 
 
 def _top_findings(s, d):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect
+from ..operators.chains import Events
 from ..rules.model import Rule
 from ..sources import formats
 from ..plans.adapter import K, COLUMNS
@@ -54,38 +55,48 @@ def without_repeats(found: DataFrame, within: str = "1 minute") -> DataFrame:
     return found.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(["rule_id", "source_ip", "raw_line", "severity"])
 
 
+EMPTY = pd.DataFrame({"us": [], "line_number": [], "mask": []})
+
+
 def threshold_stream(events: DataFrame, key: str, count: int, seconds: int, late: str = "1 hour") -> DataFrame:
-    """key, rule_id, line_number, event_count: one threshold over a stream, without a filter."""
+    """Fires of one threshold over a stream, without a filter; see rule_stream."""
     return rule_stream(events, Rule("threshold", "threshold", "MEDIUM", "rate", 0.8, (), (), "threshold", key=key, count=count, seconds=seconds), late)
 
 
 def rule_stream(events: DataFrame, rule: Rule, late: str = "1 hour") -> DataFrame:
-    """key, rule_id, line_number, event_count: fires of a threshold, sequence or composite over a stream.
+    """source_file, key, rule_id, line_number, us, event_count: fires of a threshold, sequence or composite over a stream.
 
-    A key's state is the rule's machine, as in batch; it is dropped once the rule's window after the key's last event has passed
-    the watermark. Events of one trigger are put in order; rows later than the watermark are dropped by Spark.
+    Events wait in the key's state until the watermark has passed them and then go on in order, so those that come out of order within the
+    lateness give what they give in batch. What stays of them is what later ones may need (chains.Open); it goes once the rule's window
+    after the key's last event has passed the watermark. Later rows are dropped by Spark; late.py keeps them and mends what they change.
     """
-    flags, values, own = detect.columns_of(rule)
-    width = detect.window_of(rule)
+    flags, values, (plan,) = detect.columns_of([rule])
+    width, names = detect.window_of(rule), [f"v{i}" for i in range(len(values))]
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        done = state.getCurrentWatermarkMs() * 1000
+        waiting, now = pickle.loads(state.get[0]) if state.exists else (None, plan.start(len(names)))
+        own = [x for x in (waiting, *batches) if x is not None and len(x)]
+        rows = (pd.concat(own) if len(own) > 1 else own[0] if own else EMPTY.reindex(columns=["us", "line_number", "mask", *names])).sort_values(["us", "line_number"])
+        ready = rows[rows["us"] < done] if done > 0 else rows[:0]
+        waiting = rows[len(ready) :][["us", "line_number", "mask", *names]]
+        fires, now = plan.run(Events.of(ready["us"], ready["line_number"], ready["mask"], [ready[v] for v in names]), now)
+        if len(waiting):
+            until = int(waiting["us"].min()) // 1000 + 1
+        elif state.hasTimedOut and (not len(ready) or int(ready["us"].max()) + width < done):
             state.remove()
-            return
-        machine = pickle.loads(state.get[0]) if state.exists else detect.machine_of(rule)
-        rows = pd.concat(list(batches)).sort_values(["us", "line_number"])
-        out = []
-        for us, line, raw, mask, v in zip(rows["us"].tolist(), rows["line_number"].tolist(), rows["raw_line"].tolist(), rows["mask"].tolist(), rows["values"].tolist(), strict=True):
-            fired = detect.fed(machine, rule, own, us, int(mask), v, raw)
-            if fired:
-                out.append((k[0], rule.id, line, fired[0]))
-        state.update((pickle.dumps(machine),))
-        state.setTimeoutTimestamp(max((int(rows["us"].max()) + width) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "rule_id", "line_number", "event_count"])
-
-    rows = events.where(F.col(rule.key).isNotNull()).withWatermark("timestamp", late)
-    rows = rows.select(F.col(rule.key).cast("string").alias("key"), "us", F.col("line_number").cast("long").alias("line_number"), "raw_line", detect.mask_of(flags).alias("mask"), F.array(*values).cast("array<string>").alias("values"), "timestamp")
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, rule_id string, line_number long, event_count int", "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
+            until = None
+        else:
+            until = (int(ready["us"].max() if len(ready) else done) + width) // 1000 + 1
+        if until is not None:
+            state.update((pickle.dumps((waiting, now)),))
+            state.setTimeoutTimestamp(max(until, done // 1000 + 1))
+        yield pd.DataFrame([(k[0], k[1], rule.id, f[0], f[1], f[2]) for f in fires], columns=["source_file", "key", "rule_id", "line_number", "us", "event_count"])
+
+    rows = events.where(F.col(rule.key).isNotNull() & (F.col(rule.key).cast("string") != "")).withWatermark("timestamp", late)
+    rows = rows.select("source_file", F.col(rule.key).cast("string").alias("key"), "us", F.col("line_number").cast("long").alias("line_number"), detect.mask_of(flags).alias("mask"), *[v.alias(n) for v, n in zip(values, names, strict=True)], "timestamp")
+    schema = "source_file string, key string, rule_id string, line_number long, us long, event_count int"
+    return rows.groupBy("source_file", "key").applyInPandasWithState(fold, schema, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_rows(events: DataFrame, done_us: int, late_us: int = 3_600_000_000) -> DataFrame:

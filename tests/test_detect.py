@@ -1,5 +1,6 @@
 """Detection on small event tables, and stateful rules against plain state machines."""
 
+import dataclasses
 import random
 import re
 from datetime import datetime, timezone
@@ -82,7 +83,7 @@ def test_composite(spark):
     shell = rule(type="regex", match_field="http_uri_decoded", pattern="(cmd|shell)=")
     both = C("X", "source_ip", 300, [failures, shell])
     rows = [{"us": i * S, "auth_result": "failure"} for i in range(3)] + [{"us": 10 * S, "http_uri_decoded": "/shell.php?cmd=id"}]
-    got = detect.composite_fires(events(spark, rows), both).collect()
+    got = detect.with_lines(events(spark, rows), detect.composite_fires(events(spark, rows), both)).collect()
     assert [(r["line_number"], r["event_count"], r["supporting_lines"]) for r in got] == [(3, 2, ["line 0", "line 1", "line 2"])]
     assert lines(detect.composite_fires(events(spark, rows[1:]), both)) == []
     assert lines(detect.composite_fires(events(spark, [*rows[:3], rows[3] | {"us": 303 * S}]), both)) == []
@@ -143,6 +144,109 @@ def test_against_state_machines(spark):
         assert lines(detect.threshold_fires(table, rule(key="source_ip", count=n, seconds=seconds, distinct="username"))) == naive_distinct(rows, n, seconds * S)
 
 
+def naive_bursts(rows, width):
+    kept, out = {}, {}
+    for us, line, key, text in rows:
+        if key not in kept or us > kept[key][0] + width:
+            kept[key] = us, line, text
+        out.setdefault((key, kept[key][1]), []).append((text, line))
+    return sorted((*k, len(v), len({t for t, _ in v} - {next(t for t, n in v if n == k[1])})) for k, v in out.items())
+
+
+def test_bursts_against_a_plain_loop(spark):
+    """Also across batches: 3 rows each."""
+    r = random.Random(8)
+    rows, us = [], 0
+    for i in range(800):
+        us += r.choice([0, 1, 5, 30]) * S
+        rows.append((us, i, f"1.1.1.{r.randrange(4)}", f"t{r.randrange(5)}"))
+    table = found(spark, [{"rule_id": "W", "us": u, "source_ip": k, "raw_line": t} for u, _, k, t in rows])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = detect.deduplicate(table, 60).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((x["source"], x["line_number"], x["n_findings"], x["n_merged"]) for x in got) == naive_bursts(rows, 60 * S)
+
+
+def test_a_burst_of_many_lines_is_counted_not_collected(spark):
+    many = spark.range(5000).selectExpr("'W' as rule_id", "'f' as source_file", "'1.1.1.1' as source_ip", "cast(null as string) as hostname", "id as line_number", "id * 1000 as us", "concat('l', id) as raw_line")
+    (one,) = detect.deduplicate(many, 60).collect()
+    assert one["n_findings"] == 5000 and one["n_merged"] == 4999 and one["merged"] == list(range(1, detect.MEMBERS + 1))
+
+
+def random_rule(r):
+    seconds = r.choice([1, 3, 10, 40])
+    kind = r.choice(["count", "distinct", "sequence"])
+    if kind == "sequence":
+        return rule(type="sequence", key="source_ip", seconds=seconds, steps=tuple({"match_field": "auth_result", "value": r.choice(["success", "failure"]), "min_count": r.randrange(1, 4)} for _ in range(r.randrange(1, 4))))
+    return rule(key="source_ip", count=r.randrange(2, 6), seconds=seconds, where={} if r.random() < 0.5 else {"auth_result": "failure"}, distinct="username" if kind == "distinct" else None)
+
+
+def plain_sequence(rows, one):
+    """Tries each reset: whichever comes first, the steps met or an event past the window, makes the next."""
+    out, start, anchor = [], 0, rows[0]["us"] if rows else None
+    while start < len(rows):
+        at, todo = start, [(s["value"], s.get("min_count", 1)) for s in one.steps]
+        end = None
+        while at < len(rows) and rows[at]["us"] <= anchor + one.seconds * S:
+            if rows[at]["auth_result"] == todo[0][0]:
+                todo[0] = (todo[0][0], todo[0][1] - 1)
+                if not todo[0][1]:
+                    todo.pop(0)
+                    if not todo:
+                        end = at
+                        break
+            at += 1
+        if end is not None:
+            out.append(rows[end]["n"])
+            start, anchor = end + 1, rows[end]["us"]
+        elif at < len(rows):
+            start, anchor = at, rows[at]["us"]
+        else:
+            break
+    return out
+
+
+def plain_fires(rows, one):
+    if one.type == "sequence":
+        return plain_sequence(rows, one)
+    out, last = [], -1
+    for i, row in enumerate(rows):
+        seen = [x for x in rows[last + 1 : i + 1] if x["us"] >= row["us"] - one.seconds * S and (not one.where or x["auth_result"] == "failure")]
+        if one.where and row["auth_result"] != "failure":
+            continue
+        n = len({x["username"] for x in seen} - {None}) if one.distinct else len(seen)
+        if n >= one.count and not (one.distinct and row["username"] is None):
+            out.append(row["n"])
+            last = i
+    return out
+
+
+def test_hot_keys_fold_by_chunks_as_whole(spark):
+    """Random rules over keys of which one has most events: by chunks, in one task with small batches, and by definition."""
+    r = random.Random(11)
+    rows, us = [], 0
+    for _ in range(1500):
+        us += r.choice([0, 0, 1, 2, 8]) * S
+        rows.append({"us": us, "source_ip": "1.1.1.1" if r.random() < 0.8 else f"1.1.1.{r.randrange(2, 6)}", "username": r.choice(["a", "b", "c", "d", "e", None]), "auth_result": r.choice(["success", "failure", None])})
+    table = events(spark, rows)
+    rules = [dataclasses.replace(random_rule(r), id=f"R{i}") for i in range(12)]
+    for i, row in enumerate(rows):
+        row["n"] = i
+    want = sorted((one.id, n) for one in rules for ip in {x["source_ip"] for x in rows} for n in plain_fires([x for x in rows if x["source_ip"] == ip], one))
+    facts = lambda df: sorted((x["rule_id"], x["line_number"], x["us"], x["event_count"], x["first_us"], tuple(x["evidence"])) for x in df.collect())
+    whole = facts(detect.fires(table, rules))
+    assert [x[:2] for x in whole] == want
+    assert facts(detect.fires(table, rules, hot=200, chunk=100)) == whole
+    assert facts(detect.fires(table, rules, hot=200, chunk=7)) == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert facts(detect.fires(table, rules)) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def found(spark, rows):
     kinds = "rule_id string, severity string, category string, confidence double, risk_score double, source_ip string, us long, line_number long, raw_line string, source_file string, hostname string"
     names = [k.split()[0] for k in kinds.split(", ")]
@@ -152,7 +256,7 @@ def found(spark, rows):
 def test_bursts(spark):
     w = [{"rule_id": "W1", "source_ip": "1.1.1.1", "us": s * S} for s in (0, 5, 10)]
     got = detect.deduplicate(found(spark, w)).collect()
-    assert len(got) == 1 and got[0]["merged"] == ["l1", "l2"]
+    assert len(got) == 1 and got[0]["merged"] == [1, 2] and got[0]["n_merged"] == 2
     assert detect.deduplicate(found(spark, [w[0], w[0] | {"us": 120 * S}])).count() == 2
     assert detect.deduplicate(found(spark, [w[0] | {"us": None}, w[0] | {"us": None}])).count() == 2
 
