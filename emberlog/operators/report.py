@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from . import correlate, search
+from . import correlate, search, shared
 
 
 def case_stats(found: DataFrame, chains: DataFrame, evidence: DataFrame, session: str | None = None, since_us: int | None = None, until_us: int | None = None, top: int = 10) -> DataFrame:
@@ -97,24 +97,88 @@ CASE_TABLES = {
 }
 
 
+#: tables in folders by session; actions go with the findings that they name
+BY_SESSION = tuple(name for name, columns in CASE_TABLES.items() if "session_id" in columns)
+BUCKETS = 32  # folders of the actions
+
+
 def append(spark, table: str, rows, root: str) -> None:
     """Adds rows (a DataFrame or tuples) to a case table under root; unknown columns are an error."""
     schema = CASE_TABLES[table]
     df = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, schema)
     wanted = spark.createDataFrame([], schema).schema
-    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("append").parquet(f"{root}/{table}")
+    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    _writer(table, df).mode("append").parquet(f"{root}/{table}")
+
+
+def _writer(table: str, df: DataFrame):
+    if table == "actions":
+        return df.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")).write.partitionBy("bucket")
+    return df.write.partitionBy("session_id") if table in BY_SESSION else df.write
 
 
 def read(spark, table: str, root: str) -> DataFrame:
     """A case table; empty where nothing was added yet."""
     from pyspark.errors import AnalysisException
 
+    more = ", bucket int" if table == "actions" else ""
     try:
-        return spark.read.schema(CASE_TABLES[table]).parquet(f"{root}/{table}")
+        return spark.read.schema(CASE_TABLES[table] + more).parquet(f"{root}/{table}").drop("bucket")
     except AnalysisException:
         return spark.createDataFrame([], CASE_TABLES[table])
 
 
+def delete_session(spark, session: str, root: str) -> dict[str, int]:
+    """Takes a session out of every case table and out of the findings under root; rows deleted by table.
+
+    Tables are in folders by session: the session's folder goes, and no other file is touched. Actions name findings: those of the session's are
+    taken out of the folders they are in, which are written anew (dynamic partition overwrite); all others stay.
+    """
+    findings = f"{root}/findings"
+    out = {"actions": _delete_actions(spark, session, root)}
+    for table in BY_SESSION:
+        out[table] = _drop_folder(spark, read(spark, table, root), session)
+    if _exists(spark, findings):
+        out["findings"] = _drop_folder(spark, spark.read.parquet(findings), session)
+    return out
+
+
+def _drop_folder(spark, table: DataFrame, session: str) -> int:
+    rows = table.where(F.col("session_id").cast("string") == session)
+    n = rows.count()
+    for (file,) in rows.select("_metadata.file_path").distinct().collect() if n else []:
+        _path(spark, file)[1].delete(_path(spark, file)[0], False)
+    return n
+
+
+def _delete_actions(spark, session: str, root: str) -> int:
+    if not (_exists(spark, f"{root}/findings") and _exists(spark, f"{root}/actions")):
+        return 0
+    ids = spark.read.parquet(f"{root}/findings").where(F.col("session_id").cast("string") == session).select("id").distinct()
+    actions = spark.read.schema(f"{CASE_TABLES['actions']}, bucket int").parquet(f"{root}/actions")
+    gone = shared.written(actions.join(ids, "id", "left_semi"), "deleted-actions")
+    n = gone.count()
+    buckets = [r[0] for r in gone.select("bucket").distinct().collect()]
+    if n:
+        rest = shared.written(actions.where(F.col("bucket").isin(buckets)).join(ids, "id", "left_anti"), "kept-actions")
+        empty = set(buckets) - {r[0] for r in rest.select("bucket").distinct().collect()}
+        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/actions")
+        for bucket in empty:
+            at, fs = _path(spark, f"{root}/actions/bucket={bucket}")
+            fs.delete(at, True)
+    return n
+
+
+def _path(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path) if "://" in path or path.startswith("file:") else path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
 def risk_snapshot(found: DataFrame, taken_us: int) -> DataFrame:
     """Entity risks as rows of risk_snapshots."""
     return correlate.entity_risk(found).select(F.lit(taken_us).cast("long").alias("taken_us"), "kind", "value", "risk_score", "risk_band", "finding_count")

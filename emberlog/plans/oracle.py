@@ -283,3 +283,31 @@ SQL["logins_after_failures"] = EV + (
     "select f.username, count(*) as pairs, min(s.us - f.us) as least_us from ev f join ev s on f.username = s.username and s.us between f.us and f.us + 43200000000 "
     "where f.auth_result = 'failure' and s.auth_result = 'success' group by f.username"
 )
+_TITLE = "array_to_string(list_transform(string_split({0}, '_'), lambda w: concat(upper(w[1]), w[2:])), ' ')"
+_LAYERS = FINDINGS + (
+    f", ch as (select source, string_split(categories, ',') as c, string_split(rules, ',')[1:8] as r, string_split(techniques, ',')[1:8] as t, max_risk_score as risk, 3 as rank from ({SQL['derived_chains']})), "
+    f"f as (select source_ip as s, category as c, rule_id as r, mitre_ids[1:4] as t, risk_score as risk, {RANK} as rank from found), "
+    "n0 as (select concat('src:', s) as node, s as label, 'source' as kind, risk, rank from f union all select concat('cat:', c), " + _TITLE.format("c") + ", 'category', risk, rank from f "
+    "union all select concat('rule:', r), r, 'rule', risk, rank from f union all select concat('tech:', x), x, 'technique', risk, rank from (select unnest(t) as x, * from f) "
+    "union all select concat('src:', source), source, 'source', risk, rank from ch union all select concat('rule:', x), x, 'rule', risk, rank from (select unnest(r) as x, * from ch) "
+    "union all select concat('tech:', x), x, 'technique', risk, rank from (select unnest(t) as x, * from ch)), "
+    "nodes as (select node, label, kind, count(*) as weight, max(risk) as risk, max(rank) as rank from n0 group by all), "
+    "e0 as (select concat('src:', s) as source, concat('cat:', c) as target, 'triggered' as relation, risk, rank from f union all select concat('cat:', c), concat('rule:', r), 'matched', risk, rank from f "
+    "union all select concat('rule:', r), concat('tech:', x), 'maps_to', risk, rank from (select unnest(t) as x, * from f) "
+    "union all select concat('cat:', c[i]), concat('cat:', c[i + 1]), 'chain', risk, rank from (select unnest(range(1, len(c))) as i, * from ch) "
+    "union all select concat('src:', source), concat('cat:', c[1]), 'chain_start', risk, rank from ch union all select concat('cat:', c[-1]), concat('rule:', x), 'chain_rule', risk, rank from (select unnest(r) as x, * from ch) "
+    "union all select concat('rule:', r[-1]), concat('tech:', x), 'chain_technique', risk, rank from (select unnest(t) as x, * from ch)), "
+    "edges as (select source, target, relation, count(*) as weight, max(risk) as risk, max(rank) as rank from e0 group by all), "
+    "kn as (select * from nodes order by rank * 6.0::double + risk * 2.8::double + weight * 0.7::double + case kind when 'source' then 4.0::double when 'category' then 2.2 when 'rule' then 2.8 else 2.5 end desc, node limit 60), "
+    "ke as (select * from edges where source in (select node from kn) and target in (select node from kn) order by rank * 5.0::double + risk * 2.2::double + weight * 0.8::double + "
+    "case relation when 'chain' then 3.0::double when 'chain_start' then 3.0 when 'chain_rule' then 2.6 when 'chain_technique' then 2.6 when 'maps_to' then 2.2 when 'matched' then 1.8 else 1.6 end desc, source, target, relation limit 150) "
+)
+SQL["layered_nodes"] = _LAYERS + "select * from kn"
+SQL["layered_edges"] = _LAYERS + "select *, round(least(1.0::double, weight::double / (select max(weight) from ke)), 3) as weight_norm from ke"
+SQL["layered_reduction"] = _LAYERS + (
+    "select *, nodes_raw - nodes_kept as nodes_dropped, edges_raw - edges_kept as edges_dropped, nodes_raw > nodes_kept or edges_raw > edges_kept as reduced from (select (select count(*) from nodes) as nodes_raw, (select max(risk) from nodes) as max_risk, "
+    "(select count(*) from edges) as edges_raw, (select count(*) from kn) as nodes_kept, (select count(*) from ke) as edges_kept, (select count(*) from ch) as chain_count)"
+)
+SQL["index_upkeep"] = FINDINGS + (
+    ", d as (select session_id, rule_id, raw_line, bool_or(severity = 'CRITICAL') as early from found group by all) select cast(case when early then 1 else 2 end as int) as run, rule_id, count(*) as n from d group by all"
+)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import core
-from .operators import cases, correlate, detect, ioc, report, search, text
+from .operators import cases, correlate, detect, ioc, layers, report, retrieval, search, shared, text
 from .plans import oracle
 from .plans.adapter import events
 from .rules.model import C, Rule
@@ -49,6 +49,16 @@ def _graph_reduced(s, d):
     return correlate.reduced(correlate.graph_nodes(edges), edges, 30)[1].select("source", "target", "weight", "max_risk")
 
 
+def _layers(s, d, i):
+    f = shared.written(found(s, d), "findings")  # read several times
+    return layers.layered_graph(f, correlate.derived_chains(f), 60, 150)[i]
+
+
+def _index(s, d):
+    f = shared.written(found(s, d), "findings")
+    return retrieval.two_runs(f.where("severity = 'CRITICAL'"), f)
+
+
 def _triage(s, d):
     f = found(s, d)
     at = lambda n, action, when: f.where(F.col("line_number") % n == 0).select("id", F.lit(action).alias("action"), F.lit(when).alias("created_us"))
@@ -250,6 +260,10 @@ QUERIES = {
     "graph_edges": lambda s, d: correlate.graph_edges(found(s, d)).withColumn("techniques", F.array_join("techniques", ",")),
     "graph_nodes": lambda s, d: correlate.graph_nodes(correlate.graph_edges(found(s, d))),
     "graph_reduced": _graph_reduced,
+    "layered_nodes": lambda s, d: _layers(s, d, 0).drop("score"),
+    "layered_edges": lambda s, d: _layers(s, d, 1).drop("score"),
+    "layered_reduction": lambda s, d: _layers(s, d, 2),
+    "index_upkeep": _index,
     "graph_layers": lambda s, d: correlate.layered_edges(found(s, d)),
     "tactic_coverage": lambda s, d: correlate.tactic_coverage(found(s, d)),
     "technique_counts": lambda s, d: correlate.technique_counts(found(s, d)),
