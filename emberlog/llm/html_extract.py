@@ -220,7 +220,7 @@ class Chain:
                     p += rate * g / np.sqrt(q)
 
 
-def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 17) -> list[str]:
     """Pages whose main text stands in elements marked data-main; the mark is no feature."""
     r = np.random.default_rng(seed)
     pick = lambda *x: x[int(r.integers(len(x)))]
@@ -272,6 +272,9 @@ def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
                 out += "</MARK>" + pick(parts["ad"], parts["notice"], parts["form"], parts["aside"])() + "<MARK>"
         return out
 
+    def misled(inner):
+        return f'<div{must("notice-board", "comments-policy", "sidebar-story", "ad-hoc", "related-work", "header-image", "footer-notes", "menu-guide", "share-market", "form-letter")}>{inner}</div>'
+
     pages = []
     for _ in range(n):
         k = r.random()
@@ -292,7 +295,7 @@ def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
         elif k < 0.4:
             inner = inner.replace("<p>", "").replace("</p>", "<br><br>")
         if r.random() < 0.25:  # names that mislead
-            inner = f'<div{must("notice-board", "comments-policy", "sidebar-story", "ad-hoc", "related-work", "header-image", "footer-notes", "menu-guide", "share-market", "form-letter")}>{inner}</div>'
+            inner = misled(inner)
         before = [parts[x]() for x in ("header", "nav", "notice", "ad", "aside", "form") if r.random() < 0.45]
         after = [parts[x]() for x in ("comments", "aside", "ad", "form", "nav", "notice") if r.random() < 0.35]
         r.shuffle(before)
@@ -300,6 +303,21 @@ def labelled_pages(n: int = 600, seed: int = 17) -> list[str]:
         foot = parts["footer"]() if r.random() < 0.85 else ""
         if r.random() < 0.25:  # the article and little or nothing else
             before, after, foot = before[: int(r.integers(0, 2))], [], pick("", "", foot)
+        if r.random() < 0.3:  # blocks right under the body, or in plain divs: the article has no element of its own
+            mine = [pick("p", "p", "div", "div", "section") for _ in range(3)]
+            one = r.random() < 0.3
+            own = [f"<h1>{words(3, 10)}</h1>"] if r.random() < 0.4 else []
+            for _ in some(1, pick(2, 3, 9)):
+                t, k = mine[0] if one else pick(*mine[:2]), r.random()
+                own.append(f"<{t}>{sentences(1, 5)}{pick('', '', f'<br>{sentences(1, 3)}', f'<br/><br/>{sentences(1, 3)}')}</{t}>" if k < 0.9 else f"<h2>{words(2, 6)}</h2>")
+            inner = "".join(f"<section data-main=1>{x}</section>" for x in own)
+            if r.random() < 0.2:
+                inner = misled(inner)
+            if r.random() < 0.35:
+                before, after, foot = [], [], ""
+            wrap = pick("{}", "{}", "{}", '<div class="wrapper">{}</div>', f'<div class="{word()}">{{}}</div>')
+            pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap.format("".join(before) + inner + "".join(after)) + foot + pick("</body></html>", ""))
+            continue
         wrap = pick("{}", "{}", '<div class="wrapper">{}</div>', "<section>{}</section>", '<div id="page"><div class="container">{}</div></div>')
         pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap.format("".join(before) + (f"<table><tr>{pick(chr(0), f'<td>{link()} {link()}</td>')}<td{attr}>{inner}</td></tr></table>".replace(chr(0), "") if tag == "td" else f"<{tag}{attr}>{inner}</{tag}>") + "".join(after)) + foot + pick("</body></html>", ""))
     return pages

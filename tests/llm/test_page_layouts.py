@@ -23,6 +23,21 @@ PAGES = {
         [W, V, X],
     ),
     "comments": (f"<article><p>{W}</p><p>{V}</p></article><div id=comments><h3>Comments</h3><div class=comment><b>ann</b><p>I think that this is a very good idea, thank you.</p></div></div>", [W, V]),
+    "paragraphs right under the body": (f"<body><p>{W}</p><p>{V}</p></body>", [W, V]),
+    "two bare divs": (f"<html><body><div>{W}</div><div>{V}</div></body></html>", [W, V]),
+    "three bare divs": (f"<body><div>{W}</div><div>{V}</div><div>{X}</div></body>", [W, V, X]),
+    "divs in a wrapper": (f"<body><div class=x7><div>{W}</div><div>{V}</div></div></body>", [W, V]),
+    "divs with line breaks": (f"<body><div>{W}<br>{X}</div><div>{V}<br>{W}</div></body>", [f"{W} {X}", f"{V} {W}"]),
+    "one bare paragraph": (f"<body><p>{W} {V}</p></body>", [f"{W} {V}"]),
+    "heading and bare divs": (f"<body><h1>The bridge over the river</h1><div>{W}</div><div>{V}</div></body>", ["The bridge over the river", W, V]),
+    "bare paragraphs between menu and footer": (
+        f"<body><nav><ul><li><a href=/a>News</a></li><li><a href=/b>Sport</a></li></ul></nav><p>{W}</p><p>{V}</p><footer>&copy; 2020 The Paper. All rights reserved.</footer></body>",
+        [W, V],
+    ),
+    "bare divs between menu and footer": (
+        f"<body><div class=menu><ul><li><a href=/a>News</a></li><li><a href=/b>Sport</a></li></ul></div><div>{W}</div><div>{V}</div><div class=footer>&copy; 2020 The Paper.</div></body>",
+        [W, V],
+    ),
     "references": ("<article><p>" + W.replace("old", "&eacute;&#233;&lt;b&gt;") + f"</p><p>{V}</p></article>", [W.replace("old", "éé<b>"), V]),
 }
 
