@@ -18,18 +18,20 @@ from .common import ALNUM, LOWER, documents, hashes_of, in_batches, mix, slices,
 #: 1: position looked at; weights of 8 and 9, different gaps
 MASKS = ("11111111", "1101100110101", "101011001101011", "11100101100111")
 MISMATCH = 2.0  # a changed word costs as much as this many equal ones gain
-LEAST = 10.0  # least score of a stretch; items of fewer words need SHARE of their length
-SHARE = 0.65
+LEAST = 10.0  # least score of a stretch
+SHORT = 16  # items of fewer words are found whole only, with one changed word for each EIGHT of theirs
+EIGHT = 8
 BLOCK_WORDS = 2_000_000  # words of test items in one broadcast, about 100 MB with their hashes
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_run(n: int) -> int:
-    """Words that an accepted stretch of an item of n words has equal in a row at least: x changes cut T + 2x equal words in x + 1 runs."""
-    least = min(LEAST, SHARE * n)
+    """Words that an accepted stretch of an item of n words has equal in a row at least: x changes cut the equal words in x + 1 runs."""
+    if n < SHORT:
+        return -(-(n - n // EIGHT) // (n // EIGHT + 1))
     runs = []
     for x in range(n):
-        equal = int(np.ceil(least + MISMATCH * x))
+        equal = int(np.ceil(LEAST + MISMATCH * x))
         if equal + x <= n:
             runs.append(-(-equal // (x + 1)))
     return min(runs)
@@ -51,7 +53,7 @@ def _seed(h: np.ndarray, owner: np.ndarray, mask: str):
 class Index:
     """Seed hashes of test items, sorted, with the word index of each; each item also gets the contiguous mask that no accepted stretch of it can miss."""
 
-    def __init__(self, ids: list, texts: pa.Array):
+    def __init__(self, ids: list, texts: pa.Array, contained: bool = False):
         data, off = text_buffer(texts)
         data = LOWER[data]
         starts, ends, owner = words_of(data, off, ALNUM)
@@ -59,9 +61,10 @@ class Index:
         self.first = np.searchsorted(owner, np.arange(len(ids) + 1))
         size = np.diff(self.first)
         self.short: dict[tuple, list[int]] = {}  # items of one or two words, by their hashes
-        for k in np.flatnonzero((size > 0) & (size < 3)).tolist():
+        least = 1 if contained else 3
+        for k in np.flatnonzero((size > 0) & (size < least)).tolist():
             self.short.setdefault(tuple(self.words[self.first[k] : self.first[k + 1]].tolist()), []).append(k)
-        run = np.array([least_run(int(n)) if n >= 3 else 0 for n in size], np.int64)
+        run = np.array([least_run(int(n)) if n >= least else 0 for n in size], np.int64)
         self.masks = [*MASKS, *("1" * int(r) for r in np.unique(run[run > 0]))]
         self.seeds = []
         for k, mask in enumerate(self.masks):
@@ -75,7 +78,7 @@ class Index:
             self.seeds.append((h[order], at[order], bits))
 
     def matches(self, data: np.ndarray, off: np.ndarray):
-        """(row, item, start, end, equal words, score) of the best stretch of each row and item that reaches the least score; short items by the whole row."""
+        """(row, item, start, end, equal words, score) of the best stretch of each row and item that is enough; items of one or two words by the whole row, unless contained."""
         data = LOWER[data]
         starts, ends, owner = words_of(data, off, ALNUM)
         h = hashes_of(data, starts, ends)
@@ -103,21 +106,25 @@ class Index:
         return [(r, t, s - int(row_first[r]), e - int(row_first[r]), m, score) for (r, t), (s, e, m, score) in sorted(best.items())]
 
     def _stretch(self, h, owner, row, item, shift):
-        """The best-scoring stretch where text and item lie on one diagonal."""
+        """The best-scoring stretch where text and item lie on one diagonal; of a short item the whole, or none."""
         a, b = int(self.first[item]), int(self.first[item + 1])
         lo, hi = max(a + shift, 0), min(b + shift, len(h))
         lo += int(np.searchsorted(owner[lo:hi], row, "left"))
         hi = lo + int(np.searchsorted(owner[lo:hi], row, "right"))
         same = h[lo:hi] == self.words[lo - shift : hi - shift]
+        if b - a < SHORT:
+            equal = int(same.sum())
+            whole = hi - lo == b - a and b - a - equal <= (b - a) // EIGHT
+            return (lo, hi, equal, equal - MISMATCH * (b - a - equal)) if whole else None
         run = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MISMATCH))])
         gain = run - np.minimum.accumulate(run)
         end = int(np.argmax(gain))
         start = int(np.argmin(run[: end + 1]))
         score = float(gain[end])
-        return (lo + start, lo + end, int(same[start:end].sum()), score) if score >= min(LEAST, SHARE * (b - a)) else None
+        return (lo + start, lo + end, int(same[start:end].sum()), score) if score >= LEAST else None
 
 
-def _blocks(bench: DataFrame, block_words: int):
+def _blocks(bench: DataFrame, block_words: int, contained: bool):
     """The test items as broadcasts of a bounded number of words each."""
     bench = bench.where(F.col("text").isNotNull()).select("item_id", "text")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -125,22 +132,23 @@ def _blocks(bench: DataFrame, block_words: int):
     for k in range(n):
         own = bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
         if own.num_rows:
-            yield bench.sparkSession.sparkContext.broadcast(Index(own.column("item_id").to_pylist(), own.column("text").combine_chunks()))
+            yield bench.sparkSession.sparkContext.broadcast(Index(own.column("item_id").to_pylist(), own.column("text").combine_chunks(), contained))
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS, contained: bool = False) -> DataFrame:
     """One row for each document and test item that overlap.
 
     doc_id, item_id, start_word, end_word (of the text, end exclusive), n_equal and score.
-    Null or empty texts overlap nothing. An item of one or two words is found where it is the whole text, as
-    such words alone stand in any text. Equal items are all reported, repeated rows each. Without items or rows the
+    An item of 16 words or more is found by a stretch that scores LEAST. A shorter one is found whole only, with one changed word from 8 words on; one
+    of one or two words where it is the whole text, as such words alone stand in any text, or anywhere if contained says so.
+    Null or empty texts overlap nothing. Equal items are all reported, repeated rows each. Without items or rows the
     result is empty. A text of any length is searched whole.
     A test set of any size is taken in blocks, each against all texts.
     """
     kinds = docs.schema["doc_id"].dataType.simpleString(), bench.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start_word long, end_word long, n_equal long, score double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared in _blocks(bench, block_words):
+    for shared in _blocks(bench, block_words, contained):
 
         def scan(batches, shared=shared):
             index = shared.value
@@ -157,9 +165,9 @@ def overlaps(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS)
     return out
 
 
-def clean_of(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean_of(docs: DataFrame, bench: DataFrame, block_words: int = BLOCK_WORDS, contained: bool = False) -> DataFrame:
     """The documents that overlap no test item, with all of their columns."""
-    for shared in _blocks(bench, block_words):
+    for shared in _blocks(bench, block_words, contained):
 
         def keep(batches, shared=shared):
             index = shared.value

@@ -56,11 +56,14 @@ def test_each_stage_against_a_plain_version(spark):
                         if own == item and item:
                             return True
                         continue
-                    least = min(decontaminate.LEAST, decontaminate.SHARE * len(item))
+                    if len(item) < 16:
+                        if any(sum(a != b for a, b in zip(item, own[at:], strict=False)) <= len(item) // 8 for at in range(len(own) - len(item) + 1)):
+                            return True
+                        continue
                     run = [0.0] * (len(item) + 1)
                     for w in own:  # one row of diagonals
                         run = [0.0, *(max(0.0, run[q] + (1.0 if w == item[q] else -decontaminate.MISMATCH)) for q in range(len(item)))]
-                        if max(run) >= least:
+                        if max(run) >= decontaminate.LEAST:
                             return True
                 return False
 
