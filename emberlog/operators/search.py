@@ -101,6 +101,22 @@ def rule_tests(found: DataFrame, expected: DataFrame, forbidden: DataFrame) -> D
     return missing.unionByName(forbidden.join(fired, "rule_id", "left_semi").withColumn("problem", F.lit("forbidden")))
 
 
+def corpus_tests(found: DataFrame, tests: DataFrame, least: DataFrame) -> DataFrame:
+    """test, findings, missing, forbidden and ok of each test, whose findings have its name in a column test.
+
+    tests: test, rule_id and kind, expected or forbidden; least: test and least, the number of findings it needs. A test is ok if all expected rules
+    fired, no forbidden one did, and there are findings enough. Tests without findings are there too.
+    """
+    counts = found.groupBy("test", "rule_id").agg(F.count("*").alias("n"))
+    fired = counts.select("test", "rule_id", F.lit(True).alias("fired"))
+    judged = tests.join(fired, ["test", "rule_id"], "left")
+    wrong = lambda kind, bad: F.array_join(F.array_sort(F.collect_set(F.when((F.col("kind") == kind) & bad, F.col("rule_id")))), ",").alias(kind)
+    rules = judged.groupBy("test").agg(wrong("expected", F.col("fired").isNull()), wrong("forbidden", F.col("fired").isNotNull())).withColumnRenamed("expected", "missing")
+    out = least.join(counts.groupBy("test").agg(F.sum("n").alias("findings")), "test", "left").join(rules, "test", "left")
+    out = out.select("test", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("missing", F.lit("")).alias("missing"), F.coalesce("forbidden", F.lit("")).alias("forbidden"), "least")
+    return out.withColumn("ok", (F.col("missing") == "") & (F.col("forbidden") == "") & (F.col("findings") >= F.col("least"))).drop("least")
+
+
 def without_session(table: DataFrame, session: str) -> DataFrame:
     return table.where(~F.col("session_id").eqNullSafe(session))
 

@@ -311,3 +311,75 @@ SQL["layered_reduction"] = _LAYERS + (
 SQL["index_upkeep"] = FINDINGS + (
     ", d as (select session_id, rule_id, raw_line, bool_or(severity = 'CRITICAL') as early from found group by all) select cast(case when early then 1 else 2 end as int) as run, rule_id, count(*) as n from d group by all"
 )
+
+
+# --- indicators of findings, and objects -------------------------------------------------
+
+
+def _matched() -> str:
+    """What a rule's pattern matched; rules that RE2 can't read match in none of these tables."""
+    each = " ".join(f"when {q(r.id)} then regexp_extract({r.match_field}::varchar, {q('(?i)' + r.pattern.replace('(?i)', ''))}, 0)" for r in PATTERN_RULES if r.id not in LOOKAHEAD)
+    return f"substr(case rule_id {each} end, 1, 200)"
+
+
+_TEXT_IOCS = " union all ".join(f"select fid, '{k}' as type, {_found_in(k, p).replace('coalesce(text', 'coalesce(_text')} as value, confidence * {w}::double as c from rows" for k, p, w in ioc.KINDS)
+_BEST = "struct_pack(a := -c, b := value, d := source_rule, e := source_ip, f := us)"
+_FOUND_IOCS = FINDINGS + (
+    f", rows as materialized (select *, row_number() over () as fid, concat_ws(' ', raw_line, matched, message) as _text from (select *, {_matched()} as matched from found)), "
+    "i0 as (select fid, 'ipv4' as type, source_ip as value, confidence as c from rows union all select fid, 'ipv4', dest_ip, case when dest_ip = source_ip then confidence else confidence * 0.9::double end from rows "
+    f"union all select fid, 'hostname', hostname, confidence * 0.85::double from rows where hostname <> '' union all select fid, 'process', process_name, least(confidence + 0.05::double, 1.0) from rows where regexp_matches(process_name, {q(ioc.PROCESSES)}) "
+    f"union all select fid, 'user_agent', http_user_agent, least(confidence + 0.1::double, 1.0) from rows where regexp_matches(http_user_agent, {q(ioc.SCANNERS)}) "
+    f"union all select fid, 'url', substr(unnest(list_distinct(regexp_extract_all(http_uri_decoded, {q(ioc.URL)}))), 1, 500), confidence from rows "
+    f"union all select fid, 'domain', unnest(list_distinct(list_transform(regexp_extract_all(http_uri_decoded, {q(ioc.KINDS[-1][1])}), lambda v: lower(v)))), confidence * 0.8::double from rows union all {_TEXT_IOCS}), "
+    f"i1 as (select type, value, round(c + 1e-9, 3) as c, rule_id as source_rule, source_ip, us, list_concat([category], mitre_ids, case when event_id is null then [] else [concat('EventID:', event_id)] end) as tags from i0 join rows using (fid) where {_OPEN}), "
+    "i as materialized (select type, "
+    + ", ".join(f"arg_min({v}, {_BEST}) as {v}" for v in ("value", "source_rule", "source_ip", "us"))
+    + ", max(c) as confidence, count(*) as n, list_sort(list_distinct(flatten(list(tags)))) as tags from i1 group by type, lower(i1.value)) "
+)
+SQL["ioc_of_findings"] = _FOUND_IOCS + "select type, value, confidence, n, array_to_string(tags, ',') as tags, source_rule, source_ip, us from i"
+
+
+def _oid(kind: str, key: str) -> str:
+    h = f"sha256(concat('{kind}:', {key}))"
+    return f"concat('{kind}--', substr({h}, 1, 8), '-', substr({h}, 9, 4), '-', substr({h}, 13, 4), '-', substr({h}, 17, 4), '-', substr({h}, 21, 12))"
+
+
+_PATTERN_NAMES = {
+    "ipv4": "ipv4-addr:value", "domain": "domain-name:value", "url": "url:value", "email": "email-addr:value", "hash_md5": "file:hashes.MD5", "hash_sha1": "file:hashes.'SHA-1'", "hash_sha256": "file:hashes.'SHA-256'", "hostname": "domain-name:value",
+    "file_path": "file:name", "process": "process:name", "user_agent": "network-traffic:extensions.'http-request-ext'.request_header.'User-Agent'",
+}
+_NULLS = "null::varchar as labels, null::varchar as detail, null::int as confidence, null::bigint as n, null::bigint as first_us, null::bigint as last_us"
+_FIRST = lambda c, n: f"array_to_string(list_sort(list(distinct {c}))[1:{n}], ',')"
+_MARK = _oid("indicator", "type, ':', lower(value)")
+_WHEN = lambda names: "case type " + " ".join(f"when {q(k)} then {q(v)}" for k, v in names.items()) + " end"
+_ESCAPED = r"replace(replace(value, '\', '\\'), '''', '\''')"
+_OBJECTS = _FOUND_IOCS + (
+    ", high as (select * from found where sev_rank >= 3), "
+    f"actors as (select * from (select source_ip, count(*) as n, max(risk_score) as risk, cast(floor(sum(cast(round(confidence * 10000) as bigint)) / count(*) / 100) as int) as confidence, min(us) as first_us, max(us) as last_us, {_FIRST('category', 5)} as goals from high group by source_ip) "
+    f"left join (select source_ip, {_FIRST('t', 8)} as techniques from (select source_ip, unnest(mitre_ids) as t from high) group by source_ip) using (source_ip)), "
+    "mal as (select rule_id, arg_min(struct_pack(rule_name := rule_name, category := category, confidence := confidence, raw_line := raw_line), struct_pack(a := us, b := line_number)) as x from found where category in ('malware', 'lolbin', 'impact') group by rule_id) "
+)
+SQL["stix_objects"] = _OBJECTS + (
+    f"select {_oid('identity', q('emberlog'))} as id, 'identity' as type, 'emberlog' as name, {_NULLS} "
+    f"union all select {_oid('attack-pattern', 't')}, 'attack-pattern', t, {_NULLS} from (select distinct unnest(mitre_ids) as t from found) "
+    f"union all select {_oid('threat-actor', 'source_ip')}, 'threat-actor', source_ip, techniques, concat(case when risk >= 7 then 'intermediate' else 'minimal' end, ': ', goals), confidence, n, first_us, last_us from actors "
+    f"union all select {_oid('malware', 'rule_id')}, 'malware', x.rule_name, concat(rule_id, ',', x.category), case when starts_with(rule_id, 'IMP') then 'ransomware' when contains(lower(x.raw_line), 'lsass') then 'rootkit' when x.category = 'lolbin' then 'tool' else 'unknown' end, cast(floor(round(x.confidence * 10000) / 100) as int), null, null, null from mal "
+    f"union all select {_oid('course-of-action', 'category')}, 'course-of-action', concat('Mitigate: ', {_TITLE.format('category')}), category, null, null, null, null, null from (select distinct category from found) "
+    f"union all select {_MARK}, 'indicator', concat(type, ': ', substr(value, 1, 80)), concat({_WHEN({k: ','.join(v) for k, v in ioc.INDICATOR_TYPES.items()})}, ';', array_to_string(tags[1:10], ',')), "
+    f"concat('[', {_WHEN(_PATTERN_NAMES)}, ' = ''', {_ESCAPED}, ''']'), cast(floor(round(confidence * 10000) / 100) as int), n, null, null from i "
+    f"union all select {_oid('observed-data', 'source_ip')}, 'observed-data', source_ip, {_FIRST('rule_id', 10)}, {_FIRST('severity', 5)}, null, count(*), min(us), max(us) from found group by source_ip"
+)
+SQL["object_relations"] = _OBJECTS + (
+    f"select distinct {_oid('threat-actor', 'source_ip')} as source, 'uses' as relation, {_oid('attack-pattern', 't')} as target from (select source_ip, unnest(mitre_ids) as t from found where source_ip in (select source_ip from actors)) "
+    f"union all select distinct {_MARK}, 'indicates', {_oid('threat-actor', 'value')} from i where type = 'ipv4' and value in (select source_ip from actors) "
+    f"union all select distinct {_MARK}, 'indicates', {_oid('malware', 'source_rule')} from i where source_rule in (select rule_id from mal) "
+    f"union all select distinct {_oid('attack-pattern', 't')}, 'mitigated-by', {_oid('course-of-action', 'category')} from (select unnest(mitre_ids) as t, category from found) "
+    f"union all select distinct {_oid('observed-data', 'source_ip')}, 'related-to', {_MARK} from (select *, row_number() over (partition by source_ip order by confidence desc, type, value) as r from i where source_ip <> '') where r <= 5"
+)
+_TESTS = [("h1", ["IMP-001", "SC-002"], ["LAT-006"], 10), ("h3", ["WEB-001", "WEB-009"], ["WEB-002", "IMP-002"], 1), ("h9", [], ["NET-001"], 100_000), ("none", ["WEB-001"], [], 0)]
+SQL["corpus_tests"] = FINDINGS + (
+    ", t(test, must, must_not, least) as (values " + ", ".join(f"({q(n)}, {_list(a)}, {_list(b)}, {k})" for n, a, b, k in _TESTS) + "), "
+    "f as (select hostname as test, count(*) as findings, list(distinct rule_id) as fired from found group by 1), "
+    "x as (select test, coalesce(findings, 0) as findings, array_to_string(list_sort(list_filter(must, lambda r: not list_contains(coalesce(fired, []), r))), ',') as missing, array_to_string(list_sort(list_filter(must_not, lambda r: list_contains(coalesce(fired, []), r))), ',') as forbidden, least from t left join f using (test)) "
+    "select test, findings, missing, forbidden, missing = '' and forbidden = '' and findings >= least as ok from x"
+)

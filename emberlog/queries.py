@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import core
-from .operators import cases, correlate, detect, ioc, layers, report, retrieval, search, shared, text
+from .operators import cases, correlate, detect, ioc, layers, objects, report, retrieval, search, shared, text
 from .plans import oracle
 from .plans.adapter import events
 from .rules.model import C, Rule
@@ -70,6 +70,23 @@ def _rule_tests(s, d):
     return search.rule_tests(found(s, d), names("WEB-001", "IMP-001", "SC-002"), names("WEB-002", "LAT-006"))
 
 
+#: rule tests: name, rules that must fire, rules that must not, least number of findings
+CORPUS_TESTS = [("h1", ["IMP-001", "SC-002"], ["LAT-006"], 10), ("h3", ["WEB-001", "WEB-009"], ["WEB-002", "IMP-002"], 1), ("h9", [], ["NET-001"], 100_000), ("none", ["WEB-001"], [], 0)]
+
+
+def _corpus_tests(s, d):
+    """Each host's findings are a corpus of its own."""
+    rules = [(name, r, kind) for name, must, must_not, _ in CORPUS_TESTS for kind, rs in (("expected", must), ("forbidden", must_not)) for r in rs]
+    tests, least = s.createDataFrame(rules, "test string, rule_id string, kind string"), s.createDataFrame([(t[0], t[3]) for t in CORPUS_TESTS], "test string, least long")
+    return search.corpus_tests(found(s, d).withColumn("test", F.col("hostname")), tests, least)
+
+
+def _indicators(s, d):
+    """Findings, written once, and their merged indicators."""
+    f = shared.written(found(s, d), "findings")
+    return f, ioc.merged(ioc.of_findings(f))
+
+
 def _ip_classes(s, d):
     e = events(s, d)
     ips = e.select(F.col("source_ip").alias("ip")).union(e.select("dest_ip"))
@@ -234,7 +251,8 @@ QUERIES = {
     "case_numbers": lambda s, d: cases.case_numbers(found(s, d)),
     "session_history": lambda s, d: cases.sessions(found(s, d), "2024-01-30"),
     "context_block": lambda s, d: cases.context(found(s, d)),
-    "stix_objects": lambda s, d: cases.stix_objects(found(s, d)),
+    "stix_objects": lambda s, d: objects.objects(*_indicators(s, d)),
+    "object_relations": lambda s, d: objects.relations(*_indicators(s, d)),
     "stix_relationships": lambda s, d: cases.stix_relationships(found(s, d)),
     "export_zeek": lambda s, d: cases.layout(_merged(s, d), "zeek").withColumnRenamed("meta.source", "source"),
     "export_misp": lambda s, d: cases.layout(_merged(s, d), "misp"),
@@ -276,6 +294,7 @@ QUERIES = {
     "threat_levels": lambda s, d: search.threat_levels(found(s, d)),
     "triage": _triage,
     "rule_tests": _rule_tests,
+    "corpus_tests": _corpus_tests,
     "ip_classes": _ip_classes,
     "http_severities": _http_severities,
     "parse_apache": formats.apache_round_trip,
@@ -300,7 +319,7 @@ QUERIES = {
     "zeek_headers": _zeek_headers,
     "condition": _condition,
     "threshold_evidence": _evidence,
-    "ioc_of_findings": lambda s, d: ioc.merged(ioc.of_findings(found(s, d))),
+    "ioc_of_findings": lambda s, d: ioc.merged(ioc.of_findings(found(s, d))).withColumn("tags", F.array_join("tags", ",")),
     "enrich_reputation": _reputation,
     "enrich_geo": _geo,
     "rate_windows": jobs.rate_query,
