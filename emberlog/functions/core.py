@@ -9,6 +9,7 @@ SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 # Weight of each severity in risk scores
 WEIGHTS = {"INFO": 1.0, "LOW": 2.0, "MEDIUM": 4.0, "HIGH": 7.0, "CRITICAL": 10.0}
 
+IN_TEXT = r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"
 IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
 
 
@@ -152,7 +153,7 @@ def same_subnet(a, b, bits: int) -> Column:
 
 def ipv4s_in(text) -> Column:
     """Distinct addresses in order."""
-    return F.array_distinct(F.regexp_extract_all(c(text), F.lit(r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"), 0))
+    return F.array_distinct(F.regexp_extract_all(c(text), F.lit(IN_TEXT), 0))
 
 
 # --- findings ----------------------------------------------------------------------
@@ -167,6 +168,11 @@ def risk_score(severity, confidence, asset=1.0) -> Column:
     return F.round(F.least(lookup(WEIGHTS, severity, 4.0) * c(confidence) * a, F.lit(10.0)), 2)
 
 
+def exact_mean(x, places: int) -> Column:
+    """An aggregate: the mean of numbers with so many places, by integers, as sums of doubles depend on their order."""
+    return F.sum(F.round(c(x) * 10**places).cast("long")) / (F.lit(float(10**places)) * F.count(c(x)))
+
+
 def risk_band(score) -> Column:
     s = c(score)
     return F.when(s >= 85, "CRITICAL").when(s >= 70, "HIGH").when(s >= 40, "MEDIUM").when(s > 0, "LOW").otherwise("INFO")
@@ -182,10 +188,15 @@ def threat_level(critical, high, medium, low) -> Column:
 
 
 def register_sql_functions(spark) -> None:
-    """ip_class, ip_number and ipv4s for plain SQL, as SQL functions without Python."""
+    """ip_number, ip_class, same_subnet, is_tor_exit and ipv4s_in for plain SQL, as SQL functions without Python."""
     n = "cast(split(ip, '[.]')[0] as bigint)*16777216+cast(split(ip, '[.]')[1] as bigint)*65536+cast(split(ip, '[.]')[2] as bigint)*256+cast(split(ip, '[.]')[3] as bigint)"
     ok = "ip rlike '^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$'"
     spark.sql(f"create or replace temporary function ip_number(ip string) returns bigint return case when {ok} then {n} end")
     tests = [("loopback", LOOPBACK), ("multicast", MULTICAST), ("documentation", DOCUMENTATION), ("private", PRIVATE + LINK_LOCAL)]
     cases = " ".join("when " + " or ".join(f"ip_number(ip) between {a} and {b}" for a, b in map(_cidr, nets)) + f" then '{name}'" for name, nets in tests)
     spark.sql(f"create or replace temporary function ip_class(ip string) returns string return case when ip_number(ip) is null then 'invalid' {cases} else 'public' end")
+    spark.sql("create or replace temporary function same_subnet(a string, b string, bits int) returns boolean return shiftright(ip_number(a), 32 - bits) = shiftright(ip_number(b), 32 - bits)")
+    exits = " or ".join(f"ip_number(ip) between {a} and {b}" for a, b in map(_cidr, TOR))
+    spark.sql(f"create or replace temporary function is_tor_exit(ip string) returns boolean return coalesce({exits}, false)")
+    pattern = IN_TEXT.replace("\\", "\\\\")
+    spark.sql(f"create or replace temporary function ipv4s_in(text string) returns array<string> return array_distinct(regexp_extract_all(text, '{pattern}', 0))")

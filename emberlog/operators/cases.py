@@ -77,7 +77,7 @@ def observed(found: DataFrame, rules: int = 10) -> DataFrame:
     """source_ip, first_us, last_us, n, high (findings of HIGH or above), rules: its first names in order, mean_confidence."""
     names = F.array_join(F.slice(F.array_sort(F.collect_set("rule_id")), 1, rules), ",")
     return found.where("source_ip is not null").groupBy("source_ip").agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), F.count(F.when(core.severity_rank("severity") >= 3, 1)).alias("high"), names.alias("rules"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"), F.count(F.when(core.severity_rank("severity") >= 3, 1)).alias("high"), names.alias("rules"), F.round(core.exact_mean("confidence", 4), 6).alias("mean_confidence"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..rules.catalog import RULES, TACTICS
-from ..rules.model import Rule, event_filter, indicators_of, matches, pattern_of, step_matches
+from ..rules.model import Rule, column_of, event_filter, indicators_of, matches, pattern_of, step_matches
 from . import chains, hot_keys, shared
 
 SECOND = 1_000_000
@@ -41,7 +41,7 @@ def _hits_of(rules: tuple[Rule, ...], application: str) -> Column:
     arrays = []
     for at in range(0, len(rules), CHUNK):
         hits = [
-            F.when(matches(r), F.struct(F.lit(r.id).alias("rule_id"), F.substring(F.regexp_extract(F.col(r.match_field).cast("string"), pattern_of(r), 0), 1, 200).alias("matched_text")))
+            F.when(matches(r), F.struct(F.lit(r.id).alias("rule_id"), F.substring(F.regexp_extract(column_of(r.match_field).cast("string"), pattern_of(r), 0), 1, 200).alias("matched_text")))
             for r in rules[at : at + CHUNK]
         ]
         arrays.append(F.array_compact(F.array(*hits)))
@@ -103,7 +103,7 @@ def columns_of(rules: list[Rule]) -> tuple[list[Column], list[Column], list[chai
             own.append((len(flags), (1 << len(f)) - 1, len(values) if part.distinct else None))
             flags += f
             if part.distinct:
-                values.append(F.col(part.distinct).cast("string"))
+                values.append(column_of(part.distinct).cast("string"))
         plans.append(chains.Plan(rule, own))
     return flags, values, plans
 
@@ -134,7 +134,7 @@ def seen_by(events: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[chain
     Events without a time or without the key take no part, and events that no rule sees stay out unless a sequence's window may begin with them.
     """
     flags, values, plans = columns_of(rules)
-    key = F.col(rules[0].key).cast("string")
+    key = column_of(rules[0].key).cast("string")
     rows = events.where(F.col("us").isNotNull() & key.isNotNull() & (key != ""))
     rows = rows.select("source_file", key.alias("key"), F.col("us").cast("long").alias("us"), F.col("line_number").cast("long").alias("line_number"), mask_of(flags).alias("mask"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
     if not any(part.type == "sequence" for plan in plans for part in plan.parts):

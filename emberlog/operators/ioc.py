@@ -131,7 +131,7 @@ def with_feeds(indicators: DataFrame, engines: DataFrame, pulses: DataFrame, url
 def summary(indicators: DataFrame, top: int = 5) -> DataFrame:
     """kind, name, n, mean_confidence: all (total), each type, and the rules with most indicators."""
     rows = indicators.select("confidence", F.explode(F.array(F.struct(F.lit("total").alias("kind"), F.lit("all").alias("name")), F.struct(F.lit("type").alias("kind"), F.col("type").alias("name")), F.struct(F.lit("rule").alias("kind"), F.col("source_rule").alias("name")))).alias("k"))
-    out = rows.where("k.name is not null").groupBy("k.kind", "k.name").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+    out = rows.where("k.name is not null").groupBy("k.kind", "k.name").agg(F.count("*").alias("n"), F.round(core.exact_mean("confidence", 6), 3).alias("mean_confidence"))
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))
     return out.withColumn("_r", rank).where((F.col("kind") != "rule") | (F.col("_r") <= top)).drop("_r")
 

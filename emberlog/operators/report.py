@@ -69,7 +69,7 @@ def report_numbers(found: DataFrame) -> DataFrame:
     techniques = F.array_sort(F.array_distinct(F.flatten(F.collect_set("mitre_ids"))))
     return found.agg(
         F.count("*").alias("findings"), F.count(F.when(F.col("severity") == "CRITICAL", 1)).alias("critical"), F.count(F.when(F.col("severity") == "HIGH", 1)).alias("high"),
-        F.max("risk_score").alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"), F.array_join(names("category"), ",").alias("categories"), F.array_join(techniques, ",").alias("techniques"),
+        F.max("risk_score").alias("max_risk"), F.round(core.exact_mean("risk_score", 2), 6).alias("avg_risk"), F.array_join(names("category"), ",").alias("categories"), F.array_join(techniques, ",").alias("techniques"),
     )
 
 

@@ -70,7 +70,7 @@ def dimensions(found: DataFrame, dims: list[tuple[str, int | None]]) -> DataFram
     value = lambda c: F.lit("all") if c == "total" else F.col(c).cast("string")
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), value(c).alias("value")) for c, _ in dims])).alias("d")
     rows = found.select("risk_score", "us", each).where("d.value is not null")
-    n = rows.groupBy("d.dimension", "d.value").agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    n = rows.groupBy("d.dimension", "d.value").agg(F.count("*").alias("n"), F.max("risk_score").alias("max_risk"), F.round(core.exact_mean("risk_score", 2), 6).alias("avg_risk"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "value"))
     most = core.lookup({c: k for c, k in dims if k}, "dimension")
     return n.withColumn("_r", rank).where(F.coalesce(F.col("_r") <= most, F.lit(True))).drop("_r")

@@ -161,7 +161,7 @@ SQL["source_chains"] = FINDINGS + ", per as (select source_ip, category, count(*
 SQL["hunt"] = FINDINGS + "select rule_id, line_number, risk_score from found where category = 'web_attack' and risk_score >= 4 and sev_rank >= 3 and list_has_any(mitre_ids, ['T1190']) and contains(lower(raw_line), 'login') order by risk_score desc, us desc, line_number, rule_id limit 100"
 SQL["findings_page"] = FINDINGS + "select rule_id, line_number, true as has_more from found order by risk_score desc, us desc, line_number, rule_id limit 50 offset 100"
 SQL["timeline"] = FINDINGS + "select rule_id, line_number, us from found where severity in ('HIGH', 'CRITICAL') order by us, line_number, rule_id limit 200"
-_DIM = "select '{c}' as dimension, {c} as value, count(*) as n, max(risk_score) as max_risk, round(avg(risk_score), 6) as avg_risk from found group by {c}"
+_DIM = "select '{c}' as dimension, {c} as value, count(*) as n, max(risk_score) as max_risk, round(sum(cast(round(risk_score * 100) as bigint)) / (100.0::double * count(*)), 6) as avg_risk from found group by {c}"
 SQL["findings_summary"] = FINDINGS + " union all ".join(f"select * from ({_DIM.format(c=c)}{l})" for c, l in (("severity", ""), ("category", ""), ("source_ip", " order by n desc, value limit 10"), ("hostname", " order by n desc, value limit 10"), ("rule_id", " order by n desc, value limit 10")))
 SQL["threat_levels"] = FINDINGS + "select *, case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 0 then 'ELEVATED' when low > 0 then 'LOW' else 'QUIET' end as level from (select session_id, count(*) filter (severity = 'LOW') as low, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'CRITICAL') as critical, max(risk_score) as max_risk from found group by session_id)"
 SQL["triage"] = FINDINGS + "select rule_id, line_number, case when line_number % 7 = 0 then 'closed' when line_number % 3 = 0 then 'open' else 'new' end as state from found"
@@ -183,7 +183,7 @@ _OPEN = r"(type <> 'ipv4' or not regexp_matches(value, '^(10[.]|127[.]|192[.]168
 SQL["ioc_extract"] = f"select doc_id, type, value, w as confidence from ({_IOC}) where {_OPEN}"
 _MERGED = f"with i as (select * from ({_IOC}) where {_OPEN}), m as (select type, min(value) as value, max(w) as confidence, count(*) as n, array_to_string(list_sort(list(distinct lang)), ',') as tags, arg_min(source, struct_pack(v := value, s := source)) as source_rule from i group by type, lower(value)) "
 SQL["ioc_merge"] = _MERGED + "select * from m"
-SQL["ioc_summary"] = _MERGED + "select 'total' as kind, 'all' as name, count(*) as n, round(avg(confidence), 3) as mean_confidence from m union all select 'type', type, count(*), round(avg(confidence), 3) from m group by type union all select * from (select 'rule', source_rule, count(*) as n, round(avg(confidence), 3) from m group by source_rule order by n desc, source_rule limit 5)"
+SQL["ioc_summary"] = _MERGED + "select 'total' as kind, 'all' as name, count(*) as n, round(sum(cast(round(confidence * 1000000) as bigint)) / (1000000.0::double * count(*)), 3) as mean_confidence from m union all select 'type', type, count(*), round(sum(cast(round(confidence * 1000000) as bigint)) / (1000000.0::double * count(*)), 3) from m group by type union all select * from (select 'rule', source_rule, count(*) as n, round(sum(cast(round(confidence * 1000000) as bigint)) / (1000000.0::double * count(*)), 3) from m group by source_rule order by n desc, source_rule limit 5)"
 SQL["ioc_reputation"] = _MERGED + (
     ", o as (select *, case when type = 'ipv4' then split_part(value, '.', 4)::int end as o from m), s as (select *, o % 101 >= 25 as bad from o) "
     "select type, value, round(case when bad then least(confidence + (o % 101) / 100.0::double * 0.2, 1.0) else confidence end, 6) as confidence, "
@@ -198,11 +198,11 @@ SQL["finding_tags"] = FINDINGS + "select rule_id, line_number, case when line_nu
 SQL["hardening"] = FINDINGS + "select * from (values ('web_attack', 1, 'check what requests may hold'), ('web_attack', 2, 'close directory lists'), ('auth', 1, 'lock accounts after failures'), ('impact', 1, 'keep copies apart')) a(category, position, step) where category in (select category from found)"
 SQL["session_summaries"] = FINDINGS + "select s.session_id, count(f.rule_id) as findings, count(f.rule_id) filter (sev_rank >= 3) as grave, coalesce(max(risk_score), 0.0) as max_risk from (select distinct session_id from ev) s left join found f using (session_id) group by s.session_id"
 SQL["report_numbers"] = FINDINGS + (
-    "select count(*) as findings, count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'HIGH') as high, max(risk_score) as max_risk, round(avg(risk_score), 6) as avg_risk, "
+    "select count(*) as findings, count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'HIGH') as high, max(risk_score) as max_risk, round(sum(cast(round(risk_score * 100) as bigint)) / (100.0::double * count(*)), 6) as avg_risk, "
     "array_to_string(list_sort(list(distinct category)), ',') as categories, (select array_to_string(list_sort(list(distinct t)), ',') from (select unnest(mitre_ids) as t from found)) as techniques from found"
 )
 SQL["report_top"] = FINDINGS + "select rule_id, line_number, case when line_number % 2 = 0 then 'open' else 'new' end as triage_state, risk_score, raw_line from found order by risk_score desc, us desc, line_number, rule_id limit 5"
-_STAT = "select '{c}' as dimension, {v} as value, count(*) as n, max(risk_score) as max_risk, round(avg(risk_score), 6) as avg_risk, min(us) as first_us, max(us) as last_us from found group by all"
+_STAT = "select '{c}' as dimension, {v} as value, count(*) as n, max(risk_score) as max_risk, round(sum(cast(round(risk_score * 100) as bigint)) / (100.0::double * count(*)), 6) as avg_risk, min(us) as first_us, max(us) as last_us from found group by all"
 _COUNTED = " union all ".join(f"select '{k}', 'all', count(*), null, null, null, null from ({t})" for k, t in (("sessions", "select distinct session_id from found"), ("evidence", "select 1 from documents"), ("attack_chains", "select chain_name, source_ip from met where len(cats) = wanted")))
 SQL["case_stats"] = (
     SQL["kill_chains"].rpartition("select chain_name, source_ip, array_to_string")[0]
@@ -249,7 +249,7 @@ SQL["playbook_steps"] = FINDINGS + (
 )
 SQL["decoy_hits"] = EV + "select concat('t', ip) as token_id, count(*) as n from (select distinct source_ip as ip from ev where dest_port = 1007) join ev on source_ip = ip group by ip"
 SQL["year_rollover"] = EV + "select (2020 + (line_number + 50) // 100)::bigint as year, count(*) as n from ev group by 1"
-SQL["observed"] = FINDINGS + "select source_ip, min(us) as first_us, max(us) as last_us, count(*) as n, count(*) filter (sev_rank >= 3) as high, array_to_string(list_sort(list(distinct rule_id))[1:10], ',') as rules, round(avg(confidence), 6) as mean_confidence from found group by source_ip"
+SQL["observed"] = FINDINGS + "select source_ip, min(us) as first_us, max(us) as last_us, count(*) as n, count(*) filter (sev_rank >= 3) as high, array_to_string(list_sort(list(distinct rule_id))[1:10], ',') as rules, round(sum(cast(round(confidence * 10000) as bigint)) / (10000.0::double * count(*)), 6) as mean_confidence from found group by source_ip"
 _SOME = ", ".join(f"array_to_string(list_sort(list(distinct {c}))[1:20], ',') as {c}" for c in ("source_ip", "hostname", "username"))
 SQL["case_numbers"] = FINDINGS + f"select session_id, count(*) as findings, {_SOME}, max(risk_score) as max_risk from found group by session_id"
 SQL["session_history"] = FINDINGS + "select session_id, count(*) as n, (['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])[max(sev_rank) + 1] as top_severity, case when d = 0 then 'today' when d = 1 then 'yesterday' when d < 7 then 'this week' else 'earlier' end as label from (select *, date '2024-01-30' - session_id::date as d from found) group by session_id, d"

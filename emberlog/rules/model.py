@@ -28,6 +28,7 @@ class Rule:
     steps: tuple = ()
     parts: tuple = ()  # of a composite: rules
     logic: str = "AND"
+    about: dict = field(default_factory=dict, hash=False, compare=False)  # what a document says besides: description, tags, status, version, ...
 
     @property
     def tactics(self) -> list[str]:
@@ -62,6 +63,16 @@ def C(id, key, seconds, parts, logic="AND", name="", severity="HIGH", category="
     return Rule(id, name or id, severity, category, confidence, (), (), "composite", key=key, seconds=seconds, parts=tuple(parts), logic=logic.upper())
 
 
+def column_of(name: str) -> Column:
+    """A field of an event by name; extra.k is the value that the map extra has for k, or, where k is a path, what the JSON text of its first name holds there."""
+    first, _, rest = name.partition(".")
+    if not rest:
+        return F.col(name)
+    value = F.col(first).getItem(rest)
+    name, _, path = rest.partition(".")
+    return F.coalesce(value, F.get_json_object(F.col(first).getItem(name), f"$.{path}")) if path else value
+
+
 def event_filter(where: dict) -> Column:
     """All conditions of a rule's filter; a missing value never meets one."""
     out = F.lit(True)
@@ -69,13 +80,13 @@ def event_filter(where: dict) -> Column:
         if k == "http_method":
             c = F.upper("http_method") == str(v).upper()
         elif k.endswith("_contains"):
-            c = F.lower(F.coalesce(k.removesuffix("_contains"), F.lit(""))).contains(str(v).lower())
+            c = F.lower(F.coalesce(column_of(k.removesuffix("_contains")), F.lit(""))).contains(str(v).lower())
         elif k == "severity_in":
             c = F.upper("severity").isin([str(x).upper() for x in v])
         elif k.endswith("_in"):
-            c = F.col(k.removesuffix("_in")).isin(list(v))
+            c = column_of(k.removesuffix("_in")).isin(list(v))
         else:
-            c = F.col(k).cast("string") == str(v)
+            c = column_of(k).cast("string") == str(v)
         out = out & F.coalesce(c, F.lit(False))
     return out
 
@@ -92,16 +103,16 @@ def indicators_of(rule: Rule, columns) -> list[str]:
 
 def matches(rule: Rule) -> Column:
     """Cheap conditions first; a null field matches nothing."""
-    value = F.col(rule.match_field).cast("string")
+    value = column_of(rule.match_field).cast("string")
     return event_filter(rule.where) & F.coalesce(value.rlike(pattern_of(rule)), F.lit(False))
 
 
 def step_matches(step: dict) -> Column:
-    value = F.col(step["match_field"]).cast("string")
+    value = column_of(step["match_field"]).cast("string")
     if "value_contains" in step:
         c = F.lower(value).contains(str(step["value_contains"]).lower())
     else:
         c = value == str(step["value"])
     if "match_field2" in step:
-        c = c & (F.col(step["match_field2"]).cast("string") == str(step["value2"]))
+        c = c & (column_of(step["match_field2"]).cast("string") == str(step["value2"]))
     return F.coalesce(c, F.lit(False))

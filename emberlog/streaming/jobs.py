@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect
 from ..operators.chains import Events
-from ..rules.model import Rule
+from ..rules.model import Rule, column_of
 from ..sources import formats
 from ..plans.adapter import K, COLUMNS
 from ..functions import core
@@ -93,8 +93,8 @@ def rule_stream(events: DataFrame, rule: Rule, late: str = "1 hour") -> DataFram
             state.setTimeoutTimestamp(max(until, done // 1000 + 1))
         yield pd.DataFrame([(k[0], k[1], rule.id, f[0], f[1], f[2]) for f in fires], columns=["source_file", "key", "rule_id", "line_number", "us", "event_count"])
 
-    rows = events.where(F.col(rule.key).isNotNull() & (F.col(rule.key).cast("string") != "")).withWatermark("timestamp", late)
-    rows = rows.select("source_file", F.col(rule.key).cast("string").alias("key"), "us", F.col("line_number").cast("long").alias("line_number"), detect.mask_of(flags).alias("mask"), *[v.alias(n) for v, n in zip(values, names, strict=True)], "timestamp")
+    rows = events.where(column_of(rule.key).isNotNull() & (column_of(rule.key).cast("string") != "")).withWatermark("timestamp", late)
+    rows = rows.select("source_file", column_of(rule.key).cast("string").alias("key"), "us", F.col("line_number").cast("long").alias("line_number"), detect.mask_of(flags).alias("mask"), *[v.alias(n) for v, n in zip(values, names, strict=True)], "timestamp")
     schema = "source_file string, key string, rule_id string, line_number long, us long, event_count int"
     return rows.groupBy("source_file", "key").applyInPandasWithState(fold, schema, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect, shared
-from ..rules.model import Rule
+from ..rules.model import Rule, column_of
 
 BUCKETS = 64  # folders of the stored events, by a hash of the key
 SECOND = 1_000_000
@@ -77,7 +77,7 @@ def repaired(fires: DataFrame, events: DataFrame, late: DataFrame, rule: Rule, u
     few = shared.small(keys)
     buckets = [r[0] for r in keys.select(_bucket("key").alias("b")).distinct().collect()]
     own = events.where(F.col("bucket").isin(buckets)).drop("bucket").unionByName(late)
-    match = own.withColumn("key", F.col(rule.key).cast("string")).join(few, ["source_file", "key"], "left_semi").drop("key")
+    match = own.withColumn("key", column_of(rule.key).cast("string")).join(few, ["source_file", "key"], "left_semi").drop("key")
     again = detect.fires(match, [rule]).select(*fires.columns)
     return fires.join(few, ["source_file", "key"], "left_anti").unionByName(again).where(F.col("us") < until_us)
 
