@@ -403,9 +403,18 @@ def postgresql(x) -> dict[str, Column]:
     return d | {"timestamp": core.iso_time(d.pop("time")), "source_ip": part(x, r"host=([\d.]+)", 1), "auth_result": F.when(bad, "failure").when(core.c(x).rlike("connection authorized"), "success"), "severity": level_of(d.pop("level"))}
 
 
+MONGO_TEXT = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\S+)\s+(\w)\s+\S+\s+\[([^\]]+)\]\s+(.*)"
+
+
 def mongodb(x) -> dict[str, Column]:
-    d = _json(x, time="$.t['$date']", level="$.s", process_name="$.c", event_id="$.id", message="$.msg", remote="$.attr.remote")
-    return d | {"timestamp": core.iso_time(d.pop("time")), "source_ip": part(d.pop("remote"), r"^([\d.]+)", 1), "severity": core.lookup({"F": "CRITICAL", "E": "ERROR", "W": "WARNING"}, d.pop("level"), "INFO")}
+    """JSON, or the older text layout."""
+    d = _json(x, time="$.t['$date']", level="$.s", process_name="$.c", event_id="$.id", message="$.msg", remote="$.attr.remote", username="$.attr.user|$.attr.principalName", context="$.ctx")
+    is_json = F.get_json_object(core.c(x), "$").isNotNull()
+    old = lambda k: F.when(~is_json, part(x, MONGO_TEXT, k))
+    context = d.pop("context")
+    process = F.when(context.contains("-"), F.element_at(F.split(context, "-"), -1)).try_cast("long")
+    level = F.coalesce(d.pop("level"), old(2), F.when(is_json, "I"))
+    return d | {"timestamp": core.iso_time(F.coalesce(d.pop("time"), old(1))), "source_ip": part(d.pop("remote"), r"^([\d.]+)", 1), "process_id": process, "message": F.coalesce(d["message"], old(4)), "severity": F.when(level.isNotNull(), core.lookup({"F": "CRITICAL", "E": "ERROR", "W": "WARNING"}, level, "INFO"))}
 
 
 def container(x) -> dict[str, Column]:
@@ -420,9 +429,19 @@ def kubernetes_audit(x) -> dict[str, Column]:
     return d | {"timestamp": core.iso_time(d.pop("time")), "http_uri_decoded": core.url_decoded(d["http_uri"]), "action": F.when(d["http_status"] < 400, "allow").otherwise("deny"), "severity": core.http_severity(d["http_status"])}
 
 
+FALCO_TEXT = r"^(\S+):\s+(\w+)\s+(.*)"
+# Priorities and what they are
+FALCO_LEVELS = {"EMERGENCY": "CRITICAL", "ALERT": "CRITICAL", "CRITICAL": "CRITICAL", "ERROR": "ERROR", "NOTICE": "INFO", "INFORMATIONAL": "INFO"}
+
+
 def falco(x) -> dict[str, Column]:
-    d = _json(x, time="$.time", rule_name="$.rule", message="$.output", level="$.priority", hostname="$.hostname", process_name="$.output_fields['proc.name']", username="$.output_fields['user.name']", command_line="$.output_fields['proc.cmdline']")
-    return d | {"timestamp": core.iso_time(d.pop("time")), "severity": level_of(d.pop("level"))}
+    """JSON, or the text layout, which has no date."""
+    of = lambda name: f"$.output_fields['{name}']"
+    d = _json(x, time="$.time", rule_name="$.rule", message="$.output", level="$.priority", hostname=f"{of('container.id')}|{of('k8s.pod.name')}|$.hostname", process_name=of("proc.name"), process_id=of("proc.pid"), username=of("user.name"), command_line=of("proc.cmdline"), file_path=of("fd.name"))
+    is_json = F.get_json_object(core.c(x), "$").isNotNull()
+    level = F.coalesce(d.pop("level"), F.when(~is_json, part(x, FALCO_TEXT, 2)), F.when(is_json, "WARNING"))
+    d = _ints(d, "process_id")
+    return d | {"timestamp": core.iso_time(d.pop("time")), "message": F.coalesce(d["message"], F.when(~is_json, part(x, FALCO_TEXT, 3))), "severity": F.when(level.isNotNull(), core.lookup(FALCO_LEVELS, F.upper(level), "WARNING"))}
 
 
 def postfix(x, year: int = 2024) -> dict[str, Column]:
@@ -538,14 +557,86 @@ def vmware_esx(x) -> dict[str, Column]:
     return d | {"timestamp": core.iso_time(d.pop("time")), "process_id": d.pop("process").try_cast("long"), "username": part(x, r"(?i)user[ =]+'?([\w\\.@-]+)", 1), "severity": _words(x, LEVELS)}
 
 
-PALO_TRAFFIC = {"source_ip": 7, "dest_ip": 8, "rule_name": 11, "username": 12, "source_port": 24, "dest_port": 25, "protocol": 29, "action": 30}
+# Places of fields in firewall lines, and the levels of threats
+PALO = {"timestamp": 1, "kind": 3, "username": 6, "source_ip": 7, "dest_ip": 8, "rule_name": 11, "level": 16, "source_port": 24, "dest_port": 25, "protocol": 29, "action": 30, "text": 31, "http_bytes": 33}
+PALO_LEVELS = {"critical": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "low": "LOW", "informational": "INFO"}
+PALO_LEAST = 20  # fields of a line
 
 
 def paloalto(x) -> dict[str, Column]:
-    p = F.split(core.c(x), ",")
-    d = _ints({k: core.dash_null(F.get(p, F.lit(i))) for k, i in PALO_TRAFFIC.items()}, "source_port", "dest_port")
-    kind = F.get(p, F.lit(3))
-    return d | {"timestamp": F.try_to_timestamp(F.get(p, F.lit(1)), F.lit("yyyy/MM/dd HH:mm:ss")), "event_id": kind, "severity": F.when(kind == "THREAT", "HIGH").when(d["action"].isin("deny", "drop"), "WARNING").otherwise("INFO")}
+    """Quoted CSV; TRAFFIC and THREAT lines have places of their own, of others the line is the message."""
+    x = core.c(x)
+    row = F.from_csv(x, ", ".join(f"c{i} string" for i in range(max(PALO.values()) + 1)), {"escape": '"'})
+    enough = F.length(F.regexp_replace(F.regexp_replace(x, '"(?:[^"]|"")*"', ""), "[^,]", "")) + 1 >= PALO_LEAST
+    kind = F.when(enough, F.coalesce(row[f"c{PALO['kind']}"], F.lit("")))
+    traffic, threat = F.upper(kind) == "TRAFFIC", F.upper(kind) == "THREAT"
+    get = lambda name, where: F.when(where, row[f"c{PALO[name]}"])
+    action, protocol = F.lower(get("action", traffic)), F.lower(get("protocol", traffic))
+    source, dest = get("source_ip", traffic | threat), get("dest_ip", traffic | threat)
+    told = F.concat(F.lit("PAN-OS "), kind, F.lit(": "), F.concat_ws(" ", action, protocol, source, F.lit("->"), dest))
+    level = core.lookup(PALO_LEVELS, F.lower(get("level", threat)), "WARNING")
+    return {
+        "timestamp": core.iso_time(get("timestamp", traffic | threat)), "source_ip": source, "dest_ip": dest, "source_port": get("source_port", traffic).try_cast("int"), "dest_port": get("dest_port", traffic).try_cast("int"),
+        "protocol": protocol, "action": action, "username": get("username", traffic), "rule_name": get("rule_name", traffic), "http_bytes": get("http_bytes", traffic).try_cast("long"), "event_id": kind,
+        "message": F.when(traffic, told).when(threat, F.coalesce(get("text", threat), F.lit(""))).when(kind.isNotNull(), F.trim(x)),
+        "severity": F.when(traffic, F.when(action.isin("deny", "drop", "drop-icmp"), "WARNING").otherwise("INFO")).when(threat, level).when(kind.isNotNull(), "INFO"),
+    }
+
+
+MACOS = r"^(\d{4}-\d\d-\d\d\s+\d\d:\d\d:\d\d[+-]\d\d(?::\d\d)?)\s+(\S+)\s+(\d+)\s+(\w+)\s+(.*)"
+MACOS_SYSLOG = r"^(\w{3}\s+\d{1,2}\s+\d\d:\d\d:\d\d)(?:\.\d+)?\s+(\S+)\s+([^\[]+)\[(\d+)\](?:\s+<(\w+)>)?:\s*(.*)"
+# Levels and what they are
+MACOS_LEVELS = {"Warning": "WARNING", "Error": "ERROR", "Critical": "CRITICAL", "Alert": "CRITICAL", "Emergency": "CRITICAL"}
+
+
+def macos(x, year: int = 2024) -> dict[str, Column]:
+    """Lines with a date and an offset, or as in syslog; of others the time in them and the line as message."""
+    x = core.c(x)
+    one, two = x.rlike(MACOS), x.rlike(MACOS_SYSLOG)
+    pick = lambda a, b: F.when(one, part(x, MACOS, a) if a else F.lit(None)).when(two, part(x, MACOS_SYSLOG, b))
+    first = core.iso_time(F.regexp_replace(part(x, MACOS, 1), r"([+-]\d\d)$", "$1:00"))
+    any_time = core.iso_time(F.regexp_extract(x, r"\d{4}-\d\d-\d\d[\sT]\d\d:\d\d:\d\d", 0))
+    return {
+        "timestamp": F.when(one, first).when(two, core.syslog_time(part(x, MACOS_SYSLOG, 1), year)).otherwise(any_time), "hostname": F.when(two & ~one, part(x, MACOS_SYSLOG, 2)), "process_name": F.trim(pick(2, 3)), "process_id": pick(3, 4).try_cast("long"),
+        "severity": F.when(one | two, core.lookup(MACOS_LEVELS, F.coalesce(pick(4, 5), F.lit("Default")), "INFO")), "message": F.when(one | two, F.trim(pick(5, 6))).otherwise(F.trim(x)),
+    }
+
+
+CRON_MESSAGE = r"CMD\s+\((.+)\)"
+DPKG = r"^(\d{4}-\d\d-\d\d\s+\d\d:\d\d:\d\d)\s+(install|upgrade|remove|purge)\s+(\S+)"
+BANS = r"fail2ban\.\w+\s+(?:WARNING|NOTICE)\s+\[([^\]]+)\]\s+(Ban|Unban)\s+([\d.]+)"
+
+
+def linux_syslog(x, year: int = 2024) -> dict[str, Column]:
+    """Syslog with commands of cron, packages, killed processes and bans."""
+    x = core.c(x)
+    d = syslog(x, year)
+    package, ban = x.rlike(DPKG), x.rlike(BANS)
+    cron = F.when(d["process_name"] == "CRON", part(d["message"], CRON_MESSAGE, 1))
+    pairs = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("k"), part(x, p, i).alias("v"))) for c, k, p, i in ((package, "dpkg_action", DPKG, 2), (package, "dpkg_package", DPKG, 3), (ban, "fail2ban_jail", BANS, 1), (ban, "fail2ban_action", BANS, 2))]))
+    killed = F.coalesce(d["message"].rlike("(?i)out of memory|oom-killer|killed process"), F.lit(False))
+    return d | {
+        "timestamp": F.when(package, core.iso_time(part(x, DPKG, 1))).otherwise(d["timestamp"]), "message": F.when(package, F.trim(x)).otherwise(d["message"]), "command_line": cron, "source_ip": F.when(ban, part(x, BANS, 3)).otherwise(d["source_ip"]),
+        "severity": F.when(ban, "WARNING").when(killed, "CRITICAL").otherwise(d["severity"]), "extra": F.map_from_entries(pairs),
+    }
+
+
+PUBLIC_KEY = r"Accepted publickey for (\S+) from (\S+) port (\d+)"
+TOO_MANY = r"error: maximum authentication attempts exceeded for .+ from (\S+)"
+TUNNEL = r"Accepted direct-tcpip channel .+ to (\S+):(\d+) .+ from (\S+)"
+
+
+def openssh(x, year: int = 2024) -> dict[str, Column]:
+    """Syslog of SSH with public keys, too many attempts and tunnels; what they are is in extra: auth_method, tag."""
+    d = syslog(x, year)
+    m = F.coalesce(d["message"], F.lit(""))
+    key, many, tunnel = m.rlike(PUBLIC_KEY), m.rlike(TOO_MANY), m.rlike(TUNNEL)
+    told = F.when(key, F.create_map(F.lit("auth_method"), F.lit("publickey"))).when(many, F.create_map(F.lit("tag"), F.lit("brute_force"))).when(tunnel, F.create_map(F.lit("tag"), F.lit("ssh_tunnel")))
+    return d | {
+        "username": F.when(key, part(m, PUBLIC_KEY, 1)).otherwise(d["username"]), "source_ip": F.when(key, part(m, PUBLIC_KEY, 2)).when(many, part(m, TOO_MANY, 1)).when(tunnel, part(m, TUNNEL, 3)).otherwise(d["source_ip"]),
+        "source_port": F.when(key, part(m, PUBLIC_KEY, 3).try_cast("int")).otherwise(d["source_port"]), "dest_ip": F.when(tunnel, part(m, TUNNEL, 1)), "dest_port": F.when(tunnel, part(m, TUNNEL, 2).try_cast("int")),
+        "auth_result": F.when(key, "success").when(many, "failure").otherwise(d["auth_result"]), "severity": F.when(key, "INFO").when(many, "CRITICAL").when(tunnel, "WARNING").otherwise(d["severity"]), "extra": told,
+    }
 
 
 W3C = "date time s-ip cs-method cs-uri-stem cs-uri-query s-port cs-username c-ip cs(User-Agent) cs(Referer) sc-status".split()
@@ -566,7 +657,7 @@ for _columns, _names in (
     (mysql, "mysql_error mysql_general mysql_slow"), (postgresql, "postgresql"), (mongodb, "mongodb"), (container, "docker_json kubernetes_pod"), (kubernetes_audit, "kubernetes_audit"), (falco, "falco"), (postfix, "postfix"), (bind_query, "bind_query"),
     (json_line, "json_generic caddy traefik macos_unified aws_waf azure_nsg_flow gcp_vpc_flow exchange nodejs carbonblack"), (gelf, "gelf"), (unknown, "unknown ai_parsed csv_generic xml_generic macos_asl"), (logcat, "android_logcat"),
     (java_log, "log4j spark kafka zookeeper hadoop elasticsearch spring_boot"), (windows_cbs, "windows_cbs windows_setup windows_update"), (openstack, "openstack nova keystone neutron"), (health_app, "health_app"),
-    (python_log, "python_logging django rails macos_install macos_crashreporter"), (fail2ban, "fail2ban"), (ossec, "ossec"), (openvpn, "openvpn"), (crowdstrike, "crowdstrike"), (vmware_esx, "vmware_esx"),
+    (python_log, "python_logging django rails"), (macos, "macos_install macos_crashreporter"), (linux_syslog, "linux_syslog"), (openssh, "openssh"), (fail2ban, "fail2ban"), (ossec, "ossec"), (openvpn, "openvpn"), (crowdstrike, "crowdstrike"), (vmware_esx, "vmware_esx"),
 ):
     for _name in _names.split():
         FORMATS.setdefault(_name, _columns)

@@ -43,6 +43,26 @@ CASES = [
     ("iis_w3c", "2026-01-04 10:00:01 5.6.7.8 GET /a id=1 80 - 1.2.3.4 Mozilla/5.0+(X) - 404 0 0 1", {"source_ip": "1.2.3.4", "http_uri": "/a?id=1", "http_user_agent": "Mozilla/5.0 (X)", "http_status": 404}),
     ("android_logcat", "01-04 10:00:01.123  77  78 E ActivityManager: crash", {"process_id": 77, "severity": "ERROR", "process_name": "ActivityManager"}),
     ("openstack", "nova-api.log 2026-01-04 10:00:01.123 77 WARNING nova.api [req-1-2 u t] 1.2.3.4 denied", {"process_name": "nova.api", "severity": "WARNING", "event_id": "req-1-2", "source_ip": "1.2.3.4"}),
+    ("paloalto", '1,2026/01/04 10:00:01,0123,TRAFFIC,end,1,bob,1.2.3.4,5.6.7.8,0.0.0.0,0.0.0.0,"allow, web",u,v,app,vsys1,a,b,c,d,e,f,1,1,50000,443,0,0,0x0,TCP,Deny,x,y,840', {"timestamp": datetime(2026, 1, 4, 10, 0, 1), "source_ip": "1.2.3.4", "dest_ip": "5.6.7.8", "source_port": 50000, "dest_port": 443, "protocol": "tcp", "action": "deny", "username": "bob", "http_bytes": 840, "severity": "WARNING", "rule_name": "allow, web", "message": "PAN-OS TRAFFIC: deny tcp 1.2.3.4 -> 5.6.7.8"}),
+    ("paloalto", '1,2026/01/04 10:00:01,0123,THREAT,url,1,"x ""y"", z",1.2.3.4,5.6.7.8,0,0,r,u,v,app,vsys1,Critical,b,c,d,e,f,1,1,50000,443,0,0,0x0,tcp,alert,"evil, page"', {"timestamp": datetime(2026, 1, 4, 10, 0, 1), "source_ip": "1.2.3.4", "dest_ip": "5.6.7.8", "source_port": None, "action": None, "username": None, "message": "evil, page", "severity": "CRITICAL"}),
+    ("paloalto", "1,2026/01/04 10:00:01,0123,SYSTEM,a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p", {"timestamp": None, "source_ip": None, "severity": "INFO", "message": "1,2026/01/04 10:00:01,0123,SYSTEM,a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p"}),
+    ("paloalto", '1,2026/01/04 10:00:01,0123,TRAFFIC,"a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r"', {"timestamp": None, "source_ip": None, "severity": None}),
+    ("macos_install", "2026-01-04 10:00:01-07 installd 77 Error it failed", {"timestamp": datetime(2026, 1, 4, 17, 0, 1), "process_name": "installd", "process_id": 77, "severity": "ERROR", "message": "it failed", "hostname": None}),
+    ("macos_install", "Jan  2 03:04:05 mac1 ReportCrash[12]: Saved crash", {"timestamp": datetime(2024, 1, 2, 3, 4, 5), "hostname": "mac1", "process_name": "ReportCrash", "process_id": 12, "severity": "INFO", "message": "Saved crash"}),
+    ("macos_crashreporter", "Jan 12 03:04:05.678 mac1 com.apple.x [12] <Alert>: gone", {"timestamp": datetime(2024, 1, 12, 3, 4, 5), "process_name": "com.apple.x", "severity": "CRITICAL", "message": "gone"}),
+    ("macos_install", "at 2026-01-04T10:00:01 something", {"timestamp": datetime(2026, 1, 4, 10, 0, 1), "message": "at 2026-01-04T10:00:01 something", "process_name": None}),
+    ("mongodb", "2026-01-04T10:00:01.123+0000 E NETWORK  [conn77] connection refused", {"timestamp": datetime(2026, 1, 4, 10, 0, 1, 123000), "severity": "ERROR", "message": "connection refused", "source_ip": None}),
+    ("mongodb", '{"t": {"$date": "2026-01-04T10:00:01.000+00:00"}, "s": "I", "ctx": "conn-42", "msg": "m", "attr": {"remote": "1.2.3.4:99", "principalName": "bob"}}', {"process_id": 42, "username": "bob", "severity": "INFO", "source_ip": "1.2.3.4"}),
+    ("falco", "11:30:02.450022704: Warning Sensitive file opened for reading (user=root)", {"severity": "WARNING", "message": "Sensitive file opened for reading (user=root)", "timestamp": None}),
+    ("falco", '{"time": "2026-01-04T10:00:01Z", "priority": "Critical", "rule": "r", "output": "o", "output_fields": {"proc.name": "sh", "proc.pid": 7, "proc.cmdline": "sh -c x", "user.name": "bob", "container.id": "c1", "fd.name": "/etc/shadow"}}', {"timestamp": datetime(2026, 1, 4, 10, 0, 1), "severity": "CRITICAL", "message": "o", "process_name": "sh", "process_id": 7, "command_line": "sh -c x", "username": "bob", "hostname": "c1", "file_path": "/etc/shadow"}),
+    ("linux_syslog", "Jan  4 10:00:01 web1 CRON[77]: (root) CMD (/usr/bin/x --y)", {"command_line": "/usr/bin/x --y", "process_name": "CRON", "severity": "INFO", "timestamp": datetime(2024, 1, 4, 10, 0, 1)}),
+    ("linux_syslog", "2026-01-04 10:00:01 install nginx:amd64 <none> 1.2", {"timestamp": datetime(2026, 1, 4, 10, 0, 1), "extra": {"dpkg_action": "install", "dpkg_package": "nginx:amd64"}, "message": "2026-01-04 10:00:01 install nginx:amd64 <none> 1.2"}),
+    ("linux_syslog", "Jan  4 10:00:01 web1 kernel: Out of memory: Killed process 77", {"severity": "CRITICAL"}),
+    ("linux_syslog", "Jan  4 10:00:01 web1 fail2ban[7]: fail2ban.actions NOTICE [sshd] Ban 1.2.3.4", {"source_ip": "1.2.3.4", "severity": "WARNING", "extra": {"fail2ban_jail": "sshd", "fail2ban_action": "Ban"}}),
+    ("openssh", "Jan  4 10:00:01 web1 sshd[7]: Accepted publickey for bob from 1.2.3.4 port 99 ssh2", {"username": "bob", "source_ip": "1.2.3.4", "source_port": 99, "auth_result": "success", "severity": "INFO", "extra": {"auth_method": "publickey"}}),
+    ("openssh", "Jan  4 10:00:01 web1 sshd[7]: error: maximum authentication attempts exceeded for root from 1.2.3.4 port 9", {"source_ip": "1.2.3.4", "auth_result": "failure", "severity": "CRITICAL", "extra": {"tag": "brute_force"}}),
+    ("openssh", "Jan  4 10:00:01 web1 sshd[7]: Accepted direct-tcpip channel 1 to 5.6.7.8:3306 by x from 1.2.3.4", {"dest_ip": "5.6.7.8", "dest_port": 3306, "source_ip": "1.2.3.4", "severity": "WARNING"}),
+    ("openssh", "Jan  4 10:00:01 web1 sshd[7]: Failed password for root from 1.2.3.4 port 9 ssh2", {"username": "root", "auth_result": "failure", "severity": "WARNING", "extra": None}),
     ("unknown", "2026-01-04 10:00:01 user=bob from 1.2.3.4 to 5.6.7.8 port 22 error", {"source_ip": "1.2.3.4", "dest_ip": "5.6.7.8", "username": "bob", "severity": "ERROR", "source_port": 22}),
 ]
 
