@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import core
 from . import ioc, matching
 
+#: who findings and exports are told by
+OWNER = "emberlog"
+
 # --- evidence ----------------------------------------------------------------------
 
 
 def file_facts(spark, path: str) -> DataFrame:
-    """path, size, extension, lines_guess (200 bytes a line), sha256, is_binary (over 30 % control bytes in the first KiB)."""
+    """path, size, extension, lines_guess (200 bytes a line), sha256, sha1, md5, is_binary (over 30 % control bytes in the first KiB)."""
     f = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 1024))
     control = F.size(F.regexp_extract_all(head, F.lit("(?:..)*?(0[0-8BCEF]|1[0-9A-F])"), 1))
-    return f.select("path", F.col("length").alias("size"), F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1), F.lit("")).alias("extension"), F.floor(F.col("length") / 200).alias("lines_guess"), F.sha2("content", 256).alias("sha256"), (control > 0.3 * F.least(F.col("length"), F.lit(1024))).alias("is_binary"))
+    return f.select("path", F.col("length").alias("size"), F.nullif(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1), F.lit("")).alias("extension"), F.floor(F.col("length") / 200).alias("lines_guess"), F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1"), F.md5("content").alias("md5"), (control > 0.3 * F.least(F.col("length"), F.lit(1024))).alias("is_binary"))
 
 
 def integrity(evidence: DataFrame, current: DataFrame) -> DataFrame:
@@ -107,40 +110,63 @@ def stix_relationships(found: DataFrame) -> DataFrame:
 
 # --- exports, digests --------------------------------------------------------------
 
-LAYOUTS = {
-    "csv": ["type", "value", "confidence", "n", "tags"],
-    "tsv": ["value", "type", "confidence", "tags"],
-    "zeek": ["indicator", "indicator_type", "meta.source"],
-    "misp": ["category", "type", "value", "comment", "to_ids"],
-}
-# Names of kinds in that layout
-ZEEK_TYPES = {"ipv4": "Intel::ADDR", "domain": "Intel::DOMAIN", "hostname": "Intel::DOMAIN", "url": "Intel::URL", "email": "Intel::EMAIL", "hash_md5": "Intel::FILE_HASH", "hash_sha1": "Intel::FILE_HASH", "hash_sha256": "Intel::FILE_HASH"}
-MISP_CATEGORIES = {"ipv4": "Network activity", "domain": "Network activity", "hostname": "Network activity", "url": "Network activity", "email": "Payload delivery"}
+# Names of kinds, and categories, in two of the layouts
+ZEEK_TYPES = {
+    "ipv4": "Intel::ADDR", "domain": "Intel::DOMAIN", "hostname": "Intel::DOMAIN", "url": "Intel::URL", "email": "Intel::EMAIL", "hash_md5": "Intel::FILE_HASH", "hash_sha1": "Intel::FILE_HASH", "hash_sha256": "Intel::FILE_HASH",
+    "file_path": "Intel::FILE_NAME", "user_agent": "Intel::SOFTWARE", "process": "Intel::SOFTWARE",
+}
+MISP_TYPES = {"ipv4": "ip-src", "domain": "domain", "url": "url", "hash_md5": "md5", "hash_sha1": "sha1", "hash_sha256": "sha256", "file_path": "filename", "email": "email-src", "hostname": "hostname", "user_agent": "user-agent", "process": "filename"}
+MISP_CATEGORIES = {
+    "ipv4": "Network activity", "domain": "Network activity", "url": "Network activity", "hash_md5": "Payload delivery", "hash_sha1": "Payload delivery", "hash_sha256": "Payload delivery",
+    "file_path": "Artifacts dropped", "email": "Social network", "hostname": "Network activity", "user_agent": "Network activity", "process": "Artifacts dropped",
+}
+
 
+def layout(indicators: DataFrame, kind: str, case: str = "", exported: str = "") -> DataFrame:
+    """Merged indicators in the columns of an export: csv, tsv, zeek or misp. Kinds that a layout has no name for are left out of it.
 
-def layout(indicators: DataFrame, kind: str) -> DataFrame:
-    """Merged indicators in the columns of an export."""
-    tags = F.array_join("tags", ";")
+    Rule, address and time are empty where the indicators have none; case and exported name the case and the time of the export, ISO 8601.
+    """
+    have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in indicators.columns else F.lit("")
+    time = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if "us" in indicators.columns else F.lit(None).cast("string")
+    value, rule, percent = F.regexp_replace("value", r"[\n\r\t]", " "), have("source_rule"), F.format_string("%.0f%%", F.col("confidence") * 100)
+    if kind in ("csv", "tsv"):
+        out = indicators.select("type", value.alias("value"), F.format_string("%.3f", "confidence").alias("confidence"), rule.alias("source_rule"), have("source_ip").alias("source_ip"), F.coalesce(time, F.lit("")).alias("timestamp"), F.array_join("tags", "|").alias("tags"))
+        return out.withColumns({"case_ref": F.lit(case), "exported_at": F.lit(exported)}) if kind == "csv" else out
     if kind == "zeek":
-        return indicators.select(F.col("value").alias("indicator"), core.lookup(ZEEK_TYPES, "type", "Intel::SOFTWARE").alias("indicator_type"), F.lit("emberlog").alias("meta.source"))
-    if kind == "misp":
-        return indicators.select(core.lookup(MISP_CATEGORIES, "type", "Artifacts dropped").alias("category"), "type", "value", tags.alias("comment"), (F.col("confidence") >= 0.75).alias("to_ids"))
-    return indicators.withColumn("tags", tags).select(*LAYOUTS[kind])
+        told = F.concat(F.lit(f"{OWNER} case {case} | rule:"), rule, F.lit(" | conf:"), percent)
+        name = core.lookup(ZEEK_TYPES, "type")
+        return indicators.where(name.isNotNull()).select(value.alias("indicator"), name.alias("indicator_type"), F.lit(f"{OWNER}/{case}").alias("meta.source"), told.alias("meta.desc"), F.lit("-").alias("meta.url"), F.lit("T").alias("meta.do_notice"))
+    if kind != "misp":
+        raise ValueError(f"no layout {kind!r}")
+    name = core.lookup(MISP_TYPES, "type")
+    told = F.concat(F.lit(f"{OWNER} | Case:{case} | Rule:"), rule, F.lit(" | Conf:"), percent)
+    uuid = F.substring(object_id("x", "type", F.lower("value")), 4, 36)
+    return indicators.where(name.isNotNull()).select(
+        uuid.alias("uuid"), F.lit("").alias("event_id"), core.lookup(MISP_CATEGORIES, "type", "External analysis").alias("category"), name.alias("type"), value.alias("value"), told.alias("comment"),
+        F.lit("1").alias("to_ids"), F.lit("0").alias("distribution"), F.coalesce(time, F.lit(exported)).alias("timestamp"),
+    )
 
 
-def export(indicators: DataFrame, path: str) -> None:
-    """One directory for each layout, and JSON lines."""
-    layout(indicators, "csv").write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    layout(indicators, "tsv").write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{path}/tsv")
-    layout(indicators, "zeek").write.mode("overwrite").option("header", True).option("sep", "\t").csv(f"{path}/zeek")
-    layout(indicators, "misp").write.mode("overwrite").option("header", True).csv(f"{path}/misp")
-    indicators.write.mode("overwrite").json(f"{path}/jsonl")
+def export(indicators: DataFrame, path: str, case: str = "", exported: str = "") -> None:
+    """One directory for each layout, and JSON lines with the case."""
+    for kind, options in (("csv", {"quoteAll": True}), ("tsv", {"sep": "\t", "quote": ""}), ("zeek", {"sep": "\t", "quote": ""}), ("misp", {"quoteAll": True})):
+        layout(indicators, kind, case, exported).write.mode("overwrite").options(header=True, **options).csv(f"{path}/{kind}")
+    indicators.withColumns({"case_ref": F.lit(case), "exported_at": F.lit(exported)}).write.mode("overwrite").json(f"{path}/jsonl")
 
 
-def case_numbers(found: DataFrame, most: int = 20) -> DataFrame:
-    """session_id, findings, and its distinct addresses, hosts and users in order, at most most of each."""
-    some = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, most), ",").alias(c)
-    return found.groupBy("session_id").agg(F.count("*").alias("findings"), some("source_ip"), some("hostname"), some("username"), F.max("risk_score").alias("max_risk"))
+def case_numbers(found: DataFrame, most: int = 20, names: int = 10) -> DataFrame:
+    """session_id, findings, max_risk, and its distinct addresses, hosts and users in order, at most most of each, and tactics and categories, at most names of each.
+
+    Distinct values are ranked, and only those that stay are collected.
+    """
+    limits = {"source_ip": most, "hostname": most, "username": most, "tactic": names, "category": names}
+    one = lambda k: F.struct(F.lit(k).alias("kind"), F.col(k).alias("name"))
+    told = F.concat(F.array(*[one(k) for k in limits if k != "tactic"]), F.transform("tactic_names", lambda t: F.struct(F.lit("tactic").alias("kind"), t.alias("name"))))
+    each = found.select("session_id", F.explode(told).alias("x")).select("session_id", "x.*").where("name is not null").distinct()
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("session_id", "kind").orderBy("name"))).where(F.col("r") <= core.lookup(limits, "kind"))
+    lists = ranked.groupBy("session_id").agg(*[F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("name")))), ",").alias(k) for k in limits])
+    return found.groupBy("session_id").agg(F.count("*").alias("findings"), F.max("risk_score").alias("max_risk")).join(lists, "session_id", "left")
 
 
 def context(found: DataFrame, k: int = 10, width: int = 4000) -> DataFrame:

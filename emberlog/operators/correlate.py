@@ -171,14 +171,24 @@ def technique_coverage(found: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def source_chains(found: DataFrame, width: int = 8, top: int = 20) -> DataFrame:
-    """source_ip, finding_count, max_risk and its categories in order of risk, at most width; the top sources."""
-    per = found.where("source_ip is not null").groupBy("source_ip", "category").agg(F.count("*").alias("n"), F.max("risk_score").alias("risk"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("risk")).alias("r"), "category")))
-    names = F.array_join(F.slice(F.transform(ordered, lambda x: x["category"]), 1, width), ",")
-    out = per.groupBy("source_ip").agg(F.sum("n").alias("finding_count"), F.max("risk").alias("max_risk"), names.alias("categories"))
+    """source_ip, finding_count, max_risk and its categories, rules and techniques in order of risk, at most width of each; the top sources by risk and number."""
+    one = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    names = F.concat(F.array(one("c", F.col("category")), one("r", F.col("rule_id"))), F.transform("mitre_ids", lambda t: one("t", t)))
+    rows = found.where("source_ip is not null")
+    per = rows.select("source_ip", "risk_score", F.explode(names).alias("n")).groupBy("source_ip", "n.k", "n.v").agg(F.max("risk_score").alias("risk"))
+    ranked = per.withColumn("r", F.row_number().over(Window.partitionBy("source_ip", "k").orderBy(F.desc("risk"), "v"))).where(F.col("r") <= width)
+    of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("r", "v")))), lambda x: x["v"]), ",")
+    lists = ranked.groupBy("source_ip").agg(of("c").alias("categories"), of("r").alias("rules"), of("t").alias("techniques"))
+    out = rows.groupBy("source_ip").agg(F.count("*").alias("finding_count"), F.max("risk_score").alias("max_risk")).join(lists, "source_ip")
     return out.orderBy(F.desc("max_risk"), F.desc("finding_count"), "source_ip").limit(top)
 
 
+def entity_totals(risks: DataFrame, high: float = 70.0) -> DataFrame:
+    """One row about entity_risk: entities, those of high risk, the highest score, and how many there are of each band."""
+    band = lambda b: F.count_if(F.col("risk_band") == b).alias(b.lower())
+    return risks.agg(F.count("*").alias("entities"), F.count_if(F.col("risk_score") >= high).alias("high_risk"), F.max("risk_score").alias("max_score"), *[band(b).alias(f"band_{b.lower()}") for b in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")])
+
+
 def derived_chains(found: DataFrame, top: int = 20) -> DataFrame:
     """chain_name, source, categories, rules, techniques, finding_count, max_risk_score: what each source did, in order of time.
 

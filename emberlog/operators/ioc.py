@@ -137,12 +137,14 @@ def summary(indicators: DataFrame, top: int = 5) -> DataFrame:
 
 
 def with_reputation(rows: DataFrame, reputation: DataFrame, ip: str = "source_ip", least: float = 25.0) -> DataFrame:
-    """Left join to an offline table (ip, score 0-100): confidence grows by up to 0.15, known_bad is set from the least score on."""
+    """Left join to an offline table (ip, score 0-100): from the least score on confidence grows by up to 0.15, known_bad is set, and rule_tags, with what it held, has known_malicious_ip."""
     r = reputation.select(F.col("ip").alias("_ip"), F.col("score").alias("reputation"))
     out = rows.join(r, rows[ip] == F.col("_ip"), "left").drop("_ip")
     bad = F.coalesce(F.col("reputation") >= least, F.lit(False))
     more = F.when(bad, F.least(F.col("reputation") / 100 * 0.15, F.lit(0.15))).otherwise(0.0)
-    return out.withColumn("known_bad", bad).withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + more))
+    none = F.array().cast("array<string>")
+    tags = F.array_union(F.coalesce("rule_tags", none) if "rule_tags" in rows.columns else none, F.when(bad, F.array(F.lit("known_malicious_ip"))).otherwise(none))
+    return out.withColumn("known_bad", bad).withColumn("rule_tags", tags).withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + more))
 
 
 def with_geo(rows: DataFrame, networks: DataFrame, ip: str = "source_ip") -> DataFrame:

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from . import ioc
-from .cases import object_id
+from .cases import OWNER, object_id
 from .layers import title
 
-OWNER = "emberlog"
 # Categories whose rules name malware
 MALWARE = ("malware", "lolbin", "impact")
 HIGH = core.SEVERITIES.index("HIGH")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import correlate, detect, ioc
+from ..operators import cases, correlate, detect, ioc
 from ..rules.catalog import RULES, TACTICS
 from .adapter import EV_SQL
 
@@ -229,7 +229,7 @@ SQL["threshold_evidence"] = SQL["threshold_fires"].replace("select source_ip as
     "select a.key, a.line_number, a.first_us, 4 as event_count from f join able a on a.key = f.key and a.rn = f.rn where f.rn is not null",
     "select a.key, a.line_number, string_agg(p.raw_line, '|' order by p.rn) as lines from f join able a on a.key = f.key and a.rn = f.rn join seen p on p.key = a.key and p.rn between a.rn - 3 and a.rn group by a.key, a.line_number",
 )
-SQL["enrich_reputation"] = FINDINGS + ", rep as (select distinct source_ip as ip, (us % 1)::double + user_score as score from (select source_ip, us, (split_part(source_ip, '.', 4)::int % 101)::double as user_score from ev)) select rule_id, line_number, score as reputation, coalesce(score >= 25, false) as known_bad, round(least(1.0, confidence + case when score >= 25 then least(score / 100 * 0.15, 0.15) else 0 end), 6) as confidence from found left join rep on source_ip = ip"
+SQL["enrich_reputation"] = FINDINGS + ", rep as (select distinct source_ip as ip, (us % 1)::double + user_score as score from (select source_ip, us, (split_part(source_ip, '.', 4)::int % 101)::double as user_score from ev)) select rule_id, line_number, score as reputation, coalesce(score >= 25, false) as known_bad, case when score >= 25 then 'known_malicious_ip' else '' end as tags, round(least(1.0, confidence + case when score >= 25 then least(score / 100 * 0.15, 0.15) else 0 end), 6) as confidence from found left join rep on source_ip = ip"
 SQL["enrich_geo"] = EV + ", nets as (select 757137408 + n_nationkey * 1024 * 10 as lo, 757137408 + n_nationkey * 1024 * 10 + 10239 as hi, n_name as country from nation), addr as (select line_number, source_ip, case when starts_with(source_ip, '10.') then null else split_part(source_ip, '.', 1)::bigint * 16777216 + split_part(source_ip, '.', 2)::bigint * 65536 + split_part(source_ip, '.', 3)::bigint * 256 + split_part(source_ip, '.', 4)::bigint end as n from ev) select line_number, source_ip, country, coalesce('country:' || country, '') as tags from addr left join nets on n between lo and hi"
 SQL["rate_windows"] = EV + "select source_ip, (us // 3600000000) * 3600 as hour, count(*) as n from ev where auth_result = 'failure' group by all"
 _TERMS = r"select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.-]{2,}')) as term from documents"
@@ -383,3 +383,29 @@ SQL["corpus_tests"] = FINDINGS + (
     "x as (select test, coalesce(findings, 0) as findings, array_to_string(list_sort(list_filter(must, lambda r: not list_contains(coalesce(fired, []), r))), ',') as missing, array_to_string(list_sort(list_filter(must_not, lambda r: list_contains(coalesce(fired, []), r))), ',') as forbidden, least from t left join f using (test)) "
     "select test, findings, missing, forbidden, missing = '' and forbidden = '' and findings >= least as ok from x"
 )
+
+_NAMES = lambda c, n: f"coalesce(array_to_string(list_sort(list(distinct {c}) filter ({c} is not null))[1:{n}], ','), '')"
+SQL["case_numbers"] = FINDINGS + (
+    f"select * from (select session_id, count(*) as findings, max(risk_score) as max_risk, {', '.join(f'{_NAMES(c, 20)} as {c}' for c in ('source_ip', 'hostname', 'username'))}, {_NAMES('category', 10)} as category from found group by session_id) "
+    f"left join (select session_id, {_NAMES('t', 10)} as tactic from (select session_id, unnest(tactic_names) as t from found) group by session_id) using (session_id)"
+)
+_ORDERED = "(select source_ip, array_to_string(list(v order by risk desc, v)[1:8], ',') as {n} from (select source_ip, v, max(risk_score) as risk from (select source_ip, risk_score, {v} as v from found) group by all) group by source_ip)"
+SQL["source_chains"] = FINDINGS + (
+    f"select * from (select source_ip, count(*) as finding_count, max(risk_score) as max_risk from found group by source_ip) join {_ORDERED.format(n='categories', v='category')} using (source_ip) "
+    f"join {_ORDERED.format(n='rules', v='rule_id')} using (source_ip) join {_ORDERED.format(n='techniques', v='unnest(mitre_ids)')} using (source_ip) order by max_risk desc, finding_count desc, source_ip limit 20"
+)
+SQL["entity_totals"] = (
+    "select count(*) as entities, count(*) filter (risk_score >= 70) as high_risk, max(risk_score) as max_score, "
+    + ", ".join(f"count(*) filter (risk_band = '{b}') as band_{b.lower()}" for b in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))
+    + f" from ({SQL['entity_risk']})"
+)
+_AT = "strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ')"
+_HASH = "sha256(concat('x:', type, ':', lower(value)))"
+SQL["export_csv"] = _FOUND_IOCS + f"select type, value, printf('%.3f', confidence) as confidence, source_rule, source_ip, {_AT} as timestamp, array_to_string(tags, '|') as tags, 'IR-2024-001' as case_ref, '2024-02-01T00:00:00Z' as exported_at from i"
+SQL["export_zeek"] = _FOUND_IOCS + (
+    f"select value as indicator, {_WHEN(cases.ZEEK_TYPES)} as indicator_type, 'emberlog/IR-2024-001' as source, concat('emberlog case IR-2024-001 | rule:', source_rule, ' | conf:', printf('%.0f', confidence * 100 + 1e-9), '%') as description, '-' as url, 'T' as do_notice from i"
+)
+SQL["export_misp"] = _FOUND_IOCS + (
+    f"select concat(substr({_HASH}, 1, 8), '-', substr({_HASH}, 9, 4), '-', substr({_HASH}, 13, 4), '-', substr({_HASH}, 17, 4), '-', substr({_HASH}, 21, 12)) as uuid, '' as event_id, {_WHEN(cases.MISP_CATEGORIES)} as category, {_WHEN(cases.MISP_TYPES)} as type, value, "
+    f"concat('emberlog | Case:IR-2024-001 | Rule:', source_rule, ' | Conf:', printf('%.0f', confidence * 100 + 1e-9), '%') as comment, '1' as to_ids, '0' as distribution, {_AT} as timestamp from i"
+)

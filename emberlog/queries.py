@@ -30,6 +30,7 @@ SEQUENCE = _rule(type="sequence", key="username", seconds=5 * DAY, steps=({"matc
 #: two failures within two days and a scanner's name within four, in any order
 COMPOSITE = C("X-2", "username", 4 * DAY, [_rule(type="threshold", where={"auth_result": "failure"}, key="username", count=2, seconds=2 * DAY), _rule(type="regex", match_field="http_user_agent", pattern="^sqlmap")])
 SESSION = "2024-01-10"
+CASE = ("IR-2024-001", "2024-02-01T00:00:00Z")
 
 
 def _features(s, d):
@@ -175,7 +176,7 @@ def _top_findings(s, d):
 
 def _reputation(s, d):
     rep = events(s, d).select(F.col("source_ip").alias("ip"), (F.element_at(F.split("source_ip", r"\."), 4).cast("int") % 101).cast("double").alias("score")).distinct()
-    return ioc.with_reputation(found(s, d), rep).select("rule_id", "line_number", "reputation", "known_bad", F.round("confidence", 6).alias("confidence"))
+    return ioc.with_reputation(found(s, d), rep).select("rule_id", "line_number", "reputation", "known_bad", F.array_join("rule_tags", ",").alias("tags"), F.round("confidence", 6).alias("confidence"))
 
 
 def _geo(s, d):
@@ -254,8 +255,10 @@ QUERIES = {
     "stix_objects": lambda s, d: objects.objects(*_indicators(s, d)),
     "object_relations": lambda s, d: objects.relations(*_indicators(s, d)),
     "stix_relationships": lambda s, d: cases.stix_relationships(found(s, d)),
-    "export_zeek": lambda s, d: cases.layout(_merged(s, d), "zeek").withColumnRenamed("meta.source", "source"),
-    "export_misp": lambda s, d: cases.layout(_merged(s, d), "misp"),
+    "export_zeek": lambda s, d: cases.layout(_indicators(s, d)[1], "zeek", *CASE).toDF("indicator", "indicator_type", "source", "description", "url", "do_notice"),
+    "export_misp": lambda s, d: cases.layout(_indicators(s, d)[1], "misp", *CASE),
+    "export_csv": lambda s, d: cases.layout(_indicators(s, d)[1], "csv", *CASE),
+    "entity_totals": lambda s, d: correlate.entity_totals(correlate.entity_risk(found(s, d))),
     "blocklist": lambda s, d: ioc.blocklist(_merged(s, d), "ipv4"),
     "selection": lambda s, d: events(s, d).where(cases.selection({"http_uri_decoded|contains": ["login", "etc?passwd"], "Agent": "sql*"}, {"Agent": "http_user_agent"})).select("line_number"),
     "hash_vectors": lambda s, d: _docs(s, d).select("doc_id", F.transform(text.hash_vector(F.coalesce("text", F.lit(""))), lambda x: F.round(x, 6)).alias("vector")),
