@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import core
 from ..operators import cases, correlate, detect, ioc
 from ..rules.catalog import RULES, TACTICS
 from .adapter import EV_SQL
@@ -409,3 +410,80 @@ SQL["export_misp"] = _FOUND_IOCS + (
     f"select concat(substr({_HASH}, 1, 8), '-', substr({_HASH}, 9, 4), '-', substr({_HASH}, 13, 4), '-', substr({_HASH}, 17, 4), '-', substr({_HASH}, 21, 12)) as uuid, '' as event_id, {_WHEN(cases.MISP_CATEGORIES)} as category, {_WHEN(cases.MISP_TYPES)} as type, value, "
     f"concat('emberlog | Case:IR-2024-001 | Rule:', source_rule, ' | Conf:', printf('%.0f', confidence * 100 + 1e-9), '%') as comment, '1' as to_ids, '0' as distribution, {_AT} as timestamp from i"
 )
+SQL["hash_vectors"] = (
+    "with h as (select doc_id, sha256(coalesce(text, '')) as h from documents), d as (select doc_id, list_transform(range(0, 32), lambda i: ((instr('0123456789abcdef', substr(h, i * 2 + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, i * 2 + 2, 1)) - 1) - 127.5::double) as v from h), "
+    "n as (select doc_id, v, sqrt(8 * list_sum(list_transform(v, lambda x: x * x))) as n from d) select doc_id, list_transform(flatten([v, v, v, v, v, v, v, v]), lambda x: round(x / n, 6)) as vector from n"
+)
+SQL["digest"] = FINDINGS + (
+    "select substr(string_agg(line, chr(10) order by i), 1, 8000) as digest from (select row_number() over (order by sev_rank desc, risk_score desc, line_number, rule_id) as i, "
+    "concat('[', severity, '] ', rule_id, ' (', rule_name, ') | IP:', coalesce(source_ip, ''), ' | Host:', coalesce(hostname, ''), ' | Risk:', printf('%.1f', round(risk_score + 1e-9, 1)), ' | MITRE:', array_to_string(mitre_ids, ', '), ' | ', substr(raw_line, 1, 200)) as line from found) where i <= 200"
+)
+SQL["context_block"] = FINDINGS + (
+    "select substr(string_agg(concat('[', i, '] ', rule_id, ' ', severity, ' ', coalesce(source_ip, '-'), ' risk ', printf('%.2f', risk_score)), chr(10) order by i), 1, 4000) as context "
+    "from (select *, row_number() over (order by risk_score desc, us desc, line_number, rule_id) as i from found) where i <= 10"
+)
+_EVERY = lambda p, k=1: f"array_to_string(regexp_extract_all(raw_line, {q(p)}, {k}), ',')"
+SQL["rule_hints"] = FINDINGS + (
+    ", first as (select rule_id, category, arg_min(raw_line, line_number) as raw_line from found group by all) "
+    f"select rule_id, category, array_to_string(list_distinct(regexp_extract_all(raw_line, {q(core.IN_TEXT)})), ',') as addresses, {_EVERY('(?:GET|POST|PUT|DELETE|HEAD)' + chr(92) + 's+(' + chr(92) + 'S+)')} as paths, "
+    + _EVERY('"([^"]{3,80})"') + " as quoted, " + _EVERY(r"(?i)EventID[=:\s]+(\d+)") + " as event_ids, " + _EVERY(r"(?i)(?:user|username|account)[=:\s]+(\S+)") + " as users, " + _EVERY(r"(?i)(?:process|image|commandline)[=:\s]+([^\s,;]+)") + " as processes from first"
+)
+
+
+# --- all rules, those with state by recursion --------------------------------------------
+
+
+def _sees(where: dict) -> str:
+    out = []
+    for k, v in where.items():
+        if k.endswith("_contains"):
+            out.append(f"contains(lower(coalesce({k.removesuffix('_contains')}, '')), {q(str(v).lower())})")
+        else:
+            out.append(_filter({k: v}).removesuffix(" and "))
+    return " and ".join(out) or "true"
+
+
+def _step(step: dict) -> str:
+    own = f"contains(lower({step['match_field']}::varchar), {q(str(step['value_contains']).lower())})" if "value_contains" in step else f"{step['match_field']}::varchar = {q(str(step['value']))}"
+    more = f" and {step['match_field2']}::varchar = {q(str(step['value2']))}" if "match_field2" in step else ""
+    return f"coalesce({own}{more}, false)"
+
+
+def _stateful() -> str:
+    """rule_id, line_number and event_count of every fire: counts by candidates that are N apart, distinct values and two-step sequences event by event."""
+    of = lambda kind: [r for r in RULES if r.type != "regex" and kind(r)]
+    seen = lambda rs, more: " union all ".join(f"select {q(r.id)} as rule_id, {r.key}::varchar as key, us, line_number, {more(r)} from ev where {r.key} is not null and {r.key}::varchar <> ''" for r in rs)
+    counts, values, steps = of(lambda r: r.type == "threshold" and not r.distinct), of(lambda r: r.distinct), of(lambda r: r.type == "sequence")
+    assert all(len(r.steps) == 2 and all(s.get("min_count", 1) == 1 for s in r.steps) for r in steps)
+    place = "row_number() over (partition by rule_id, key order by us, line_number) as rn"
+    c = seen(counts, lambda r: f"{r.count} as n, {r.seconds}::bigint * 1000000 as w, {_sees(r.where)} as ok")
+    v = seen(values, lambda r: f"{r.count} as n, {r.seconds}::bigint * 1000000 as w, {r.distinct}::varchar as v, {_sees(r.where)} as ok")
+    s = seen(steps, lambda r: f"{r.seconds}::bigint * 1000000 as w, {_step(r.steps[0])} as s1, {_step(r.steps[1])} as s2")
+    return (
+        f"cseen as materialized (select *, {place} from ({c}) where ok), "
+        "able as materialized (select s.rule_id, s.key, s.rn, s.line_number, s.n from cseen s join cseen p on p.rule_id = s.rule_id and p.key = s.key and p.rn = s.rn - s.n + 1 where s.us - p.us <= s.w), "
+        "cf(rule_id, key, rn) as (select rule_id, key, min(rn) from able group by all union all select f.rule_id, f.key, min(a.rn) from cf f join able a on a.rule_id = f.rule_id and a.key = f.key and a.rn >= f.rn + a.n group by f.rule_id, f.key, f.rn), "
+        f"vseen as materialized (select *, {place} from ({v}) where ok and v is not null qualify count(*) over (partition by rule_id, key) >= n), "
+        "vf(rule_id, key, rn, start, line_number, fired) as (select rule_id, key, 0::bigint, 1::bigint, null::bigint, false from vseen where rn = 1 union all "
+        "select f.rule_id, f.key, s.rn, case when m.n >= s.n then s.rn + 1 else f.start end, s.line_number, m.n >= s.n from vf f join vseen s on s.rule_id = f.rule_id and s.key = f.key and s.rn = f.rn + 1, "
+        "lateral (select count(distinct p.v) as n from vseen p where p.rule_id = s.rule_id and p.key = s.key and p.rn >= f.start and p.rn <= s.rn and p.us >= s.us - s.w) m), "
+        f"sseen as materialized (select *, {place} from ({s}) qualify bool_or(s1) over (partition by rule_id, key) and bool_or(s2) over (partition by rule_id, key)), "
+        "sf(rule_id, key, rn, step, anchor, line_number, fired) as (select rule_id, key, 0::bigint, 0, us, null::bigint, false from sseen where rn = 1 union all "
+        "select t.rule_id, t.key, t.rn, case when t.step = 2 then 0 else t.step end, case when t.step = 2 then t.us else t.anchor end, t.line_number, t.step = 2 from ("
+        "select e.*, case when (e.base = 0 and e.s1) or (e.base = 1 and e.s2) then e.base + 1 else e.base end as step from ("
+        "select x.rule_id, x.key, x.rn, x.us, x.line_number, x.s1, x.s2, case when x.us - f.anchor > x.w then 0 else f.step end as base, case when x.us - f.anchor > x.w then x.us else f.anchor end as anchor "
+        "from sf f join sseen x on x.rule_id = f.rule_id and x.key = f.key and x.rn = f.rn + 1) e) t), "
+        "fires as (select f.rule_id, a.line_number, a.n as event_count from cf f join able a using (rule_id, key, rn) where f.rn is not null "
+        "union all select rule_id, line_number, (select any_value(n) from vseen s where s.rule_id = vf.rule_id) from vf where fired union all select rule_id, line_number, 2 from sf where fired)"
+    )
+
+
+_ALL_ROWS = "every" + RULE_ROWS.removeprefix("rules")[:-1] + ", " + ", ".join(
+    f"({q(r.id)}, {q(r.name)}, {q(r.severity)}, {q(r.category)}, {r.confidence}::double, {_list(r.tactics)}, {_list([TACTICS.get(t, t) for t in r.tactics])}, {_list(r.techniques)})" for r in RULES if r.type != "regex"
+) + ")"
+_CONFIDENCE = FOUND[FOUND.index("round(least(") : FOUND.index(" as confidence")]
+_AFTER = _CONFIDENCE.replace("else 0 end)), 4)", "else 0 end - case when event_count < 3 then 0.10::double else 0 end)), 4)")
+SQL["detect_all_rules"] = FINDINGS.rstrip() + ", " + _stateful() + (
+    f", {_ALL_ROWS}, later as (select rule_id, line_number, severity, {_AFTER} as confidence from fires join ev using (line_number) join every using (rule_id)) "
+    f"select rule_id, line_number, severity, confidence, risk_score from found union all select rule_id, line_number, severity, confidence, round(least({WEIGHT} * confidence, 10.0), 2) from later"
+)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import core
 from .operators import cases, correlate, detect, ioc, layers, objects, report, retrieval, search, shared, text
-from .plans import oracle
 from .plans.adapter import events
+from .rules.catalog import RULES
 from .rules.model import C, Rule
 from .sources import formats, probing
 from .streaming import jobs
@@ -288,7 +288,7 @@ QUERIES = {
     "graph_layers": lambda s, d: correlate.layered_edges(found(s, d)),
     "tactic_coverage": lambda s, d: correlate.tactic_coverage(found(s, d)),
     "technique_counts": lambda s, d: correlate.technique_counts(found(s, d)),
-    "technique_coverage": lambda s, d: correlate.technique_coverage(found(s, d), detect.rules_table(s, oracle.PATTERN_RULES)),
+    "technique_coverage": lambda s, d: correlate.technique_coverage(found(s, d), detect.rules_table(s, [r for r in RULES if r.type == "regex"])),
     "source_chains": lambda s, d: correlate.source_chains(found(s, d)),
     "hunt": lambda s, d: search.by_risk(search.hunt(found(s, d), category="web_attack", min_risk=4, min_severity="HIGH", technique="T1190", text="login")).select("rule_id", "line_number", "risk_score"),
     "findings_page": lambda s, d: search.page(found(s, d), 2, 50).select("rule_id", "line_number", "has_more"),
