@@ -56,10 +56,21 @@ def page(found: DataFrame, number: int, size: int) -> DataFrame:
     return rows.select("*", F.row_number().over(w).alias("_n"), (F.count("*").over(every) > size).alias("has_more")).where(F.col("_n") <= size).drop("_n")
 
 
-def timeline(found: DataFrame, severities=None, limit: int = 100, offset: int = 0) -> DataFrame:
+def timeline(found: DataFrame, severities=None, limit: int = 100, offset: int = 0, newest: bool = False, from_us: int | None = None, to_us: int | None = None) -> DataFrame:
+    """Findings with a time in its order, or the newest first; of some severities, of a range of times with both ends."""
     out = found.where("us is not null")
     out = out.where(F.col("severity").isin(*severities)) if severities else out
-    return out.orderBy("us", "line_number", "rule_id").offset(offset).limit(limit)
+    out = out.where(F.col("us") >= from_us) if from_us is not None else out
+    out = out.where(F.col("us") <= to_us) if to_us is not None else out
+    order = [F.desc("us"), F.desc("line_number"), "rule_id"] if newest else ["us", "line_number", "rule_id"]
+    return out.orderBy(*order).offset(offset).limit(limit)
+
+
+def detection_summary(found: DataFrame, rules, top: int = 5) -> DataFrame:
+    """dimension, value, n: all findings, by type of rule and category, and the rules with most; rules tell each rule's type."""
+    types = found.sparkSession.createDataFrame([(r.id, r.type) for r in rules], "rule_id string, rule_type string")
+    rows = found.join(F.broadcast(types), "rule_id", "left")  # one row a rule
+    return dimensions(rows, [("total", None), ("rule_type", None), ("category", None), ("rule_id", top)]).select("dimension", "value", "n")
 
 
 def dimensions(found: DataFrame, dims: list[tuple[str, int | None]]) -> DataFrame:

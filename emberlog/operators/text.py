@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,27 @@ def terms(text) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(core.c(text), F.lit(""))), F.lit(r"[a-z0-9_.-]{2,}"), 0)
 
 
+@lru_cache(1)
+def _accents() -> tuple[str, str]:
+    """Letters with marks, and those that are left without them: all of the Latin blocks that come apart in one ASCII letter and marks."""
+    both = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, d[0]) for c, d in both if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+def without_accents(text) -> Column:
+    """Letters of Latin scripts without their marks, composed or combining."""
+    return F.regexp_replace(F.translate(core.c(text), *_accents()), r"\p{M}+", "")
+
+
+def terms_and_pairs(text) -> Column:
+    """The terms of a text without accents, and each two that follow one another, parted by a space."""
+    return F.transform(F.array(terms(without_accents(text))), lambda t: F.concat(t, F.filter(F.zip_with(F.slice(t, 1, F.size(t)), F.slice(t, 2, F.size(t) + 1), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())))[0]
+
+
 def tf_idf(docs: DataFrame, key: str = "doc_id", top: int = 1024) -> DataFrame:
-    """key, term, weight: sublinear term frequency by smoothed inverse document frequency, of the top terms by count, to unit length."""
-    tf = docs.select(key, F.explode(terms("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, weight: sublinear term frequency by smoothed inverse document frequency, of the top terms of one and two words by count, to unit length."""
+    tf = docs.select(key, F.explode(terms_and_pairs("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(top)
     n = docs.agg(F.count("*").alias("n_docs"))
     w = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n))
@@ -61,4 +82,4 @@ def document_id(*parts) -> Column:
 
 
 def finding_text(found: DataFrame) -> Column:
-    return F.concat_ws(" ", F.concat(F.lit("Rule: "), "rule_name"), F.concat(F.lit("Severity: "), "severity"), F.concat(F.lit("Source: "), "source_ip"), F.concat(F.lit("Host: "), "hostname"), F.concat(F.lit("User: "), "username"), F.concat(F.lit("Techniques: "), F.array_join("mitre_ids", ", ")), F.concat(F.lit("Event: "), "raw_line"))
+    return F.concat_ws(" ", F.concat(F.lit("Rule: "), "rule_name"), F.concat(F.lit("Severity: "), "severity"), F.concat(F.lit("Source: "), "source_ip"), F.concat(F.lit("Host: "), "hostname"), F.concat(F.lit("User: "), "username"), *[F.concat(F.lit(f"{n}: "), F.col(c)) for n, c in (("Category", "category"), ("Process", "process_name")) if c in found.columns], F.concat(F.lit("Techniques: "), F.array_join("mitre_ids", ", ")), F.concat(F.lit("Event: "), "raw_line"))

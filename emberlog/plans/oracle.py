@@ -234,7 +234,8 @@ SQL["enrich_reputation"] = FINDINGS + ", rep as (select distinct source_ip as ip
 SQL["enrich_geo"] = EV + ", nets as (select 757137408 + n_nationkey * 1024 * 10 as lo, 757137408 + n_nationkey * 1024 * 10 + 10239 as hi, n_name as country from nation), addr as (select line_number, source_ip, case when starts_with(source_ip, '10.') then null else split_part(source_ip, '.', 1)::bigint * 16777216 + split_part(source_ip, '.', 2)::bigint * 65536 + split_part(source_ip, '.', 3)::bigint * 256 + split_part(source_ip, '.', 4)::bigint end as n from ev) select line_number, source_ip, country, coalesce('country:' || country, '') as tags from addr left join nets on n between lo and hi"
 SQL["rate_windows"] = EV + "select source_ip, (us // 3600000000) * 3600 as hour, count(*) as n from ev where auth_result = 'failure' group by all"
 _TERMS = r"select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.-]{2,}')) as term from documents"
-SQL["tf_idf"] = f"with tf as (select doc_id, term, count(*) as tf from ({_TERMS}) group by all), df as (select term, sum(tf) as total, count(*) as df from tf group by term order by total desc, term limit 1024), w as (select doc_id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1) as w from tf join df using (term)) select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w"
+_WORDS = r"select doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z0-9_.-]{2,}') as t from documents"
+SQL["tf_idf"] = f"with words as ({_WORDS}), tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from words union all select doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from words) group by all), df as (select term, sum(tf) as total, count(*) as df from tf group by term order by total desc, term limit 1024), w as (select doc_id, term, (1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1) as w from tf join df using (term)) select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from w"
 SQL["keyword_search"] = f"with t as (select doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_.-]{{2,}}')) as n from documents), s as (select count(*) as docs, avg(n) as a from t), h as (select doc_id, term, count(*) as tf from ({_TERMS}) where term in ('license', 'password', 'token') group by all), d as (select term, count(*) as df from h group by term) select doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))), 6) as score from h join d using (term) join t using (doc_id), s group by doc_id order by score desc, doc_id limit 10"
 SQL["cosine_top"] = "with q as (select embedding::double[] as e from embeddings where vec_id = 7) select vec_id, round(list_cosine_similarity(x.embedding::double[], q.e), 6) as score from embeddings x, q where label is not null order by score desc, vec_id limit 5"
 SQL["document_ids"] = "select doc_id, substr(sha256(concat_ws(':', source, lang, doc_id::varchar)), 1, 16) as id from documents"
@@ -487,3 +488,9 @@ SQL["detect_all_rules"] = FINDINGS.rstrip() + ", " + _stateful() + (
     f", {_ALL_ROWS}, later as (select rule_id, line_number, severity, {_AFTER} as confidence from fires join ev using (line_number) join every using (rule_id)) "
     f"select rule_id, line_number, severity, confidence, risk_score from found union all select rule_id, line_number, severity, confidence, round(least({WEIGHT} * confidence, 10.0), 2) from later"
 )
+SQL["timeline_newest"] = FINDINGS + "select rule_id, line_number, us from found order by us desc, line_number desc, rule_id limit 300"
+_TYPES = ", ".join(f"({q(r.id)}, {q(r.type)}, {q(r.category)})" for r in RULES)
+SQL["detection_summary"] = (
+    f"with f as (select * from ({SQL['detect_all_rules']}) join (values {_TYPES}) t(rule_id, rule_type, category) using (rule_id)) select 'total' as dimension, 'all' as value, count(*) as n from f union all select 'rule_type', rule_type, count(*) from f group by 2 "
+    "union all select 'category', category, count(*) from f group by 2 union all select * from (select 'rule_id', rule_id, count(*) as n from f group by 2 order by n desc, rule_id limit 5)"
+)

@@ -293,6 +293,8 @@ QUERIES = {
     "hunt": lambda s, d: search.by_risk(search.hunt(found(s, d), category="web_attack", min_risk=4, min_severity="HIGH", technique="T1190", text="login")).select("rule_id", "line_number", "risk_score"),
     "findings_page": lambda s, d: search.page(found(s, d), 2, 50).select("rule_id", "line_number", "has_more"),
     "timeline": lambda s, d: search.timeline(found(s, d), ("HIGH", "CRITICAL"), 200).select("rule_id", "line_number", "us"),
+    "timeline_newest": lambda s, d: search.timeline(found(s, d), limit=300, newest=True).select("rule_id", "line_number", "us"),
+    "detection_summary": lambda s, d: search.detection_summary(detect.detect(events(s, d)), RULES),
     "findings_summary": lambda s, d: search.summary(found(s, d)),
     "threat_levels": lambda s, d: search.threat_levels(found(s, d)),
     "triage": _triage,
