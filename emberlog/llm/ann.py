@@ -28,6 +28,7 @@ SURE = 1.2  # standard deviations of that share that a vector at the k-th distan
 WIDEN = 1.1
 BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
 LEAST_CHUNK = 256  # queries
+PROBES = 9  # rows of a block that tell how wide its windows get
 
 
 def reach(lines: int = LINES) -> float:
@@ -54,19 +55,24 @@ class Index:
         self.keys = (np.take_along_axis(h.T, at, 1) + self.gap * np.arange(lines)[:, None]).ravel()
         self.start = 0.2 * max(float(np.median(h.std(0))), 1e-6 * self.gap)
         self.reach = reach(lines)
-        self.ended: list[float] = []
+        self.begin: float | None = None
         self.verified = 0
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k best found of the rows of other ids, and all that tie with the last."""
-        found, score = self._verified(query_id, query, k)
+        """The k best found of the rows of other ids, and all that tie with the last. The answer depends on the block and the query alone."""
+        if self.begin is None:
+            # the block's first rows as queries tell how wide windows get; widening begins a little within that
+            own = [self._verified(int(i), v, k, self.start)[2] for i, v in zip(self.ids[:PROBES], self.vectors[:PROBES], strict=True)]
+            self.begin, self.verified = float(np.median(own)) / WIDEN**2, 0
+        found, score, _ = self._verified(query_id, query, k, self.begin)
         if len(found) > k:
             near = score >= np.partition(score, -k)[-k]
             found, score = found[near], score[near]
         order = np.lexsort((self.ids[found], -score))
         return [(int(self.ids[found[i]]), float(score[i])) for i in order[:k]]
 
-    def _verified(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _verified(self, query_id: int, query: np.ndarray, k: int, half: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rows verified, their scores, and half the width at which the windows end, where they begin with half."""
         length = float(np.linalg.norm(query))
         center = (query * (self.longest / length)) @ self.axes[:-1] + self.gap * np.arange(self.lines)
         n, count = len(self.ids), np.zeros(len(self.ids), np.int64)
@@ -74,8 +80,6 @@ class Index:
         need = int(np.ceil(COLLIDE * self.lines))
         done = self.ids == query_id
         found, score = np.zeros(0, np.int64), np.zeros(0)
-        # widening begins a little within where it ended for the queries before
-        half = self.start if not self.ended else float(np.median(self.ended[-31:])) / WIDEN**2
         half = min(half, self.gap / 4)
         lo = hi = None
         while True:
@@ -96,9 +100,8 @@ class Index:
                 best = float(np.partition(score, -k)[-k])
                 wanted = min(wanted, self.reach * max(0.0, 2 * self.longest * (self.longest - best / length)) ** 0.5)
             if half >= wanted:
-                self.ended.append(half)
                 self.verified += len(found)
-                return found, score
+                return found, score, half
             half = min(half * WIDEN, wanted)
 
 
@@ -124,10 +127,10 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block_bytes: int =
     n, longest, asked, d = found.agg(F.count("*"), F.max(norm), F.count_distinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id"))), F.max(F.size("x"))).first()
     row_bytes = 8 * (d or 1)
     blocks = max(1, -(-n * row_bytes // block_bytes))
-    # small tables still give every core a cell
+    # small tables still give every core a cell; how queries are dealt changes no answer
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     chunks = max(1, -(-asked * row_bytes // chunk_bytes), min(-(-asked // LEAST_CHUNK), -(-2 * cores // blocks)))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block")
     rows = found.select(block, "vec_id", "x").select("block", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "x")
     asks = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")

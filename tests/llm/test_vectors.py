@@ -48,3 +48,18 @@ def test_recall(spark, rows, dims):
         assert len({i for i, _ in own}) == 20 and all(abs(s - score[i]) < 1e-9 for i, s in own)
         hits += sum(s >= least - 1e-9 for _, s in own)
     assert len(got) == rows // 100 and hits >= 0.9 * 20 * len(got)
+
+
+def test_answers_depend_on_nothing_but_the_rows(spark):
+    """Not on the order of queries or rows, on partitions, or on how many queries make a chunk."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(3000, 16))
+    rows = frame(spark, range(3000), x)
+    some = lambda df, chunk: found(ann.nearest(df, every=50, block_bytes=8 * 16 * 700, chunk_bytes=chunk))
+    first = some(rows.repartition(2), 1 << 20)
+    assert some(rows.orderBy("embedding").repartition(7), 8 * 16 * 5) == first
+    index = ann.Index(np.arange(3000), x, float(np.linalg.norm(x, axis=1).max()))
+    again = ann.Index(np.arange(3000), x, float(np.linalg.norm(x, axis=1).max()))
+    queries = list(range(0, 3000, 100))
+    ahead = {q: index.nearest(q, x[q], 20) for q in queries}
+    assert {q: again.nearest(q, x[q], 20) for q in reversed(queries)} == ahead
