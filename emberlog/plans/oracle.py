@@ -494,3 +494,7 @@ SQL["detection_summary"] = (
     f"with f as (select * from ({SQL['detect_all_rules']}) join (values {_TYPES}) t(rule_id, rule_type, category) using (rule_id)) select 'total' as dimension, 'all' as value, count(*) as n from f union all select 'rule_type', rule_type, count(*) from f group by 2 "
     "union all select 'category', category, count(*) from f group by 2 union all select * from (select 'rule_id', rule_id, count(*) as n from f group by 2 order by n desc, rule_id limit 5)"
 )
+SQL["mixed_files"] = EV + (
+    "select line_number, (['zeek_conn', 'zeek_conn', 'aws_vpc_flow', 'iis_w3c', 'apache_combined', 'json_lines'])[1 + line_number % 6] as log_format, source_ip, case when line_number % 6 < 4 then dest_ip end as dest_ip, "
+    "case when line_number % 6 < 4 then dest_port end as dest_port, case when line_number % 6 >= 3 then http_status end as http_status, us // 1000000 as second from ev"
+)

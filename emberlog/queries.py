@@ -160,6 +160,27 @@ def _zeek_headers(s, d):
     return probing.parse_with_header(lines, "zeek_conn").select("line_number", "source_ip", "dest_ip", "dest_port", "protocol", F.unix_timestamp("timestamp").alias("second"))
 
 
+def _files(s, d):
+    """Events as lines of six files: two connection logs with headers in different orders, a flow log and a web server's log with headers, a web log and a JSON log without."""
+    e = events(s, d)
+    kind = F.col("line_number") % 6
+    second = F.floor(F.col("us") / 1000000).cast("string")
+    port, day, time = F.col("dest_port").cast("string"), F.date_format("timestamp", "yyyy-MM-dd"), F.date_format("timestamp", "HH:mm:ss")
+    conn = {"ts": second, "id.orig_h": F.col("source_ip"), "id.resp_h": F.col("dest_ip"), "id.resp_p": port, "proto": F.lit("tcp")}
+    flow = {"version": F.lit("2"), "start": second, "dstport": port, "srcaddr": F.col("source_ip"), "action": F.lit("ACCEPT"), "dstaddr": F.col("dest_ip"), "protocol": F.lit("6")}
+    web = {"date": day, "time": time, "c-ip": F.col("source_ip"), "cs-method": F.col("http_method"), "cs-uri-stem": F.lit("/a"), "s-ip": F.col("dest_ip"), "s-port": port, "sc-status": F.col("http_status").cast("string")}
+    heads = {0: ("zeek_conn", "#fields\t", "\t", list(conn), conn), 1: ("zeek_conn", "#fields\t", "\t", list(conn)[::-1], conn), 2: ("aws_vpc_flow", "", " ", list(flow), flow), 3: ("iis_w3c", "#Fields: ", " ", list(web)[::-1], web)}
+    line = F.when(kind == 4, F.concat("source_ip", F.lit(" - - ["), F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /a HTTP/1.1" '), F.col("http_status").cast("string"), F.lit(' 5 "-" "x"')))
+    line = line.when(kind == 5, F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("source_ip").alias("ip"), F.col("http_status").alias("status"))))
+    names = F.when(kind == 4, "apache_combined").when(kind == 5, "json_lines")
+    for k, (name, _, separator, order, values) in heads.items():
+        line, names = line.when(kind == k, F.concat_ws(separator, *[values[c] for c in order])), names.when(kind == k, name)
+    lines = e.select(F.concat(F.lit("file"), kind).alias("source_file"), "line_number", names.alias("log_format"), line.alias("raw_line"))
+    first = s.createDataFrame([(f"file{k}", -1, name, mark + separator.join(order)) for k, (name, mark, separator, order, _) in heads.items()], "source_file string, line_number long, log_format string, raw_line string")
+    parsed = probing.normalise_files(lines.withColumn("line_number", F.col("line_number").cast("long")).union(first.select(*lines.columns)), ["zeek_conn", "aws_vpc_flow", "iis_w3c", "apache_combined", "json_lines"])
+    return parsed.select("line_number", "log_format", "source_ip", "dest_ip", "dest_port", "http_status", F.unix_timestamp("timestamp").alias("second"))
+
+
 def _condition(s, d):
     selections = {"web_login": {"http_uri_decoded|contains": "login"}, "web_etc": {"http_uri_decoded|contains": "etc?passwd"}, "tool": {"http_user_agent": "sql*"}, "quiet": {"http_status": 200}}
     return events(s, d).where(cases.condition("1 of web* and (tool or not quiet)", selections) & cases.from_source("webserver")).select("line_number")
@@ -322,6 +343,7 @@ QUERIES = {
     "derived_chains": lambda s, d: (lambda c: c.select("source", "chain_name", "finding_count", "max_risk_score", *(F.array_join(x, ",").alias(x) for x in ("categories", "rules", "techniques"))))(correlate.derived_chains(found(s, d))),
     "raw_formats": _raw_formats,
     "zeek_headers": _zeek_headers,
+    "mixed_files": _files,
     "condition": _condition,
     "threshold_evidence": _evidence,
     "ioc_of_findings": lambda s, d: ioc.merged(ioc.of_findings(found(s, d))).withColumn("tags", F.array_join("tags", ",")),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
+from ..operators import shared
 from . import formats
 
 # Formats by the first bytes of a file, in hexadecimal
@@ -117,6 +118,53 @@ def parse_with_header(lines: DataFrame, log_format: str, raw: str = "raw_line")
     return rows.select(*[c for c in lines.columns if c not in made], *made.values())
 
 
+def default_names(log_format: str) -> list[str]:
+    """The columns of a format in the order that they have in files without a header."""
+    seen: list[str] = []
+
+    class Asked:
+        def __getitem__(self, name):
+            seen.append(name)
+            return F.lit(None).cast("string")
+
+    formats.FORMATS[log_format](formats.Named(Asked()))
+    return list(dict.fromkeys(seen))
+
+
+def normalise_files(lines: DataFrame, kinds: list[str], raw: str = "raw_line") -> DataFrame:
+    """Lines of many files, with a log_format each, as full event rows in one pass: by the names of its file's header where a file has one and its format knows headers, else by position.
+
+    Header and comment lines of those formats are no rows. Headers are one row a file; they are counted, and broadcast where few.
+    """
+    own = [f for f in kinds if f in HEADERS]
+    text, marked, comment = F.lit(None).cast("array<string>"), F.lit(False), F.lit(False)
+    for f in own:
+        mark, separator, names = HEADERS[f]
+        here = (F.col("log_format") == f) & F.col(raw).startswith(mark)
+        told = F.split(F.trim(F.col(raw) if mark.startswith("version") else F.substring(raw, len(mark) + 1, 1 << 20)), separator)
+        told = F.transform(told, lambda n: F.coalesce(core.lookup(names, n), n)) if names else told  # noqa: B023
+        text, marked = F.when(here, told).otherwise(text), marked | here
+        comment = comment | ((F.col("log_format") == f) & F.col(raw).startswith("#"))
+    heads = shared.written(lines.where(marked).groupBy("source_file").agg(F.max_by(text, "line_number").alias("_names")), "headers")
+    rows = lines.where(~marked & ~comment).join(shared.small(heads), "source_file", "left")
+    split, names = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    for f in own:
+        split = F.when(F.col("log_format") == f, F.split(raw, HEADERS[f][1])).otherwise(split)
+        names = F.when(F.col("log_format") == f, F.array(*map(F.lit, default_names(f)))).otherwise(names)
+    pairs = F.filter(F.arrays_zip(F.coalesce("_names", names).alias("k"), split.alias("v")), lambda p: p["k"].isNotNull() & p["v"].isNotNull())
+    rows = rows.withColumn("_fields", F.map_from_entries(pairs))
+    made = {f: formats.FORMATS[f](formats.Named(F.col("_fields")) if f in own else F.col(raw)) for f in kinds}
+    columns = []
+    for c in formats.EVENT_COLUMNS:
+        kind = formats.EVENT_TYPES.get(c, "string")
+        value = F.lit(None).cast(kind)
+        for f in kinds:
+            if made[f].get(c) is not None:
+                value = F.when(F.col("log_format") == f, made[f][c].cast(kind)).otherwise(value)
+        columns.append(value.alias(c))
+    return rows.select(*[c for c in lines.columns if c not in formats.EVENT_COLUMNS], *columns)
+
+
 def rejects(lines: DataFrame, parsed: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
     """source_file, line_number, reason of lines that give no event: too long, or without a time once parsed."""
     long = lines.where(F.octet_length("raw_line") > max_bytes).select("source_file", "line_number", F.lit("too_long").alias("reason"))

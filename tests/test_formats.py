@@ -164,3 +164,20 @@ def test_address_classes(spark):
     assert {r["ip"]: r["c"] for r in rows.collect()} == want
     core.register_sql_functions(spark)
     assert [r[0] for r in spark.sql("select ip_class('10.1.2.3') union all select ip_class('x')").collect()] == ["private", "invalid"]
+
+
+def test_mixed_files_by_their_headers(spark):
+    """Files of one format with a header, with another, and without; and one of a format without headers."""
+    line = "1700000000.5\tC1\t1.2.3.4\t99\t5.6.7.8\t443\ttcp\tssl\t1.0\t2000000\t5\tSF"
+    rows = [("plain", 1, "zeek_conn", line), ("head", 1, "zeek_conn", "#fields\tid.resp_p\tid.orig_h\tts"), ("head", 2, "zeek_conn", "#types\tport\taddr\ttime"), ("head", 3, "zeek_conn", "22\t9.9.9.9\t1700000001"), ("head", 4, "zeek_conn", "-\t9.9.9.8"),
+            ("flow", 1, "aws_vpc_flow", "version srcaddr action dstport"), ("flow", 2, "aws_vpc_flow", "2 4.4.4.4 REJECT 23"), ("web", 1, "apache_combined", '7.7.7.7 - - [04/Jan/2026:10:00:01 +0000] "GET /#fields HTTP/1.1" 200 5')]
+    lines = spark.createDataFrame(rows, "source_file string, line_number long, log_format string, raw_line string")
+    got = {(r["source_file"], r["line_number"]): r for r in probing.normalise_files(lines, ["zeek_conn", "aws_vpc_flow", "apache_combined"]).collect()}
+    assert set(got) == {("plain", 1), ("head", 3), ("head", 4), ("flow", 2), ("web", 1)}
+    assert (got["plain", 1]["source_ip"], got["plain", 1]["dest_port"], got["plain", 1]["severity"]) == ("1.2.3.4", 443, "WARNING")
+    assert (got["head", 3]["source_ip"], got["head", 3]["dest_port"], got["head", 3]["dest_ip"]) == ("9.9.9.9", 22, None)
+    assert (got["head", 4]["source_ip"], got["head", 4]["dest_port"], got["head", 4]["timestamp"]) == ("9.9.9.8", None, None)
+    assert (got["flow", 2]["source_ip"], got["flow", 2]["dest_port"], got["flow", 2]["action"]) == ("4.4.4.4", 23, "reject")
+    assert got["web", 1]["http_uri"] == "/#fields"
+    by_place = formats.normalise(lines.where("source_file = 'plain'"), "zeek_conn").first()
+    assert {c: got["plain", 1][c] for c in formats.EVENT_COLUMNS} == {c: by_place[c] for c in formats.EVENT_COLUMNS}
