@@ -38,8 +38,8 @@ LEFT, BODY, RIGHT = 32, 48, 16  # characters that the network sees
 WIDTH = LEFT + BODY + RIGHT
 STEP = BODY // 2  # between windows of a longer candidate
 DIM, FILTERS, SPANS = 8, 12, (3, 5)
-RECALL = 0.95
-FINDINGS, EPOCHS, BATCH, RATE = 6000, 8, 64, 5e-3
+RECALL = 0.97
+FINDINGS, EPOCHS, BATCH, RATE = 9000, 10, 64, 5e-3
 
 
 def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -146,6 +146,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5):
         lambda: ("glpat-", chars(low + up + dig, 20)),
         lambda: (pick(["", "key ", "token "]), chars(low + up, 20, 48)),
         lambda: ("", url64(51)),
+        lambda: ("", chars(low + up, 32, 64)),
+        lambda: ("", chars(low + up + dig, 32, 64)),
+        lambda: (pick(["key ", "api key ", "access token ", "client secret ", "x-api-key "]), "-".join(chars("abcdef" + dig, k) for k in (8, 4, 4, 4, 12))),
     ]
     path = lambda: pick(["//", "/", ""]) + pick([word() + ".com/", ""]) + "".join(word() + "/" for _ in range(int(r.integers(1, 12))))
     others = [
@@ -169,6 +172,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5):
         lambda: ("", chars(low, 16, 30)),
         lambda: ("", "".join(word().capitalize() for _ in range(int(r.integers(3, 6))))),
         lambda: (pick(["//", ""]) + path(), word() + "-" + word() + "-" + word() + "-" + word()),
+        # shouted words, alone, run together, repeated or with a number
+        lambda: ("", "".join(word() for _ in range(int(r.integers(2, 7)))).upper()),
+        lambda: ("", (word().upper() * 16)[: int(r.integers(16, 40))]),
+        lambda: ("", pick("_-").join(word().upper() for _ in range(int(r.integers(3, 7)))) + pick(["", chars(dig, 1, 4)])),
+        # digests of files
+        lambda: (pick(["", "integrity ", '"']), pick(["sha256-", "sha384-", "sha512-"]) + b64(int(pick((32, 48, 64))))),
     ]
     out = []
     for i in range(n):

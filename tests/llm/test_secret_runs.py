@@ -53,3 +53,37 @@ def test_windows_cover_every_character():
             assert s <= x < y <= e and y - x <= secrets_scan.BODY
             seen[x - s : y - s] = True
         assert seen.all()
+
+
+def flagged(texts):
+    spans = dict(secrets_scan.find(secrets_scan.trained(), *common.text_buffer(pa.array(texts))))
+    return sum(any(k in (3, "model") for k, *_ in spans.get(i, [])) for i in range(len(texts)))
+
+
+PLAIN = "the quick brown fox jumps over lazy dog and more words of this english text about weather bridge river council".split()
+
+
+@pytest.mark.parametrize("name", ["run together", "repeated", "foreign"])
+def test_shouted_words_are_no_secrets(name):
+    r = random.Random(7)
+    made = {"run together": lambda: "".join(r.choice(PLAIN) for _ in range(5)), "repeated": lambda: (r.choice(PLAIN) * 9)[:24], "foreign": lambda: r.choice(["erschschberbertz", "donaudampfschifffahrt", "anticonstitutionnellement"])}
+    assert flagged([f"it is {made[name]().upper()} here" for _ in range(100)]) <= 2
+
+
+def test_numbers_and_digests():
+    """A UUID is a secret where the text calls it a key, and a file's digest is none."""
+    r = random.Random(8)
+    uuid = lambda: "-".join("".join(r.choice("abcdef0123456789") for _ in range(k)) for k in (8, 4, 4, 4, 12))
+    digest = lambda: "".join(r.choice(string.ascii_letters + string.digits + "+/") for _ in range(64))
+    assert flagged([f"the id {uuid()} of it" for _ in range(100)]) <= 5
+    assert flagged([f"my api key {uuid()} here" for _ in range(100)]) >= 80
+    assert flagged([f'integrity="sha384-{digest()}" x' for _ in range(100)]) <= 20
+
+
+KEYS = {"ghp": ("use {} ok", "ghp_", 36), "sk": ("use {} ok", "sk_live_", 30), "mixed": ("it is {} here", "", 40), "token": ("Bearer {}", "eyJ", 90)}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_recall_by_kind(name):
+    where, head, size = KEYS[name]
+    assert flagged([where.format(head + k) for k in keys(100, size, string.ascii_letters + string.digits)]) >= 85
