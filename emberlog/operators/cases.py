@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from . import ioc, matching
+from . import ioc, matching, shared
 
 #: who findings and exports are told by
 OWNER = "emberlog"
@@ -52,8 +52,8 @@ ALIASES = {
 
 def playbook_steps(found: DataFrame, steps: DataFrame) -> DataFrame:
     """The steps (category, phase, step) of each finding's category, by its other name where it has one; of the default where there are none."""
-    known = F.broadcast(steps.select(F.col("category").alias("_c"), "phase", "step"))
-    have = F.broadcast(steps.select(F.col("category").alias("_k")).distinct())
+    known = shared.small(steps.select(F.col("category").alias("_c"), "phase", "step"))
+    have = shared.small(steps.select(F.col("category").alias("_k")).distinct())
     name = core.lookup(ALIASES, "category")
     rows = found.select("id", "category", F.coalesce(name, F.col("category")).alias("_n")).join(have, F.col("_n") == F.col("_k"), "left")
     return rows.withColumn("_use", F.coalesce("_k", F.lit("default"))).join(known, F.col("_use") == F.col("_c")).select("id", "category", "phase", "step")

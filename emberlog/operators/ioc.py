@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
+from . import shared
 
 # Kind, pattern, and what it multiplies the finding's confidence by. Patterns are read by RE2 and by Java alike;
 # digits are ASCII's, as (?i) makes letters of either case equal.
@@ -150,13 +151,14 @@ def with_reputation(rows: DataFrame, reputation: DataFrame, ip: str = "source_ip
 def with_geo(rows: DataFrame, networks: DataFrame, ip: str = "source_ip") -> DataFrame:
     """Left range join to networks (lo, hi, and columns such as country, city, asn, tor), by an equal join on the /16 that address and network share; private addresses stay null.
 
-    geo_tags: country:, and tor_exit for exit nodes. Networks must not overlap; one wider than a /16 is taken once for each /16 in it.
+    geo_tags: country:, and tor_exit for exit nodes. Networks must not overlap; one wider than a /16 is taken once for each /16 in it. They are counted, and
+    broadcast where few.
     """
     told = [c for c in networks.columns if c not in ("lo", "hi")]
     n = networks.select("lo", "hi", *told, F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("_b"))
     number = F.when(~core.is_internal(ip), core.ip_number(ip))
     out = rows.select("*", number.alias("_n"), F.shiftright(number, 16).alias("_k"))
-    out = out.join(n, (F.col("_k") == F.col("_b")) & F.col("_n").between(F.col("lo"), F.col("hi")), "left").drop("_n", "_k", "_b", "lo", "hi")
+    out = out.join(shared.small(n), (F.col("_k") == F.col("_b")) & F.col("_n").between(F.col("lo"), F.col("hi")), "left").drop("_n", "_k", "_b", "lo", "hi")
     tor = core.is_tor_exit(ip) | (F.coalesce(F.col("tor"), F.lit(False)) if "tor" in told else F.lit(False))
     return out.withColumn("geo_tags", F.array_compact(F.array(F.when(F.coalesce("country", F.lit("")) != "", F.concat(F.lit("country:"), "country")), F.when(tor, "tor_exit"))))
 

@@ -144,8 +144,8 @@ def _raw_formats(s, d):
         .otherwise(F.concat(second, F.lit(" gw kernel: IN=eth0 OUT= SRC="), "source_ip", F.lit(" DST="), "dest_ip", F.lit(" PROTO=TCP SPT=5 DPT=22")))
     )
     lines = e.select(F.concat(F.lit("file"), kind).alias("source_file"), "line_number", line.alias("raw_line"))
-    kinds = probing.file_format(lines)
-    parsed = formats.normalise_mixed(lines.join(F.broadcast(kinds), "source_file"), ["apache_combined", "auth_log", "json_generic", "iptables"])
+    kinds = shared.written(probing.file_format(lines), "formats")
+    parsed = formats.normalise_mixed(lines.join(shared.small(kinds), "source_file"), ["apache_combined", "auth_log", "json_generic", "iptables"])
     return parsed.groupBy("source_file", "log_format").agg(F.count("*").alias("lines"), F.countDistinct("source_ip").alias("ips"))
 
 
