@@ -187,6 +187,11 @@ def threat_level(critical, high, medium, low) -> Column:
     return F.when(c(critical) > 0, "CRITICAL").when(c(high) > 0, "HIGH").when(c(medium) > 0, "ELEVATED").when(c(low) > 0, "LOW").otherwise("QUIET")
 
 
+def threat_label(critical, high, medium, low) -> Column:
+    """The labels of a case's view, where threat_level has those of its summary."""
+    return F.when(c(critical) > 0, "CRITICAL").when(c(high) > 0, "HIGH").when(c(medium) > 0, "MEDIUM").when(c(low) > 0, "LOW").otherwise("READY")
+
+
 def register_sql_functions(spark) -> None:
     """ip_number, ip_class, same_subnet, is_tor_exit and ipv4s_in for plain SQL, as SQL functions without Python."""
     n = "cast(split(ip, '[.]')[0] as bigint)*16777216+cast(split(ip, '[.]')[1] as bigint)*65536+cast(split(ip, '[.]')[2] as bigint)*256+cast(split(ip, '[.]')[3] as bigint)"

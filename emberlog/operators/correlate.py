@@ -193,7 +193,8 @@ def derived_chains(found: DataFrame, top: int = 20) -> DataFrame:
     """chain_name, source, categories, rules, techniques, finding_count, max_risk_score: what each source did, in order of time.
 
     The first 8 categories, 12 rules and 12 techniques (of each finding at most 4) by when they were first seen; the top
-    sources by risk, number and name. What is kept for a source is one row for each distinct name.
+    sources by risk, number and name. What is kept for a source is one row for each distinct name. Where no source makes a chain, the ten findings of the
+    highest risk make one, named after the case.
     """
     source = F.coalesce(F.nullif("source_ip", F.lit("")), F.nullif("hostname", F.lit("")), F.lit("unknown-source"))
     rows = found.select(source.alias("source"), F.coalesce("category", F.lit("uncategorized")).alias("category"), F.coalesce("rule_id", F.lit("rule")).alias("rule"), "mitre_ids", "risk_score", F.struct("us", "line_number", "rule_id").alias("at"))
@@ -204,9 +205,21 @@ def derived_chains(found: DataFrame, top: int = 20) -> DataFrame:
     out = rows.groupBy("source").agg(F.count("*").alias("finding_count"), F.round(F.max("risk_score"), 2).alias("max_risk_score")).join(lists, "source")
     words = F.array_join(F.transform(F.slice("categories", 1, 5), lambda c: F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))), " -> ")
     out = out.where((F.size("categories") > 1) | (F.size("techniques") > 0) | (F.col("max_risk_score") > 0)).withColumn("chain_name", F.concat("source", F.lit(": "), words))
+    none = out.limit(1).select(F.lit(1).alias("_one"))
+    out = out.unionByName(_highest_risk(found).withColumn("_one", F.lit(1)).join(F.broadcast(none), "_one", "left_anti").drop("_one").select(*out.columns))
     return out.orderBy(F.desc("max_risk_score"), F.desc("finding_count"), "chain_name").limit(top)
 
 
+def _highest_risk(found: DataFrame, most: int = 10) -> DataFrame:
+    """One chain of the findings of the highest risk; none of no findings."""
+    order = [F.desc_nulls_last("risk_score"), F.asc("us"), F.asc("line_number"), F.asc("rule_id")]
+    rows = found.orderBy(*order).limit(most).withColumn("i", F.row_number().over(Window.orderBy(*order)))
+    names = rows.select("i", F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"), F.array(F.coalesce("category", F.lit("uncategorized"))).alias("c"), F.array(F.coalesce("rule_id", F.lit("rule"))).alias("r"), F.slice(F.coalesce("mitre_ids", F.array().cast("array<string>")), 1, 4).alias("t"))
+    of = lambda k, n: F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", k))), lambda x: x[k]))), 1, n)
+    out = names.agg(F.count("*").alias("finding_count"), F.round(F.max("risk_score"), 2).alias("max_risk_score"), of("c", 8).alias("categories"), of("r", 12).alias("rules"), of("t", 12).alias("techniques"))
+    return out.where("finding_count > 0").withColumns({"source": F.lit("case"), "chain_name": F.lit("Highest-risk detection path")})
+
+
 def impossible_travel(events: DataFrame, seconds: int = 3600) -> DataFrame:
     """The strict form of INSD-008: logins of a user that follow one from another address within the window, with that one's line, address and time.
 

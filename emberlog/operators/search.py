@@ -93,10 +93,11 @@ def summary(found: DataFrame, top: int = 10) -> DataFrame:
 
 
 def threat_levels(found: DataFrame) -> DataFrame:
-    """session_id, counts by severity and the level that they make."""
+    """session_id, counts by severity, and the level and the label that they make."""
     n = lambda s: F.count(F.when(F.col("severity") == s, 1)).alias(s.lower())
     out = found.groupBy("session_id").agg(*(n(s) for s in core.SEVERITIES[1:]), F.max("risk_score").alias("max_risk"))
-    return out.withColumn("level", core.threat_level("critical", "high", "medium", "low"))
+    counts = ("critical", "high", "medium", "low")
+    return out.withColumn("level", core.threat_level(*counts)).withColumn("label", core.threat_label(*counts))
 
 
 def triage(found: DataFrame, actions: DataFrame) -> DataFrame:

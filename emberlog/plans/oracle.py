@@ -164,7 +164,7 @@ SQL["findings_page"] = FINDINGS + "select rule_id, line_number, true as has_more
 SQL["timeline"] = FINDINGS + "select rule_id, line_number, us from found where severity in ('HIGH', 'CRITICAL') order by us, line_number, rule_id limit 200"
 _DIM = "select '{c}' as dimension, {c} as value, count(*) as n, max(risk_score) as max_risk, round(sum(cast(round(risk_score * 100) as bigint)) / (100.0::double * count(*)), 6) as avg_risk from found group by {c}"
 SQL["findings_summary"] = FINDINGS + " union all ".join(f"select * from ({_DIM.format(c=c)}{l})" for c, l in (("severity", ""), ("category", ""), ("source_ip", " order by n desc, value limit 10"), ("hostname", " order by n desc, value limit 10"), ("rule_id", " order by n desc, value limit 10")))
-SQL["threat_levels"] = FINDINGS + "select *, case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 0 then 'ELEVATED' when low > 0 then 'LOW' else 'QUIET' end as level from (select session_id, count(*) filter (severity = 'LOW') as low, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'CRITICAL') as critical, max(risk_score) as max_risk from found group by session_id)"
+SQL["threat_levels"] = FINDINGS + "select *, case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 0 then 'ELEVATED' when low > 0 then 'LOW' else 'QUIET' end as level, case when critical > 0 then 'CRITICAL' when high > 0 then 'HIGH' when medium > 0 then 'MEDIUM' when low > 0 then 'LOW' else 'READY' end as label from (select session_id, count(*) filter (severity = 'LOW') as low, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'CRITICAL') as critical, max(risk_score) as max_risk from found group by session_id)"
 SQL["triage"] = FINDINGS + "select rule_id, line_number, case when line_number % 7 = 0 then 'closed' when line_number % 3 = 0 then 'open' else 'new' end as state from found"
 SQL["rule_tests"] = FINDINGS + "select rule_id, 'missing' as problem from rules where rule_id in ('WEB-001', 'IMP-001', 'SC-002') and rule_id not in (select rule_id from found) union all select distinct rule_id, 'forbidden' from found where rule_id in ('WEB-002', 'LAT-006')"
 SQL["ip_classes"] = EV + f"select ip, case when regexp_matches(ip, {PRIVATE}) then 'private' else 'public' end as class, count(*) as n from (select source_ip as ip from ev union all select dest_ip from ev) group by ip"

@@ -204,6 +204,16 @@ def test_intervals(spark):
     assert pairs == sorted((i, j) for i, u, _, t in rows for j, v, _, s in rows if None not in (u, v, t, s) and u == v and t <= s <= t + 10_000_000)
 
 
+def test_chain_of_the_case_where_no_source_has_one(spark):
+    kinds = "source_ip string, hostname string, category string, rule_id string, mitre_ids array<string>, risk_score double, us long, line_number long"
+    rows = [(f"1.1.1.{i}", None, "recon" if i % 2 else "auth", f"R{i}", None, 0.0, i, i) for i in range(12)]
+    got = correlate.derived_chains(spark.createDataFrame(rows, kinds)).collect()
+    assert [(r["chain_name"], r["source"], r["categories"], r["finding_count"], len(r["rules"])) for r in got] == [("Highest-risk detection path", "case", ["auth", "recon"], 10, 10)]
+    risky = correlate.derived_chains(spark.createDataFrame([*rows, ("2.2.2.2", None, "recon", "X", None, 3.0, 1, 99)], kinds)).collect()
+    assert [r["source"] for r in risky] == ["2.2.2.2"]
+    assert correlate.derived_chains(spark.createDataFrame([], kinds)).collect() == []
+
+
 def test_case_tables(spark, tmp_path):
     root = str(tmp_path)
     assert report.read(spark, "notes", root).count() == 0
