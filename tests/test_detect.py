@@ -295,3 +295,19 @@ def test_web_log(spark):
     burst = events(spark, [{"us": i * S, "http_status": 404} for i in range(30)])
     n = detect.stateful_hits(burst).where("rule_id = 'RECON-002'").count()
     assert 1 <= n < 30
+
+
+def test_values_of_a_field_are_matched_once(spark):
+    """Values that come again meet the patterns once, beside the events; with many values, row by row: equal hits."""
+    from emberlog.plans.adapter import events as table
+
+    e = table(spark, "/root/testdata/sf0.001")
+    by_value, by_row = detect.regex_hits(e), detect.regex_hits(e, few=0)
+    told = lambda df: sorted(tuple(r) for r in df.select("line_number", "rule_id", "matched_text").collect())
+    assert told(by_value) == told(by_row) != []
+    assert by_value.columns == by_row.columns
+    # only the rules with conditions are still matched against each row
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10_000)
+    patterns = lambda df: df._jdf.queryExecution().analyzed().toString().lower().count("rlike(")
+    least = sum(1 for r in RULES if r.type == "regex" and r.where)
+    assert patterns(by_row) >= 100 > 20 > patterns(by_value) >= least
