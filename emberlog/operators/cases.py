@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from . import ioc, matching, shared
+from . import detect, ioc, matching, shared
 
 #: who findings and exports are told by
 OWNER = "emberlog"
@@ -73,6 +73,26 @@ def decoy_hits(events: DataFrame, decoys: DataFrame) -> DataFrame:
     return hit.select("*", F.lit("CANARY-001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("insider_threat").alias("category"), F.lit(9.0).alias("risk_score"), F.lit("T1005").alias("technique"))
 
 
+def decoy_counts(events: DataFrame, decoys: DataFrame) -> DataFrame:
+    """token_id, n, first_line of decoy_hits: the number of distinct lines that hold a token's value, and the first of them.
+
+    Counted by value, not by token, so tokens of one value cost no more than one. Tokens of several values are looked for as decoy_hits does, as a
+    line may hold more than one of those; so are all tokens where line numbers are given twice, or values are too many to be broadcast.
+    """
+    own = shared.written(decoys.select("token_id", F.lower("value").alias("value")).where("value <> ''").distinct(), "decoys")
+    several = own.groupBy("token_id").agg(F.count("*").alias("k")).where("k > 1").select("token_id")
+    one = own.join(several, "token_id", "left_anti")
+    lines = detect.spread(events)
+    twice = not events.groupBy("line_number").count().where("count > 1").isEmpty()
+    by_value = None if twice else matching.lines_of_values(lines, one, "raw_line", "line_number")
+    rest = own if by_value is None else own.join(several, "token_id", "left_semi")
+    slow = decoy_hits(lines, rest).groupBy("token_id").agg(F.countDistinct("line_number").alias("n"), F.min("line_number").alias("first_line"))
+    if by_value is None:
+        return slow
+    fast = one.join(by_value, "value").select("token_id", "n", F.col("first").cast(slow.schema["first_line"].dataType).alias("first_line"))
+    return fast if rest.isEmpty() else fast.unionByName(slow)
+
+
 # --- observed data, actors, objects ------------------------------------------------
 
 

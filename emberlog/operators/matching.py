@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .contained import Values, slices
 
 #: lengths of the pieces by which a value is looked for: the longest that it has
 GRAMS = (1, 2, 3, 6, 12, 24)
-#: values up to which their table is broadcast (it is counted; each row is a value, its piece and an id)
-SMALL = 100_000
+#: values up to which they are broadcast (they are counted), and characters of all of them
+SMALL, SMALL_TEXT = 500_000, 1 << 26
 SECOND = 1_000_000
 
 
@@ -34,23 +39,74 @@ def rarest_pieces(values: DataFrame) -> DataFrame:
 def containing(lines: DataFrame, values: DataFrame, text: str, keys: list[str], small: int = SMALL) -> DataFrame:
     """The lines with value, one row for each distinct value (a column value, lower case, not empty) that the text holds, whatever its case.
 
-    An inverted table of the values by one piece of each meets the pieces of the lines by an equal join; contains() then decides. Lines
-    without any value's piece go no further. Up to small values, which are counted, are broadcast and lines aren't shuffled; more of them
-    meet only the lines' keys and pieces, and the pairs found are joined back to the lines. Every value is looked for, however short or many.
+    Up to small values, which are counted, are broadcast and looked for in each batch of lines at once (contained.py); lines aren't shuffled. More of
+    them: an inverted table of the values by one piece of each meets the pieces of the lines by an equal join of keys and pieces, the pairs found are
+    joined back to the lines, and contains() then decides. Every value is looked for, however short or many.
     """
     values = values.where("value is not null and value <> ''").select("value").distinct()
+    few = _few(values, small)
+    if few is not None:
+        if not few:
+            return lines.withColumn("value", F.lit(None).cast("string")).limit(0)
+        return _lines_with(lines, few, text)
     table = rarest_pieces(values)
     sizes = sorted(r[0] for r in table.select("size").distinct().collect())
-    if not sizes:
-        return lines.withColumn("value", F.lit(None).cast("string")).limit(0)
     low = F.lower(text)
     pieces = F.array_distinct(F.concat(*[_pieces(low, n) for n in sizes]))
-    holds = low.contains(F.col("value"))
-    if table.limit(small + 1).count() <= small:
-        found = lines.withColumn("_piece", F.explode(pieces)).join(F.broadcast(table.select("value", F.col("piece").alias("_piece"))), "_piece")
-        return found.where(holds).drop("_piece")
     pairs = lines.select(*keys, F.explode(pieces).alias("piece")).join(table.select("value", "piece"), "piece").select(*keys, "value").distinct()
-    return lines.join(pairs, keys).where(holds)
+    return lines.join(pairs, keys).where(low.contains(F.col("value")))
+
+
+def _few(values: DataFrame, small: int) -> list[str] | None:
+    """The values in order where they are so few that they are broadcast; else None."""
+    n, size = values.agg(F.count("*"), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
+    return sorted(r[0] for r in values.collect()) if n <= small and size <= SMALL_TEXT else None
+
+
+def _lines_with(lines: DataFrame, values: list[str], text: str) -> DataFrame:
+    shared = lines.sparkSession.sparkContext.broadcast((Values(values), pa.array(values, pa.string())))
+    rows = lines.where(F.col(text).isNotNull()).withColumn("_low", F.lower(text))
+    names = [*lines.columns, "value"]
+
+    def scan(batches):
+        known, told = shared.value
+        for batch in batches:
+            low = batch.column("_low")
+            for lo, hi in slices(low):
+                row, place = known.found_in(low.slice(lo, hi - lo))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in names[:-1]), told.take(pa.array(place))], names)
+
+    return rows.mapInArrow(scan, T.StructType([*lines.schema.fields, T.StructField("value", T.StringType())]))
+
+
+def lines_of_values(lines: DataFrame, values: DataFrame, text: str, number: str, small: int = SMALL) -> DataFrame | None:
+    """value, n, first: in how many lines each value is held (see containing), whatever their case, and the smallest number of such a line; None where the values are too many to be broadcast.
+
+    Tasks count what their batches hold, so what is shuffled is a row for each batch and value, never the lines. Each row of lines counts once.
+    """
+    values = values.where("value is not null and value <> ''").select("value").distinct()
+    few = _few(values, small)
+    if few is None:
+        return None
+    shared = lines.sparkSession.sparkContext.broadcast(Values(few))
+    rows = lines.where(F.col(text).isNotNull()).select(F.lower(text).alias("_low"), F.col(number).cast("long").alias("_number"))
+
+    def scan(batches):
+        known = shared.value
+        n, first = np.zeros(len(few), np.int64), np.full(len(few), np.iinfo(np.int64).max)
+        for batch in batches:
+            low, numbers = batch.column("_low"), batch.column("_number").to_numpy()
+            for lo, hi in slices(low):
+                row, place = known.found_in(low.slice(lo, hi - lo))
+                n += np.bincount(place, minlength=len(few))
+                np.minimum.at(first, place, numbers[lo:hi][row])
+        have = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(n[have]), pa.array(first[have])], ["place", "n", "first"])
+
+    counted = rows.mapInArrow(scan, "place long, n long, first long").groupBy("place").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    told = lines.sparkSession.createDataFrame(pa.table({"place": pa.array(range(len(few)), pa.int64()), "value": pa.array(few, pa.string())}))
+    return counted.join(told, "place").select("value", "n", "first")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], seconds: int, left_us: str = "us", right_us: str = "right_us") -> DataFrame:

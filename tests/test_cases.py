@@ -227,3 +227,13 @@ def test_case_tables(spark, tmp_path):
     assert spark.read.json(f"{root}/r/summary").first()["findings"] == 1
     report.save_graph(f, f"{root}/g")
     assert spark.read.parquet(f"{root}/g/nodes").count() == 2
+
+
+def test_decoy_counts(spark):
+    """Counted by value: equal to the hits for each token, with tokens of several values, shared values, and lines that hold a value twice."""
+    lines = [(i, "f", "a", 0, x) for i, x in enumerate(["Abc abc", "xabcx", "de", "abde", "", "zz", "abc de"])]
+    e = spark.createDataFrame(lines, "line_number long, source_file string, source_ip string, us long, raw_line string")
+    d = spark.createDataFrame([("t1", "ABC"), ("t2", "abc"), ("t3", "ab"), ("t3", "de"), ("t4", "q"), ("t5", ""), ("t6", None), ("t7", "a")], "token_id string, value string")
+    want = [("t1", 3, 0), ("t2", 3, 0), ("t3", 5, 0), ("t7", 4, 0)]
+    assert sorted(tuple(r) for r in cases.decoy_counts(e, d).collect()) == want
+    assert sorted(tuple(r) for r in cases.decoy_counts(e.union(e), d).collect()) == want
