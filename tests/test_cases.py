@@ -237,3 +237,18 @@ def test_decoy_counts(spark):
     want = [("t1", 3, 0), ("t2", 3, 0), ("t3", 5, 0), ("t7", 4, 0)]
     assert sorted(tuple(r) for r in cases.decoy_counts(e, d).collect()) == want
     assert sorted(tuple(r) for r in cases.decoy_counts(e.union(e), d).collect()) == want
+
+
+def test_decoys_within_longer_addresses(spark, tmp_path):
+    """An address that is the beginning of another is held by lines of both, in the query and in its SQL."""
+    import duckdb
+
+    from emberlog import queries
+    from emberlog.plans import oracle
+
+    con = duckdb.connect()
+    con.execute("create table events as select i::bigint as event_id, timestamp '2024-01-01' as ts, case when i % 2 = 0 then 4 else 254 end::bigint as user_id, 'view' as event_type, 1.0::double as value, '{\"k\": 7}' as props from range(10) r(i)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = [("t45.33.4.5", 10), ("t45.33.4.55", 5)]
+    assert sorted(con.execute(oracle.SQL["decoy_hits"]).fetchall()) == want
+    assert sorted(tuple(r) for r in queries.QUERIES["decoy_hits"](spark, str(tmp_path)).collect()) == want
