@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import core
+from . import shared
 
 
 def terms(text) -> Column:
@@ -34,10 +35,38 @@ def terms_and_pairs(text) -> Column:
     return F.transform(F.array(terms(without_accents(text))), lambda t: F.concat(t, F.filter(F.zip_with(F.slice(t, 1, F.size(t)), F.slice(t, 2, F.size(t) + 1), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())))[0]
 
 
+def _pairs_of(t: Column) -> Column:
+    """Each two terms that follow one another, as they stand."""
+    return F.filter(F.zip_with(F.slice(t, 1, F.size(t)), F.slice(t, 2, F.size(t) + 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"].isNotNull())
+
+
+def top_terms(words: DataFrame, top: int) -> DataFrame:
+    """term, total: the most frequent terms of one and two words in arrays of terms (t), ties by term.
+
+    A pair is no more frequent than either of its words, so where as many single words as are wanted occur so often, only pairs of words
+    that do as well can be among the top: others are not counted, and none of the top is lost.
+    """
+    single = shared.written(words.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("total")), "words")
+    best = single.orderBy(F.desc("total"), "term").limit(top).agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
+    often = single.where(F.col("total") >= best["least"]).select("term") if best["n"] == top else single.select("term")
+    often = shared.small(often)
+    pairs = words.select(F.explode(_pairs_of(F.col("t"))).alias("p")).select("p.a", "p.b")
+    pairs = pairs.join(often.withColumnRenamed("term", "a"), "a", "left_semi").join(often.withColumnRenamed("term", "b"), "b", "left_semi")
+    double = pairs.groupBy(F.concat_ws(" ", "a", "b").alias("term")).agg(F.count("*").alias("total"))
+    return single.unionByName(double).orderBy(F.desc("total"), "term").limit(top)
+
+
 def tf_idf(docs: DataFrame, key: str = "doc_id", top: int = 1024) -> DataFrame:
-    """key, term, weight: sublinear term frequency by smoothed inverse document frequency, of the top terms of one and two words by count, to unit length."""
-    tf = docs.select(key, F.explode(terms_and_pairs("text")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(top)
+    """key, term, weight: sublinear term frequency by smoothed inverse document frequency, of the top terms of one and two words by count, to unit length.
+
+    The top terms are found first (top_terms). Then documents are dealt by key once, and only the top terms of each are counted there.
+    """
+    words = docs.select(terms(without_accents("text")).alias("t"))
+    best = F.broadcast(shared.written(top_terms(words, top).select("term"), "terms"))
+    own = docs.select(key, "text").repartition(key)
+    tf = own.select(key, F.explode(terms_and_pairs("text")).alias("term")).join(best, "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = shared.written(tf, "frequencies")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n_docs"))
     w = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(n))
     w = w.select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)).alias("w"))

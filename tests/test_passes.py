@@ -1,7 +1,11 @@
 """Steps that several parts of a query read run once."""
 
+import random
+from collections import Counter
 
-from emberlog.operators import correlate
+import pytest
+
+from emberlog.operators import correlate, text
 
 def test_derived_chains_reads_findings_once(spark):
     seen = spark.sparkContext.accumulator(0)
@@ -17,3 +21,22 @@ def test_derived_chains_reads_findings_once(spark):
     got = correlate.derived_chains(found).collect()
     assert seen.value == len(rows)
     assert [(r["source"], r["finding_count"], r["max_risk_score"]) for r in got] == [("1.1.1.2", 20, 59.0), ("1.1.1.1", 20, 58.0), ("1.1.1.0", 20, 57.0)]
+
+
+@pytest.mark.parametrize("top", [1, 5, 12, 400])
+def test_top_terms(spark, top):
+    """Equal to counting all terms and pairs, with ties and with fewer words than are wanted."""
+    r = random.Random(top)
+    docs = [[r.choice("abcdefghijklmnop"[: 2 + i % 15]) * 2 for _ in range(r.randrange(12))] for i in range(80)]
+    n = Counter(t for d in docs for t in d) + Counter(" ".join(p) for d in docs for p in zip(d, d[1:]))
+    want = sorted(n.items(), key=lambda x: (-x[1], x[0]))[:top]
+    got = text.top_terms(spark.createDataFrame([(d,) for d in docs], "t array<string>"), top)
+    assert sorted((tuple(x) for x in got.collect()), key=lambda x: (-x[1], x[0])) == want
+
+
+def test_tf_idf_shuffles_no_rare_pairs(spark):
+    """A key that comes twice is one document, as all of its rows count together."""
+    docs = spark.createDataFrame([(1, "red red blue"), (1, "red green"), (2, "blue blue"), (3, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in text.tf_idf(docs, top=2).collect()}
+    assert set(got) == {(1, "red"), (1, "blue"), (2, "blue")}
+    assert got[2, "blue"] == 1 and abs(got[1, "red"] ** 2 + got[1, "blue"] ** 2 - 1) < 1e-12
