@@ -5,8 +5,12 @@ from collections import Counter
 
 import pytest
 
+from emberlog import queries
 from emberlog.operators import correlate, text
 
+DIR = "/root/testdata/sf0.001"
+
+
 def test_derived_chains_reads_findings_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
@@ -23,6 +27,11 @@ def test_derived_chains_reads_findings_once(spark):
     assert [(r["source"], r["finding_count"], r["max_risk_score"]) for r in got] == [("1.1.1.2", 20, 59.0), ("1.1.1.1", 20, 58.0), ("1.1.1.0", 20, 57.0)]
 
 
+@pytest.mark.parametrize(("name", "table"), [("ioc_feeds", "documents.parquet")])
+def test_what_is_read_several_times_is_written_first(spark, name, table):
+    assert not any(table in f for f in queries.QUERIES[name](spark, DIR).inputFiles())
+
+
 @pytest.mark.parametrize("top", [1, 5, 12, 400])
 def test_top_terms(spark, top):
     """Equal to counting all terms and pairs, with ties and with fewer words than are wanted."""
