@@ -27,7 +27,7 @@ def test_derived_chains_reads_findings_once(spark):
     assert [(r["source"], r["finding_count"], r["max_risk_score"]) for r in got] == [("1.1.1.2", 20, 59.0), ("1.1.1.1", 20, 58.0), ("1.1.1.0", 20, 57.0)]
 
 
-@pytest.mark.parametrize(("name", "table"), [("ioc_feeds", "documents.parquet")])
+@pytest.mark.parametrize(("name", "table"), [("case_stats", "events.parquet"), ("ioc_feeds", "documents.parquet")])
 def test_what_is_read_several_times_is_written_first(spark, name, table):
     assert not any(table in f for f in queries.QUERIES[name](spark, DIR).inputFiles())
 
