@@ -82,7 +82,7 @@ def decoy_counts(events: DataFrame, decoys: DataFrame) -> DataFrame:
     own = shared.written(decoys.select("token_id", F.lower("value").alias("value")).where("value <> ''").distinct(), "decoys")
     several = own.groupBy("token_id").agg(F.count("*").alias("k")).where("k > 1").select("token_id")
     one = own.join(several, "token_id", "left_anti")
-    lines = detect.spread(events)
+    lines = shared.spread(events)
     twice = not events.groupBy("line_number").count().where("count > 1").isEmpty()
     by_value = None if twice else matching.lines_of_values(lines, one, "raw_line", "line_number")
     rest = own if by_value is None else own.join(several, "token_id", "left_semi")

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 
 from emberlog import queries
-from emberlog.operators import correlate, text
+from emberlog.operators import correlate, search, shared, text
+from emberlog.plans.adapter import events
 
 DIR = "/root/testdata/sf0.001"
 
@@ -49,3 +50,38 @@ def test_tf_idf_shuffles_no_rare_pairs(spark):
     got = {(r["doc_id"], r["term"]): r["weight"] for r in text.tf_idf(docs, top=2).collect()}
     assert set(got) == {(1, "red"), (1, "blue"), (2, "blue")}
     assert got[2, "blue"] == 1 and abs(got[1, "red"] ** 2 + got[1, "blue"] ** 2 - 1) < 1e-12
+
+
+def _rows_by_task(df):
+    return [n for n in df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+
+
+def test_a_table_of_one_row_group_is_dealt(spark, tmp_path):
+    """It reads as more partitions than there are cores, of which one holds all rows."""
+    spark.range(20_000).selectExpr("id as event_id", "timestamp_micros(id) as ts", "id % 9 as user_id", "'view' as event_type", "1.0D as value", "concat('{k:', id % 50, '}') as props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        table = spark.read.parquet(f"{tmp_path}/events.parquet")
+        assert table.rdd.getNumPartitions() > 4 and _rows_by_task(table) == [20_000]
+        assert max(_rows_by_task(shared.spread(table))) <= 5_100
+        assert len(_rows_by_task(shared.spread(table, 1_000))) == 20
+        assert max(_rows_by_task(events(spark, str(tmp_path)))) <= 5_100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_corpus_tests_read_findings_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kinds = "test string, rule_id string"
+    found = spark.createDataFrame([("a", f"R{i % 3}") for i in range(30)], kinds).mapInArrow(counted, kinds)
+    tests = spark.createDataFrame([("a", "R1", "expected"), ("a", "R9", "expected"), ("a", "R2", "forbidden")], "test string, rule_id string, kind string")
+    got = search.corpus_tests(found, tests, spark.createDataFrame([("a", 30)], "test string, least long")).collect()
+    assert seen.value == 30
+    assert [tuple(r) for r in got] == [("a", 30, "R9", "R2", False)]
