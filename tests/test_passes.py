@@ -85,3 +85,8 @@ def test_corpus_tests_read_findings_once(spark):
     got = search.corpus_tests(found, tests, spark.createDataFrame([("a", 30)], "test string, least long")).collect()
     assert seen.value == 30
     assert [tuple(r) for r in got] == [("a", 30, "R9", "R2", False)]
+
+
+@pytest.mark.parametrize("name", ["report_top", "case_numbers"])
+def test_findings_that_are_read_twice_are_written_first(spark, name):
+    assert not any("events.parquet" in f for f in queries.QUERIES[name](spark, DIR).inputFiles())
