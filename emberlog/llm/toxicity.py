@@ -19,7 +19,7 @@ from .common import ALNUM, LOWER, documents, hashes_of, in_batches, slices, text
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 PREFIXES = (4, 6)
-SHARD = 128 << 20  # bytes of labelled texts of a partition that takes steps of its own, about
+SHARD = 32 << 20  # bytes of labelled texts of a partition that takes steps of its own, about
 RUN = 1 << 16  # words that the net looks at at once while it learns
 ADDED = 1 << 14  # numbers of partitions' vectors that are added at once
 BIN = 1 / 128  # of raw answers, for the cuts
