@@ -80,10 +80,21 @@ class Needs:
         if self.codes is None:
             at, first = self.own[self.count - 1 :], self.own[: max(0, len(self.own) - self.count + 1)]
         else:
-            at, first = _distinct_needs(self.valued, self.codes, self.count)
+            at, first = self._distinct()
         near = self.us[at] - self.us[first] <= self.width
         return at[near], first[near]
 
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """As _distinct_needs, of the rows that have count rows within the width, with values or not distinct: no others may fire. Only stretches of such rows and of what lies in their windows are gone through."""
+        rows, us = self.valued, self.us[self.valued]
+        many = self.count - 1 + np.flatnonzero(us[self.count - 1 :] - us[: max(0, len(us) - self.count + 1)] <= self.width)
+        if not len(many):
+            return many, many
+        low = np.searchsorted(us, us[many] - self.width)
+        new = np.flatnonzero(np.append(True, low[1:] > many[:-1]))
+        found = [_distinct_needs(rows[a : b + 1], self.codes, self.count) for a, b in zip(low[new], many[np.append(new[1:], len(many)) - 1], strict=True)]
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
     @property
     def at(self) -> np.ndarray:
         return self.pairs[0]
@@ -149,36 +160,63 @@ class Steps:
     def __init__(self, events: Events, steps: list[np.ndarray], least: list[int], width: int):
         self.us, self.steps, self.least, self.width = events.us, steps, least, width
 
-    def _met(self, since: int) -> tuple[list[np.ndarray], bool]:
-        """The rows that meet the steps from a row on, and whether they are all."""
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """The row that completes the steps from each row on; NEVER if none does."""
+        since = np.arange(len(self.us))
+        for rows, least in zip(self.steps, self.least, strict=True):
+            k = np.searchsorted(rows, since) + least - 1
+            since = np.where(k < len(rows), np.append(rows, 0)[np.minimum(k, len(rows))] + 1, NEVER)
+        return np.where(since < NEVER, since - 1, NEVER)
+
+    @cached_property
+    def resets(self) -> list[int]:
+        """The first row past the window of each row that is an anchor."""
+        return np.searchsorted(self.us, self.us + self.width, "right").tolist()
+
+    @cached_property
+    def whole(self) -> list[bool]:
+        """Whether the steps are completed within the window of each row that is an anchor."""
+        return (self.ends < np.array(self.resets, np.int64)).tolist()
+
+    def _met(self, since: int) -> list[np.ndarray]:
+        """The rows that meet the steps from a row on."""
         out = []
         for rows, least in zip(self.steps, self.least, strict=True):
             k = int(np.searchsorted(rows, since))
             out.append(rows[k : k + least])
             if len(out[-1]) < least:
-                return out, False
+                break
             since = int(out[-1][-1]) + 1
-        return out, True
+        return out
 
     def _past(self, since: int, anchor: int) -> int:
         return max(since, int(np.searchsorted(self.us, anchor + self.width, "right")))
 
     def next(self, since: int, anchor):
-        anchor = int(self.us[since]) if anchor is None else anchor
-        rows, whole = self._met(since)
-        while whole:
-            past, end = self._past(since, anchor), int(rows[-1][-1])
+        last = int(np.searchsorted(self.ends, NEVER))  # from here on nothing is completed; ends never go back
+        if anchor is not None and since < last:
+            past, end = self._past(since, anchor), int(self.ends[since])
             if end < past:
-                return end, len(self.steps), anchor, np.concatenate(rows)[-EVIDENCE:], int(self.us[end])
-            since, anchor = past, int(self.us[past])
-            rows, whole = self._met(since)
+                return self._fire(since, end, anchor)
+            since = past
+        while since < last:
+            if self.whole[since]:
+                return self._fire(since, int(self.ends[since]), int(self.us[since]))
+            since = self.resets[since]
         return None
 
+    def _fire(self, since: int, end: int, anchor: int):
+        return end, len(self.steps), anchor, np.concatenate(self._met(since))[-EVIDENCE:], int(self.us[end])
+
     def left(self, since: int, anchor):
-        anchor = int(self.us[since]) if anchor is None and since < len(self.us) else anchor
-        while anchor is not None and (past := self._past(since, anchor)) < len(self.us):
-            since, anchor = past, int(self.us[past])
-        return np.concatenate(self._met(since)[0]), since, anchor
+        if anchor is not None and (past := self._past(since, anchor)) < len(self.us):
+            since, anchor = past, None
+        if anchor is None and since < len(self.us):
+            while (past := self.resets[since]) < len(self.us):
+                since = past
+            anchor = int(self.us[since])
+        return np.concatenate(self._met(since)), since, anchor
 
 
 class Plan:
@@ -218,14 +256,16 @@ class Plan:
         n = len(self.parts)
         return Open(Events.of([], [], [], [[] for _ in range(values)]), [0] * n, [None] * n, [None] * n)
 
-    def run(self, more: Events, state: Open) -> tuple[list[tuple], Open]:
-        """Fires at the events after those of the state: line_number, us, event_count, first_us, evidence; and the state after them."""
+    def run(self, more: Events, state: Open, ends: bool = False) -> tuple[list[tuple], Open | None]:
+        """Fires at the events after those of the state: line_number, us, event_count, first_us, evidence; and the state after them, none where the key ends."""
         if not len(more):
             return [], state
         events = more.after(state.rows)
         parts = self._bound(events)
         since, anchor, held = list(state.since), list(state.anchor), list(state.held)
         fires = self._all(events, parts, since, anchor, held) if self.logic == "AND" else self._each(events, parts, since, anchor)
+        if ends:
+            return fires, None
         keep = []
         for j, part in enumerate(parts):
             if held[j] is None:
@@ -330,7 +370,7 @@ def scanned(batches, keys: list[str], plans: list[Plan], values: int):
             # a key that began before or that may go on is looked at whatever it has
             for g in np.flatnonzero(may | (np.arange(last + 1) == last) | (goes_on & (np.arange(last + 1) == 0))):
                 state = states.get(p) if g == 0 else None
-                fires, state = plan.run(rows.slice(starts[g], ends[g]), state or plan.start(values))
+                fires, state = plan.run(rows.slice(starts[g], ends[g]), state or plan.start(values), g < last)
                 if fires:
                     key = key_at(columns, int(starts[g]))
                     out += [(*key, plan.rule.id, f) for f in fires]

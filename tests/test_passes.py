@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from emberlog import queries
-from emberlog.operators import correlate, search, shared, text
+from emberlog.operators import chains, correlate, search, shared, text
 from emberlog.plans.adapter import events
 
 DIR = "/root/testdata/sf0.001"
@@ -90,3 +90,64 @@ def test_corpus_tests_read_findings_once(spark):
 @pytest.mark.parametrize("name", ["report_top", "case_numbers"])
 def test_findings_that_are_read_twice_are_written_first(spark, name):
     assert not any("events.parquet" in f for f in queries.QUERIES[name](spark, DIR).inputFiles())
+
+
+def _chain(rule, us, mask, values=(), cuts=()):
+    """Fires of one rule over one key's events, taken in pieces."""
+    flags = len(rule.steps) or 1
+    plan = chains.Plan(rule, [(0, (1 << flags) - 1, 0 if values else None)])
+    state, out = plan.start(len(values)), []
+    for lo, hi in zip([0, *cuts], [*cuts, len(us)]):
+        fires, state = plan.run(chains.Events.of(us[lo:hi], range(lo, hi), mask[lo:hi], [v[lo:hi] for v in values]), state)
+        out += fires
+    return out
+
+
+def test_a_sequence_that_is_never_completed_is_not_tried_at_each_reset(monkeypatch):
+    tries, met = [], chains.Steps._met
+    monkeypatch.setattr(chains.Steps, "_met", lambda *a: tries.append(1) or met(*a))
+    rule = queries._rule(type="sequence", key="username", seconds=10, steps=({"match_field": "a", "value": "1"}, {"match_field": "a", "value": "2"}))
+    assert not _chain(rule, [i * 20_000_000 for i in range(2000)], [1 + i % 2 for i in range(2000)])
+    assert len(tries) <= 2
+
+
+def test_sparse_events_are_not_gone_through_for_distinct_values(monkeypatch):
+    rows, needs = [], chains._distinct_needs
+    monkeypatch.setattr(chains, "_distinct_needs", lambda r, *a: rows.append(len(r)) or needs(r, *a))
+    rule = queries._rule(type="threshold", key="username", count=3, seconds=10, distinct="dest_port")
+    us = [i * 20_000_000 for i in range(2000)] + [40_000_000_000 + i for i in range(4)]
+    fires = _chain(rule, us, [1] * len(us), [[str(i % 3) for i in range(len(us))]])
+    assert [f[0] for f in fires] == [2002] and sum(rows) <= 4
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chains_equal_a_walk(seed):
+    """Sequences and distinct thresholds against a walk event by event, in one piece and in several."""
+    r = random.Random(seed)
+    n, width = 120, r.choice([5, 20, 60])
+    us = sorted(r.randrange(1500) * 1_000_000 for _ in range(n))
+    mask, value = [r.randrange(4) for _ in range(n)], [r.choice("abcd") for _ in range(n)]
+    cuts = sorted(r.sample(range(1, n), 3))
+    least = r.choice([1, 2])
+    sequence = queries._rule(type="sequence", key="username", seconds=width, steps=({"match_field": "a", "value": "1", "min_count": least}, {"match_field": "a", "value": "2"}))
+    want, anchor, step, met = [], None, 0, 0
+    for i in range(n):
+        if anchor is None or us[i] - anchor > width * 1_000_000:
+            anchor, step, met = us[i], 0, 0
+        if mask[i] >> step & 1:
+            met += 1
+            if met == (least, 1)[step]:
+                step, met = step + 1, 0
+        if step == 2:
+            want.append(i)
+            anchor, step, met = us[i], 0, 0
+    distinct = queries._rule(type="threshold", key="username", count=3, seconds=width, distinct="dest_port")
+    also, since = [], 0
+    for i in range(n):
+        seen = {value[j] for j in range(since, i + 1) if mask[j] & 1 and us[i] - us[j] <= width * 1_000_000}
+        if mask[i] & 1 and len(seen) >= 3:
+            also.append(i)
+            since = i + 1
+    for at in ((), cuts):
+        assert [f[0] for f in _chain(sequence, us, mask, (), at)] == want
+        assert [f[0] for f in _chain(distinct, us, [m & 1 for m in mask], [value], at)] == also
