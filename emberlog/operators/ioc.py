@@ -20,6 +20,11 @@ KINDS = [
     ("ipv4", r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b", 0.75),
     ("domain", r"(?i)\b(?:[a-z0-9](?:[a-z0-9\-]{0,61}[a-z0-9])?\.)+(?:com|net|org|io|gov|edu|mil|co|uk|de|fr|ru|cn|info|biz|xyz|onion|bit|tk|ml|ga|cf|pw|top|club|site|online|live|tech)\b", 0.7),
 ]
+# What a text must hold for a pattern to be found in it, cheaper to look for; and the places in KINDS that it goes for
+HINTS = [
+    ("[a-fA-F0-9]{32}", (0, 1, 2)), (r":\\", (3,)), ("/(?:etc|var|tmp|home|usr|bin|sbin|proc|dev)/", (4,)), ("@", (5,)), (r"[0-9]\.[0-9]", (6,)),
+    (r"(?i)\.(?:com|net|org|io|gov|edu|mil|co|uk|de|fr|ru|cn|info|biz|xyz|onion|bit|tk|ml|ga|cf|pw|top|club|site|online|live|tech)\b", (7,)),
+]
 # Addresses in a request, scanners' names, names of processes worth keeping
 URL = r"(?i)https?://[^\s'\"<>]{4,200}"
 SCANNERS = r"(?i)(sqlmap|nikto|nessus|masscan|nmap|zgrab|nuclei|dirbuster|gobuster|feroxbuster|ffuf|hydra|medusa|burpsuite|metasploit|acunetix|w3af|arachni|appscan)"
@@ -54,7 +59,8 @@ def extract(rows: DataFrame, text: str, confidence: Column, *carried: str) -> Da
         values = F.array_distinct(F.transform(values, F.lower)) if kind in LOWER else values
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), (confidence * weight).alias("confidence")))
 
-    found = F.filter(F.concat(*[one(*k) for k in KINDS]), _kept)
+    none = F.array().cast("array<struct<type:string,value:string,confidence:double>>")
+    found = F.filter(F.concat(*[F.when(x.rlike(hint), F.concat(*[one(*KINDS[i]) for i in places])).otherwise(none) for hint, places in HINTS]), _kept)
     return rows.select(*carried, F.explode(found).alias("i")).select("i.*", *carried)
 
 

@@ -5,8 +5,11 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from emberlog import queries
-from emberlog.operators import chains, correlate, search, shared, text
+from emberlog.functions import core
+from emberlog.operators import chains, correlate, ioc, search, shared, text
 from emberlog.plans.adapter import events
 
 DIR = "/root/testdata/sf0.001"
@@ -151,3 +154,28 @@ def test_chains_equal_a_walk(seed):
     for at in ((), cuts):
         assert [f[0] for f in _chain(sequence, us, mask, (), at)] == want
         assert [f[0] for f in _chain(distinct, us, [m & 1 for m in mask], [value], at)] == also
+
+
+def test_indicators_are_looked_for_once(spark):
+    """object_relations reads them three times."""
+    plan = queries.QUERIES["object_relations"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_an_address_is_read_once_for_all_networks(spark):
+    rows = spark.createDataFrame([("10.1.2.3", True), ("172.31.255.255", True), ("172.32.0.0", False), ("8.8.8.8", False), ("192.168.1", False), (None, False)], "ip string, want boolean")
+    got = rows.select("want", core.in_networks("ip", core.PRIVATE).alias("got"))
+    assert got.where("want <> got or got is null").isEmpty()
+    assert rows.select(core.in_networks("ip", core.PRIVATE).alias("x"))._jdf.queryExecution().analyzed().toString().lower().count("rlike") == 1
+
+
+def test_hints_lose_no_indicator(spark, monkeypatch):
+    r = random.Random(5)
+    pieces = ["a" * 32, "AB" * 20, "0f" * 32, "c:\\x\\y.exe", "/etc/passwd", "/tmp/a/b", "/home", "a.b@c.de", "8.8.4.4", "1.2.3", "Evil.Example.COM", "x.ru", "plain", "=", ";", "\n", "."]
+    texts = [("".join(r.choice(pieces) + r.choice(["", " ", " ", ":"]) for _ in range(r.randrange(9))),) for _ in range(400)] + [(None,)]
+    rows = spark.createDataFrame(texts, "text string").withColumn("n", F.monotonically_increasing_id())
+    found = lambda: sorted(tuple(x) for x in ioc.extract(rows, "text", F.lit(1.0), "n").collect())
+    got = found()
+    monkeypatch.setattr(ioc, "HINTS", [("", tuple(range(len(ioc.KINDS))))])
+    assert got == found()
+    assert {x[0] for x in got} == {k for k, _, _ in ioc.KINDS}
