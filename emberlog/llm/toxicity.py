@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, documents, hashes_of, in_batches, slices, text_buffer, words_of
+from .common import ALNUM, LOWER, documents, hashes_of, in_batches, slices, small, text_buffer, words_of, written
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 12, (1, 2, 3)
 PREFIXES = (4, 6)
@@ -209,26 +209,40 @@ class Model:
 PACKED = "held boolean, y binary, words binary, lang array<string>, body binary"
 
 
+def _bodies(texts: DataFrame) -> DataFrame:
+    """doc_id, lang, words and body of each text: its number of words and pads, and its compressed bucket numbers, which are dealt in place of the text."""
+    names = ["doc_id", "lang", "words", "body"]
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["lang"], T.StructField("words", T.LongType()), T.StructField("body", T.BinaryType())])
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch):
+                idx, first = features(part.column("text"))
+                bounds, idx = np.append(first, len(idx)), idx.astype(np.uint16)
+                body = [pa.compress(idx[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(np.diff(bounds)), pa.array(body, pa.binary())], names)
+
+    return in_batches(texts.select("doc_id", "lang", "text")).mapInArrow(scan, schema)
+
+
 def _packed(batches):
     """Batches of the net, as rows: of at most BATCH texts, all for training or all held, their labels, lengths and languages, and the compressed bucket numbers."""
     open_: dict[bool, list] = {False: [], True: []}
 
     def row(held):
         took, open_[held] = open_[held], []
-        body = np.concatenate([x[0] for x in took]).astype(np.uint16)
+        body = np.concatenate([x[0] for x in took])
         y, words = np.array([x[1] for x in took], np.uint8), np.array([len(x[0]) for x in took], np.int64)
         arrays = [[held], [y.tobytes()], [words.tobytes()], [[x[2] for x in took]], [pa.compress(body.tobytes(), "zstd", asbytes=True)]]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(arrays, [pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()], strict=True)], ["held", "y", "words", "lang", "body"])
 
     for batch in batches:
-        for part in slices(batch):
-            idx, first = features(part.column("text"))
-            bounds = np.append(first, len(idx))
-            for i, (y, held, lang) in enumerate(zip(*(part.column(c).to_pylist() for c in ("toxic", "held", "lang")), strict=True)):
-                own = open_[held]
-                if own and (len(own) == BATCH or sum(len(x[0]) for x in own) + bounds[i + 1] - bounds[i] > RUN):
-                    yield row(held)
-                open_[held].append((idx[bounds[i] : bounds[i + 1]].astype(np.uint16), y, lang))
+        for y, held, lang, words, body in zip(*(batch.column(c).to_pylist() for c in ("toxic", "held", "lang", "words", "body")), strict=True):
+            own = open_[held]
+            if own and (len(own) == BATCH or sum(len(x[0]) for x in own) + words > RUN):
+                yield row(held)
+            body = pa.decompress(body, words * 2 * (1 + len(PREFIXES)), "zstd", asbytes=True)
+            open_[held].append((np.frombuffer(body, np.uint16).reshape(-1, 1 + len(PREFIXES)), y, lang))
     for held in (False, True):
         if open_[held]:
             yield row(held)
@@ -360,12 +374,12 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, text_bytes: int | None = None) -> Model:
     """Fits on all labelled texts that are not held out; a fifth of them, by a hash of doc_id, calibrates.
 
-    Texts are dealt by doc_id to partitions of about SHARD bytes, each of which takes its own steps; only nets and counts, of
+    Texts are dealt, as bucket numbers, by doc_id to partitions of about SHARD bytes of text, each of which takes its own steps; only nets and counts, of
     a fixed size, come back. With text_bytes, longer labelled texts are not fitted, though scored all the same; a class that
     has labels but no text left then raises ValueError, unless no label has a text.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = small(written(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels"))
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(5)) == 0
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     fits = F.lit(True) if text_bytes is None else size <= text_bytes
@@ -381,12 +395,13 @@ def train(docs: DataFrame, labels: DataFrame, text_bytes: int | None = None) ->
         net.scale, net.shift = 0.0, (30.0 if texts[1] else -3.0)
         return Model(net, {"": CUT})
     shards = max(1, -(-sum(r["size"] for r in found if r["fits"]) // SHARD))
-    rows = in_batches(own.where(fits)).repartition(shards, "doc_id").join(known, "doc_id")
+    # texts are left where they are: the bucket numbers of those with labels are dealt, after the join, which would else deal them anew
+    rows = _bodies(own.where(fits).join(known, "doc_id", "left_semi")).join(known, "doc_id").repartition(shards, "doc_id")
     if not min(n.values()):  # too few texts to keep a fifth apart: each trains and calibrates
         rows, n = rows.withColumn("held", F.explode(F.array(F.lit(False), F.lit(True)))), {(c, h): texts[c] for c, h in n}
     else:
         rows = rows.withColumn("held", held)
-    rows = rows.sortWithinPartitions(F.md5(F.col("doc_id").cast("string")), "doc_id", "text", "lang", "held").select("text", "lang", "toxic", "held")
+    rows = rows.sortWithinPartitions(F.md5(F.col("doc_id").cast("string")), "doc_id", "body", "lang", "held").select("lang", "toxic", "held", "words", "body")
     rows = rows.mapInArrow(_packed, PACKED).persist(StorageLevel.DISK_ONLY)
     try:
         return _fit(rows, n[0, False] + n[1, False])

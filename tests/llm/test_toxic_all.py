@@ -33,3 +33,21 @@ def test_a_long_text_is_looked_at_in_runs(monkeypatch):
     for a, b in zip(net._strongest(idx, bounds), net._strongest_by_runs(idx, bounds), strict=True):
         for x, y in zip(a, b, strict=True):
             assert np.allclose(x, y)
+
+
+def test_the_deal_is_that_of_shard(spark, monkeypatch):
+    """In as many partitions as SHARD says, whatever the number of shuffle partitions: the join with the labels does not deal anew."""
+    F, seen = toxicity.F, []
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, n: seen.append(rows.rdd.getNumPartitions()) or fit(rows, n))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).where("doc_id < 100"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert seen == [1]
