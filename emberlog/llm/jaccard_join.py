@@ -13,10 +13,13 @@ between classes are found, in two steps, each pair of classes in one of them:
    of one size and position are a block. Two blocks are skipped whole if size and position leave
    too few tokens for a link, and two sets that share a minimum hash are told apart there. Lists that
    are known to be long are dealt in parts, as above; one that turns out longer than planned is
-   passed on unread and dealt in parts by its exact length in a second round. Pairs that are left are verified.
+   passed on unread and dealt in parts by its exact length in a second round. Pairs that are left are tried on
+   counts of their hashes by ranges, which bound what they can share, and then verified.
 
 Two linked sets of n and m hashes share o or more, o = 4/9 (n + m), and so a token among the first
 n - o + 1 of the one and the first m - o + 1 of the other: no link is lost.
+
+Sets are made of the texts again where they meet, as texts are shuffled packed, in about a third of a set's bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, documents, forget, grams, hashes_of, in_batches, mix, slices, small, text_buffer, unused, words_of, written
+from .common import BROADCAST_ROWS, LOWER, NOT_SPACE, SLICE_BYTES, documents, forget, grams, hashes_of, in_batches, mix, slices, small, text_buffer, unused, words_of, written
 
 WORDS = 5
 SHARE = Fraction(4, 5)
@@ -81,14 +84,37 @@ def signature(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(_per_set(np.add, mix(g ^ _U(0xA5A5)), off, 0) + np.diff(off).astype(_U)).astype(np.int64)
 
 
+RANGE = 4  # hashes of a set in each range that is counted, or up to twice as many
+
+
+def sketches(g: np.ndarray, off: np.ndarray) -> pa.Array:
+    """For each set the numbers of its hashes in 2^k equal ranges, a byte each; k goes by the set's size, 255 stands for more, too."""
+    n = np.diff(off)
+    k = np.minimum(np.frexp(np.maximum(n // RANGE, 1))[1] - 1, 20).astype(np.int64)
+    to = np.concatenate([[0], np.cumsum(1 << k)])
+    row = np.repeat(np.arange(len(n)), n)
+    at = to[row] + (g >> _U(44) >> (20 - k[row]).astype(_U)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=to[-1]), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(to), pa.py_buffer(counts)]).cast(pa.binary())
+
+
+def _most_shared(x: np.ndarray, y: np.ndarray) -> int | None:
+    """No fewer than the hashes that two sets share, by their sketches; None where these don't tell."""
+    if (x == 255).any() or (y == 255).any():
+        return None
+    size = min(len(x), len(y))
+    x, y = (c.reshape(size, -1).sum(axis=1, dtype=np.int64) for c in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _linked(both, a, b):
     """both: size of the intersection; a, b: of the sets."""
     return both * SHARE.denominator >= (a + b - both) * SHARE.numerator
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, class, and a minimum hash for each round; and, with null n, the repeated tokens of runs (in class) and counts (in m0)."""
-    names = ["doc_id", "n", "class", *(f"m{k}" for k in range(len(SALTS)))]
+    """doc_id, n, class, a minimum hash for each round, and the sketch; and, with null n, the repeated tokens of runs (in class) and counts (in m0)."""
+    names = ["doc_id", "n", "class", *(f"m{k}" for k in range(len(SALTS))), "sketch"]
 
     def scan(batches):
         runs, size = [], 0
@@ -102,13 +128,13 @@ def _describe(docs: DataFrame) -> DataFrame:
             for at in range(0, len(token), 20_000):
                 t, c = token[at : at + 20_000], count[at : at + 20_000]
                 no = pa.nulls(len(t), pa.int64())
-                yield pa.RecordBatch.from_arrays([no, no, pa.array(t), pa.array(c), *[no] * (len(SALTS) - 1)], names)
+                yield pa.RecordBatch.from_arrays([no, no, pa.array(t), pa.array(c), *[no] * (len(SALTS) - 1), pa.nulls(len(t), pa.binary())], names)
 
         for batch in batches:
             for part in slices(batch):
                 g, off = sets_of(part.column("text"))
                 mins = [(_per_set(np.minimum, mix(g ^ _U(s)), off, 0) | _U(1)).astype(np.int64) for s in SALTS]  # never 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(off)), pa.array(signature(g, off)), *map(pa.array, mins)], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(off)), pa.array(signature(g, off)), *map(pa.array, mins), sketches(g, off)], names)
                 runs.append(g)
                 size += len(g)
                 if 8 * size > RUN_BYTES:
@@ -116,7 +142,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                     runs, size = [], 0
         yield from repeated()
 
-    return in_batches(docs).select("doc_id", "text").mapInArrow(scan, ", ".join(f"{x} long" for x in names))
+    return in_batches(docs).select("doc_id", "text").mapInArrow(scan, ", ".join(f"{x} long" for x in names[:-1]) + ", sketch binary")
 
 
 EDGES = 200_000  # of a file
@@ -143,6 +169,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """Its text as packed bytes (packed) and their number before (size); other columns, all long, as they are."""
+    rest = [c for c in df.columns if c != "text"]
+
+    def scan(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for part in slices(batch):
+                data, off = text_buffer(part.column("text"))
+                packed = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*map(part.column, rest), pa.array(np.diff(off)), pa.array(packed, pa.binary())], [*rest, "size", "packed"])
+
+    return in_batches(df).select(*rest, "text").mapInArrow(scan, ", ".join(f"{c} long" for c in [*rest, "size"]) + ", packed binary")
+
+
+def _unpacked(batches):
+    """Batches of packed rows with their text, in runs of SLICE_BYTES of it or of one row."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        total, at = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy())]), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE_BYTES, "right")) - 1)
+            part = batch.slice(at, to - at)
+            data = b"".join(codec.decompress(x.as_buffer(), int(n), asbytes=True) for x, n in zip(part.column("packed"), np.diff(total[at : to + 1]), strict=True))
+            text = pa.Array.from_buffers(pa.large_string(), to - at, [None, pa.py_buffer(total[at : to + 1] - total[at]), pa.py_buffer(data)])
+            rest = [c for c in part.schema.names if c not in ("size", "packed")]
+            yield pa.RecordBatch.from_arrays([*map(part.column, rest), text], [*rest, "text"])
+            at = to
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """class and its set as bytes, of the classes wanted (class, doc_id); classes once."""
     ids = written(wanted.select("doc_id").distinct(), "wanted")
@@ -210,14 +266,19 @@ def _block_links(k: int, sets: list[np.ndarray], side: np.ndarray, keys: np.ndar
             yield i, j
 
 
-def _in_blocks(members: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
-    """Links among the members (block, k, side, class, copies, m0..) of each block, as a, b.
+def _in_blocks(members: DataFrame, docs: DataFrame, every: bool) -> DataFrame:
+    """Links among the members (block, k, side, class, doc_id, copies, m0..) of each block, as a, b.
 
     Every: all of them. Otherwise from each class to the first one of those linked to it in the block, directly or
     through others, and rows without b that give the copies linked to a.
     """
     keys = [f"m{k}" for k in range(len(SALTS))]
-    joined = members.join(sets, "class").repartition("block").sortWithinPartitions("block", "side", "class")
+    members = members.select("doc_id", "block", "class", "k", "side", "copies", *keys)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = small(members, BROADCAST_ROWS // 4)  # of ten longs
+    # more of them meet the texts by a shuffle, of packed texts
+    joined = _packed(texts).join(members, "doc_id") if few is members else _packed(texts.join(few, "doc_id"))
+    joined = joined.repartition("block").sortWithinPartitions("block", "side", "class")
 
     def scan(batches):
         now, rows, own = None, {}, []
@@ -257,18 +318,20 @@ def _in_blocks(members: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*some, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "linked"])
 
-        for batch in batches:
+        for batch in _unpacked(batches):
+            g, off = sets_of(batch.column("text"))
+            sign = signature(g, off).tolist()
             columns = [batch.column(c).to_pylist() for c in ("block", "class", "k", "side", "copies", *keys)]
-            for s, at, c, *rest in zip(batch.column("set"), *columns, strict=True):
+            for i, (at, c, *rest) in enumerate(zip(*columns, strict=True)):
                 if at != now:
                     yield from links()
                     now, rows, own = at, {}, []
-                if c not in rows:
+                if c not in rows and c == sign[i]:  # an id may stand for other texts, too
                     rows[c] = rest
-                    own.append(np.frombuffer(s.as_py(), _U))
+                    own.append(g[off[i] : off[i + 1]])
         yield from links()
 
-    return joined.select("block", "class", "k", "side", "copies", *keys, "set").mapInArrow(scan, "a long, b long, linked long")
+    return joined.select("block", "class", "k", "side", "copies", *keys, "size", "packed").mapInArrow(scan, "a long, b long, linked long")
 
 
 def _blocked(classes: DataFrame) -> DataFrame:
@@ -309,7 +372,7 @@ def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarra
 
     def scan(batches):
         known, rank_of = shared.value
-        for batch in batches:
+        for batch in _unpacked(batches) if packed else batches:
             for part in slices(batch):
                 g, off = sets_of(part.column("text"))
                 n = np.diff(off)
@@ -338,8 +401,11 @@ def _lists(docs: DataFrame, marks: DataFrame, order: tuple[np.ndarray, np.ndarra
                         b = a + 50_000
                         yield pa.RecordBatch.from_arrays([pa.array(t[a:b].astype(np.int64)), pa.array(side[a:b]), pa.array(sig[r[a:b]]), pa.array(n[r[a:b]]), pa.array(at[a:b]), *(pa.array(x[r[a:b]]) for x in blocks)], list(ENTRY))
 
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(marks), "doc_id", "left")
-    return marked.where("coalesce(keep, true)").select("text", *MET).mapInArrow(scan, ", ".join(f"{x} long" for x in ENTRY))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = small(marks)
+    packed = few is marks
+    marked = (_packed(texts) if packed else texts).join(few, "doc_id", "left").where("coalesce(keep, true)")
+    return marked.select(*(("size", "packed") if packed else ("text",)), *MET).mapInArrow(scan, ", ".join(f"{x} long" for x in ENTRY))
 
 
 def _runs(count: np.ndarray):
@@ -465,6 +531,22 @@ def _candidates(lists: DataFrame) -> DataFrame:
     return pairs.select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def _possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs that may link by their sketches (class, sketch), and all whose sketches don't tell."""
+    joined = pairs.join(counts.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a").join(counts.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def scan(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                most = _most_shared(x, y)
+                ok.append(most is None or bool(_linked(most, int(x.sum(dtype=np.int64)), int(y.sum(dtype=np.int64)))))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return joined.select("a", "b", "x", "y").mapInArrow(scan, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that link."""
     joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
@@ -495,7 +577,7 @@ def _described(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[np.ndarray,
 def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, order, every: bool) -> DataFrame:
     """a, b, linked, as _in_blocks gives them, over all classes."""
     members = written(_blocked(classes), "members")
-    first = written(_in_blocks(members, _texts(docs, members), every), "links")
+    first = written(_in_blocks(members, docs, every), "links")
 
     # only the class's smallest doc_id enters the lists, with the minimum hashes that it shares; none where an id stands for more than one class
     met = members.groupBy("class", "doc_id").agg(*(F.max(F.when(F.col("k") == k, F.col("key"))).alias(f"b{k}") for k in range(len(SALTS))))
@@ -507,8 +589,10 @@ def _links(docs: DataFrame, rows: DataFrame, classes: DataFrame, order, every: b
     blocks = [F.when(F.max("again").isNull(), F.max(f"b{k}")).alias(f"b{k}") for k in range(len(SALTS))]
     marks = known.groupBy("doc_id").agg(F.max("keep").alias("keep"), *blocks)
     pairs = written(_candidates(_lists(docs.where("doc_id is not null"), written(marks, "marks"), order)), "pairs")
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    own = ends.join(classes, "class")
+    ends = lambda of: written(of.select(F.col("a").alias("class")).union(of.select(F.col("b").alias("class"))).distinct().join(classes, "class"), "ends")
+    told = small(ends(pairs).select("class", "doc_id"))
+    pairs = written(_possible(pairs, rows.join(told, ["class", "doc_id"]).select("class", "sketch").dropDuplicates(["class"])).distinct(), "possible")
+    own = ends(pairs)
     new = _verified(pairs, _texts(docs, own)).distinct()
     left, right = (own.select(F.col("class").alias(x), F.col("copies").alias(f"c{x}"), *(F.col(f"m{k}").alias(f"{x}{k}") for k in range(len(SALTS)))) for x in "ab")
     new = new.join(left, "a").join(right, "b").where(" and ".join(f"a{k} <> b{k}" for k in range(len(SALTS))))
